@@ -161,10 +161,10 @@ def _scan(index: Index, texts: list[bytes | None]) -> list[tuple[int, dict[int,
     return [(bounds[i + 1] - bounds[i] - 1, found[i]) for i in range(len(texts))]
 
 
-def _slices(b: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[tuple[int, list]]:
+def _slices(col: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list]]:
     """(first row, texts) of runs of rows with about `most` bytes each."""
-    col, held, texts, first = b.column(at), 0, [], 0
-    for i in range(b.num_rows):
+    held, texts, first = 0, [], 0
+    for i in range(len(col)):
         t = col[i].as_py()
         texts.append(t)
         held += len(t or b"")
@@ -202,7 +202,10 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").cast("binary").alias("__text"), *[F.col(c) for c in carry])
+    # A carried text travels to Python once.
+    held = text_col if text_col in carry else "__text"
+    extra = [] if text_col in carry else [F.col(text_col).cast("string").cast("binary").alias("__text")]
+    base = docs.select(F.col(id_col).alias("__id"), *extra, *[F.col(c) for c in carry])
     kept = [f for f in base.schema.fields if f.name != "__text"]
     hit_fields = StructType.fromDDL(HITS)
 
@@ -212,9 +215,8 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for b in batches:
-                at = b.schema.get_field_index("__text")
                 n_words, hit, items = [], [], []
-                for _, texts in _slices(b, at):
+                for _, texts in _slices(b.column(b.schema.get_field_index(held)).cast(pa.binary())):
                     for n, found in _scan(own, texts):
                         spans: list[dict] = []
                         for s, size, _i in sorted(found, key=lambda x: x[0]):
@@ -225,8 +227,8 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
                         n_words.append(n)
                         hit.append(spans)
                         items.append(sorted({i for _, _, g in found for i in g if i is not None}))
-                arrays = [b.column(i) for i in range(b.num_columns) if i != at]
-                names = [f.name for i, f in enumerate(b.schema) if i != at]
+                names = [f.name for f in b.schema if f.name != "__text"]
+                arrays = [b.column(b.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays(
                     arrays + [pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))],
                     names + ["n_words", "hit", "items"],

@@ -150,15 +150,17 @@ def quality(
     max_covered of the words lie in repeats of min_repeat words or more, and
     no repeat is longer than max_longest words.
     """
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("__text"), *[F.col(c) for c in carry])
+    # A carried text travels to Python once.
+    held = text_col if text_col in carry else "__text"
+    extra = [] if text_col in carry else [F.col(text_col).cast("string").cast("binary").alias("__text")]
+    picked = docs.select(F.col(id_col).alias("__id"), *extra, *[F.col(c) for c in carry])
     keep = [f for f in picked.schema.fields if f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("__text")
-            texts = b.column(at)
+            texts = b.column(b.schema.get_field_index(held)).cast(pa.binary())
             got = np.array([measure(texts[i].as_py(), min_repeat) for i in range(b.num_rows)], np.int64).reshape(-1, len(COLUMNS))
-            own = [(f.name, b.column(i)) for i, f in enumerate(b.schema) if i != at]
+            own = [(f.name, b.column(i)) for i, f in enumerate(b.schema) if f.name != "__text"]
             yield pa.RecordBatch.from_arrays([c for _, c in own] + [pa.array(got[:, j].copy()) for j in range(len(COLUMNS))], [n for n, _ in own] + ["__" + c for c in COLUMNS])
 
     from pyspark.sql.types import LongType, StructField, StructType
@@ -169,6 +171,6 @@ def quality(
     failed = (n < min_words) | (100 * rep > max_repeat_percent * n)
     fine = (cov <= max_covered * n) & (longest <= max_longest)
     return m.select(
-        F.col("id").alias(id_col), *[F.col(c) for c in carry if c != id_col],
+        F.col("__id").alias(id_col), *[F.col(c) for c in carry if c != id_col],
         *[F.col("__" + c).alias(c) for c in COLUMNS], failed.alias("base_failed"), (~failed & fine).alias("kept"),
     )
