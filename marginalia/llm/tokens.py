@@ -87,30 +87,67 @@ def cuts_at_blanks(path: str) -> bool:
     return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
 
 
+#: The byte-level pre-tokenizer's split (public, fixed).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary, inverted."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def segment_encoder(path: str) -> Callable[[str], list[int]]:
+    """text -> ids for a byte-level BPE file.
+
+    The merges run in tiktoken, whose ranks are the file's own ids; that is the
+    same encoding if every merge makes a higher id than the one before, which is
+    checked.  Texts that hold an added token, and files that fail the check, go
+    to the tokenizers library.
+    """
+    import json
+
+    t = load(path)
+    whole = lambda s: t.encode(s, add_special_tokens=False).ids
+    spec = json.load(open(path, encoding="utf-8"))
+    model, added = spec["model"], [x["content"] for x in spec.get("added_tokens") or []]
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return whole
+    vocab, byte = model["vocab"], _byte_of()
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(b <= a for a, b in zip(made, made[1:])):
+        return whole
+    import tiktoken
+
+    ranks = {bytes(byte[c] for c in w): i for w, i in vocab.items() if w not in added}
+    try:
+        fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    except ValueError:
+        return whole
+    return lambda s: whole(s) if any(a in s for a in added) else fast(s)
+
+
 def id_bytes(path: str) -> Callable[[str], list[bytes]]:
     """text -> pieces of its ids, little-endian unsigned 32-bit, to be joined."""
     import array
 
+    if cuts_at_blanks(path):
+        encode = segment_encoder(path)
+        return Segments(lambda s: array.array("I", encode(s)).tobytes()).of
     t = load(path)
-    if path.endswith(".json"):
-        whole = lambda s: array.array("I", t.encode(s, add_special_tokens=False).ids).tobytes()
-    else:
-        whole = lambda s: array.array("I", t.encode(s)).tobytes()
-    if not cuts_at_blanks(path):
-        return lambda s: [whole(s)] if s else []
-    return Segments(whole).of
+    whole = (lambda s: t.encode(s, add_special_tokens=False).ids) if path.endswith(".json") else t.encode
+    return lambda s: [array.array("I", whole(s)).tobytes()] if s else []
 
 
 def counter(path: str) -> Callable[[str], int]:
+    if cuts_at_blanks(path):
+        encode = segment_encoder(path)
+        memo = Segments(lambda s: len(encode(s)))
+        return lambda s: sum(memo.of(s))
     t = load(path)
-    if path.endswith(".json"):
-        whole = lambda s: len(t.encode(s, add_special_tokens=False))
-    else:
-        whole = lambda s: len(t.encode(s))
-    if not cuts_at_blanks(path):
-        return lambda s: whole(s) if s else 0
-    memo = Segments(whole)
-    return lambda s: sum(memo.of(s))
+    whole = (lambda s: t.encode(s, add_special_tokens=False).ids) if path.endswith(".json") else t.encode
+    return lambda s: len(whole(s)) if s else 0
 
 
 def version(path: str) -> str:
