@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -128,6 +129,7 @@ def segment_encoder(path: str) -> Callable[[str], list[int]]:
     return lambda s: whole(s) if any(a in s for a in added) else fast(s)
 
 
+@lru_cache(maxsize=2)
 def id_bytes(path: str) -> Callable[[str], list[bytes]]:
     """text -> pieces of its ids, little-endian unsigned 32-bit, to be joined."""
     import array
@@ -140,6 +142,7 @@ def id_bytes(path: str) -> Callable[[str], list[bytes]]:
     return lambda s: [array.array("I", whole(s)).tobytes()] if s else []
 
 
+@lru_cache(maxsize=2)
 def counter(path: str) -> Callable[[str], int]:
     if cuts_at_blanks(path):
         encode = segment_encoder(path)
