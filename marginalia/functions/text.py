@@ -105,10 +105,14 @@ def base_name(path: Column) -> Column:
 
 def phrases(c: Column, size: int = 8, more_than: int = 10, least_chars: int = 15) -> Column:
     """Sliding phrases of a text of over more_than words."""
-    w = words(c)
-    n = F.size(w)
-    got = F.transform(F.sequence(F.lit(0), n - (size - 2)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
-    return F.when(n > more_than, F.filter(got, lambda p: F.length(p) > least_chars)).otherwise(F.array().cast("array<string>"))
+
+    def build(w: Column) -> Column:
+        n = F.size(w)
+        got = F.transform(F.sequence(F.lit(0), n - (size - 2)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+        return F.when(n > more_than, F.filter(got, lambda p: F.length(p) > least_chars)).otherwise(F.array().cast("array<string>"))
+
+    # bound once: an expression inside a lambda is evaluated for every element
+    return F.element_at(F.transform(F.array(words(c)), build), 1)
 
 
 def snippet_lines(c: Column, least: int = 10, unquote: bool = False) -> Column:

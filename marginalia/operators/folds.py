@@ -12,6 +12,19 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
+def arrow(kind: str):
+    """A vectorised function that becomes a pandas UDF when it is used, so that workers can import this module."""
+
+    def make(f):
+        def call(*columns):
+            return F.pandas_udf(f, kind)(*columns)
+
+        call.__doc__ = f.__doc__
+        return call
+
+    return make
+
+
 def spans_and_parents(heights, sentinel: float = 1000.0) -> tuple[list[int], list[int]]:
     """For each height: how many smaller ones follow before the next as high; place of the last strictly higher before (-1: none).
 
@@ -30,7 +43,7 @@ def spans_and_parents(heights, sentinel: float = 1000.0) -> tuple[list[int], lis
     return span, parent
 
 
-@F.pandas_udf("struct<span:array<int>,parent:array<int>>")
+@arrow("struct<span:array<int>,parent:array<int>>")
 def span_parent_udf(heights: pd.Series) -> pd.DataFrame:
     got = [spans_and_parents(list(h)) for h in heights]
     return pd.DataFrame({"span": [g[0] for g in got], "parent": [g[1] for g in got]})
@@ -40,13 +53,13 @@ def ratio(a: str, b: str, autojunk: bool = True) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
 
 
-@F.pandas_udf("double")
+@arrow("double")
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sequence similarity 2 M / T with the popular-element heuristic."""
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@arrow("double")
 def plain_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sequence similarity 2 M / T without that heuristic."""
     return pd.Series([ratio(x or "", y or "", False) for x, y in zip(a, b)])
@@ -69,7 +82,7 @@ def pack_cues(segments, most: int = 120, gap: float = 1.5) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<start:double,end:double,text:string>>")
+@arrow("array<struct<start:double,end:double,text:string>>")
 def pack_cues_udf(groups: pd.Series) -> pd.Series:
     return pd.Series([pack_cues(g) for g in groups])
 
@@ -88,7 +101,7 @@ def merge_words(words, wide: float, high: float) -> list[dict]:
 
 
 def merge_words_udf(wide: float, high: float):
-    @F.pandas_udf("array<struct<x0:double,y0:double,x1:double,y1:double,text:string,height:double>>")
+    @arrow("array<struct<x0:double,y0:double,x1:double,y1:double,text:string,height:double>>")
     def run(groups: pd.Series) -> pd.Series:
         return pd.Series([merge_words(g, wide, high) for g in groups])
 
@@ -158,7 +171,7 @@ def merge_pixels(boxes: list[tuple], passes: int = 3) -> list[tuple]:
 
 
 def _boxes_udf(merge):
-    @F.pandas_udf("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    @arrow("array<struct<x0:double,y0:double,x1:double,y1:double>>")
     def run(groups: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("x0", "y0", "x1", "y1"), b)) for b in merge([(r["x0"], r["y0"], r["x1"], r["y1"]) for r in g])] for g in groups])
 
@@ -189,7 +202,7 @@ def rouge_l(a: str, b: str) -> float:
     return 2 * n / (len(x) + len(y))
 
 
-@F.pandas_udf("double")
+@arrow("double")
 def rouge_l_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([rouge_l(x, y) for x, y in zip(a, b)])
 
@@ -229,7 +242,7 @@ def recursive_split(text: str, size: int = 50_000, overlap: int = 100, marks=("\
 
 
 def recursive_split_udf(size: int, overlap: int):
-    @F.pandas_udf("array<string>")
+    @arrow("array<string>")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([recursive_split(t or "", size, overlap) for t in texts])
 

@@ -1,2 +1,15 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registered queries over the engine's operators."""
+
+
+def queries():
+    from . import documents, media  # noqa: F401
+    from .registry import QUERIES
+
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    from . import documents, media  # noqa: F401
+    from .registry import ORACLE
+
+    return dict(ORACLE)
