@@ -194,11 +194,14 @@ def blocks_of(bench: DataFrame, id_col: str, text_col: str, block_words: int, sp
         yield Index(held, span, k)
 
 
-HITS = "n_words long, hit array<struct<s:int,e:int>>, items array<long>"
+HITS = "__n_words long, __hit array<struct<s:int,e:int>>, __items array<long>"
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", carry: tuple[str, ...] = (), span: int = 10, k: int = 5, block_words: int = 2_000_000) -> DataFrame:
-    """id, carried columns, n_words, hit (joined spans of hit words), items (ids, distinct)."""
+def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", carry: tuple[str, ...] = (), span: int = 10, k: int = 5, block_words: int = 2_000_000, prefix: str = "") -> DataFrame:
+    """id, carried columns, n_words, hit (joined spans of hit words), items (ids, distinct).
+
+    prefix goes before the new columns' names, for carried columns that clash.
+    """
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
@@ -231,7 +234,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
                 arrays = [b.column(b.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays(
                     arrays + [pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))],
-                    names + ["n_words", "hit", "items"],
+                    names + ["__n_words", "__hit", "__items"],
                 )
 
         return frame.mapInArrow(run, StructType([f for f in frame.schema.fields if f.name != "__text"] + hit_fields.fields))
@@ -245,15 +248,15 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
         keyed = materialize(base.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
         parts = [materialize(pass_over(first, keyed), "decontaminate-block")]
         while second is not None:
-            parts.append(materialize(pass_over(second, keyed).select("__row", "n_words", "hit", "items").filter("size(hit) > 0"), "decontaminate-block"))
+            parts.append(materialize(pass_over(second, keyed).select("__row", "__hit", "__items").filter("size(__hit) > 0"), "decontaminate-block"))
             second = next(indexes, None)
         more = parts[1]
         for p in parts[2:]:
             more = more.unionByName(p)
-        more = more.groupBy("__row").agg(F.flatten(F.collect_list("hit")).alias("h2"), F.flatten(F.collect_list("items")).alias("i2"))
+        more = more.groupBy("__row").agg(F.flatten(F.collect_list("__hit")).alias("__h2"), F.flatten(F.collect_list("__items")).alias("__i2"))
         both = parts[0].join(more, "__row", "left")
         none_h, none_i = (F.from_json(F.lit("[]"), t) for t in ("array<struct<s:int,e:int>>", "array<bigint>"))
-        spans = F.array_sort(F.concat("hit", F.coalesce("h2", none_h)))
+        spans = F.array_sort(F.concat("__hit", F.coalesce("__h2", none_h)))
         merged = F.aggregate(
             spans, none_h,
             lambda acc, x: F.when(
@@ -261,8 +264,9 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
                 F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))),
             ).otherwise(F.concat(acc, F.array(x))),
         )
-        out = both.select(*[f.name for f in kept], "n_words", merged.alias("hit"), F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i2", none_i)))).alias("items"))
-    return out.select(F.col("__id").alias(id_col), *[c for c in carry if c != id_col], "n_words", "hit", "items")
+        out = both.select(*[f.name for f in kept], "__n_words", merged.alias("__hit"), F.array_sort(F.array_distinct(F.concat("__items", F.coalesce("__i2", none_i)))).alias("__items"))
+    new = [F.col("__" + c).alias(prefix + c) for c in ("n_words", "hit", "items")]
+    return out.select(F.col("__id").alias(id_col), *[c for c in carry if c != id_col], *new)
 
 
 def items_digest(items: list[int]) -> str:

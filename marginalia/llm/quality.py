@@ -141,10 +141,12 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, max_repeat_percent: int = 20,
-    min_repeat: int = 5, max_covered: float = 0.2, max_longest: int = 50, carry: tuple[str, ...] = (),
+    min_repeat: int = 5, max_covered: float = 0.2, max_longest: int = 50, carry: tuple[str, ...] = (), prefix: str = "",
 ) -> DataFrame:
     """id (and the columns in carry) with the counts, base_failed and kept.
 
+    prefix goes before the new columns' names, for carried columns that clash.
+
     base_failed: under min_words words, or over max_repeat_percent of the words
     lie in five-word windows found twice.  kept: not base_failed, at most
     max_covered of the words lie in repeats of min_repeat words or more, and
@@ -172,5 +174,5 @@ def quality(
     fine = (cov <= max_covered * n) & (longest <= max_longest)
     return m.select(
         F.col("__id").alias(id_col), *[F.col(c) for c in carry if c != id_col],
-        *[F.col("__" + c).alias(c) for c in COLUMNS], failed.alias("base_failed"), (~failed & fine).alias("kept"),
+        *[F.col("__" + c).alias(prefix + c) for c in COLUMNS], failed.alias(prefix + "base_failed"), (~failed & fine).alias(prefix + "kept"),
     )
