@@ -226,11 +226,14 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def read_archives(manifest: DataFrame, split_bytes: int = 32 << 20, with_payload: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, split_bytes: int = 32 << 20, with_payload: bool = True, most_tasks: int = 200_000) -> DataFrame:
     """Records of the archives that manifest (path, n_bytes) lists, read by byte range."""
+    # A stated number of partitions, about one for each range: the rows are tiny,
+    # and adaptive execution would otherwise gather all of them into one task.
+    n = manifest.agg(F.coalesce(F.sum(F.ceil(F.col("n_bytes") / split_bytes)), F.lit(0))).first()[0]
     ranges = manifest.select(
         "path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start")
-    ).repartition(F.col("path"), F.col("start"))
+    ).repartition(max(1, min(int(n), most_tasks)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
