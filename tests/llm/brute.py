@@ -114,6 +114,28 @@ def components(docs, most=4):
     return {d: (f"{fps[d]:016x}", find(d)) for d in ids}
 
 
+def alike(docs, k=5, least=0.8):
+    """Smallest id reachable over texts whose k-word shingles are similar."""
+    sets = {}
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets[d] = {tuple(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)} if w else set()
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
 def quality(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)

@@ -147,6 +147,41 @@ def test_simhash_cases(spark, odd, none):
     assert all(r.fp == 0 for r in got if r.doc_id in (1, 2, 3))
 
 
+def test_similar_cases(spark, odd, none):
+    got = simhash.similar_documents(odd).collect()
+    assert len(got) == len(ROWS) and simhash.similar_documents(none).count() == 0
+    assert {(r.doc_id, r.component) for r in got if r.doc_id in (1, 2, 3)} == {(1, 1), (2, 1), (3, 1)}
+    assert {r.component for r in got if r.doc_id is None} == {None}
+
+
+def test_similar_documents_finds_edited_copies(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for group in range(60):
+        source = [rng.choice(vocabulary) for _ in range(200)]
+        rows.append((len(rows), " ".join(source)))
+        for copy in range(40 if group == 0 else 2):
+            w = list(source)
+            for at in rng.sample(range(200), 3 if copy % 2 else 12):
+                w[at] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(w)))
+    want = brute.alike(rows)
+    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [d for d in want if want[d] != d]
+    assert len(near) > 70 and all(got[d] in (want[d], d) for d in want)
+    assert sum(got[d] == want[d] for d in near) >= 0.95 * len(near)
+
+
+def test_a_folded_run_keeps_its_components():
+    rng = np.random.default_rng(2)
+    source = rng.integers(0, 2**63, (1, 2), np.int64).view(np.uint64)
+    prints = source ^ (np.uint64(1) << rng.integers(0, 64, (2000, 2)).astype(np.uint64))
+    edges, middle = simhash.candidate_edges(np.r_[prints, ~source], 26)
+    assert len(middle) == 2 and sum(map(len, edges)) <= 2 * 2000
+    assert set(np.concatenate(edges).ravel().tolist()) == set(range(2000))
+
+
 def test_components_of_a_long_chain(spark):
     from marginalia.llm.components import connected_components
 

@@ -106,8 +106,8 @@ def test_pipeline(spark, docs, tok):
 
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     left = [(d, t) for d, t in docs if brute.quality(t)[6]]
-    comp = brute.components(left)
-    left = [(d, t) for d, t in left if comp[d][1] == d]
+    comp = brute.alike(left)
+    left = [(d, t) for d, t in left if comp[d] == d]
     hit = brute.contamination(left, items)
     left = [(d, t) for d, t in left if not hit[d][4]]
     rows = corpus_pipeline.run(spark, SF).collect()
