@@ -307,7 +307,7 @@ def evidence_contains_match(spark, d):
 @query()
 def evidence_fuzzy_match(spark, d):
     e = _hinted(spark, d).drop("marked", "own").withColumn("quote", F.regexp_replace("quote", "e", "a"))
-    return E.fuzzy_match(e.filter("ev % 2 = 1"), I.norm_blocks(spark, d))
+    return E.fuzzy_match(e, I.norm_blocks(spark, d))
 
 
 @query(f"""WITH {MATCH} SELECT c.doc_id, c.ev, CASE WHEN h.page IS NOT NULL THEN CASE WHEN c.own = h.page THEN c.quote ELSE '[Page:' || h.page || '] ' || regexp_replace(c.quote, '^\\[Page:\\s*\\d+\\]\\s*', '') END

@@ -48,13 +48,13 @@ words AS (SELECT doc_id, page, pos, CAST(pos * 100000 + k AS BIGINT) AS word_no,
 
 
 def regions(spark, sf_dir) -> DataFrame:
-    """One box for each even element, 60 wide, two lines high."""
-    e = elements(spark, sf_dir).filter("pos % 2 = 0")
+    """One box for each element, 60 wide or more, two lines high."""
+    e = elements(spark, sf_dir)
     y = 12.0 * (F.col("pos") % 10)
     return e.select("doc_id", "page", F.col("pos").alias("region_ord"), F.lit(0.0).alias("x0"), y.alias("y0"), (F.lit(60.0) + F.length("text") % 40).alias("x1"), (y + 14.0).alias("y1"))
 
 
-REGIONS = r"""regions AS (SELECT doc_id, page, pos AS region_ord, 0.0::DOUBLE AS x0, 12.0::DOUBLE * (pos % 10) AS y0, 60.0::DOUBLE + length(text) % 40 AS x1, 12.0::DOUBLE * (pos % 10) + 14.0 AS y1 FROM elements WHERE pos % 2 = 0)"""
+REGIONS = r"""regions AS (SELECT doc_id, page, pos AS region_ord, 0.0::DOUBLE AS x0, 12.0::DOUBLE * (pos % 10) AS y0, 60.0::DOUBLE + length(text) % 40 AS x1, 12.0::DOUBLE * (pos % 10) + 14.0 AS y1 FROM elements)"""
 
 
 def cues(spark, sf_dir) -> DataFrame:
@@ -73,13 +73,13 @@ CUES = r"""cues AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY us
 
 
 def evidence(spark, sf_dir) -> DataFrame:
-    """Quotes: every seventh element, marked with its page, no page, or 0 by turns."""
-    e = elements(spark, sf_dir).filter("pos % 7 = 3")
+    """Quotes: every element, marked with its page, no page, or 0 by turns."""
+    e = elements(spark, sf_dir)
     mark = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("[Page:"), F.col("page").cast("string"), F.lit("] "))).when(F.col("pos") % 3 == 1, "[Page:0] ").otherwise("")
     return e.select("doc_id", F.col("pos").alias("ev"), F.concat(mark, ws_strip(F.col("text"))).alias("quote"), F.col("page").alias("src_page"))
 
 
-EVIDENCE = r"""evidence AS (SELECT doc_id, pos AS ev, CASE WHEN pos % 3 = 0 THEN '[Page:' || page || '] ' WHEN pos % 3 = 1 THEN '[Page:0] ' ELSE '' END || regexp_replace(text, '^\s+|\s+$', '', 'g') AS quote, page AS src_page FROM elements WHERE pos % 7 = 3)"""
+EVIDENCE = r"""evidence AS (SELECT doc_id, pos AS ev, CASE WHEN pos % 3 = 0 THEN '[Page:' || page || '] ' WHEN pos % 3 = 1 THEN '[Page:0] ' ELSE '' END || regexp_replace(text, '^\s+|\s+$', '', 'g') AS quote, page AS src_page FROM elements)"""
 
 
 def norm_blocks(spark, sf_dir) -> DataFrame:

@@ -84,9 +84,9 @@ def merge_intervals(spark, d):
     return C.merge_intervals(I.cues(spark, d), "user_id", "event_id").select("user_id", *L("grp", "start_ms", "end_ms", "n_parts"), "text")
 
 
-@query(f"WITH {I.CUES} SELECT event_id, 'snippet_' || lpad(idx::VARCHAR, greatest(3, length(idx::VARCHAR))::INT, '0') || '_' || start_ms || '_' || replace(substr(text, 1, 30), ' ', '_') AS file_name FROM cues WHERE idx < 1000")
+@query(f"WITH {I.CUES} SELECT event_id, 'snippet_' || lpad(idx::VARCHAR, greatest(3, length(idx::VARCHAR))::INT, '0') || '_' || start_ms || '_' || replace(substr(text, 1, 30), ' ', '_') AS file_name FROM cues")
 def snippet_filename(spark, d):
-    return I.cues(spark, d).filter("idx < 1000").select("event_id", T.clip_name(F.col("idx"), F.col("start_ms"), F.col("text")).alias("file_name"))
+    return I.cues(spark, d).select("event_id", T.clip_name(F.col("idx"), F.col("start_ms"), F.col("text")).alias("file_name"))
 
 
 @query(f"WITH {I.CUES} SELECT event_id FROM cues WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL AND start_ms < end_ms AND text IS NOT NULL")
@@ -94,18 +94,18 @@ def interval_sanity(spark, d):
     return I.cues(spark, d).filter("start_ms is not null and end_ms is not null and text is not null and start_ms < end_ms").select("event_id")
 
 
-@query(f"WITH {I.CUES} SELECT a.user_id, a.idx AS ev, b.idx FROM cues a JOIN cues b ON a.user_id = b.user_id AND a.idx % 10 = 0 AND (NOT (a.idx - 2 > 0) OR b.idx BETWEEN a.idx - 2 AND a.idx + 2)")
+@query(f"WITH {I.CUES} SELECT a.user_id, a.idx AS ev, b.idx FROM cues a JOIN cues b ON a.user_id = b.user_id AND (NOT (a.idx - 2 > 0) OR b.idx BETWEEN a.idx - 2 AND a.idx + 2)")
 def index_range_candidates(spark, d):
     c = I.cues(spark, d)
-    e = c.filter("idx % 10 = 0").select("user_id", F.col("idx").alias("ev"), (F.col("idx") - 2).alias("lo"), (F.col("idx") + 2).alias("hi"))
+    e = c.select("user_id", F.col("idx").alias("ev"), (F.col("idx") - 2).alias("lo"), (F.col("idx") + 2).alias("hi"))
     return e.join(c.select("user_id", "idx"), "user_id").filter("not (lo > 0 and hi > lo) or idx between lo and hi").select("user_id", "ev", "idx")
 
 
 @query()
 def evidence_cue_match(spark, d):
     c = I.cues(spark, d)
-    e = c.filter("idx % 10 = 0").select("user_id", F.col("idx").alias("ev"), F.concat(F.lit("["), T.srt_time(F.col("start_ms") % 86400000), F.lit(","), T.srt_time(F.col("end_ms") % 86400000), F.lit("] "), "text").alias("quote"), (F.col("idx") - 2).alias("lo"), (F.col("idx") + 2).alias("hi"))
-    return E.cue_match(e.filter("lo > 0"), c, "user_id")
+    e = c.select("user_id", F.col("idx").alias("ev"), F.concat(F.lit("["), T.srt_time(F.col("start_ms") % 86400000), F.lit(","), T.srt_time(F.col("end_ms") % 86400000), F.lit("] "), "text").alias("quote"), (F.col("idx") - 2).alias("lo"), (F.col("idx") + 2).alias("hi"))
+    return E.cue_match(e, c, "user_id")
 
 
 @query()
@@ -144,7 +144,7 @@ def word_counts(spark, d):
     return I.table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"), T.blank_word_count(F.col("text")).alias("n_parts"))
 
 
-_MARKED = "CASE doc_id % 4 WHEN 0 THEN '[Page:' || doc_id || '] ' || substr(text, 1, 80) WHEN 1 THEN '[Page: 12 ] ' || substr(text, 1, 80) WHEN 2 THEN ' [Page:5] x' ELSE '[Page:a] ' || substr(text, 1, 80) END"
+_MARKED = "CASE doc_id % 4 WHEN 0 THEN '[Page:' || doc_id || '] ' || text WHEN 1 THEN '[Page: 12 ] ' || text WHEN 2 THEN ' [Page:5] x' ELSE '[Page:a] ' || text END"
 
 
 @query(rf"""WITH m AS (SELECT doc_id, {_MARKED} AS t FROM documents) SELECT doc_id, try_cast(nullif(regexp_extract(t, '^\[Page:\s*(\d+)\s*\]', 1), '') AS BIGINT) AS page, regexp_replace(t, '^\[Page:\s*\d+\]\s*', '') AS bare, regexp_replace(t, '\[Page:\s*\d+\]\s*', '', 'g') AS bare_anywhere FROM m""")
@@ -224,10 +224,10 @@ def prompt_format(spark, d):
     return I.table(spark, d, "documents").filter("text is not null").select("doc_id", F.inline(m))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'T' || chr(10) || chr(10) || substr(text, 1, 50) ELSE 'T' || chr(10) || chr(10) || substr(text, 1, 50) || chr(10) || chr(10) || 'Summary so far:' || chr(10) || lang END AS prompt FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'T' || chr(10) || chr(10) || text ELSE 'T' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Summary so far:' || chr(10) || lang END AS prompt FROM documents")
 def prompt_assembly(spark, d):
     running = F.when(F.col("doc_id") % 2 == 1, F.col("lang"))
-    return I.table(spark, d, "documents").select("doc_id", M.prompt("T", F.substring("text", 1, 50), running).alias("prompt"))
+    return I.table(spark, d, "documents").select("doc_id", M.prompt("T", F.col("text"), running).alias("prompt"))
 
 
 @query(r"SELECT source, sum(len(string_split(text, ' ')))::BIGINT AS book_words, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS audio_words, CASE WHEN sum(len(string_split(text, ' '))) <= 8192 THEN 'single' ELSE 'chunked' END AS book_mode, CASE WHEN sum(len(regexp_extract_all(text, '\S+'))) <= 8000 THEN 'single' ELSE 'chunked' END AS audio_mode FROM documents GROUP BY source")
@@ -305,14 +305,14 @@ def coherence_score(spark, d):
 
 
 _SIM = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
-s AS (SELECT a.label, a.vec_id, max(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))) AS best FROM v a JOIN v b ON a.label = b.label AND a.n % 2 = 0 AND b.n % 2 = 1 AND b.n <= 9 GROUP BY ALL)"""
+s AS (SELECT a.label, a.vec_id, max(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))) AS best FROM v a JOIN v b ON a.label = b.label AND b.n <= 5 GROUP BY ALL)"""
 
 
 def _sims(spark, d):
-    """Per label, even vectors (claims) against its first five odd ones (snippets)."""
+    """Per label, all vectors (claims) against its first five (a completion quotes at most five snippets)."""
     v = I.table(spark, d, "embeddings").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    snips = v.filter("n % 2 = 1 and n <= 9").groupBy("label").agg(F.collect_list("embedding").alias("s"))
-    rows = v.filter("n % 2 = 0").join(snips, "label").select("label", "vec_id", F.transform("s", lambda x: T.cosine(F.col("embedding"), x)).alias("r"))
+    snips = v.filter("n <= 5").groupBy("label").agg(F.collect_list("embedding").alias("s"))
+    rows = v.join(snips, "label").select("label", "vec_id", F.transform("s", lambda x: T.cosine(F.col("embedding"), x)).alias("r"))
     return rows.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "r"))), lambda x: x["r"]).alias("sims"))
 
 
