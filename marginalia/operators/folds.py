@@ -7,6 +7,7 @@ a corpus, and enters as one array column so that no pandas group is built.
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -53,18 +54,73 @@ def ratio(a: str, b: str, autojunk: bool = True) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
 
 
-@arrow("double")
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Sequence similarity 2 M / T with the popular-element heuristic."""
-    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])
-
-
 @arrow("double")
 def plain_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Sequence similarity 2 M / T without that heuristic."""
+    """Sequence similarity 2 M / T without the popular-element heuristic."""
     return pd.Series([ratio(x or "", y or "", False) for x, y in zip(a, b)])
 
 
+def best_block(q: str, ordered: list, floor: float, stop: float, seen: dict) -> tuple | None:
+    """(page, block, score) of the block a scan of (page, block, text) in order settles on.
+
+    The scan ends at the first block that contains q (score 1) or has a ratio
+    over stop; else the earliest best ratio of at least floor wins.  A ratio is
+    at most 2 x (characters in common) / (sum of lengths), so blocks are asked
+    in falling order of that bound, and only while it can still win.  seen
+    holds the character counts of texts across calls.
+    """
+    inside = next((i for i, x in enumerate(ordered) if q in x[2]), None)
+    own, n, bounds = Counter(q), len(q), []
+    for i, (_, _, text) in enumerate(ordered[:inside]):
+        total = n + len(text)
+        if 2.0 * min(n, len(text)) / total < floor:
+            continue
+        other = seen.get(text)
+        if other is None:
+            other = seen[text] = Counter(text)
+        bounds.append((2.0 * sum(min(v, other[c]) for c, v in own.items() if c in other) / total, i))
+    best, asked = (0.0, 0), set()
+    for bound, i in bounds:
+        if bound > stop:
+            asked.add(i)
+            if (score := ratio(q, ordered[i][2])) > stop:
+                return *ordered[i][:2], score
+            best = max(best, (score, -i))
+    if inside is not None:
+        return *ordered[inside][:2], 1.0
+    for bound, i in sorted(bounds, key=lambda x: (-x[0], x[1])):
+        if bound < max(floor, best[0]):
+            break
+        if i not in asked:
+            best = max(best, (ratio(q, ordered[i][2]), -i))
+    return (*ordered[-best[1]][:2], best[0]) if best[0] >= floor and best[0] > 0 else None
+
+
+def best_blocks(quotes, blocks, floor: float, stop: float) -> list[dict]:
+    """best_block of every quote (ev, q, hint) of one document over its blocks (page, block, norm_text)."""
+    inorder = sorted(((b["page"], b["block"], b["norm_text"]) for b in blocks if b["norm_text"] is not None), key=lambda b: b[1])
+    pages: dict = {}
+    for b in inorder:
+        pages.setdefault(b[0], []).append(b)
+    out, seen = [], {}
+    for e in quotes:
+        hint = e["hint"]
+        near = inorder
+        if hint is not None and hint >= 1 and hint in pages:
+            near = [b for p in (hint, hint - 2, hint - 1, hint + 1, hint + 2) for b in pages.get(p, ())]
+        if got := best_block(e["q"], near, floor, stop, seen):
+            out.append(dict(zip(("ev", "page", "block", "score"), (e["ev"], *got))))
+    return out
+
+
+def best_blocks_udf(floor: float, stop: float, schema: str):
+    @arrow(schema)
+    def run(quotes: pd.Series, blocks: pd.Series) -> pd.Series:
+        return pd.Series([best_blocks(q, b, floor, stop) for q, b in zip(quotes, blocks)])
+
+    return run
+
+
 def pack_cues(segments, most: int = 120, gap: float = 1.5) -> list[dict]:
     """Segments (start, end, text) in order joined into cues."""
     out, text, start, end = [], "", 0.0, 0.0

@@ -168,3 +168,32 @@ def test_streaming_intervals(spark, tmp_path):
     q.stop()
     got = {(r.k, r.n_parts) for r in spark.table("merged").collect()}
     assert (1, 2) in got and (2, 1) in got
+
+
+def test_best_block_is_what_a_scan_in_order_finds():
+    import random
+
+    from marginalia.operators.folds import best_block, ratio
+
+    rng = random.Random(7)
+    ends = set()
+    for _ in range(400):
+        q = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 40)))
+        blocks = []
+        for k in range(6):
+            t = list(q)
+            for _ in range(rng.choice((0, 1, 6, 20))):
+                t[rng.randrange(len(t))] = rng.choice("abcdx")
+            blocks.append((k // 2, k, rng.choice(("", "ab ")) + "".join(t)))
+        best, want = 0.0, None
+        for page, block, text in blocks:
+            score = 1.0 if q in text else ratio(q, text)
+            if score > best:
+                best, want = score, (page, block, score)
+            if q in text or score > 0.95:
+                want = (page, block, score)
+                break
+        want = want if best >= 0.6 else None
+        ends.add(want and want[2] > 0.95)
+        assert best_block(q, blocks, 0.6, 0.95, {}) == want
+    assert {True, False} <= ends
