@@ -266,7 +266,12 @@ def recursive_split(spark, d):
     return t
 
 
-@query()
+_JSON_NAME = """'{{"name":' || to_json({0})::VARCHAR"""
+
+
+@query(rf"""WITH {NODES}, leaves AS (SELECT doc_id, parent AS node, string_agg({_JSON_NAME.format('name')} || '}}', ',' ORDER BY node) AS kids FROM nodes WHERE depth = 2 GROUP BY ALL)
+SELECT t.doc_id, '{{"name":"[Page:0] Document Root","children":[' || string_agg({_JSON_NAME.format('t.name')} || coalesce(',"children":[' || l.kids || ']', '') || '}}', ',' ORDER BY t.node) || ']}}' AS structure
+FROM nodes t LEFT JOIN leaves l ON l.doc_id = t.doc_id AND l.node = t.node WHERE t.depth < 2 GROUP BY t.doc_id""")
 def structure_json(spark, d):
     return H.structure_json(_nodes(spark, d))
 

@@ -475,7 +475,7 @@ def knn_predict(spark, d):
     return Y.knn_predict(e.filter("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", "label")
 
 
-@query()
+@query("SELECT label, count(*) AS n, round(count(*) * 0.2)::BIGINT AS n_test FROM embeddings GROUP BY label")
 def stratified_split(spark, d):
     e = I.table(spark, d, "embeddings").select("vec_id", "label")
     return Y.stratified_split(e, "label", "vec_id").groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_test").alias("n_test"))
