@@ -24,9 +24,9 @@ links like any other; fewer words than a shingle give one shingle; repeated
 rows keep their rows; a null id is ignored for the component's smallest id; an
 empty table gives an empty result; extra columns are ignored.
 
-similar_documents is the form for a stated similarity of word shingles: four
-bands of a SimHash over distinct words find candidates by the same anchors,
-and the shingles of both texts decide.
+similar_documents is the form for a stated similarity of word shingles: bands
+of MinHash values over the shingles find candidates, and the shingles of both
+texts decide.
 """
 
 from __future__ import annotations
@@ -179,18 +179,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def word_print(text: bytes | None) -> bytes:
-    """128-bit SimHash of the distinct words; 16 zero bytes without words."""
+#: 40 bands of 6 values: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** 6) ** 40 = 5e-6.
+BANDS, VALUES = 40, 6
+_FACTORS = np.random.default_rng(20).integers(0, 1 << 32, BANDS * VALUES, np.uint32) | np.uint32(1)
+
+
+def band_keys(text: bytes | None, k: int = 5) -> list[int]:
+    """One key a band: the MinHash values of the band's permutations over the k-word shingles.
+
+    Texts without words share every key with each other.
+    """
     import xxhash
 
-    words = set(text.translate(LOWER).split()) if text else ()
-    if not words:
-        return bytes(16)
-    counts = np.zeros(128, np.int64)
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16)
-    for at in range(0, len(hashes), 8192):
-        counts += np.unpackbits(hashes[at : at + 8192], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(words)).tobytes()
+    found = shingles(text, k)
+    least = np.full(BANDS * VALUES, 0xFFFFFFFF, np.uint32)
+    hashes = np.fromiter(map(xxhash.xxh32_intdigest, found), np.uint32, len(found))
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, np.multiply.outer(_FACTORS, hashes[at : at + 2048]).min(axis=1), out=least)
+    rows = least.astype("<u4").reshape(BANDS, VALUES)
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -253,85 +260,29 @@ def similar(a: set[bytes], b: set[bytes], least: float) -> bool:
     return both >= least * (small + large - both)
 
 
-def candidates(nodes: DataFrame, most: int, block: int = 1 << 16) -> DataFrame:
-    """Distinct pairs (u, v), u < v, of nodes (node, print) that meet at an anchor.
-
-    A run of equal anchors longer than a block is folded: a block leaves its
-    edges and goes on as one member a component, so a task's memory is bounded.
-    """
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                node = part.column(0).to_numpy(zero_copy_only=False)
-                f = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, 2)
-                for word in (0, 1):
-                    row, key = anchors(f[:, word])
-                    g = f[row].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key | word << 32), pa.array(node[row]), pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy())], ["anchor", "node", "f0", "f1"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(key: np.ndarray, node: np.ndarray, f: np.ndarray):
-            cut = np.flatnonzero(np.diff(key)) + 1
-            first, last = np.r_[0, cut], np.r_[cut, len(key)]
-            pair = first[last - first == 2]  # most runs that aren't single: one comparison each, all at once
-            pair = pair[_apart(f[pair], f[pair + 1]) <= most]
-            got = [np.stack([node[pair], node[pair + 1]], 1)]
-            for i in np.flatnonzero(last - first > 2):
-                own = slice(first[i], last[i])
-                got += [node[own][e] for e in candidate_edges(f[own], most)[0]]
-            return _named(np.concatenate(got))
-
-        def _named(e: np.ndarray) -> pa.RecordBatch:
-            e = np.unique(np.sort(e, axis=1), axis=0) if len(e) else e
-            e = e[e[:, 0] != e[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy(), pa.int64()), pa.array(e[:, 1].copy(), pa.int64())], ["u", "v"])
-
-        key, node, f = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-        for b in batches:
-            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            key, node = np.r_[key, columns[0]], np.r_[node, columns[1]]
-            f = np.r_[f, np.stack(columns[2:], 1).view(np.uint64)]
-            if not len(key):
-                continue
-            whole = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
-            if whole:
-                yield edges(key[:whole], node[:whole], f[:whole])
-                key, node, f = key[whole:], node[whole:], f[whole:]
-            if len(key) > block:
-                got, stay = candidate_edges(f, most)
-                yield _named(node[np.concatenate([np.zeros((0, 2), np.int64), *got])])
-                key, node, f = key[stay], node[stay], f[stay]
-        if len(key):
-            yield edges(key, node, f)
-
-    rows = nodes.select("node", "print").mapInArrow(spread, "anchor long, node long, f0 long, f1 long")
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long").distinct()
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, most: int = 26) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
     """One row per input row: id, component (smallest id reachable over texts alike).
 
     Two texts are alike if their sets of k-word shingles (A-Z lower-cased) have
-    a Jaccard similarity of at least `least`.  Candidates meet at an anchor of a
-    band of word_print and differ in at most `most` of its 128 bits; the
-    shingles of both texts then decide, so no pair below `least` is linked.
-    Equal texts are one node.  Copies with p of the bits differing meet at some
-    anchor with a chance of 0.99 at p = 0.06 (one word in forty replaced) and
-    about 0.9 at p = 0.1.
-
-    Defined cases: texts without words are alike; a text of fewer than k words
-    is one shingle; repeated rows keep their rows; a row with a null id takes
-    the component of an equal text's smallest id, else null; an empty table
-    gives an empty result; extra columns are ignored.
+    a Jaccard similarity of at least `least`.  Candidates share a band key; the
+    shingles of both texts then decide, so no pair below `least` is linked.  At
+    0.8 a pair shares no band with a chance of 5e-6, however its texts differ.
+
+    Every member of a band's group is verified against one of its members (one of
+    four fixed orders of the nodes says which).
+
+    Equal texts are one node.  Defined cases: texts without words are alike; a
+    text of fewer than k words is one shingle; repeated rows keep their rows;
+    rows of one id with several texts are several nodes; a row with a null id
+    takes the component's smallest id, null if no member has one; an empty
+    table gives an empty result; extra columns are ignored.
     """
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2)
-            got = [word_print(texts[i].as_py()) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], ["id", "digest", "print"])
+            got = [band_keys(texts[i].as_py(), k) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64()))], ["id", "digest", "keys"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -341,15 +292,31 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(text, 256).alias("digest"), text.cast("binary").alias("text"))
-    rows = materialize(base.mapInArrow(prints, "id long, digest string, print binary"), "similar-rows")
-    nodes = materialize(rows.groupBy("digest").agg(F.min("id").alias("node"), F.first("print").alias("print")), "similar-nodes")
-    pairs = materialize(candidates(nodes.filter("node is not null"), most), "similar-pairs")
-    # Only texts in some pair travel, one of each node.
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "digest"), "node")
-    held = base.join(ends.withColumnRenamed("node", "id"), ["id", "digest"]).groupBy("id").agg(F.first("text").alias("text"))
-    texts = materialize(held, "similar-texts")
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("y")), "v")
-    alike = both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
-    roots = connected_components(alike, "similar-links")
-    named = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
-    return rows.join(materialize(named, "similar-components"), "digest").select(F.col("id").alias(id_col), "component")
+    rows = materialize(base.mapInArrow(keys, "id long, digest string, keys array<long>"), "similar-rows")
+    distinct = rows.groupBy("digest").agg(F.min("id").alias("least"), F.first("keys").alias("keys"))
+    nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "similar-nodes")
+
+    spread = nodes.select("node", F.explode("keys").alias("key"))
+    order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(4))).alias("rank"), "node")
+    groups = spread.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["node"].alias("pivot")).filter("n > 1")
+    members = materialize(spread.join(groups, "key"), "similar-members")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        # Only texts in some pair travel, one of each node.
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "digest"), "node")
+        held = base.join(ends, "digest").groupBy("node").agg(F.first("text").alias("text"))
+        texts = materialize(held, "similar-texts")
+        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+        return materialize(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"), "similar-alike")
+
+    def pair(a: str, b: str) -> tuple:
+        return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+
+    asked = materialize(members.filter("node != pivot").select(*pair("node", "pivot")).distinct(), "similar-pairs")
+    links = alike(asked)
+    roots = connected_components(links, "similar-links")
+
+    member = nodes.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
+    small = member.groupBy("root").agg(F.min("least").alias("component"))
+    named = materialize(member.join(small, "root").select("digest", "component"), "similar-components")
+    return rows.join(named, "digest").select(F.col("id").alias(id_col), "component")

@@ -173,6 +173,21 @@ def test_similar_documents_finds_edited_copies(spark):
     assert sum(got[d] == want[d] for d in near) >= 0.95 * len(near)
 
 
+def test_similar_documents_finds_added_and_cut_text(spark):
+    rng = random.Random(6)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n, more in [(100, 24), (400, 98), (200, 40), (20, 4), (12, 1)] * 24:
+        source = prose(n)
+        rows += [(len(rows), " ".join(source)), (len(rows) + 1, " ".join(source + prose(more)))]
+        source = prose(n + more)
+        rows += [(len(rows), " ".join(source)), (len(rows) + 1, " ".join(source[:n]))]
+    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [simhash.shingles(t.encode(), 5) for _, t in rows]
+    want = {d: d - d % 2 if simhash.similar(sets[d - d % 2], sets[d - d % 2 + 1], 0.8) else d for d in got}
+    assert sum(want[d] != d for d in want) > 150 and got == want
+
+
 def test_a_folded_run_keeps_its_components():
     rng = np.random.default_rng(2)
     source = rng.integers(0, 2**63, (1, 2), np.int64).view(np.uint64)
