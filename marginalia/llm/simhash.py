@@ -268,8 +268,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shingles of both texts then decide, so no pair below `least` is linked.  At
     0.8 a pair shares no band with a chance of 5e-6, however its texts differ.
 
-    Every member of a band's group is verified against one of its members (one of
-    four fixed orders of the nodes says which).
+    Components are those of all candidate pairs, without asking all of them.
+    First every member of a band's group is verified against one of its members
+    (one of four fixed orders of the nodes says which).  Then each group whose
+    members lie in several components verifies all pairs across components that
+    leave out its largest one on one side at most: pairs within a component
+    can't change the result.  A group of near copies costs about one comparison
+    a member, a group whose m members aren't alike up to all its pairs.
 
     Equal texts are one node.  Defined cases: texts without words are alike; a
     text of fewer than k words is one shingle; repeated rows keep their rows;
@@ -315,6 +320,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     asked = materialize(members.filter("node != pivot").select(*pair("node", "pivot")).distinct(), "similar-pairs")
     links = alike(asked)
     roots = connected_components(links, "similar-links")
+    # The pivot has met all its group; a group of two is done.
+    left = members.filter("n > 2 and node != pivot").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    split = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    left = materialize(left.join(split, "key"), "similar-left")
+    top = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("top"))
+    stray = left.join(top, "key").filter("root != top").select("key", F.col("node").alias("stray"), F.col("root").alias("own"), "top")
+    across = stray.join(left, "key").filter("root != own and (root = top or node < stray)")
+    more = materialize(across.select(*pair("node", "stray")).distinct().join(asked, ["u", "v"], "left_anti"), "similar-pairs")
+    roots = connected_components(links.unionByName(alike(more)), "similar-links")
 
     member = nodes.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     small = member.groupBy("root").agg(F.min("least").alias("component"))

@@ -188,6 +188,23 @@ def test_similar_documents_finds_added_and_cut_text(spark):
     assert sum(want[d] != d for d in want) > 150 and got == want
 
 
+def test_similar_documents_links_chains_and_equal_word_sets(spark):
+    rng = random.Random(8)
+    # every text has the same words: nearest by words says nothing about the shingles
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for _ in range(60):
+        source = rng.sample(vocabulary, 300)
+        copy = list(source)
+        copy[100], copy[101] = copy[101], copy[100]
+        rows += [(len(rows), " ".join(source)), (len(rows) + 1, " ".join(copy))]
+    chain = [f"c{i}" for i in range(700)]
+    first = len(rows)
+    rows += [(first + i, " ".join(chain[10 * i : 10 * i + 200])) for i in range(50)]
+    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: first if d >= first else d - d % 2 for d, _ in rows}
+
+
 def test_a_folded_run_keeps_its_components():
     rng = np.random.default_rng(2)
     source = rng.integers(0, 2**63, (1, 2), np.int64).view(np.uint64)
