@@ -45,6 +45,12 @@ class Rule:
 _ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?+\x20*+[:=]\x20*+["']?+"""
 _VALUE = r"[A-Za-z0-9+/_.=-]"
 
+# A private key goes up to its END line; without one, over its headers and
+# base64 lines (a last line may be short).  Line ends may be written as \\n.
+_GAP = r"(?:\s|\\[rn])"
+_KEY_LINES = rf"(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_GAP}*+[A-Za-z0-9+/]{{40,}}+={{0,2}}+)++(?:{_GAP}++[A-Za-z0-9+/]++(?:={{1,2}}+|(?=\x20*+(?:[\r\n\\]|\z))))?+"
+_PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----|{_KEY_LINES})?+"
+
 BASE_RULES = (
     Rule(
         "assign", 1, r"(?=[PpSsTtAa])" + _ASSIGN + _VALUE + "++",
@@ -57,7 +63,7 @@ BASE_RULES = (
 )
 
 MORE_RULES = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", guard=lambda t: t.contains("PRIVATE KEY-----")),
+    Rule("pem", 2, _PEM, guard=lambda t: t.contains("PRIVATE KEY-----")),
     Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", guard=lambda t: t.contains("eyJ")),
     Rule("forge", 1, r"\bgh[pousr]_[A-Za-z0-9]{36,}+", guard=lambda t: t.rlike("gh[pousr]_")),
     Rule("chat", 1, r"\bxox[abprs]-[A-Za-z0-9-]{10,}+", guard=lambda t: t.contains("xox")),
@@ -99,11 +105,12 @@ def scan_versions(docs: DataFrame, ledger_path: str | None = None, rules: tuple[
     fresh.write.mode("append").parquet(ledger_path)
     if not known:
         return spark.read.schema(row).parquet(ledger_path).select("digest", "findings")
-    # Several runs may have scanned a blob, each with other rules; retired rules drop out.
-    current = F.array(*[F.lit(r.name) for r in rules])
+    # Several runs may have scanned a blob, each with other rules; retired rules and versions drop out.
+    current = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.key)])
     live = spark.read.schema(row).parquet(ledger_path).filter(F.arrays_overlap("rules", keys))
+    live = live.withColumn("findings", F.filter("findings", lambda f: F.coalesce(F.array_contains("rules", current[f["kind"]]), F.lit(False))))
     joined = live.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
-    return materialize(joined.select("digest", F.filter("findings", lambda f: F.array_contains(current, f["kind"])).alias("findings")), "secret-findings")
+    return materialize(joined, "secret-findings")
 
 
 def sort_spans(spans: Column) -> Column:

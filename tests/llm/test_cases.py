@@ -55,6 +55,34 @@ def test_secret_cases(odd, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_private_keys_go_whole(spark):
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choice("ABCXYZabcxyz0189+/") for _ in range(n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = [line(64) for _ in range(20)] + [line(22) + "=="]
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,0011AABB", ""]
+    short = [*body[:-1], line(23)]
+    keys = [
+        "\n".join([begin, *body, end]), "\r\n".join([begin, *head, *body, end]), "\\n".join([begin, *body, end]), " ".join([begin, *body, end]),
+        "\n".join([begin, *body]), "\n".join([begin, *head, *short]), begin, "\n".join([begin, line(64) * 20_000, end]),
+    ]
+    rows = [(i, f"keep this\n{k}\nand this here") for i, k in enumerate(keys)]
+    rows.append((len(rows), f"a {keys[4]}\nb {keys[0]} c"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.find_secrets(docs, carry=("doc_id", "text"))
+    got = {r.doc_id: r.clean for r in found.select("doc_id", secrets.redact(found.text, found.findings).alias("clean")).collect()}
+    assert got == {i: "keep this\n[SECRET]\nand this here" for i in range(len(keys))} | {len(keys): "a [SECRET]\nb [SECRET] c"}
+
+
+def test_ledger_drops_findings_of_old_versions(spark):
+    path = new_path(spark, "test-ledger")
+    docs = spark.createDataFrame([(1, "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----")], "doc_id long, text string")
+    header = secrets.Rule("pem", 1, r"-----BEGIN PRIVATE KEY-----")
+    old = tuple(header if r.name == "pem" else r for r in secrets.RULES)
+    assert [f.end for f in secrets.find_secrets(docs, path, old).first().findings] == [27]
+    assert [(f.kind, f.start, f.end) for f in secrets.find_secrets(docs, path).first().findings] == [("pem", 0, 57)]
+
+
 def test_ledger_scans_only_what_is_new(spark):
     path = new_path(spark, "test-ledger")
     one = spark.createDataFrame([(1, "token=abcdefgh"), (2, "clean")], "doc_id long, text string")
