@@ -9,9 +9,11 @@ share gives the same chunks inside it.  Boundaries move on to the next start of
 a code point; a chunk longer than ``longest`` bytes is cut every ``longest``.
 
 Chunks are deduplicated by a 128-bit digest: digests are aggregated (combined
-on the map side) to the first occurrence, and occurrences are joined to the
-digests that more than one document holds.  Neighbouring repeated chunks of a
-document form runs; runs of under ``least`` bytes are chance and dropped.
+on the map side) to the first holder, and occurrences are joined to the digests
+that occur more than once, in one document or several.  Neighbouring repeated
+chunks of a document form runs; runs of under ``least`` bytes are chance and
+dropped.  A run is then cut where its chunks start or cease to be later
+occurrences inside the document.
 
 Defined cases: null and empty texts have no chunks; repeated rows with one id
 count as one document; rows with a null id are left out (a result carries ids);
@@ -128,24 +130,29 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 28, longest: int = 1024, least: int = 100) -> DataFrame:
-    """Runs of chunks that other documents hold too.
+    """Runs of chunks that occur again, in other documents or in this one.
 
     One row per run: id, start, end (code points), n_chunks, n_bytes,
     first_ids (documents that hold these chunks first, distinct), is_first
-    (this document is the first holder of all of them: it keeps its text).
+    (this document is the first holder of all of them: it keeps its text unless
+    again), again (the document itself holds these chunks earlier).
     """
     rows = materialize(chunks(docs, id_col, text_col, reach, longest), "chunks")
-    shared = rows.groupBy("hi", "lo").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").select("hi", "lo", "first_id")
-    shared = materialize(shared, "chunks-shared")
-    hits = rows.join(shared, ["hi", "lo"]).select("id", "start", "end", "n_bytes", "first_id")
+    shared = rows.groupBy("hi", "lo").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("start").alias("low"), F.max("start").alias("high"))
+    shared = materialize(shared.filter("first_id < last_id or low < high").select("hi", "lo", "first_id"), "chunks-shared")
+    hits = rows.join(shared, ["hi", "lo"]).select("id", "hi", "lo", "start", "end", "n_bytes", "first_id")
     w = Window.partitionBy("id").orderBy("start", "end")
-    runs = hits.dropDuplicates(["id", "start", "end"]).withColumn("new", (F.col("start") != F.coalesce(F.lag("end").over(w), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(w))
+    again = F.col("start") > F.min("start").over(Window.partitionBy("id", "hi", "lo"))
+    runs = hits.dropDuplicates(["id", "start", "end"]).withColumn("again", again).withColumn("new", (F.col("start") != F.coalesce(F.lag("end").over(w), F.lit(-1))).cast("int"))
+    runs = runs.withColumn("turn", F.when(F.col("again") != F.lag("again").over(w), 1).otherwise(F.col("new")))
+    runs = runs.withColumns({"run": F.sum("new").over(w), "part": F.sum("turn").over(w)})
+    runs = runs.withColumn("run_bytes", F.sum("n_bytes").over(Window.partitionBy("id", "run")))
     return (
-        runs.groupBy("id", "run")
+        runs.filter(F.col("run_bytes") >= least)
+        .groupBy("id", "part")
         .agg(
             F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"),
-            F.array_sort(F.collect_set("first_id")).alias("first_ids"), F.bool_and(F.col("first_id") == F.col("id")).alias("is_first"),
+            F.array_sort(F.collect_set("first_id")).alias("first_ids"), F.bool_and(F.col("first_id") == F.col("id")).alias("is_first"), F.first("again").alias("again"),
         )
-        .filter(F.col("n_bytes") >= least)
-        .select(F.col("id").alias(id_col), "start", "end", "n_chunks", "n_bytes", "first_ids", "is_first")
+        .select(F.col("id").alias(id_col), "start", "end", "n_chunks", "n_bytes", "first_ids", "is_first", "again")
     )

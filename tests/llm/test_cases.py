@@ -300,6 +300,17 @@ def test_shared_passages_are_found(spark, none):
     assert chunks.repeated_passages(none).count() == 0
 
 
+def test_passages_repeated_inside_a_document_are_found(spark):
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    p = prose(200)
+    text = " ".join([prose(80), p, prose(60), p, prose(50)])
+    rows = [(1, text), (1, text), (2, prose(300))]
+    got = sorted(chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.first_ids, r.is_first, r.again) for r in got] == [(1, [1], True, False), (1, [1], True, True)]
+    assert text[got[0].start : got[0].end] == text[got[1].start : got[1].end] and got[1].n_bytes > 0.8 * len(p)
+
+
 def test_token_cache(spark, odd, none):
     path = new_path(spark, "test-cache")
     a = tokens.count_tokens(odd, q.tokenizer_path(), path).collect()
