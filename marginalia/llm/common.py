@@ -49,10 +49,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir where it is set.
 
-    Where it is unset (tests, local mode) a temporary folder takes its place.
+    Where it is unset a temporary folder takes its place, in local mode only: on
+    a cluster no other machine would see it.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _own.get(spark.sparkContext.applicationId)
         if not base:
             base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="marginalia-")
@@ -76,7 +79,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a materialize()d table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

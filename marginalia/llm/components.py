@@ -2,8 +2,9 @@
 
 Edges never come to the driver: each round is two aggregations and two joins
 on the node, so a hub is an aggregate (combined on the map side) and a join
-that adaptive execution can split.  Rounds grow with the logarithm of the
-longest chain.  Each round is written to the shared folder.
+of two written tables, whose hub adaptive execution can split.  Rounds grow
+with the logarithm of the longest chain.  Each round is written to the shared
+folder and the one before it removed.
 """
 
 from __future__ import annotations
@@ -11,20 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
     """One large-star or small-star step over edges (u, v), u > v."""
     # directed: large looks from each end at all neighbours, small only at the smaller ones
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    least = materialize(least, name + "-least")
     got = both.join(least, "u")
     if large:
         out = got.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = got.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    done = materialize(out.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    drop_table(least)
+    return done
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -36,8 +40,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     e = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     seen = state(e)
     while seen[0]:
-        e = materialize(_star(materialize(_star(e, True), name), False), name)
-        now = state(e)
+        middle = _star(e, True, name)
+        after = _star(middle, False, name)
+        drop_table(middle)
+        drop_table(e)
+        e, now = after, state(after)
         if now == seen:
             break
         seen = now

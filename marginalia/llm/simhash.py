@@ -17,16 +17,17 @@ Comparison.  Only distinct fingerprints are replicated, so a group of exact
 copies is one row.  Rows are dealt by anchor and sorted; a task walks the runs
 of equal anchors and emits the edges of a spanning forest of each run, found by
 breadth-first search over what isn't reached yet: a run of m near copies costs
-about m comparisons and m - 1 edges, never all its pairs.
+about m comparisons and m - 1 edges, never all its pairs.  A run of over
+``longest`` fingerprints is passed on instead of held: its anchor is cut into
+blocks, and each pair of blocks is a run of its own in a second pass, so that
+every pair still meets and no task holds an anchor.
 
 Defined cases: a text without words (null, empty, blanks) has fingerprint 0 and
 links like any other; fewer words than a shingle give one shingle; repeated
 rows keep their rows; a null id is ignored for the component's smallest id; an
 empty table gives an empty result; extra columns are ignored.
 
-similar_documents is the form for a stated similarity of word shingles: bands
-of MinHash values over the shingles find candidates, and the shingles of both
-texts decide.
+similar.py has the form for a stated similarity of word shingles.
 """
 
 from __future__ import annotations
@@ -120,7 +121,56 @@ def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def link(distinct: DataFrame, most: int = 4) -> DataFrame:
+def _edges(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges of all runs of equal keys."""
+    cut = np.flatnonzero(np.diff(key)) + 1
+    first, last = np.r_[0, cut], np.r_[cut, len(key)]
+    pair = np.flatnonzero(last - first == 2)  # most runs: one comparison each, all at once
+    a, b = fp[first[pair]], fp[first[pair] + 1]
+    near = np.bitwise_count(a ^ b) <= most
+    got = [(a[near], b[near])]
+    for i in np.flatnonzero(last - first > 2):
+        if e := forest(fp[first[i] : last[i]], most):
+            got.append(tuple(np.array(e, np.uint64).T))
+    u, v = (np.concatenate([x[i] for x in got]).view(np.int64) for i in (0, 1))
+    return u, v
+
+
+def compare_runs(batches: Iterator[pa.RecordBatch], most: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) sorted by key -> edges (u, v, False), and (key, fp, True) for the rows of runs of over `longest`."""
+
+    def out(u: np.ndarray, v: np.ndarray, late: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), late))], ["u", "v", "late"])
+
+    held, passed = (np.zeros(0, np.int64), np.zeros(0, np.uint64)), None
+    for b in batches:
+        key, fp = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        if passed is not None:  # a long run that earlier batches began
+            n = int(np.searchsorted(key, passed, side="right"))
+            yield out(key[:n], fp[:n].view(np.int64), True)
+            key, fp = key[n:], fp[n:]
+        if not len(key):
+            continue
+        passed = None
+        key, fp = np.r_[held[0], key], np.r_[held[1], fp]
+        cut = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
+        size = np.diff(cut)
+        long = np.repeat(size > longest, size)
+        if long.any():
+            yield out(key[long], fp[long].view(np.int64), True)
+        whole = np.arange(len(key)) < cut[-2]  # the last run may go on in the next batch
+        if size[-1] > longest:
+            passed, held = key[-1], (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        else:
+            held = key[cut[-2] :], fp[cut[-2] :]
+        now = whole & ~long
+        if now.any():
+            yield out(*_edges(key[now], fp[now], most), False)
+    if len(held[0]):
+        yield out(*_edges(*held, most), False)
+
+
+def link(distinct: DataFrame, most: int = 4, longest: int = 8192) -> DataFrame:
     """Edges (u, v) between distinct fingerprints, enough to connect all that link.
 
     most is at most 5: then one half differs in at most two bits.
@@ -134,37 +184,24 @@ def link(distinct: DataFrame, most: int = 4) -> DataFrame:
             row, key = anchors(fp)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row].view(np.int64))], ["anchor", "fp"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(key: np.ndarray, fp: np.ndarray):
-            cut = np.flatnonzero(np.diff(key)) + 1
-            first, last = np.r_[0, cut], np.r_[cut, len(key)]
-            pair = np.flatnonzero(last - first == 2)  # most runs: one comparison each, all at once
-            a, b = fp[first[pair]], fp[first[pair] + 1]
-            near = np.bitwise_count(a ^ b) <= most
-            got = [(a[near], b[near])]
-            for i in np.flatnonzero(last - first > 2):
-                if e := forest(fp[first[i] : last[i]], most):
-                    got.append(tuple(np.array(e, np.uint64).T))
-            return (np.concatenate([x[i] for x in got]).view(np.int64) for i in (0, 1))
-
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for b in batches:
-            key = np.r_[held_key, b.column(0).to_numpy(zero_copy_only=False)]
-            fp = np.r_[held_fp, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-            if not len(key):
-                continue
-            whole = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
-            held_key, held_fp = key[whole:], fp[whole:]
-            if whole:
-                u, v = edges(key[:whole], fp[:whole])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-        if len(held_key):
-            u, v = edges(held_key, held_fp)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    spread_rows = distinct.select("fp").mapInArrow(spread, "anchor long, fp long")
-    dealt = spread_rows.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(compare, "u long, v long")
+    def compared(rows: DataFrame, limit: int) -> DataFrame:
+        key = rows.columns[0]
+        dealt = rows.repartition(key).sortWithinPartitions(key)
+        return materialize(dealt.mapInArrow(lambda batches: compare_runs(batches, most, limit), "u long, v long, late boolean"), "simhash-edges")
+
+    found = compared(distinct.select("fp").mapInArrow(spread, "anchor long, fp long"), longest)
+    late = found.filter("late").select(F.col("u").alias("anchor"), F.col("v").alias("fp"))
+    edges = found.filter("not late").select("u", "v")
+    if late.isEmpty():
+        return edges
+    # Blocks of about longest / 2: each pair of blocks makes a cell.
+    parts = materialize(late.groupBy("anchor").agg(F.ceil(F.count("*") * 2 / longest).cast("int").alias("parts")), "simhash-long")
+    block = F.pmod(F.xxhash64("fp"), "parts").cast("int")
+    other = late.join(parts, "anchor").select("anchor", "fp", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cell = F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other"))
+    # Two cells whose hashes agree are one run: it costs time and no link.
+    again = compared(other.select(cell.alias("cell"), "fp").distinct(), 1 << 62)
+    return edges.unionByName(again.select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, most: int = 4) -> DataFrame:
@@ -174,163 +211,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     roots = connected_components(link(distinct, most), "simhash-links")
     member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    small = member.groupBy("root").agg(F.min("least").alias("component"))
+    small = materialize(member.groupBy("root").agg(F.min("least").alias("component")), "simhash-least")
     named = materialize(member.join(small, "root").select("fp", "component"), "simhash-components")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
-
-
-#: 40 bands of 6 values: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** 6) ** 40 = 5e-6.
-BANDS, VALUES = 40, 6
-_FACTORS = np.random.default_rng(20).integers(0, 1 << 32, BANDS * VALUES, np.uint32) | np.uint32(1)
-
-
-def band_keys(text: bytes | None, k: int = 5) -> list[int]:
-    """One key a band: the MinHash values of the band's permutations over the k-word shingles.
-
-    Texts without words share every key with each other.
-    """
-    import xxhash
-
-    found = shingles(text, k)
-    least = np.full(BANDS * VALUES, 0xFFFFFFFF, np.uint32)
-    hashes = np.fromiter(map(xxhash.xxh32_intdigest, found), np.uint32, len(found))
-    for at in range(0, len(hashes), 2048):
-        np.minimum(least, np.multiply.outer(_FACTORS, hashes[at : at + 2048]).min(axis=1), out=least)
-    rows = least.astype("<u4").reshape(BANDS, VALUES)
-    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
-
-
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of prints held as two words each."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-
-
-def candidate_edges(prints: np.ndarray, most: int, block: int = 512) -> tuple[list[np.ndarray], np.ndarray]:
-    """([edge arrays of places], one place a component) for prints that share an anchor.
-
-    Components of the graph "at most `most` bits apart" are found as in forest.
-    In each, the member nearest to the bitwise majority (the likely source of
-    the copies) is paired with every member in reach, and every member with its
-    nearest one in its block: at most two edges a member.
-    """
-    out, middle, left = [], [], np.arange(len(prints))
-    while len(left):
-        members, frontier, left = [left[:1]], [left[0]], left[1:]
-        while frontier and len(left):
-            near = _apart(prints[left], prints[frontier.pop()]) <= most
-            if near.any():
-                members.append(left[near])
-                frontier += list(left[near])
-                left = left[~near]
-        own = np.concatenate(members)
-        if len(own) == 1:
-            middle.append(own[0])
-            continue
-        f = prints[own]
-        bits = np.unpackbits(f.view(np.uint8).reshape(len(f), -1), axis=1)
-        centre = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(f)).view(np.uint64)
-        root = int(_apart(f, centre).argmin())
-        middle.append(own[root])
-        reach = own[(_apart(f, f[root]) <= most) & (own != own[root])]
-        out.append(np.stack([np.full(len(reach), own[root]), reach], 1))
-        for at in range(0, len(own), block):
-            g, names = f[at : at + block], own[at : at + block]
-            if len(g) > 1:
-                d = _apart(g[:, None], g[None])
-                np.fill_diagonal(d, 129)
-                best = d.argmin(axis=1)
-                ok = d[np.arange(len(g)), best] <= most
-                out.append(np.stack([names[ok], names[best[ok]]], 1))
-    return out, np.array(middle)
-
-
-def shingles(text: bytes | None, k: int) -> set[bytes]:
-    words = text.translate(LOWER).split() if text else []
-    if len(words) <= k:
-        return {b" ".join(words)} if words else set()
-    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
-
-
-def similar(a: set[bytes], b: set[bytes], least: float) -> bool:
-    """Whether the Jaccard similarity is at least `least`; two empty sets are alike."""
-    small, large = sorted((len(a), len(b)))
-    if small < least * large:
-        return False
-    both = len(a & b)
-    return both >= least * (small + large - both)
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
-    """One row per input row: id, component (smallest id reachable over texts alike).
-
-    Two texts are alike if their sets of k-word shingles (A-Z lower-cased) have
-    a Jaccard similarity of at least `least`.  Candidates share a band key; the
-    shingles of both texts then decide, so no pair below `least` is linked.  At
-    0.8 a pair shares no band with a chance of 5e-6, however its texts differ.
-
-    Components are those of all candidate pairs, without asking all of them.
-    First every member of a band's group is verified against one of its members
-    (one of four fixed orders of the nodes says which).  Then each group whose
-    members lie in several components verifies all pairs across components that
-    leave out its largest one on one side at most: pairs within a component
-    can't change the result.  A group of near copies costs about one comparison
-    a member, a group whose m members aren't alike up to all its pairs.
-
-    Equal texts are one node.  Defined cases: texts without words are alike; a
-    text of fewer than k words is one shingle; repeated rows keep their rows;
-    rows of one id with several texts are several nodes; a row with a null id
-    takes the component's smallest id, null if no member has one; an empty
-    table gives an empty result; extra columns are ignored.
-    """
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(2)
-            got = [band_keys(texts[i].as_py(), k) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64()))], ["id", "digest", "keys"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column(2), b.column(3)
-            ok = pa.array([similar(shingles(x[i].as_py(), k), shingles(y[i].as_py(), k), least) for i in range(b.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
-
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(text, 256).alias("digest"), text.cast("binary").alias("text"))
-    rows = materialize(base.mapInArrow(keys, "id long, digest string, keys array<long>"), "similar-rows")
-    distinct = rows.groupBy("digest").agg(F.min("id").alias("least"), F.first("keys").alias("keys"))
-    nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "similar-nodes")
-
-    spread = nodes.select("node", F.explode("keys").alias("key"))
-    order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(4))).alias("rank"), "node")
-    groups = spread.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["node"].alias("pivot")).filter("n > 1")
-    members = materialize(spread.join(groups, "key"), "similar-members")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        # Only texts in some pair travel, one of each node.
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "digest"), "node")
-        held = base.join(ends, "digest").groupBy("node").agg(F.first("text").alias("text"))
-        texts = materialize(held, "similar-texts")
-        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-        return materialize(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"), "similar-alike")
-
-    def pair(a: str, b: str) -> tuple:
-        return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
-
-    asked = materialize(members.filter("node != pivot").select(*pair("node", "pivot")).distinct(), "similar-pairs")
-    links = alike(asked)
-    roots = connected_components(links, "similar-links")
-    # The pivot has met all its group; a group of two is done.
-    left = members.filter("n > 2 and node != pivot").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    left = materialize(left.join(split, "key"), "similar-left")
-    top = left.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("top"))
-    stray = left.join(top, "key").filter("root != top").select("key", F.col("node").alias("stray"), F.col("root").alias("own"), "top")
-    across = stray.join(left, "key").filter("root != own and (root = top or node < stray)")
-    more = materialize(across.select(*pair("node", "stray")).distinct().join(asked, ["u", "v"], "left_anti"), "similar-pairs")
-    roots = connected_components(links.unionByName(alike(more)), "similar-links")
-
-    member = nodes.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
-    small = member.groupBy("root").agg(F.min("least").alias("component"))
-    named = materialize(member.join(small, "root").select("digest", "component"), "similar-components")
-    return rows.join(named, "digest").select(F.col("id").alias(id_col), "component")
