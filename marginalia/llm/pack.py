@@ -11,14 +11,17 @@ each give a lower bound on the bins that any packing needs.  A partition whose
 bin count equals its bound is final.  One with a gap keeps its full bins and
 gives up the documents of the others; these are dealt anew over fewer
 partitions, where documents of several partitions meet, and packed again.  The
-rounds end when one partition is left, no partition has a gap, or the number
-of bins no longer falls.
+rounds end when one partition is left, no partition has a gap, or repacking
+saves less than ``least_gain`` of the bins given up (then the packing before
+stays, if it has no more bins).  pack_certified returns the bin count and bound
+of every partition of every round beside the packing.
 
 Every partition holds at most about ``per_partition`` pieces, whatever the
 input's size, so no task grows with the corpus.
 
 Defined cases: a null text is empty and has the end id only; repeated rows are
-packed each; an empty table gives an empty result; extra columns are ignored.
+packed each, null ids too (a row number tells them apart); ids may be any long;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,16 +104,17 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bin_of, np.array(left, np.int64)
 
 
-PACKED = "id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, final boolean, bins long, bound long"
+PACKED = "row long, id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, final boolean, bins long, bound long"
+_ROW = ["row", "id", "piece", "start", "length", "ids_crc32"]
 
 
-def _pack_round(rows: DataFrame, parts: int, capacity: int, last: bool, salt: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        sizes = pdf["length"].to_numpy(np.int64)
+def _pack_round(rows: DataFrame, parts: int, capacity: int, salt: int) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, sort_keys=[("length", "descending"), ("row", "ascending")]))
+        sizes = t.column("length").to_numpy()
         bin_of, left = best_fit_decreasing(sizes, capacity)
         bound = lower_bound(sizes, capacity)
-        done = np.ones(len(left), bool) if last or len(left) == bound else left == 0
+        done = np.ones(len(left), bool) if parts == 1 or len(left) == bound else left == 0
         order = np.lexsort((np.arange(len(sizes)), bin_of))
         ends = np.cumsum(sizes[order])
         starts_of = np.r_[0, ends[:-1]]
@@ -118,35 +122,59 @@ def _pack_round(rows: DataFrame, parts: int, capacity: int, last: bool, salt: in
         base = np.maximum.accumulate(np.where(new, starts_of, 0))
         offset = np.empty(len(sizes), np.int64)
         offset[order] = starts_of - base
-        return pdf.assign(bin=bin_of, offset=offset, final=done[bin_of], bins=len(left), bound=bound)
+        n = len(sizes)
+        for name, values in (("bin", bin_of), ("offset", offset), ("final", done[bin_of]), ("bins", np.full(n, len(left))), ("bound", np.full(n, bound))):
+            t = t.append_column(name, pa.array(values))
+        return t
 
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.lit(salt)), F.lit(parts)))
-    return dealt.groupBy("part").applyInPandas(run, PACKED)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(parts)))
+    return dealt.groupBy("part").applyInArrow(run, PACKED)
 
 
-def pack(rows: DataFrame, capacity: int = 1024, per_partition: int = 20_000, rounds: int = 4) -> DataFrame:
-    """pieces() rows with sequence_id and offset."""
-    rows = materialize(rows, "pack-pieces")
+def pack_certified(rows: DataFrame, capacity: int = 1024, per_partition: int = 20_000, least_gain: float = 0.001) -> tuple[DataFrame, DataFrame]:
+    """(pieces() rows with sequence_id and offset, certificates: round, part, pieces, bins, bound)."""
+    spark = rows.sparkSession
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
     # A full piece is a sequence of its own; only the others are packed.
     full = rows.filter(F.col("length") == capacity)
-    rest, n = rows.filter(F.col("length") < capacity), None
-    done = [full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})]
-    for r in range(rounds):
+    done = [full.withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")})]
+    rest, n = rows.filter(F.col("length") < capacity).select(*_ROW), None
+    notes = [spark.createDataFrame([], "round int, part long, pieces long, bins long, bound long")]
+    held, bins, r = None, None, 0  # the packing of what was given up, and its bins
+
+    def placed(packed: DataFrame, turn: int) -> DataFrame:
+        sequence = (F.lit(turn).cast("long") * F.lit(1 << 52)) + F.col("part") * F.lit(1 << 24) + F.col("bin")
+        return packed.select(*_ROW, sequence.alias("sequence_id"), "offset")
+
+    while True:
         n = rest.count()
         if not n:
             break
-        parts = max(1, -(-n // per_partition))
-        last = r == rounds - 1 or parts == 1
-        packed = materialize(_pack_round(rest, parts, capacity, last, r), "pack-round")
-        sequence = (F.lit(r).cast("long") * F.lit(1 << 58)) + F.col("part") * F.lit(1 << 28) + F.col("bin")
-        done.append(packed.filter("final").select("id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset"))
-        if last:
+        packed = materialize(_pack_round(rest, max(1, -(-n // per_partition)), capacity, r), "pack-round")
+        per_part = packed.groupBy("part").agg(F.count("*").alias("pieces"), F.max("bins").alias("bins"), F.max("bound").alias("bound"))
+        total, = per_part.agg(F.sum("bins")).first()
+        if held is not None and total >= bins:
+            done.append(placed(held, r - 1))
+            break
+        notes.append(per_part.select(F.lit(r).alias("round"), "part", "pieces", "bins", "bound"))
+        done.append(placed(packed.filter("final"), r))
+        held = packed.filter("not final")
+        left = held.select("part", "bin").distinct().count()
+        if left and bins is not None and bins - total < least_gain * bins:
+            done.append(placed(held, r))
             break
-        rest = packed.filter("not final").select("id", "piece", "start", "length", "ids_crc32")
-    out = done[0]
+        rest, bins, r = held.select(*_ROW), left, r + 1
+    out, certificates = done[0], notes[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    for d in notes[1:]:
+        certificates = certificates.unionByName(d)
+    return out.drop("row"), certificates
+
+
+def pack(rows: DataFrame, capacity: int = 1024, per_partition: int = 20_000) -> DataFrame:
+    """pieces() rows with sequence_id and offset."""
+    return pack_certified(rows, capacity, per_partition)[0]
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", per_partition: int = 20_000) -> DataFrame:
