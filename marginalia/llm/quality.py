@@ -7,6 +7,14 @@ maximal repeated substrings.  Their spans are joined; the rule limits the
 fraction of words covered and the longest repeat.  A text in which no window of
 ``min_repeat`` words recurs has no such interval, so only the others are sorted.
 
+The rule has a scale of its own: three words, where the base rule looks at
+windows of five.  Stutters and short cycles, whose longest repeat is under five
+words, fail it alone; so does one long passage given twice in a long text.
+
+Memory is linear in a text: up to LEVELS words the prefix doubling keeps its
+ranks (17 small arrays at most) for the prefix lengths; longer texts get them
+by Kasai's rule from the suffix array, with the same result.
+
 Defined cases: null and empty texts have no words and fail the base rule;
 repeated rows keep their rows; an empty table gives an empty result; extra
 columns are ignored.
@@ -21,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import own_name
+
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -51,63 +61,85 @@ def window_repeats(ids: np.ndarray, k: int) -> bool:
     return bool((h[1:] == h[:-1]).any())
 
 
-def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, lcp with the suffix before) by prefix doubling and Kasai's rule over ranks."""
+#: Words up to which the ranks of all doublings are kept.
+LEVELS = 1 << 16
+
+
+def _prefixes_by_levels(sa: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """Common prefix of neighbours: descend the doublings, longest prefixes first."""
+    n = len(sa)
+    a, b, lcp = sa[:-1].copy(), sa[1:].copy(), np.zeros(n - 1, np.int64)
+    for level in range(len(levels) - 1, -1, -1):
+        size, r = 1 << level, levels[level]
+        fits = (a + size <= n) & (b + size <= n)
+        same = np.zeros(n - 1, bool)
+        same[fits] = r[a[fits]] == r[b[fits]]
+        lcp[same] += size
+        a[same] += size
+        b[same] += size
+    return lcp
+
+
+def _prefixes_by_place(ids: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Common prefix of neighbours by Kasai's rule: the next place's is at most one shorter."""
+    n, h = len(sa), 0
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    out, t = np.zeros(n, np.int64), ids.tolist()
+    for i, j in enumerate(before.tolist()):
+        if j < 0:
+            h = 0
+            continue
+        while i + h < n and j + h < n and t[i + h] == t[j + h]:
+            h += 1
+        out[i] = h
+        h = max(h - 1, 0)
+    return out[sa[1:]]
+
+
+def suffix_array(ids: np.ndarray, most_kept: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array by prefix doubling, common prefix of each suffix with the one before)."""
     n = len(ids)
-    rank, sa, step = ids.astype(np.int64), None, 1
-    levels = [rank]
+    rank, step, levels = ids.astype(np.int64), 1, []
     while True:
-        second = np.full(n, -1, np.int64)
+        if n <= most_kept:
+            levels.append(rank.astype(np.int32))
+        key = rank * (n + 2) + 1
         if step < n:
-            second[:-step] = rank[step:]
-        key = rank * (n + 2) + second + 1
+            key[:-step] += rank[step:] + 1
         sa = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
         ordered = key[sa]
-        new[sa] = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
-        rank = new
+        rank[sa] = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
         if rank[sa[-1]] == n - 1:
             break
-        levels.append(rank)
         step *= 2
-    # lcp of neighbours: descend the doubling levels, longest prefixes first
-    a, b = sa[:-1].copy(), sa[1:].copy()
-    lcp = np.zeros(max(n - 1, 0), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        size = 1 << level
-        r = levels[level]
-        fits = (a + size <= n) & (b + size <= n)
-        same = np.zeros(len(a), bool)
-        same[fits] = r[a[fits]] == r[b[fits]]
-        lcp[same] += size
-        a[same] += size
-        b[same] += size
-    return sa, lcp
+    return sa, _prefixes_by_levels(sa, levels) if levels else _prefixes_by_place(ids, sa)
 
 
-def repeated_spans(ids: np.ndarray, least: int) -> tuple[np.ndarray, int]:
-    """(which words lie in a repeated substring of at least `least` words, length of the longest repeat).
+def repeat_depths(ids: np.ndarray) -> np.ndarray:
+    """Of each place, the words from there on that occur elsewhere too.
 
     Every suffix in an LCP interval of depth d repeats its first d words; the
-    deepest interval a suffix is in is the larger lcp to a neighbour.
+    deepest interval a suffix is in is the larger prefix it shares with a neighbour.
     """
-    n = len(ids)
-    covered = np.zeros(n, bool)
-    if n < 2:
-        return covered, 0
-    sa, lcp = suffix_array(ids)
-    depth = np.zeros(n, np.int64)
-    np.maximum.at(depth, sa[:-1], lcp)
-    np.maximum.at(depth, sa[1:], lcp)
-    longest = int(lcp.max(initial=0))
+    depth = np.zeros(len(ids), np.int64)
+    if len(ids) > 1:
+        sa, lcp = suffix_array(ids)
+        depth[sa[:-1]] = lcp
+        depth[sa[1:]] = np.maximum(depth[sa[1:]], lcp)
+    return depth
+
+
+def words_covered(depth: np.ndarray, least: int) -> int:
+    """Words inside a repeated substring of at least `least` words."""
     start = np.flatnonzero(depth >= least)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, start, 1)
+    edge = np.zeros(len(depth) + 1, np.int64)
+    edge[start] += 1
     np.add.at(edge, start + depth[start], -1)
-    return np.cumsum(edge[:-1]) > 0, longest
+    return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def measure(text: bytes | None, least: int = 5) -> tuple:
+def measure(text: bytes | None, least: int = 3) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered words, longest repeat."""
     if not text:
         return (0,) * 7
@@ -125,14 +157,9 @@ def measure(text: bytes | None, least: int = 5) -> tuple:
     symbols = sum(text.count(bytes([c])) for c in SYMBOLS)
     ids = word_ids(words)
     repeat = covered = longest = 0
-    if window_repeats(ids, 5):
-        spans, longest = repeated_spans(ids, 5)
-        repeat = covered = int(spans.sum())
-    if least != 5:
-        covered, longest = 0, 0
-        if window_repeats(ids, least):
-            spans, longest = repeated_spans(ids, least)
-            covered = int(spans.sum())
+    if window_repeats(ids, min(least, 5)):
+        depth = repeat_depths(ids)
+        repeat, covered, longest = words_covered(depth, 5), words_covered(depth, least), int(depth.max())
     return n, word_chars, symbols, dup, repeat, covered, longest if longest >= least else 0
 
 
@@ -141,7 +168,7 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, max_repeat_percent: int = 20,
-    min_repeat: int = 5, max_covered: float = 0.2, max_longest: int = 50, carry: tuple[str, ...] = (), prefix: str = "",
+    min_repeat: int = 3, max_covered: float = 0.4, max_longest: int = 50, carry: tuple[str, ...] = (), prefix: str = "",
 ) -> DataFrame:
     """id (and the columns in carry) with the counts, base_failed and kept.
 
@@ -153,26 +180,28 @@ def quality(
     no repeat is longer than max_longest words.
     """
     # A carried text travels to Python once.
-    held = text_col if text_col in carry else "__text"
-    extra = [] if text_col in carry else [F.col(text_col).cast("string").cast("binary").alias("__text")]
-    picked = docs.select(F.col(id_col).alias("__id"), *extra, *[F.col(c) for c in carry])
-    keep = [f for f in picked.schema.fields if f.name != "__text"]
+    held = own_name(docs, "__text") if text_col not in carry else text_col
+    extra = [] if text_col in carry else [F.col(text_col).cast("string").cast("binary").alias(held)]
+    key = own_name(docs, "__id")
+    picked = docs.select(F.col(id_col).alias(key), *extra, *[F.col(c) for c in carry])
+    keep = [f for f in picked.schema.fields if text_col in carry or f.name != held]
+    made = {c: own_name(docs, "__" + c) for c in COLUMNS}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index(held)).cast(pa.binary())
             got = np.array([measure(texts[i].as_py(), min_repeat) for i in range(b.num_rows)], np.int64).reshape(-1, len(COLUMNS))
-            own = [(f.name, b.column(i)) for i, f in enumerate(b.schema) if f.name != "__text"]
-            yield pa.RecordBatch.from_arrays([c for _, c in own] + [pa.array(got[:, j].copy()) for j in range(len(COLUMNS))], [n for n, _ in own] + ["__" + c for c in COLUMNS])
+            own = [b.column(b.schema.get_field_index(f.name)) for f in keep]
+            yield pa.RecordBatch.from_arrays(own + [pa.array(got[:, j].copy()) for j in range(len(COLUMNS))], [f.name for f in keep] + list(made.values()))
 
     from pyspark.sql.types import LongType, StructField, StructType
 
-    schema = StructType(keep + [StructField("__" + c, LongType()) for c in COLUMNS])
+    schema = StructType(keep + [StructField(c, LongType()) for c in made.values()])
     m = picked.mapInArrow(run, schema)
-    n, rep, cov, longest = (F.col("__" + c) for c in ("n_words", "n_repeat_words", "n_covered", "longest_repeat"))
+    n, rep, cov, longest = (F.col(made[c]) for c in ("n_words", "n_repeat_words", "n_covered", "longest_repeat"))
     failed = (n < min_words) | (100 * rep > max_repeat_percent * n)
     fine = (cov <= max_covered * n) & (longest <= max_longest)
     return m.select(
-        F.col("__id").alias(id_col), *[F.col(c) for c in carry if c != id_col],
-        *[F.col("__" + c).alias(prefix + c) for c in COLUMNS], failed.alias(prefix + "base_failed"), (~failed & fine).alias(prefix + "kept"),
+        F.col(key).alias(id_col), *[F.col(c) for c in carry if c != id_col],
+        *[F.col(made[c]).alias(prefix + c) for c in COLUMNS], failed.alias(prefix + "base_failed"), (~failed & fine).alias(prefix + "kept"),
     )
