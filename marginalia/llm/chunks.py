@@ -9,15 +9,22 @@ share gives the same chunks inside it.  Boundaries move on to the next start of
 a code point; a chunk longer than ``longest`` bytes is cut every ``longest``.
 
 Chunks are deduplicated by a 128-bit digest: digests are aggregated (combined
-on the map side) to the first holder, and occurrences are joined to the digests
-that occur more than once, in one document or several.  Neighbouring repeated
-chunks of a document form runs; runs of under ``least`` bytes are chance and
-dropped.  A run is then cut where its chunks start or cease to be later
-occurrences inside the document.
-
-Defined cases: null and empty texts have no chunks; repeated rows with one id
-count as one document; rows with a null id are left out (a result carries ids);
-an empty table gives an empty result; extra columns are ignored.
+on the map side) to the first and last holder, and occurrences are joined to
+the digests that occur more than once, in one document or several.  Neighbouring
+repeated chunks of a document form runs.  The chunks at a passage's ends hang
+over them and are no repeats, so a run is extended, character by character, by
+what its first (last) chunk has before (behind) it in common with that chunk's
+first other occurrence, ``context`` characters at most: a cut depends on the
+``reach`` + 32 bytes around it, so a passage's first whole chunk starts within
+that many bytes and a chunk's length.  Runs of then under ``least`` bytes are
+chance and dropped.  A run is cut into parts where its chunks start or cease to
+be later occurrences inside the document.
+
+Defined cases: null and empty texts have no chunks; a document is an id with a
+text: repeated rows are one document, and rows of one id with different texts
+are several, told apart by ``version`` (a hash of the text); rows with a null
+id are left out (a result carries ids); an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,22 +97,28 @@ def boundaries(data: np.ndarray, reach: int = 28, longest: int = 1024) -> np.nda
     return cuts
 
 
-CHUNK = "id long, hi long, lo long, start int, end int, n_bytes int"
+CHUNK = "id long, version long, hi long, lo long, start int, end int, n_bytes int"
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, version, text of rows with an id."""
+    text = F.col(text_col).cast("string")
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 28, longest: int = 1024) -> DataFrame:
-    """One row per chunk: digest (hi, lo), code-point span, bytes."""
+    """One row per chunk: document (id, version), digest (hi, lo), code-point span, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids, digests, starts, ends, sizes):
+        def out(ids, versions, digests, starts, ends, sizes):
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            cols = [np.concatenate(ids), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), np.concatenate(starts), np.concatenate(ends), np.concatenate(sizes)]
-            types = [pa.int64()] * 3 + [pa.int32()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "hi", "lo", "start", "end", "n_bytes"])
+            cols = [np.concatenate(ids), np.concatenate(versions), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), np.concatenate(starts), np.concatenate(ends), np.concatenate(sizes)]
+            types = [pa.int64()] * 4 + [pa.int32()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "version", "hi", "lo", "start", "end", "n_bytes"])
 
         for b in batches:
-            col, key = b.column(1), b.column(0)
-            ids, digests, starts, ends, sizes = [], [], [], [], []
+            key, version, col = b.column(0), b.column(1), b.column(2)
+            held = [[] for _ in range(6)]
             for i in range(b.num_rows):
                 text = col[i].as_py()
                 if not text:
@@ -113,46 +126,115 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
                 data = np.frombuffer(text, np.uint8)
                 cuts = boundaries(data, reach, longest)
                 at = cuts.tolist()
-                digests += [hashlib.blake2b(text[s:e], digest_size=16).digest() for s, e in zip(at, at[1:])]
+                n = len(at) - 1
                 points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][cuts]
-                ids.append(np.full(len(at) - 1, key[i].as_py(), np.int64))
-                starts.append(points[:-1])
-                ends.append(points[1:])
-                sizes.append(np.diff(cuts))
-                if len(digests) > 50_000:
-                    yield out(ids, digests, starts, ends, sizes)
-                    ids, digests, starts, ends, sizes = [], [], [], [], []
-            if digests:
-                yield out(ids, digests, starts, ends, sizes)
-
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, CHUNK)
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 28, longest: int = 1024, least: int = 100) -> DataFrame:
-    """Runs of chunks that occur again, in other documents or in this one.
-
-    One row per run: id, start, end (code points), n_chunks, n_bytes,
-    first_ids (documents that hold these chunks first, distinct), is_first
-    (this document is the first holder of all of them: it keeps its text unless
-    again), again (the document itself holds these chunks earlier).
+                held[0].append(np.full(n, key[i].as_py(), np.int64))
+                held[1].append(np.full(n, version[i].as_py(), np.int64))
+                held[2] += [hashlib.blake2b(text[s:e], digest_size=16).digest() for s, e in zip(at, at[1:])]
+                for place, values in ((3, points[:-1]), (4, points[1:]), (5, np.diff(cuts))):
+                    held[place].append(values)
+                if len(held[2]) > 50_000:
+                    yield out(*held)
+                    held = [[] for _ in range(6)]
+            if held[2]:
+                yield out(*held)
+
+    return _documents(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary")).mapInArrow(run, CHUNK)
+
+
+def in_common(a: str, b: str, from_end: bool) -> str:
+    """Longest common prefix of a and b, or suffix."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[len(a) - mid :] == b[len(b) - mid :] if from_end else a[:mid] == b[:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return a[len(a) - lo :] if from_end else a[:lo]
+
+
+def _extensions(docs: DataFrame, runs: DataFrame, hits: DataFrame, context: int) -> DataFrame:
+    """id, version, run, left, right (code points) and more (bytes) by which a run goes on at its ends."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for i, places in enumerate(b.column(3).to_pylist()):
+                key, text = (b.column(0)[i].as_py(), b.column(1)[i].as_py()), b.column(2)[i].as_py()
+                for p in places:
+                    at = p["place"]
+                    rows.append((*key, p["side"], at, text[at : at + context] if p["side"] else text[max(0, at - context) : at]))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "version", "side", "place", "around"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            side, x, y = (b.column(i).to_pylist() for i in (3, 4, 5))
+            same = [in_common(p, q, not s) for s, p, q in zip(side, x, y)]
+            sizes = [pa.array([len(t) for t in same], pa.int32()), pa.array([len(t.encode()) for t in same], pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + sizes, ["id", "version", "run", "side", "chars", "bytes"])
+
+    # Each end's chunk, and that chunk's first and last occurrence: one of them is another one.
+    ends = runs.select("id", "version", "run", F.inline(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("head.hi").alias("hi"), F.col("head.lo").alias("lo"), F.col("head.start").alias("own")),
+        F.struct(F.lit(1).alias("side"), F.col("tail.hi").alias("hi"), F.col("tail.lo").alias("lo"), F.col("tail.start").alias("own")),
+    )))
+    place = F.struct("id", "version", "start", "end")
+    known = hits.join(ends.select("hi", "lo").distinct(), ["hi", "lo"]).groupBy("hi", "lo").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    known = materialize(known, "chunks-holders")
+    is_a = (F.col("a.id") == F.col("id")) & (F.col("a.version") == F.col("version")) & (F.col("a.start") == F.col("own"))
+    asked = ends.join(known, ["hi", "lo"]).withColumn("o", F.when(is_a, F.col("b")).otherwise(F.col("a")))
+    asked = asked.join(runs.select("id", "version", "run", "start", "end"), ["id", "version", "run"])
+    at = lambda s, e: F.when(F.col("side") == 0, F.col(s)).otherwise(F.col(e))
+    asked = materialize(asked.select("id", "version", "run", "side", at("start", "end").alias("place"), F.col("o.id").alias("y_id"), F.col("o.version").alias("y_version"), at("o.start", "o.end").alias("y_place")), "chunks-ends")
+    places = asked.select("id", "version", "side", "place").unionByName(asked.select(F.col("y_id").alias("id"), F.col("y_version").alias("version"), "side", F.col("y_place").alias("place")))
+    wanted = places.groupBy("id", "version").agg(F.collect_set(F.struct("side", "place")).alias("places"))
+    texts = _documents(docs, id_col="id", text_col="text").join(wanted, ["id", "version"])
+    around = texts.select("id", "version", "text", "places").mapInArrow(cut, "id long, version long, side int, place int, around string")
+    around = materialize(around, "chunks-around").dropDuplicates(["id", "version", "side", "place"])
+    mine = asked.join(around.withColumnRenamed("around", "x"), ["id", "version", "side", "place"])
+    other = around.select(F.col("id").alias("y_id"), F.col("version").alias("y_version"), "side", F.col("place").alias("y_place"), F.col("around").alias("y"))
+    both = mine.join(other, ["y_id", "y_version", "side", "y_place"]).select("id", "version", "run", "side", "x", "y")
+    got = both.mapInArrow(compare, "id long, version long, run long, side int, chars int, bytes int")
+    on = lambda side, col: F.max(F.when(F.col("side") == side, F.col(col)).otherwise(0))
+    return got.groupBy("id", "version", "run").agg(on(0, "chars").alias("left"), on(1, "chars").alias("right"), (on(0, "bytes") + on(1, "bytes")).alias("more"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 28, longest: int = 1024, least: int = 200, context: int = 256) -> DataFrame:
+    """Passages that occur again, in other documents or in this one.
+
+    One row per part of a run: id, version, start, end (code points), n_chunks,
+    n_bytes (of the chunks), first_ids (ids that hold these chunks first,
+    distinct), is_first (this id is the first holder of all of them: it keeps its
+    text unless again), again (the id itself holds these chunks earlier).
     """
     rows = materialize(chunks(docs, id_col, text_col, reach, longest), "chunks")
-    shared = rows.groupBy("hi", "lo").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("start").alias("low"), F.max("start").alias("high"))
-    shared = materialize(shared.filter("first_id < last_id or low < high").select("hi", "lo", "first_id"), "chunks-shared")
-    hits = rows.join(shared, ["hi", "lo"]).select("id", "hi", "lo", "start", "end", "n_bytes", "first_id")
-    w = Window.partitionBy("id").orderBy("start", "end")
-    again = F.col("start") > F.min("start").over(Window.partitionBy("id", "hi", "lo"))
-    runs = hits.dropDuplicates(["id", "start", "end"]).withColumn("again", again).withColumn("new", (F.col("start") != F.coalesce(F.lag("end").over(w), F.lit(-1))).cast("int"))
-    runs = runs.withColumn("turn", F.when(F.col("again") != F.lag("again").over(w), 1).otherwise(F.col("new")))
-    runs = runs.withColumns({"run": F.sum("new").over(w), "part": F.sum("turn").over(w)})
-    runs = runs.withColumn("run_bytes", F.sum("n_bytes").over(Window.partitionBy("id", "run")))
-    return (
-        runs.filter(F.col("run_bytes") >= least)
-        .groupBy("id", "part")
-        .agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"),
-            F.array_sort(F.collect_set("first_id")).alias("first_ids"), F.bool_and(F.col("first_id") == F.col("id")).alias("is_first"), F.first("again").alias("again"),
-        )
-        .select(F.col("id").alias(id_col), "start", "end", "n_chunks", "n_bytes", "first_ids", "is_first", "again")
+    lows = [f(c).alias(f"{n}_{c}") for c in ("id", "version", "start") for n, f in (("low", F.min), ("high", F.max))]
+    shared = rows.groupBy("hi", "lo").agg(*lows).filter("low_id < high_id or low_version < high_version or low_start < high_start")
+    shared = materialize(shared.select("hi", "lo", F.col("low_id").alias("first_id")), "chunks-shared")
+    hits = rows.join(shared, ["hi", "lo"]).select("id", "version", "hi", "lo", "start", "end", "n_bytes", "first_id")
+    # All windows lie within an id, so one shuffle serves them.
+    hits = hits.repartition("id").dropDuplicates(["id", "version", "start"])
+    again = F.row_number().over(Window.partitionBy("id", "hi", "lo").orderBy("version", "start")) > 1
+    w = Window.partitionBy("id", "version").orderBy("start")
+    hits = hits.withColumn("again", again).withColumn("new", (F.col("start") != F.coalesce(F.lag("end").over(w), F.lit(-1))).cast("int"))
+    hits = hits.withColumn("turn", F.when(F.col("again") != F.lag("again").over(w), 1).otherwise(F.col("new")))
+    hits = materialize(hits.withColumns({"run": F.sum("new").over(w), "part": F.sum("turn").over(w)}).drop("new", "turn"), "chunks-hits")
+    parts = hits.groupBy("id", "version", "run", "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"),
+        F.array_sort(F.collect_set("first_id")).alias("first_ids"), F.bool_and(F.col("first_id") == F.col("id")).alias("is_first"), F.first("again").alias("again"),
     )
+    chunk = F.struct("start", "hi", "lo")
+    runs = hits.groupBy("id", "version", "run").agg(F.min(chunk).alias("head"), F.max(chunk).alias("tail"), F.max("end").alias("end"), F.sum("n_bytes").alias("run_bytes"))
+    # Both ends together add 8 x context bytes at most.
+    runs = materialize(runs.filter(F.col("run_bytes") + 8 * context >= least).withColumn("start", F.col("head.start")), "chunks-runs")
+    same = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    more = materialize(_extensions(same, runs, hits, context), "chunks-more")
+    ended = runs.join(more, ["id", "version", "run"]).filter(F.col("run_bytes") + F.col("more") >= least)
+    ended = ended.select("id", "version", "run", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "left", "right")
+    out = parts.join(ended, ["id", "version", "run"])
+    start = F.when(F.col("start") == F.col("run_start"), F.col("start") - F.col("left")).otherwise(F.col("start"))
+    end = F.when(F.col("end") == F.col("run_end"), F.col("end") + F.col("right")).otherwise(F.col("end"))
+    return out.select(F.col("id").alias(id_col), "version", start.alias("start"), end.alias("end"), "n_chunks", "n_bytes", "first_ids", "is_first", "again")
