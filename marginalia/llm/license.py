@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,16 +104,20 @@ class Searcher:
         data = b" " + joined + b" "
         places, labels = [], set()
         for phrase, label in self.base:
-            at = data.find(phrase)
+            at, seen, counted = data.find(phrase), 0, 0
             while at >= 0:
-                places.append(data.count(b" ", 0, at))
+                counted, seen = counted + data.count(b" ", seen, at), at
+                places.append(counted)
                 labels.add(label)
                 at = data.find(phrase, at + 1)
         found = self.fuzzy(joined.decode("latin-1"))
         # latin-1 keeps bytes and characters one to one; notices are ASCII
         more = {self.wanted[k].label for _, _, k, _ in found}
         score = 1.0 if places else max((1 - e / len(self.wanted[k].text) for _, _, k, e in found), default=0.0)
-        spans = [{"first": joined.count(b" ", 0, s), "last": joined.count(b" ", 0, e - 1), "label": self.wanted[k].label, "errors": err} for s, e, k, err in found]
+        # Words before a place: one search each, over the blanks' places.
+        blank = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) if found else ()
+        word = lambda place: int(np.searchsorted(blank, place))
+        spans = [{"first": word(s), "last": word(e - 1), "label": self.wanted[k].label, "errors": err} for s, e, k, err in found]
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | more)), score, spans
 
 
