@@ -12,9 +12,12 @@ parses, and then owns every record whose member starts inside the range (it
 reads past the end of the range to finish the last one).
 
 Defined cases: a null payload is an empty one; a null id is kept as null and
-counts as the largest; repeated rows with the smallest id give one response and
-revisits; a payload shorter than ``min_bytes`` is always a response; an empty
-table gives an empty archive set; extra columns are ignored.
+counts as the largest; every row gets a record with its own URI and a record id
+of its own (the id's later rows, in the order of URI and digest, carry a copy
+number); of several rows with the smallest id of a payload the one with the
+smallest URI is the response and the others are revisits; a payload shorter
+than ``min_bytes`` is always a response; an empty table gives an empty archive
+set; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ _LAST = (1 << 63) - 1
 
 MANIFEST = "path string, n_records long, n_bytes long"
 RECORD = (
-    "id long, record_type string, uri string, refers_to long, payload_bytes long, "
+    "id long, record_id string, record_type string, uri string, refers_to long, payload_bytes long, "
     "payload_digest string, digest_ok boolean, payload binary, path string, offset long"
 )
 
@@ -52,36 +55,41 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+PLAN = ("id", "uri", "payload", "digest", "n_bytes", "record_type", "refers_to", "copy")
+
+
 def plan_records(pages: DataFrame, id_col="page_id", uri_col="url", payload_col="html", min_bytes: int = 0) -> DataFrame:
-    """id, uri, payload (null for revisits), digest (hex), n_bytes, record_type, refers_to.
+    """id, uri, payload (null for revisits), digest (hex), n_bytes, record_type, refers_to, copy.
 
     Only one payload of each group of equal ones is shuffled (partial
     aggregation keeps the smallest id on the map side); revisits travel
-    without payload.
+    without payload.  copy tells a row's record apart from others of its id and
+    payload.
     """
     p = pages.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(uri_col).cast("string").alias("uri"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumns({"digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long"), "ord": F.coalesce("id", F.lit(_LAST))})
-    no_ref = F.lit(None).cast("long").alias("refers_to")
-    small = p.filter(F.col("n_bytes") < min_bytes).select("id", "uri", "payload", "digest", "n_bytes", F.lit("response").alias("record_type"), no_ref)
-    big = p.filter(F.col("n_bytes") >= min_bytes)
-    first = big.groupBy("digest").agg(F.min("ord").alias("first"), F.min_by(F.struct("id", "uri", "payload", "n_bytes"), F.col("ord")).alias("r"))
-    responses = first.select("r.id", "r.uri", "r.payload", "digest", "r.n_bytes", F.lit("response").alias("record_type"), no_ref)
-    ids = big.groupBy("digest").agg(F.min("ord").alias("first"))
-    rows = big.groupBy("digest", "ord", "n_bytes").agg(F.count("*").alias("c"), F.min("uri").alias("uri"), F.first("id").alias("id"))
-    revisits = (
-        rows.join(ids, "digest")
-        .withColumn("c", F.col("c") - (F.col("ord") == F.col("first")).cast("long"))
-        .filter("c > 0")
-        .select(
-            "id", "uri", F.lit(None).cast("binary").alias("payload"), "digest", "n_bytes", F.lit("revisit").alias("record_type"),
-            F.nullif("first", F.lit(_LAST)).alias("refers_to"), F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("copy"),
-        )
-        .drop("copy")
-    )
-    return responses.unionByName(revisits).unionByName(small) if min_bytes > 0 else responses.unionByName(revisits)
+    no_ref, first_copy = F.lit(None).cast("long").alias("refers_to"), F.lit("").alias("copy")
+    big = p.filter(F.col("n_bytes") >= min_bytes) if min_bytes > 0 else p
+    order = F.struct("ord", F.col("uri").isNotNull().alias("named"), F.coalesce("uri", F.lit("")).alias("uri"))
+    first = big.groupBy("digest").agg(F.min_by(F.struct("id", "uri", "payload", "n_bytes"), order).alias("r"))
+    responses = first.select("r.id", "r.uri", "r.payload", "digest", "r.n_bytes", F.lit("response").alias("record_type"), no_ref, first_copy)
+    light = materialize(big.select("id", "uri", "digest", "n_bytes", "ord"), "warc-rows")
+    ids = light.groupBy("digest").agg(F.min(order).alias("first"))
+    rows = light.groupBy("digest", "ord", "n_bytes", "uri").agg(F.count("*").alias("c"), F.first("id").alias("id"))
+    is_first = (F.col("ord") == F.col("first.ord")) & (F.col("uri").isNotNull() == F.col("first.named")) & (F.coalesce("uri", F.lit("")) == F.col("first.uri"))
+    left = rows.join(ids, "digest").withColumn("c", F.col("c") - is_first.cast("long")).filter("c > 0")
+    revisits = left.select(
+        "id", "uri", F.lit(None).cast("binary").alias("payload"), "digest", "n_bytes", F.lit("revisit").alias("record_type"),
+        F.nullif("first.ord", F.lit(_LAST)).alias("refers_to"), F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("n"),
+    ).withColumn("copy", F.concat_ws(".", F.lit("r"), F.hex(F.xxhash64("uri")), "n")).drop("n")
+    out = responses.unionByName(revisits)
+    if min_bytes > 0:
+        small = p.filter(F.col("n_bytes") < min_bytes).select("id", "uri", "payload", "digest", "n_bytes", F.lit("response").alias("record_type"), no_ref, F.concat(F.lit("s"), F.monotonically_increasing_id().cast("string")).alias("copy"))
+        out = out.unionByName(small)
+    return out
 
 
 def _uri_text(uri: str | None) -> str | None:
@@ -89,21 +97,22 @@ def _uri_text(uri: str | None) -> str | None:
     return None if uri is None else "".join(c if c >= " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in uri)
 
 
-def _urn(i: int | None) -> str:
-    return f"<urn:page:{i}>" if i is not None else f"<urn:uuid:{uuid.uuid4()}>"
+def _urn(i: int | None, digest: str, copy: str = "") -> str:
+    """Record id: of a payload's response without copy, of other records with one of their own."""
+    return f"<urn:page:{'' if i is None else i}:{digest}{':' * bool(copy)}{copy}>"
 
 
-def encode_record(rid, uri, payload: bytes, digest_hex: str, n_bytes: int, kind: str, refers_to) -> bytes:
+def encode_record(rid, uri, payload: bytes, digest_hex: str, n_bytes: int, kind: str, refers_to, copy: str = "") -> bytes:
     """One gzip member."""
     digest = base64.b32encode(bytes.fromhex(digest_hex)).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + payload if kind == "response" else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(rid)}", f"WARC-Date: {EPOCH}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(rid, digest, copy)}", f"WARC-Date: {EPOCH}"]
     if uri is not None:
         head.append(f"WARC-Target-URI: {_uri_text(uri)}")
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n_bytes}"]
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}"] + ([f"WARC-Refers-To: {_urn(refers_to)}"] if refers_to is not None else [])
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to, digest)}"]
     head.append(f"Content-Length: {len(block)}")
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
     return c.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + c.flush()
@@ -116,20 +125,20 @@ def write_archives(records: DataFrame, out_dir: str) -> DataFrame:
         fs, folder = open_fs(out_dir)
         name, out, n, size = f"{uuid.uuid4().hex}.warc.gz", None, 0, 0
         for b in batches:
-            cols = [b.column(i) for i in range(7)]
+            cols = [b.column(i) for i in range(len(PLAN))]
             for i in range(b.num_rows):
                 if out is None:
                     fs.create_dir(folder, recursive=True)
                     out = fs.open_output_stream(f"{folder}/{name}", compression=None)
-                rid, uri, payload, digest, n_bytes, kind, ref = (c[i].as_py() for c in cols)
-                data = encode_record(rid, uri, payload or b"", digest, n_bytes, kind, ref)
+                rid, uri, payload, digest, n_bytes, kind, ref, copy = (c[i].as_py() for c in cols)
+                data = encode_record(rid, uri, payload or b"", digest, n_bytes, kind, ref, copy)
                 out.write(data)
                 n, size = n + 1, size + len(data)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{out_dir}/{name}"], "n_records": [n], "n_bytes": [size]})
 
-    cols = records.select("id", "uri", "payload", "digest", "n_bytes", "record_type", "refers_to")
+    cols = records.select(*PLAN)
     return materialize(cols.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
@@ -213,7 +222,8 @@ def parse_record(data: bytes) -> dict:
         block = block.partition(b"\r\n\r\n")[2]
 
     def page(v: str | None) -> int | None:
-        return int(v[10:-1]) if v and v.startswith("<urn:page:") else None
+        own = v[10:-1].partition(":")[0] if v and v.startswith("<urn:page:") else ""
+        return int(own) if own else None
 
     told = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     if kind == "revisit":
@@ -221,7 +231,7 @@ def parse_record(data: bytes) -> dict:
     else:
         n, digest = len(block), base64.b32encode(hashlib.sha1(block).digest()).decode()
     return {
-        "id": page(fields.get("warc-record-id")), "record_type": kind, "uri": fields.get("warc-target-uri"), "refers_to": page(fields.get("warc-refers-to")),
+        "id": page(fields.get("warc-record-id")), "record_id": fields.get("warc-record-id"), "record_type": kind, "uri": fields.get("warc-target-uri"), "refers_to": page(fields.get("warc-refers-to")),
         "payload_bytes": n, "payload_digest": digest, "digest_ok": not told or told == digest, "payload": block if kind != "revisit" else None,
     }
 
@@ -237,7 +247,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = 32 << 20, with_payload
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [("id", pa.int64()), ("record_type", pa.string()), ("uri", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
+            [("id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("uri", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
              ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("payload", pa.binary()), ("path", pa.string()), ("offset", pa.int64())]
         )
         for b in batches:
