@@ -12,11 +12,11 @@ extended: the windows around it are looked up by hash and compared word by
 word.  Items shorter than a window lie below the guarantee; they are found by
 their own length's hash at places that hold their first word.
 
-Join strategy: the items' words, fingerprints and windows form an index whose
-size is counted first.  Up to ``block_words`` words it is one block; a larger
-benchmark is cut into blocks of whole items, each of bounded size, which are
-broadcast one after the other and the hits united.  Documents are never
-shuffled for the search.
+Join strategy: the items' words, fingerprints and windows form an index in flat
+arrays.  It is cut into blocks of whole items, each of about ``block_bytes``
+(text and arrays as estimated by WORD_BYTES), which are broadcast one after the
+other and the hits united; a usual benchmark is one block.  A larger one costs
+a pass over the documents for each block.  Documents are never shuffled.
 
 Defined cases: null and empty texts have no words; an item without words has no
 windows; items with equal ids are one item; repeated document rows keep their
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, materialize
+from .common import WORD_TABLE, materialize, own_name
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,15 +73,21 @@ def winnow(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints and windows of some items: [(item_id, words)]."""
+    """Fingerprints and windows of some items: [(item_id, words)].
+
+    Flat arrays: the items' words as numbers, strung together, and of each
+    window its hash, place and item, sorted by hash: about 30 bytes a word,
+    beside the words themselves.
+    """
 
     def __init__(self, items: list[tuple[int, list[bytes]]], span: int = 10, k: int = 5):
         self.span, self.k = span, k
         self.number: dict[bytes, int] = {}
-        coded = [(i, np.fromiter([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int64, len(ws))) for i, ws in items if ws]
+        coded = [(i, np.fromiter([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int32, len(ws))) for i, ws in items if ws]
         # code of a word number; 0 stands for every word that no item has, and for the gap between texts
         self.code = self._codes(len(self.number) + 1)
-        prints, windows = [np.zeros(0, np.uint64)], {}
+        prints, keys, places, owners, texts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+        self.items: list[int | None] = []
         short: dict[int, dict[tuple, set]] = {}
         for item, ids in coded:
             if len(ids) < span:
@@ -90,11 +96,25 @@ class Index:
             x = self.code[ids]
             h = gram_hashes(x, k)
             prints.append(h[winnow(h, span - k + 1)])
-            for at, key in enumerate(gram_hashes(x, span).tolist()):
-                windows.setdefault(key, {}).setdefault(tuple(ids[at : at + span].tolist()), set()).add(item)
+            wide = gram_hashes(x, span)
+            keys.append(wide)
+            places.append(np.arange(at, at + len(wide)))
+            owners.append(np.full(len(wide), len(self.items), np.int32))
+            texts.append(ids)
+            self.items.append(item)
+            at += len(ids)
         self.prints = np.unique(np.concatenate(prints))
-        self.windows = windows
-        self.keys = np.array(sorted(windows), np.uint64)
+        self.text, keys, places, owners = (np.concatenate(x) for x in (texts, keys, places, owners))
+        order = np.lexsort((owners, keys))
+        keys, places, owners = keys[order], places[order], owners[order]
+        # an item's later places of a hash add nothing, if they hold the same words
+        if len(keys):
+            again = np.r_[False, (keys[1:] == keys[:-1]) & (owners[1:] == owners[:-1])]
+            for i in np.flatnonzero(again).tolist():
+                a, b = places[i - 1], places[i]
+                again[i] = bool((self.text[a : a + span] == self.text[b : b + span]).all())
+            keys, places, owners = keys[~again], places[~again], owners[~again]
+        self.keys, self.places, self.owners = keys, places, owners
         self.short = {}
         for size, table in sorted(short.items()):
             first = np.zeros(len(self.number) + 1, bool)
@@ -131,12 +151,12 @@ class Index:
                     wide ^= wide >> np.uint64(31)
                     wide *= np.uint64(0xD6E8FEB86659FD93)
                     wide ^= wide >> np.uint64(32)
-                    place = np.minimum(np.searchsorted(self.keys, wide), len(self.keys) - 1)
-                    ok = self.keys[place] == wide
-                    for s, key in zip(around[ok].tolist(), wide[ok].tolist()):
-                        items = self.windows[key].get(tuple(ids[s : s + self.span].tolist()))
-                        if items:
-                            out.append((s, self.span, items))
+                    low, high = (np.searchsorted(self.keys, wide, side=x) for x in ("left", "right"))
+                    for i in np.flatnonzero(low < high).tolist():
+                        s, which = int(around[i]), np.arange(low[i], high[i])
+                        same = (self.text[self.places[which][:, None] + np.arange(self.span)] == ids[s : s + self.span]).all(axis=1)
+                        if same.any():
+                            out.append((s, self.span, {self.items[o] for o in self.owners[which[same]].tolist()}))
         for size, (first, table) in self.short.items():
             for s in np.flatnonzero(first[ids[: len(ids) - size + 1]]).tolist() if len(ids) >= size else ():
                 items = table.get(tuple(ids[s : s + size].tolist()))
@@ -175,29 +195,29 @@ def _slices(col: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list]]:
         yield first, texts
 
 
-def blocks_of(bench: DataFrame, id_col: str, text_col: str, block_words: int, span: int, k: int) -> Iterator[Index]:
-    """Indexes of whole items, each of at most about block_words words.
+#: Bytes of an index a word: 28 in arrays, and 100 for each different word (counted as a third of all).
+WORD_BYTES = 64
 
-    The blocks are cut by a running sum over items that is computed per
-    partition; the driver holds one block at a time.
-    """
+
+def blocks_of(bench: DataFrame, id_col: str, text_col: str, block_bytes: int, span: int, k: int) -> Iterator[Index]:
+    """Indexes of whole items, each of about block_bytes; the driver holds one at a time."""
     items = bench.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("text is not null")
     held, n = [], 0
     for row in items.toLocalIterator():
         ws = words_of(bytes(row.text))
         held.append((row.id, ws))
-        n += len(ws)
-        if n >= block_words:
+        n += WORD_BYTES * len(ws) + len(row.text)
+        if n >= block_bytes:
             yield Index(held, span, k)
             held, n = [], 0
     if held:
         yield Index(held, span, k)
 
 
-HITS = "__n_words long, __hit array<struct<s:int,e:int>>, __items array<long>"
+HITS = "{} long, {} array<struct<s:int,e:int>>, {} array<long>"
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", carry: tuple[str, ...] = (), span: int = 10, k: int = 5, block_words: int = 2_000_000, prefix: str = "") -> DataFrame:
+def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", carry: tuple[str, ...] = (), span: int = 10, k: int = 5, block_bytes: int = 128 << 20, prefix: str = "") -> DataFrame:
     """id, carried columns, n_words, hit (joined spans of hit words), items (ids, distinct).
 
     prefix goes before the new columns' names, for carried columns that clash.
@@ -206,11 +226,14 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
 
     spark = docs.sparkSession
     # A carried text travels to Python once.
-    held = text_col if text_col in carry else "__text"
-    extra = [] if text_col in carry else [F.col(text_col).cast("string").cast("binary").alias("__text")]
-    base = docs.select(F.col(id_col).alias("__id"), *extra, *[F.col(c) for c in carry])
-    kept = [f for f in base.schema.fields if f.name != "__text"]
-    hit_fields = StructType.fromDDL(HITS)
+    held = text_col if text_col in carry else own_name(docs, "__text")
+    extra = [] if text_col in carry else [F.col(text_col).cast("string").cast("binary").alias(held)]
+    key, row_no = own_name(docs, "__id"), own_name(docs, "__row")
+    base = docs.select(F.col(id_col).alias(key), *extra, *[F.col(c) for c in carry])
+    away = set() if text_col in carry else {held}
+    kept = [f for f in base.schema.fields if f.name not in away]
+    made = n_col, hit_col, items_col = tuple(own_name(docs, "__" + c) for c in ("n_words", "hit", "items"))
+    hit_fields = StructType.fromDDL(HITS.format(*made))
 
     def pass_over(index: Index, frame: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)
@@ -230,33 +253,34 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
                         n_words.append(n)
                         hit.append(spans)
                         items.append(sorted({i for _, _, g in found for i in g if i is not None}))
-                names = [f.name for f in b.schema if f.name != "__text"]
+                names = [f.name for f in b.schema if f.name not in away]
                 arrays = [b.column(b.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays(
                     arrays + [pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))],
-                    names + ["__n_words", "__hit", "__items"],
+                    [*names, *made],
                 )
 
-        return frame.mapInArrow(run, StructType([f for f in frame.schema.fields if f.name != "__text"] + hit_fields.fields))
+        return frame.mapInArrow(run, StructType([f for f in frame.schema.fields if f.name not in away] + hit_fields.fields))
 
-    indexes = blocks_of(bench, item_col, item_text_col, block_words, span, k)
+    indexes = blocks_of(bench, item_col, item_text_col, block_bytes, span, k)
     first = next(indexes, None) or Index([], span, k)
     out = pass_over(first, base)
     second = next(indexes, None)
     if second is not None:
         # More than one block: each pass leaves its hits by row, united at the end.
-        keyed = materialize(base.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
+        keyed = materialize(base.withColumn(row_no, F.monotonically_increasing_id()), "decontaminate-rows")
         parts = [materialize(pass_over(first, keyed), "decontaminate-block")]
         while second is not None:
-            parts.append(materialize(pass_over(second, keyed).select("__row", "__hit", "__items").filter("size(__hit) > 0"), "decontaminate-block"))
+            parts.append(materialize(pass_over(second, keyed).select(row_no, hit_col, items_col).filter(F.size(hit_col) > 0), "decontaminate-block"))
             second = next(indexes, None)
         more = parts[1]
         for p in parts[2:]:
             more = more.unionByName(p)
-        more = more.groupBy("__row").agg(F.flatten(F.collect_list("__hit")).alias("__h2"), F.flatten(F.collect_list("__items")).alias("__i2"))
-        both = parts[0].join(more, "__row", "left")
+        h2, i2 = own_name(keyed, "__h2"), own_name(keyed, "__i2")
+        more = more.groupBy(row_no).agg(F.flatten(F.collect_list(hit_col)).alias(h2), F.flatten(F.collect_list(items_col)).alias(i2))
+        both = parts[0].join(more, row_no, "left")
         none_h, none_i = (F.from_json(F.lit("[]"), t) for t in ("array<struct<s:int,e:int>>", "array<bigint>"))
-        spans = F.array_sort(F.concat("__hit", F.coalesce("__h2", none_h)))
+        spans = F.array_sort(F.concat(hit_col, F.coalesce(h2, none_h)))
         merged = F.aggregate(
             spans, none_h,
             lambda acc, x: F.when(
@@ -264,9 +288,9 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
                 F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))),
             ).otherwise(F.concat(acc, F.array(x))),
         )
-        out = both.select(*[f.name for f in kept], "__n_words", merged.alias("__hit"), F.array_sort(F.array_distinct(F.concat("__items", F.coalesce("__i2", none_i)))).alias("__items"))
-    new = [F.col("__" + c).alias(prefix + c) for c in ("n_words", "hit", "items")]
-    return out.select(F.col("__id").alias(id_col), *[c for c in carry if c != id_col], *new)
+        out = both.select(*[f.name for f in kept], n_col, merged.alias(hit_col), F.array_sort(F.array_distinct(F.concat(items_col, F.coalesce(i2, none_i)))).alias(items_col))
+    new = [F.col(c).alias(prefix + n) for c, n in zip(made, ("n_words", "hit", "items"))]
+    return out.select(F.col(key).alias(id_col), *[c for c in carry if c != id_col], *new)
 
 
 def items_digest(items: list[int]) -> str:
