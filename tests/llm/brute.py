@@ -148,15 +148,25 @@ def quality(text):
     for i in range(len(w) - 4):
         at[tuple(w[i : i + 5])].append(i)
     rep = {p for v in at.values() if len(v) > 1 for i in v for p in range(i, i + 5)}
-    longest = 0
-    for i in range(len(w)):
-        for j in range(i + 1, len(w)):
-            if j + longest < len(w) and w[i : i + longest + 1] == w[j : j + longest + 1]:
-                while j + longest < len(w) and w[i + longest] == w[j + longest]:
-                    longest += 1
-    longest = longest if longest >= 5 else 0
+    covered, longest = repeats(w, 3)
     failed = len(w) < 10 or 100 * len(rep) > 20 * len(w)
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(rep), failed, not failed and len(rep) <= 0.2 * len(w) and longest <= 50
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(rep), failed, not failed and covered <= 0.4 * len(w) and longest <= 50
+
+
+def repeats(w, least):
+    """(words inside `least`-word windows that occur twice, words of the longest repeat)."""
+    at, covered = defaultdict(list), set()
+    for i in range(len(w) - least + 1):
+        at[tuple(w[i : i + least])].append(i)
+    for v in at.values():
+        if len(v) > 1:
+            covered |= {p for i in v for p in range(i, i + least)}
+    lo, hi = 0, len(w) - 1  # the longest m for which some window of m words occurs twice
+    while lo < hi:
+        m = (lo + hi + 1) // 2
+        seen = {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}
+        lo, hi = (m, hi) if len(seen) < len(w) - m + 1 else (lo, m - 1)
+    return len(covered), lo if lo >= least else 0
 
 
 def licenses(text):
@@ -171,6 +181,20 @@ def licenses(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def notices(text, wanted):
+    """(labels of notices that stand in the text within their errors, best score): one search of the whole text a notice."""
+    import regex
+
+    joined = " ".join(WORD.findall(lower(text)))
+    labels, score = set(), 0.0
+    for n in wanted:
+        for m in regex.finditer(f"(?e)(?:{regex.escape(n.text)}){{e<={n.errors}}}", joined, regex.V0):
+            if m.end() > m.start():
+                labels.add(n.label)
+                score = max(score, 1 - sum(m.fuzzy_counts) / len(n.text))
+    return labels, score
+
+
 def pack_ids(text, tok, end=2, size=1024):
     import struct
 
@@ -181,3 +205,77 @@ def pack_ids(text, tok, end=2, size=1024):
         out.append((len(out), at, n, zlib.crc32(struct.pack(f"<{n}I", *ids[at : at + n]))))
         at += n
     return out
+
+
+def cut_chunks(data, reach=28, longest=1024):
+    """Chunk ends of a byte string: after a byte whose gear hash is the smallest within reach on both sides."""
+    from marginalia.llm.chunks import GEAR
+
+    n, h, hashes = len(data), 0, []
+    for b in data:
+        h = (2 * h + int(GEAR[b])) % 2**32
+        hashes.append(h)
+    cuts = {0, n}
+
+    def whole(at):
+        while at < n and data[at] & 0xC0 == 0x80:
+            at += 1
+        return at
+
+    if n > 2 * reach + 1:
+        for p in range(reach, n - reach):
+            if hashes[p] < min(hashes[p - reach : p]) and hashes[p] <= min(hashes[p + 1 : p + reach + 1]):
+                cuts.add(whole(p + 1))
+    for a, b in zip(sorted(cuts), sorted(cuts)[1:]):
+        cuts |= {whole(at) for at in range(a + longest, b, longest)}
+    return sorted(cuts)
+
+
+def passages(docs, least=200, context=256):
+    """(id, start, end, n_chunks, n_bytes, first ids, is_first, again) of repeated passages; docs: {id: text}."""
+    spans, holders = {}, defaultdict(list)
+    for d, t in docs.items():
+        data = (t or "").encode()
+        c = cut_chunks(data) if data else []
+        spans[d] = []
+        for a, b in zip(c, c[1:]):
+            s, e = len(data[:a].decode()), len(data[:b].decode())
+            spans[d].append((data[a:b], s, e))
+            holders[data[a:b]].append((d, s, e))
+    out = []
+    for d, chunks in spans.items():
+        runs = []
+        for piece, s, e in chunks:
+            if len(holders[piece]) > 1:
+                again = any(x[0] == d and x[1] < s for x in holders[piece])
+                if runs and runs[-1][-1][2] == s:
+                    runs[-1].append((piece, s, e, again))
+                else:
+                    runs.append([(piece, s, e, again)])
+        for run in runs:
+            t = docs[d]
+
+            def grown(at, piece, own, back):
+                known = sorted(holders[piece])
+                o = known[-1] if known[0][:2] == (d, own) else known[0]
+                x, y = (t[:at][::-1], docs[o[0]][: o[1]][::-1]) if back else (t[at:], docs[o[0]][o[2] :])
+                n = 0
+                while n < min(len(x), len(y), context) and x[n] == y[n]:
+                    n += 1
+                return n
+
+            left, right = grown(run[0][1], *run[0][:2], True), grown(run[-1][2], *run[-1][:2], False)
+            start, end = run[0][1] - left, run[-1][2] + right
+            if len(t[start:end].encode()) < least:
+                continue
+            parts = []
+            for x in run:
+                if parts and parts[-1][-1][3] == x[3]:
+                    parts[-1].append(x)
+                else:
+                    parts.append([x])
+            for i, part in enumerate(parts):
+                first = sorted({min(holders[p])[0] for p, *_ in part})
+                a, b = (start if i == 0 else part[0][1]), (end if i == len(parts) - 1 else part[-1][2])
+                out.append((d, a, b, len(part), sum(len(p) for p, *_ in part), tuple(first), first == [d], part[0][3]))
+    return sorted(out)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import brute
-from marginalia.llm import chunks, decontaminate, license, pack, pii, quality, secrets, simhash, tokens, warc
+from marginalia.llm import chunks, decontaminate, license, pack, pii, quality, secrets, similar, simhash, tokens, warc
 from marginalia.llm import queries as q
 from marginalia.llm.common import new_path, ship
 
@@ -108,8 +108,8 @@ def test_decontaminate_cases(spark, odd, none):
     b = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame(docs, "doc_id long, text string")
     want = {k: v[:3] for k, v in brute.contamination(docs, [(i, t) for i, t in items]).items()}
-    for size in (2_000_000, 1):  # one block, and a block for every item
-        got = {r.doc_id: (r.n_words, sum(x.e - x.s for x in r.hit), len(r["items"])) for r in decontaminate.find_hits(d, b, block_words=size).collect()}
+    for size in (1 << 27, 1):  # one block, and a block for every item
+        got = {r.doc_id: (r.n_words, sum(x.e - x.s for x in r.hit), len(r["items"])) for r in decontaminate.find_hits(d, b, block_bytes=size).collect()}
         assert got == want
     assert decontaminate.find_hits(d, b.filter("item_id < 0")).filter("size(hit) > 0").count() == 0
     assert decontaminate.find_hits(none, b).count() == 0
@@ -143,6 +143,25 @@ def test_pack_rounds_reach_the_bound(spark):
     assert bound <= one <= many <= 1.03 * one
 
 
+def test_pack_keeps_large_and_null_ids(spark):
+    big = 1 << 53
+    rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (big + 1, "one two"), (big + 3, "three"), (None, None)], "doc_id long, text string").coalesce(1)
+    got = pack.pack_documents(rows, q.tokenizer_path()).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == sorted([None, None, None, big + 1, big + 3], key=repr)
+    assert len({r.sequence_id for r in got}) == 1 and len({r.offset for r in got}) == 5
+
+
+def test_pack_certificates(spark):
+    sizes = np.random.default_rng(0).integers(1, 1024, 3000)
+    rows = spark.createDataFrame([(int(i), 0, 0, int(s), int(i)) for i, s in enumerate(sizes)], pack.PIECE)
+    packed, notes = pack.pack_certified(rows, per_partition=300)
+    held = notes.collect()
+    assert {r.round for r in held} >= {0, 1} and all(r.bound <= r.bins for r in held)
+    assert sum(r.pieces for r in held if r.round == 0) == 3000 == packed.count()
+    used = [{(r.sequence_id) for r in packed.collect()}]
+    assert len(used[0]) <= sum(r.bins for r in held if r.round == 0)
+
+
 def test_lower_bound_is_sound():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -175,14 +194,34 @@ def test_simhash_cases(spark, odd, none):
     assert all(r.fp == 0 for r in got if r.doc_id in (1, 2, 3))
 
 
+def groups_of(df, **options):
+    return {(r.doc_id, bytes(r.digest)): r.component for r in similar.similar_groups(df, **options).collect()}
+
+
+def components_of(spark, rows, **options):
+    got = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    assert len(got) == len(rows)
+    return {r.doc_id: r.component for r in got}
+
+
 def test_similar_cases(spark, odd, none):
-    got = simhash.similar_documents(odd).collect()
-    assert len(got) == len(ROWS) and simhash.similar_documents(none).count() == 0
+    got = similar.similar_groups(odd).collect()
+    assert sum(r.n for r in got) == len(ROWS) and similar.similar_groups(none).count() == 0
     assert {(r.doc_id, r.component) for r in got if r.doc_id in (1, 2, 3)} == {(1, 1), (2, 1), (3, 1)}
     assert {r.component for r in got if r.doc_id is None} == {None}
+    assert {(r.doc_id, r.n) for r in got if r.doc_id == 6} == {(6, 2)}
+
+
+def test_drop_similar_loses_no_text(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, 7), (2, a, 8), (2, b, 9), (3, c, 1), (3, d, 2), (None, a, 3), (None, a, 4), (3, d, 2), (3, d, 1), (None, b + " more", 5), (None, "alone " + d[::-1], 6)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, n long, __digest string, __mark string")
+    got = similar.drop_similar(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.n) for r in got.collect()), key=repr) == sorted([(1, a, 7), (2, b, 9), (3, c, 1), (3, d, 1), (None, "alone " + d[::-1], 6)], key=repr)
 
 
-def test_similar_documents_finds_edited_copies(spark):
+def test_similar_finds_edited_copies(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(4000)]
     rows = []
@@ -195,13 +234,12 @@ def test_similar_documents_finds_edited_copies(spark):
                 w[at] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(w)))
     want = brute.alike(rows)
-    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    near = [d for d in want if want[d] != d]
-    assert len(near) > 70 and all(got[d] in (want[d], d) for d in want)
-    assert sum(got[d] == want[d] for d in near) >= 0.95 * len(near)
+    assert sum(want[d] != d for d in want) > 70
+    for cell in (similar.CELL, 4):  # whole groups, and groups cut into many cells
+        assert components_of(spark, rows, cell=cell) == want
 
 
-def test_similar_documents_finds_added_and_cut_text(spark):
+def test_similar_finds_added_and_cut_text(spark):
     rng = random.Random(6)
     prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     rows = []
@@ -210,13 +248,11 @@ def test_similar_documents_finds_added_and_cut_text(spark):
         rows += [(len(rows), " ".join(source)), (len(rows) + 1, " ".join(source + prose(more)))]
         source = prose(n + more)
         rows += [(len(rows), " ".join(source)), (len(rows) + 1, " ".join(source[:n]))]
-    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = [simhash.shingles(t.encode(), 5) for _, t in rows]
-    want = {d: d - d % 2 if simhash.similar(sets[d - d % 2], sets[d - d % 2 + 1], 0.8) else d for d in got}
-    assert sum(want[d] != d for d in want) > 150 and got == want
+    want = brute.alike(rows)
+    assert sum(want[d] != d for d in want) > 150 and components_of(spark, rows) == want
 
 
-def test_similar_documents_links_chains_and_equal_word_sets(spark):
+def test_similar_links_chains_and_equal_word_sets(spark):
     rng = random.Random(8)
     # every text has the same words: nearest by words says nothing about the shingles
     vocabulary = [f"w{i}" for i in range(300)]
@@ -229,17 +265,32 @@ def test_similar_documents_links_chains_and_equal_word_sets(spark):
     chain = [f"c{i}" for i in range(700)]
     first = len(rows)
     rows += [(first + i, " ".join(chain[10 * i : 10 * i + 200])) for i in range(50)]
-    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {d: first if d >= first else d - d % 2 for d, _ in rows}
+    for cell in (similar.CELL, 8):
+        assert components_of(spark, rows, cell=cell) == {d: first if d >= first else d - d % 2 for d, _ in rows}
 
 
-def test_a_folded_run_keeps_its_components():
-    rng = np.random.default_rng(2)
-    source = rng.integers(0, 2**63, (1, 2), np.int64).view(np.uint64)
-    prints = source ^ (np.uint64(1) << rng.integers(0, 64, (2000, 2)).astype(np.uint64))
-    edges, middle = simhash.candidate_edges(np.r_[prints, ~source], 26)
-    assert len(middle) == 2 and sum(map(len, edges)) <= 2 * 2000
-    assert set(np.concatenate(edges).ravel().tolist()) == set(range(2000))
+def test_long_runs_of_an_anchor_link_as_short_ones(spark):
+    rng = np.random.default_rng(4)
+    # one family shares its lower half, so all its members meet at the same anchors
+    high = rng.integers(0, 1 << 31, 3000, np.int64).astype(np.uint64)
+    high[1500:] = high[:1500] ^ (np.uint64(1) << rng.integers(0, 31, 1500).astype(np.uint64))
+    fps = (high << np.uint64(32)) | np.uint64(12345)
+    distinct = spark.createDataFrame([(int(x),) for x in np.unique(fps).view(np.int64)], "fp long").repartition(3)
+
+    def roots(longest):
+        up = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for r in simhash.link(distinct, longest=longest).collect():
+            a, b = find(r.u), find(r.v)
+            up[max(a, b)] = min(a, b)
+        return {x: find(x) for x in list(up)}
+
+    assert roots(1 << 40) == roots(200) and len(roots(200)) >= 3000 - 10
 
 
 def test_components_of_a_long_chain(spark):
@@ -258,6 +309,25 @@ def test_quality_cases(odd, none):
     assert [r.kept for r in got if r.doc_id is None] == [True]
 
 
+def test_quality_verdict_has_its_own_scale(spark):
+    stutter = " ".join(f"w{i}" for i in range(12) for _ in range(4))
+    passage = " ".join(f"p{i}" for i in range(60))
+    twice = " ".join([passage, *(f"m{i}" for i in range(800)), passage])
+    rows = [(1, stutter), (2, twice), (3, " ".join(f"n{i}" for i in range(500)))]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (False, True)}
+    for _, t in rows:
+        assert quality.measure(t.encode())[5:] == brute.repeats(t.split(), 3)
+
+
+def test_prefix_lengths_agree():
+    rng = np.random.default_rng(3)
+    for n, k in ((2, 1), (50, 2), (300, 3), (300, 1), (500, 200)):
+        x = rng.integers(0, k, n)
+        for a, b in zip(quality.suffix_array(x), quality.suffix_array(x, most_kept=0)):
+            assert a.tolist() == b.tolist()
+
+
 def test_suffix_array():
     rng = np.random.default_rng(2)
     for n in (1, 2, 7, 40):
@@ -290,13 +360,17 @@ def test_shared_passages_are_found(spark, none):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    rows = []
+    rows, want = [], {}
     for i in range(150):
         p = prose(52)
         rows += [(3 * i, prose(80) + " " + p + " " + prose(60)), (3 * i + 1, prose(50) + " " + p + " " + prose(90)), (3 * i + 2, prose(150))]
-    got = {r.doc_id for r in chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        want[3 * i] = want[3 * i + 1] = p
+    found = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got, texts = {r.doc_id for r in found}, dict(rows)
     assert not {d for d in got if d % 3 == 2}
     assert len(got) >= 0.98 * 300
+    # the spans reach the passages' real ends
+    assert all(want[r.doc_id] in texts[r.doc_id][r.start : r.end] for r in found)
     assert chunks.repeated_passages(none).count() == 0
 
 
@@ -311,6 +385,18 @@ def test_passages_repeated_inside_a_document_are_found(spark):
     assert text[got[0].start : got[0].end] == text[got[1].start : got[1].end] and got[1].n_bytes > 0.8 * len(p)
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    p = prose(80)
+    texts = [prose(60) + " " + p + " end", p + " " + prose(70)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, prose(200)), (None, p)]
+    got = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in got] == [1, 1] and len({r.version for r in got}) == 2
+    assert sorted(r.again for r in got) == [False, True]
+    assert all(any(p in t[r.start : r.end] for t in texts) for r in got)
+
+
 def test_token_cache(spark, odd, none):
     path = new_path(spark, "test-cache")
     a = tokens.count_tokens(odd, q.tokenizer_path(), path).collect()
@@ -335,6 +421,35 @@ def test_license_cases(odd, none):
     assert {(r.n_base, r.first_word, r.last_word, r.base_labels) for r in got if r.doc_id == 6} == {(4, 0, 7, "cc-by,gpl,reserved")}
 
 
+def test_license_columns_equal_a_plain_version():
+    rng, s = random.Random(13), license.Searcher(license.notices())
+    words = "all rights reserved cc by general public license gnu lesser affero the of free software licensed under apache version 2 0".split()
+    notes = list(license.NOTICES)
+    for _ in range(60):
+        parts = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 2)):
+            note = list(rng.choice(notes))
+            for _ in range(rng.randint(0, 3)):
+                note[rng.randrange(len(note))] = rng.choice("abcxyz")
+            at = rng.randint(0, len(parts))
+            parts[at:at] = "".join(note).split()
+        text = " ".join(parts)
+        got = s.scan(text.encode())
+        assert got[:5] == brute.licenses(text)
+        labels, score = brute.notices(text, s.wanted)
+        base = set(got[4].split(",")) - {""}
+        assert got[5] == ",".join(sorted(base | labels)) and got[6] == pytest.approx(1.0 if base else score), text
+
+
+def test_license_scan_is_linear():
+    import time
+
+    s = license.Searcher(license.notices())
+    text = (b"all rights reserved under cc by terms and all rights reservd " * 20_000)
+    began = time.time()
+    assert s.scan(text)[1] == 40_000 and time.time() - began < 20
+
+
 def test_fuzzy_notices():
     s = license.Searcher(license.notices())
     for text, label in ((b"Permision is hereby granted, free of charge, to any persn obtaining a copy of this sofware", "mit"), (b"Licensed under the Apache Licence, Version 2.0", "apache-2.0"), (b"all rights reservd", "reserved")):
@@ -358,4 +473,12 @@ def test_warc_cases(spark):
     got = sorted(((r.id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(spark, pages).collect()), key=repr)
     want = [(1, "response", None, 2), (1, "revisit", 1, 2), (2, "revisit", 1, 2), (2, "revisit", 1, 2), (3, "response", None, 0), (4, "revisit", 3, 0), (5, "response", None, 2), (None, "revisit", 1, 2)]
     assert got == sorted(want, key=repr)
+    back = warc.round_trip(spark, pages).collect()
+    # every row has a record with its own URI and an id of its own
+    assert sorted((r.uri or "" for r in back)) == sorted((u or "").replace("\n", "%0A") for _, u, _ in rows)
+    assert len({r.record_id for r in back}) == len(rows)
+    two = spark.createDataFrame([(None, "http://a", "z"), (None, "http://b", "z"), (7, "http://c", "p"), (7, "http://d", "q")], "page_id long, url string, html string")
+    back = warc.round_trip(spark, two).collect()
+    assert sorted((r.uri, r.record_type) for r in back) == [("http://a", "response"), ("http://b", "revisit"), ("http://c", "response"), ("http://d", "response")]
+    assert len({r.record_id for r in back}) == 4
     assert warc.round_trip(spark, pages.filter("page_id = -1")).count() == 0
