@@ -20,8 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, path_exists
-from .spans import find_spans, nothing
+from .common import materialize, own_name, path_exists
+from .spans import find_spans, let, nothing
 
 FINDING = "array<struct<kind:string,start:int,end:int>>"
 
@@ -73,14 +73,6 @@ RULES = BASE_RULES + MORE_RULES
 ORDER = {r.name: i for i, r in enumerate(RULES)}
 
 
-def may_hold(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Whether some rule's guard lets the text through; a text with a finding always passes."""
-    out = F.lit(False)
-    for r in rules:
-        out = out | (r.guard(text) if r.guard else F.lit(True))
-    return out
-
-
 def _findings(text: Column, todo: Column, rules: tuple[Rule, ...]) -> Column:
     """Findings of the rules whose key is in todo."""
     each = []
@@ -151,4 +143,27 @@ def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(findings) > 0, done).otherwise(text)
 
 
-__all__ = ["RULES", "BASE_RULES", "Rule", "find_secrets", "may_hold", "redact", "scan_versions", "sort_spans", "nothing"]
+def redact_texts(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """docs with secrets replaced in the text, and the new length in length_col where a text changed.
+
+    Without a ledger each row is scanned where it stands, behind the rules'
+    guards: no text is shuffled.  With one only unseen blobs are scanned, and
+    findings joined back to the rows by digest.  Rows and other columns stay.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    done = own_name(docs, "__done")
+    changed = lambda f: F.struct(F.size(f).alias("n"), redact(F.col(text_col), f, mark).alias("text"))
+    if ledger_path is None:
+        made = docs.withColumn(done, let(sort_spans(_findings(text, F.array(*[F.lit(r.key) for r in rules]), rules)), changed))
+    else:
+        digest, its, found = (own_name(docs, n) for n in ("__digest", "__its", "__found"))
+        ledger = scan_versions(docs, ledger_path, rules, text_col).filter("size(findings) > 0").select(F.col("digest").alias(its), sort_spans(F.col("findings")).alias(found))
+        joined = docs.withColumn(digest, F.sha2(text, 256)).join(ledger, F.col(digest) == F.col(its), "left")
+        made = joined.withColumn(done, let(F.coalesce(found, nothing(FINDING)), changed))
+    out = {text_col: F.when(F.col(done)["n"] > 0, F.col(done)["text"]).otherwise(F.col(text_col))}
+    if length_col:
+        out[length_col] = F.when(F.col(done)["n"] > 0, F.length(F.col(done)["text"]).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return made.withColumns(out).select(*docs.columns)
+
+
+__all__ = ["RULES", "BASE_RULES", "Rule", "find_secrets", "redact", "redact_texts", "scan_versions", "sort_spans", "nothing"]
