@@ -39,7 +39,7 @@ class Segments(dict):
     emptied when it holds ``most`` entries; that only costs repeated work.
     """
 
-    def __init__(self, encode: Callable[[str], object], most: int = 400_000):
+    def __init__(self, encode: Callable[[str], object], most: int = 200_000):
         super().__init__()
         self.encode, self.most = encode, most
 

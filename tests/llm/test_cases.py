@@ -102,6 +102,17 @@ def test_redact(spark):
     assert {r.doc_id: r.out for r in led.collect()} == {1: "é [SECRET] end", 2: "[SECRET]", 3: "none"}
 
 
+def test_redaction_with_and_without_a_ledger(spark, odd, none):
+    wide = odd.withColumns({"n_chars": odd.n_words, "__done": odd.spans})
+    here = secrets.redact_texts(wide, length_col="n_chars")
+    there = secrets.redact_texts(wide, new_path(spark, "test-ledger"), length_col="n_chars")
+    assert here.columns == there.columns == wide.columns
+    rows = lambda df: sorted(((r.doc_id, r.text, r.n_chars) for r in df.collect()), key=repr)
+    assert rows(here) == rows(there) and len(rows(here)) == len(ROWS)
+    assert {(r.doc_id, r.text, r.n_chars) for r in here.collect() if r.doc_id == 5} == {(5, "tok [SECRET] [SECRET] mail me.x@y.org_z@q.de +1 (743) 555-3824", 63)}
+    assert secrets.redact_texts(none).count() == 0
+
+
 def test_decontaminate_cases(spark, odd, none):
     items = [(1, "one two three"), (2, " ".join(f"w{i}" for i in range(30))), (3, None), (4, "..."), (2, "extra item same id word list here now and then some")]
     docs = [(1, "x one, TWO three y"), (2, "a " + " ".join(f"w{i}" for i in range(5, 18)) + " b"), (3, " ".join(f"w{i}" for i in range(9))), (4, None)]
@@ -298,8 +309,10 @@ def test_components_of_a_long_chain(spark):
 
     n = 300
     e = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1000, 999)], "u long, v long")
-    got = {r.node: r.root for r in connected_components(e).collect()}
-    assert all(got[i] == 0 for i in range(1, n + 1)) and got[1000] == 999
+    for local in (500_000, 0):
+        got = {r.node: r.root for r in connected_components(e, local=local).collect()}
+        assert all(got[i] == 0 for i in range(n + 1)) and got[1000] == got[999] == 999
+        assert connected_components(e.filter("u < 0"), local=local).count() == 0
 
 
 def test_quality_cases(odd, none):
