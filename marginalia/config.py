@@ -13,10 +13,42 @@ class ValidationError(EngineError):
     """An input path or parameter can't be used."""
 
 
+class ConfigError(EngineError):
+    """A configuration lacks a value or has a wrong one."""
+
+
+class CredentialError(EngineError):
+    """A service's key is missing or refused."""
+
+
 class SourceError(EngineError):
     """A source can't be read."""
 
 
+class RecognitionError(SourceError):
+    """Text recognition on an image failed."""
+
+
+class ExtractionError(SourceError):
+    """Text could not be taken from a source."""
+
+
+class StructureError(EngineError):
+    """No structure could be made of a document's elements."""
+
+
+class ChunkingError(EngineError):
+    """A text could not be cut into chunks."""
+
+
+class ModelError(EngineError):
+    """A model failed or gave an answer that can't be read."""
+
+
+class AnnotationError(EngineError):
+    """Quotes could not be marked in a document."""
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     region_padding: float = 0.3
@@ -36,6 +68,32 @@ class EngineConfig:
     clip_tail_ms: int = 100
     max_chapter_length: int = 3500
 
+    @classmethod
+    def from_file(cls, path: str) -> "EngineConfig":
+        """From a JSON file, or a YAML file if a YAML parser is installed; sections are flattened."""
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as e:
+                raise ConfigError("reading YAML needs a YAML parser") from e
+            values = yaml.safe_load(text)
+        else:
+            try:
+                values = json.loads(text)
+            except ValueError as e:
+                raise ConfigError(f"not JSON: {path}") from e
+        if not isinstance(values, dict):
+            raise ConfigError(f"no mapping in {path}")
+        flat = {k: v for k, v in values.items() if not isinstance(v, dict)}
+        for v in values.values():
+            if isinstance(v, dict):
+                flat |= v
+        return cls.from_mapping(flat)
+
     @classmethod
     def from_mapping(cls, values: dict) -> "EngineConfig":
         """From a parsed YAML or JSON mapping; unknown keys are ignored."""

@@ -116,9 +116,15 @@ def phrases(c: Column, size: int = 8, more_than: int = 10, least_chars: int = 15
 
 
 def snippet_lines(c: Column, least: int = 10, unquote: bool = False) -> Column:
-    """Lines of at least `least` characters once stripped."""
-    strip = (lambda x: F.regexp_replace(ws_strip(x), "^[\"']+|[\"']+$", "")) if unquote else ws_strip
-    return F.filter(F.transform(F.split(c, "\n"), lambda x: strip(x)), lambda x: F.length(x) >= least)
+    """Lines of at least `least` characters once stripped; then double and single quotes around them go if asked."""
+    lines = F.filter(F.transform(F.split(c, "\n"), ws_strip), lambda x: F.length(x) >= least)
+    bare = lambda x, q: F.regexp_replace(x, f"^{q}+|{q}+$", "")
+    return F.transform(lines, lambda x: ws_strip(bare(bare(x, '"'), "'"))) if unquote else lines
+
+
+def split_sentences(c: Column) -> Column:
+    """Substitute sentence splitter: after . ! or ? and white space; empty parts go."""
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), ws_strip), lambda x: F.length(x) > 0)
 
 
 def number_of_words(c: Column) -> Column:
@@ -164,7 +170,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(F.least(F.greatest(dot(a, b) / norm, F.lit(-1.0)), F.lit(1.0)))
 
 
+def softmax(v: Column) -> Column:
+    """Exponentials of the entries over their sum, shifted by the largest."""
+    top = F.array_max(v).cast("double")
+    e = F.transform(v, lambda x: F.exp(x.cast("double") - top))
+    return F.element_at(F.transform(F.array(e), lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, y: a + y))), 1)
+
+
+def short_enough(df, length: str, most: int):
+    """Rows whose length, a number or its text, is at most `most`; all rows if most is 0 or less."""
+    return df if most <= 0 else df.filter(F.col(length).try_cast("bigint") <= most)
+
+
 def role_text(turns: Column, role: str, last: bool) -> Column:
     """Text of the first or last turn of a role in array<struct<role,text>>."""
     own = F.filter(turns, lambda t: t["role"] == role)
     return F.try_element_at(own, F.lit(-1 if last else 1))["text"]
+
+
+def content_text(item: Column, kind: str, role: str = "assistant", last: bool = False) -> Column:
+    """Text of a prompt or completion in any of its forms: text, fields (a map: response, text or content), turns."""
+    if kind == "text":
+        return item
+    if kind == "fields":
+        return F.coalesce(*[F.try_element_at(item, F.lit(k)) for k in ("response", "text", "content")])
+    if kind == "turns":
+        return role_text(item, role, last)
+    raise ValueError(f"no such form: {kind}")

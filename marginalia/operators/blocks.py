@@ -13,9 +13,15 @@ def drop_blank(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(F.length(ws_strip(F.col(text))) > 0)
 
 
+def digit_class() -> str:
+    """A regular-expression class of all digits: decimal ones, and those in circles, superscript and the like."""
+    others = [i for i in range(0x110000) if (c := chr(i)).isdigit() and not c.isdecimal()]
+    return r"[\p{Nd}" + "".join(rf"\x{{{i:X}}}" for i in others) + "]"
+
+
 def drop_numeric(df: DataFrame, text: str = "text") -> DataFrame:
     """Blocks that are digits only go."""
-    return df.filter(~F.col(text).rlike(r"^\p{Nd}+$"))
+    return df.filter(~F.col(text).rlike(f"^{digit_class()}+$"))
 
 
 def resolve_aliases(df: DataFrame) -> DataFrame:
@@ -95,13 +101,16 @@ def layout_features(boxes: DataFrame, keys: list[str], page_width: float) -> Dat
     )
 
 
-def merge_word_blocks(words: DataFrame, keys: list[str], order: list[str], width: float, height: float) -> DataFrame:
-    """Word runs of one height as blocks; thresholds follow the page's orientation."""
-    wide = (0.02 if width > height else 0.0092625) * width
-    high = (0.01 if width > height else 0.05) * height
-    rows = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "x0", "y0", "x1", "y1", "text"))).alias("w"))
-    got = rows.select(*keys, F.posexplode(merge_words_udf(wide, high)(F.transform("w", lambda x: F.struct(*[x[c].alias(c) for c in ("x0", "y0", "x1", "y1", "text")])))).alias("block_no", "b"))
-    return got.select(*keys, "block_no", "b.*")
+def merge_word_blocks(words: DataFrame, page: list[str], order: list[str], width: float | str, height: float | str) -> DataFrame:
+    """Word runs of one height as blocks, page by page; thresholds follow each page's size (numbers or columns) and orientation."""
+    w, h = (F.col(x) if isinstance(x, str) else F.lit(float(x)) for x in (width, height))
+    size = [F.max(w).alias("pw"), F.max(h).alias("ph")]
+    rows = drop_blank(words).groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(*order, "x0", "y0", "x1", "y1", "text"))).alias("w"), *size)
+    wide = F.when(F.col("pw") > F.col("ph"), 0.02).otherwise(0.0092625) * F.col("pw")
+    high = F.when(F.col("pw") > F.col("ph"), 0.01).otherwise(0.05) * F.col("ph")
+    cells = F.transform("w", lambda x: F.struct(*[x[c].alias(c) for c in ("x0", "y0", "x1", "y1", "text")]))
+    got = rows.select(*page, F.posexplode(merge_words_udf(cells, wide, high)).alias("block_no", "b"))
+    return got.select(*page, "block_no", "b.*")
 
 
 def merge_regions(boxes: DataFrame, keys: list[str], order: list[str], pixels: bool = False) -> DataFrame:

@@ -54,6 +54,17 @@ def merge_intervals(rows: DataFrame, key: str, order: str, gap_ms: int = 1000) -
     return s.groupBy(key, "grp").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_parts"), text.alias("text"))
 
 
+def join_close(rows: DataFrame, key: str, start: str = "start", end: str = "end", gap: float = 1.0) -> DataFrame:
+    """Runs of intervals in the order of their starts, each beginning within gap of the end of the one before.
+
+    The plain form: a run ends where its last interval does, not at the latest end.
+    """
+    w = Window.partitionBy(key).orderBy(start)
+    new = F.coalesce(F.col(start) - F.lag(end).over(w) > gap, F.lit(True)).cast("long")
+    g = rows.withColumn("__new", new).withColumn("grp", F.sum("__new").over(w))
+    return g.groupBy(key, "grp").agg(F.min(start).alias(start), F.max_by(end, start).alias(end))
+
+
 def pack_cues(segments: DataFrame, key: str, order: str) -> DataFrame:
     """Speech segments joined into cues (a fold over each recording)."""
     g = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "start", "end", "text"))).alias("s"))

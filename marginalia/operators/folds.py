@@ -44,10 +44,12 @@ def spans_and_parents(heights, sentinel: float = 1000.0) -> tuple[list[int], lis
     return span, parent
 
 
-@arrow("struct<span:array<int>,parent:array<int>>")
-def span_parent_udf(heights: pd.Series) -> pd.DataFrame:
+@arrow("struct<span:array<bigint>,parent:array<bigint>>")
+def span_parent_udf(heights: pd.Series, orders: pd.Series) -> pd.DataFrame:
+    """Spans, and the parents' order values (null without one)."""
     got = [spans_and_parents(list(h)) for h in heights]
-    return pd.DataFrame({"span": [g[0] for g in got], "parent": [g[1] for g in got]})
+    parents = [[None if p < 0 else int(o[p]) for p in g[1]] for g, o in zip(got, orders)]
+    return pd.DataFrame({"span": [g[0] for g in got], "parent": parents})
 
 
 def ratio(a: str, b: str, autojunk: bool = True) -> float:
@@ -60,15 +62,39 @@ def plain_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "", False) for x, y in zip(a, b)])
 
 
+def common_subsequence(a: str, places: dict[str, int], m: int) -> int:
+    """Length of the longest common subsequence of a and a text of m characters given as bit masks of their places."""
+    v = full = (1 << m) - 1
+    for c in a:
+        if u := v & places.get(c, 0):
+            v = ((v + u) | (v - u)) & full
+    return m - v.bit_count()
+
+
+def bit_places(text: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
 def best_block(q: str, ordered: list, floor: float, stop: float, seen: dict) -> tuple | None:
     """(page, block, score) of the block a scan of (page, block, text) in order settles on.
 
     The scan ends at the first block that contains q (score 1) or has a ratio
     over stop; else the earliest best ratio of at least floor wins.  A ratio is
     at most 2 x (characters in common) / (sum of lengths), so blocks are asked
-    in falling order of that bound, and only while it can still win.  seen
-    holds the character counts of texts across calls.
+    in falling order of that bound, and only while it can still win; before the
+    ratio its matches are bounded again by the longest common subsequence (one
+    pass of bit operations).  seen holds the character counts and places of
+    texts across calls.
     """
+
+    def could(text: str, least: float) -> bool:
+        """Whether the ratio may reach least."""
+        longest = common_subsequence(q, seen[text][1], len(text))
+        return 2.0 * longest / (n + len(text)) >= least
+
     inside = next((i for i, x in enumerate(ordered) if q in x[2]), None)
     own, n, bounds = Counter(q), len(q), []
     for i, (_, _, text) in enumerate(ordered[:inside]):
@@ -77,11 +103,13 @@ def best_block(q: str, ordered: list, floor: float, stop: float, seen: dict) ->
             continue
         other = seen.get(text)
         if other is None:
-            other = seen[text] = Counter(text)
-        bounds.append((2.0 * sum(min(v, other[c]) for c, v in own.items() if c in other) / total, i))
+            other = seen[text] = Counter(text), bit_places(text)
+        bounds.append((2.0 * sum(min(v, other[0][c]) for c, v in own.items() if c in other[0]) / total, i))
     best, asked = (0.0, 0), set()
     for bound, i in bounds:
         if bound > stop:
+            if not could(ordered[i][2], stop):
+                continue
             asked.add(i)
             if (score := ratio(q, ordered[i][2])) > stop:
                 return *ordered[i][:2], score
@@ -91,7 +119,7 @@ def best_block(q: str, ordered: list, floor: float, stop: float, seen: dict) ->
     for bound, i in sorted(bounds, key=lambda x: (-x[0], x[1])):
         if bound < max(floor, best[0]):
             break
-        if i not in asked:
+        if i not in asked and could(ordered[i][2], max(floor, best[0])):
             best = max(best, (ratio(q, ordered[i][2]), -i))
     return (*ordered[-best[1]][:2], best[0]) if best[0] >= floor and best[0] > 0 else None
 
@@ -121,20 +149,37 @@ def best_blocks_udf(floor: float, stop: float, schema: str):
     return run
 
 
-def pack_cues(segments, most: int = 120, gap: float = 1.5) -> list[dict]:
-    """Segments (start, end, text) in order joined into cues."""
-    out, text, start, end = [], "", 0.0, 0.0
-    for s in segments:
-        if text == "":
-            start = s["start"]
-        if s["start"] - end < gap and len(text) + 1 + len(s["text"]) < most:
-            text, end = text + " " + s["text"], s["end"]
+def cue_starts(texts: list[str], starts: list[float], ends: list[float], most: int, gap: float) -> list[int]:
+    """Places that open a new cue: too late after the segment before, or too long with what the cue holds."""
+    held, end, cuts = 0, 0.0, []
+    for i, text in enumerate(texts):
+        longer = held + 1 + len(text)
+        if starts[i] - end < gap and longer < most:
+            held = longer
         else:
-            if text:
-                out.append({"start": start, "end": end, "text": text.strip()})
-            text, start, end = s["text"], s["start"], s["end"]
-    if text.strip():
-        out.append({"start": start, "end": end, "text": text.strip()})
+            cuts.append(i)
+            held = len(text)
+        end = ends[i]
+    return cuts
+
+
+def pack_cues(segments, most: int = 120, gap: float = 1.5) -> list[dict]:
+    """Segments (start, end, text) in order joined into cues.
+
+    Segments from the recording's start on belong to a cue that opens with a
+    blank.  A cue whose first text is empty begins with its second segment.
+    """
+    rows = list(segments)
+    cuts = cue_starts([s["text"] for s in rows], [s["start"] for s in rows], [s["end"] for s in rows], most, gap)
+    bounds = [0, *cuts, len(rows)]
+    out = []
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        part = rows[a:b]
+        text = " " * (k == 0) + " ".join(s["text"] for s in part)
+        if not part or not (text.strip() if b == len(rows) else text):
+            continue
+        first = part[1] if k and part[0]["text"] == "" and len(part) > 1 else part[0]
+        out.append({"start": first["start"], "end": part[-1]["end"], "text": text.strip()})
     return out
 
 
@@ -156,12 +201,9 @@ def merge_words(words, wide: float, high: float) -> list[dict]:
     return out
 
 
-def merge_words_udf(wide: float, high: float):
-    @arrow("array<struct<x0:double,y0:double,x1:double,y1:double,text:string,height:double>>")
-    def run(groups: pd.Series) -> pd.Series:
-        return pd.Series([merge_words(g, wide, high) for g in groups])
-
-    return run
+@arrow("array<struct<x0:double,y0:double,x1:double,y1:double,text:string,height:double>>")
+def merge_words_udf(groups: pd.Series, wide: pd.Series, high: pd.Series) -> pd.Series:
+    return pd.Series([merge_words(g, w, h) for g, w, h in zip(groups, wide, high)])
 
 
 def boxes_touch(a, b, h: float = 6.0, v: float = 1.0, share: float = 0.75) -> bool:
@@ -205,9 +247,9 @@ def pixels_touch(a, b, share: float = 0.1) -> bool:
 
 
 def merge_pixels(boxes: list[tuple], passes: int = 3) -> list[tuple]:
-    """Grow each box until nothing more touches it, `passes` times at most."""
+    """Grow each box, from the top left on, until nothing more touches it; `passes` times at most."""
     for _ in range(passes):
-        rest, kept, changed = list(boxes), [], False
+        rest, kept, changed = sorted(boxes, key=lambda b: (b[1], b[0])), [], False
         while rest:
             a, rest = rest[0], rest[1:]
             grown = True

@@ -21,12 +21,15 @@ PAGE_LINE = r"^\[Page:\s*(\d+)\s*\]\s*(.*)"
 def spans(elements: DataFrame, doc: str = "doc_id", order: str = "pos", height: str = "height") -> DataFrame:
     """Adds span and parent (its order value, null without one).
 
-    Linear in a document's elements: the heights go to Python as one array.
+    Linear in a document's elements: heights and order values go to Python as
+    two arrays.  The result stays dealt by document, so windows over one follow
+    without a shuffle.
     """
-    rows = elements.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.struct(*elements.columns).alias("row")))).alias("r"))
-    got = rows.withColumn("g", span_parent_udf(F.transform("r", lambda x: x["row"][height].cast("double"))))
-    each = got.select("r", F.posexplode(F.arrays_zip(F.col("r"), F.col("g.span").alias("span"), F.col("g.parent").alias("parent"))).alias("i", "e"))
-    return each.select("e.r.row.*", F.col("e.span").cast("long").alias("span"), F.get(F.col("r"), F.when(F.col("e.parent") >= 0, F.col("e.parent")))[order].cast("long").alias("parent"))
+    others = [c for c in elements.columns if c != doc]
+    rows = elements.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.struct(*others).alias("row")))).alias("r"))
+    got = rows.withColumn("g", span_parent_udf(F.transform("r", lambda x: x["row"][height].cast("double")), F.transform("r", lambda x: x["row"][order].cast("long"))))
+    each = got.select(doc, F.explode(F.arrays_zip(F.col("r.row").alias("row"), F.col("g.span").alias("span"), F.col("g.parent").alias("parent"))).alias("e"))
+    return each.select(*[F.col(f"e.row.{c}").alias(c) if c != doc else F.col(doc) for c in elements.columns], F.col("e.span").alias("span"), F.col("e.parent").alias("parent"))
 
 
 def node_name(page: Column, text: Column) -> Column:
@@ -59,23 +62,36 @@ def content_level(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
     return c.withColumn("level", F.when(F.col("n_parents") >= F.col("n_leaves"), 0).otherwise(1).cast("long"))
 
 
+def _families(nodes: DataFrame, doc: str) -> DataFrame:
+    """A row for each parent (or root of a flat document): doc, node, name, depth, kids (node, name), level, first.
+
+    One grouping by (doc, parent), and the counts as windows over the document:
+    nodes dealt by document need no shuffle.
+    """
+    own = F.when(F.col("depth") == 2, F.col("parent")).otherwise(F.col("node"))
+    top = F.col("depth") < 2
+    kids = F.array_sort(F.collect_list(F.when(~top, F.struct("node", "name"))))
+    g = nodes.groupBy(doc, own.alias("top")).agg(F.max(F.when(top, F.col("name"))).alias("name"), F.min("depth").alias("depth"), kids.alias("kids"))
+    w = Window.partitionBy(doc)
+    level = F.when(F.count("*").over(w) >= F.sum(F.size("kids")).over(w), 0).otherwise(1)
+    return g.withColumnRenamed("top", "node").withColumns({"level": level.cast("long"), "first": F.min("node").over(w)})
+
+
+def _merged(name: Column, kids: Column, fixed: bool) -> Column:
+    page = lambda c: F.regexp_extract(c, r"^\[Page:\s*(\d+)\s*\]", 1)
+    drop = r"^\[Page:\s*(\d+)\s*\]\s*" if fixed else PAGE_LINE
+    part = lambda k: F.when(page(k["name"]) == page(name), ws_strip(F.regexp_replace(k["name"], drop, ""))).otherwise(k["name"])
+    return F.array_join(F.concat(F.array(name), F.filter(F.transform(kids, part), lambda x: F.length(x) > 0)), " ")
+
+
 def merge_leaves(nodes: DataFrame, doc: str = "doc_id", fixed: bool = False) -> DataFrame:
     """Parents with their leaves' texts, in documents whose level is 1.
 
     A leaf on its parent's page loses its first line with the page mark; with
     fixed it loses the mark only.
     """
-    level = content_level(nodes, doc).filter("level = 1").select(doc)
-    n = nodes.join(level, doc)
-    page = lambda c: F.regexp_extract(c, r"^\[Page:\s*(\d+)\s*\]", 1)
-    parents = n.filter("depth = 1").select(doc, F.col("node").alias("parent"), F.col("name").alias("parent_name"))
-    leaves = n.filter("depth = 2").select(doc, "parent", "node", "name")
-    drop = r"^\[Page:\s*(\d+)\s*\]\s*" if fixed else PAGE_LINE
-    both = parents.join(leaves, [doc, "parent"], "left")
-    part = F.when(page(F.col("name")) == page(F.col("parent_name")), ws_strip(F.regexp_replace("name", drop, ""))).otherwise(F.col("name"))
-    g = both.withColumn("part", part).groupBy(doc, "parent", "parent_name").agg(F.array_sort(F.collect_list(F.when(F.length("part") > 0, F.struct("node", "part")))).alias("p"))
-    text = F.array_join(F.concat(F.array("parent_name"), F.transform("p", lambda x: x["part"])), " ")
-    return g.select(doc, F.col("parent").alias("node"), text.alias("text"))
+    f = _families(nodes, doc).filter("depth = 1 and level = 1")
+    return f.select(doc, "node", _merged(F.col("name"), F.col("kids"), fixed).alias("text"))
 
 
 def leaf_sections(nodes: DataFrame, doc: str = "doc_id", fixed: bool = False) -> DataFrame:
@@ -84,20 +100,18 @@ def leaf_sections(nodes: DataFrame, doc: str = "doc_id", fixed: bool = False) ->
     Level 1 documents give their merged parents; level 0 documents their
     leaves and the parents without leaves; flat documents their first node.
     """
-    level = content_level(nodes, doc).select(doc, "level")
-    tall = nodes.filter("depth > 0").join(level.filter("level = 0"), doc)
-    with_leaves = tall.filter("depth = 2").select(doc, F.col("parent").alias("node")).distinct()
-    zero = tall.filter("depth = 2").select(doc, "depth", "parent", "node", "name").unionByName(tall.filter("depth = 1").join(with_leaves, [doc, "node"], "left_anti").select(doc, "depth", "parent", "node", "name"))
-    flat = nodes.filter("depth = 0").groupBy(doc).agg(F.min_by("name", "node").alias("name"), F.min("node").alias("node"))
-    one = merge_leaves(nodes, doc, fixed)
-    cols = [doc, "depth", "parent", "node", "text"]
+    f = _families(nodes, doc).filter("depth > 0 or node = first")
+    section = lambda depth, parent, node, text: F.struct(F.lit(depth).cast("long").alias("depth"), parent.cast("long").alias("parent"), node.alias("node"), text.alias("text"))
+    none = F.lit(-1)
     rows = (
-        zero.withColumnRenamed("name", "text").select(*cols)
-        .unionByName(one.withColumns({"depth": F.lit(1).cast("long"), "parent": F.lit(-1).cast("long")}).select(*cols))
-        .unionByName(flat.select(doc, F.lit(0).cast("long").alias("depth"), F.lit(-1).cast("long").alias("parent"), "node", F.col("name").alias("text")))
+        F.when(F.col("depth") == 0, F.array(section(0, none, F.col("node"), F.col("name"))))
+        .when(F.col("level") == 1, F.array(section(1, none, F.col("node"), _merged(F.col("name"), F.col("kids"), fixed))))
+        .when(F.size("kids") == 0, F.array(section(1, none, F.col("node"), F.col("name"))))
+        .otherwise(F.transform("kids", lambda k: section(2, F.col("node"), k["node"], k["name"])))
     )
+    s = f.select(doc, F.explode(rows).alias("s")).select(doc, "s.*")
     w = Window.partitionBy(doc).orderBy("depth", "parent", "node")
-    return rows.select(doc, (F.row_number().over(w) - 1).cast("long").alias("sec_ord"), "text", word_count(F.col("text")).alias("length"))
+    return s.select(doc, (F.row_number().over(w) - 1).cast("long").alias("sec_ord"), "text", word_count(F.col("text")).alias("length"))
 
 
 def section_threshold(sections: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -110,7 +124,7 @@ def carry_short(sections: DataFrame, doc: str = "doc_id", keep_tail: bool = Fals
 
     Short sections at the end are lost unless keep_tail.
     """
-    s = sections.join(section_threshold(sections, doc), doc)
+    s = sections.withColumn("threshold", F.percentile(F.col("length").cast("double"), 0.75).over(Window.partitionBy(doc)))
     w = Window.partitionBy(doc).orderBy("sec_ord").rowsBetween(Window.unboundedPreceding, -1)
     long = F.col("length") >= F.col("threshold")
     s = s.withColumns({"long": long, "grp": F.coalesce(F.sum(long.cast("long")).over(w), F.lit(0).cast("long"))})

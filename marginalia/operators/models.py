@@ -105,3 +105,23 @@ def split_sentences(df: DataFrame, text: str, splitter: Callable[[str], list[str
         return s.map(lambda t: cut(t or ""))
 
     return df.withColumn("sentences", run(F.col(text)))
+
+
+SEGMENT = "array<struct<start:double,end:double,text:string>>"
+
+
+def transcribe(files: DataFrame, speech: Callable[[bytes], list[tuple[float, float, str]]], align: Callable[[list, bytes], list] | None = None, content: str = "content") -> DataFrame:
+    """Adds segments (start, end, text) of recordings; align refines them to the sound, null for an empty recording."""
+
+    @F.pandas_udf(SEGMENT)
+    def run(s: pd.Series) -> pd.Series:
+        def one(data):
+            if not data:
+                return None
+            found = speech(bytes(data))
+            found = align(found, bytes(data)) if align else found
+            return [{"start": float(a), "end": float(b), "text": t} for a, b, t in found]
+
+        return s.map(one)
+
+    return files.withColumn("segments", run(F.col(content)))

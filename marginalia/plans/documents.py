@@ -36,10 +36,15 @@ def drop_blank_blocks(spark, d):
     return B.drop_blank(I.blocks(spark, d)).select(DOC, *L("pos"), "text")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS k FROM documents)
-SELECT doc_id, count(*) AS n_kept, sum(length(word))::BIGINT AS n_chars_kept FROM w WHERE NOT regexp_matches(word, '^\\p{Nd}+$') GROUP BY doc_id""")
+#: Digits beside the decimal ones, as ranges: superscripts, subscripts, circled, in brackets, with a stop, and of a few scripts.
+_OTHER_DIGITS = r"\x{B2}\x{B3}\x{B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(string_split(replace(text, '10', '²³'), ' ')) AS word FROM documents)
+SELECT doc_id, count(*) AS n_kept, sum(length(word))::BIGINT AS n_chars_kept FROM w WHERE NOT regexp_matches(word, '^[\p{{Nd}}{_OTHER_DIGITS}]+$') GROUP BY doc_id""")
 def filter_numeric_blocks(spark, d):
-    w = I.table(spark, d, "documents").select(DOC, F.explode(F.split("text", " ", -1)).alias("text"))
+    """Words of documents in which 10 is written as two superscript digits."""
+    w = I.table(spark, d, "documents").select(DOC, F.explode(F.split(F.replace("text", F.lit("10"), F.lit("²³")), " ", -1)).alias("text"))
     return B.drop_numeric(w).groupBy(DOC).agg(F.count("*").alias("n_kept"), F.sum(F.length("text")).alias("n_chars_kept"))
 
 
@@ -156,9 +161,14 @@ def region_size_filter(spark, d):
     return I.regions(spark, d).filter("x1 - x0 >= 70 and y1 - y0 >= 8").select(DOC, *L("page", "region_ord"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {I.WORDS}, seq AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY word_no) AS n FROM words),
+walk AS (SELECT doc_id, page, n, x0, y0, x1, y1, y1 - y0 AS height, text, 0 AS block_no FROM seq WHERE n = 1
+  UNION ALL SELECT s.doc_id, s.page, s.n, CASE WHEN {{j}} THEN w.x0 ELSE s.x0 END, CASE WHEN {{j}} THEN w.y0 ELSE s.y0 END, CASE WHEN {{j}} THEN greatest(w.x1, s.x1) ELSE s.x1 END, CASE WHEN {{j}} THEN greatest(w.y1, s.y1) ELSE s.y1 END, s.y1 - s.y0, s.text, w.block_no + CASE WHEN {{j}} THEN 0 ELSE 1 END
+  FROM walk w JOIN seq s ON s.doc_id = w.doc_id AND s.page = w.page AND s.n = w.n + 1)
+SELECT doc_id, page, block_no, arg_max(x0, n) AS x0, arg_max(y0, n) AS y0, arg_max(x1, n) AS x1, arg_max(y1, n) AS y1, string_agg(text, ' ' ORDER BY n) AS text, arg_max(height, n) AS height FROM walk GROUP BY ALL""".replace("{j}", "(s.y1 - s.y0 = w.height AND abs(s.x0 - w.x1) <= 0.0092625 * 600 AND s.y0 - w.y1 <= 0.05 * 800)"))
 def word_block_merge(spark, d):
-    return B.merge_word_blocks(I.words(spark, d), [DOC], ["page", "word_no"], 600.0, 800.0)
+    b = B.merge_word_blocks(I.words(spark, d), [DOC, "page"], ["word_no"], 600.0, 800.0)
+    return b.select(DOC, *L("page", "block_no"), "x0", "y0", "x1", "y1", "text", "height")
 
 
 @query()

@@ -91,23 +91,45 @@ NORM_BLOCKS = r"""norm_blocks AS (SELECT doc_id, pos AS block, page, array_to_st
 
 
 def completions(spark, sf_dir) -> DataFrame:
-    """One row per conversation: id, prompt (last user turn), completion (first answer in tags by turns), source."""
+    """One row per conversation: id, prompt (last user turn), answer (first assistant turn), completion in eight forms by turns.
+
+    0: summary and the prompt's sentences as quotes, with those of the answer
+    between; 1: a summary of one word and the prompt's sentences in quotation
+    marks; 2: a summary and a support tag that never closes; 3: no tags; 4:
+    summary and the prompt's sentences; 5: an empty support section; 6: a
+    summary only, its tag in capitals; 7: short quotes only.
+    """
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     user = F.filter("turns", lambda t: t["role"] == "user")
     answer = F.filter("turns", lambda t: t["role"] == "assistant")
     c = c.select("conv_id", "turns", F.try_element_at(user, F.lit(-1))["text"].alias("prompt"), F.try_element_at(answer, F.lit(1))["text"].alias("answer"))
-    a = F.coalesce("answer", F.lit(""))
-    quote = F.substring(F.coalesce("prompt", F.lit("")), 1, 40)
-    both = F.concat(F.lit("<summary>"), a, F.lit("</summary><verbatim_support>"), quote, F.lit("\n"), F.substring(a, 1, 30), F.lit("</verbatim_support>"))
-    text = F.when(F.col("conv_id") % 4 == 0, both).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("<summary>"), F.substring(a, 1, 5), F.lit("</summary><verbatim_support>"), quote, F.lit("</verbatim_support>"))).when(F.col("conv_id") % 4 == 2, F.concat(F.lit("<SUMMARY>"), a, F.lit("</SUMMARY>"))).otherwise(a)
+    a, p = F.coalesce("answer", F.lit("")), F.coalesce("prompt", F.lit(""))
+    lines = lambda x: F.regexp_replace(x, r"([.!?])\s+", "$1\n")
+    summary, support = (lambda x: F.concat(F.lit("<summary>"), x, F.lit("</summary>"))), (lambda *x: F.concat(F.lit("<verbatim_support>"), *x, F.lit("</verbatim_support>")))
+    quoted = F.concat(F.lit('"'), F.replace(lines(p), F.lit("\n"), F.lit('"\n"')), F.lit('"'))
+    forms = (
+        F.concat(summary(a), support(lines(p), F.lit("\n"), lines(a))), F.concat(summary(F.lit("Done")), support(quoted)), F.concat(summary(a), F.lit("<verbatim_support>"), a), a,
+        F.concat(summary(a), support(lines(p))), F.concat(summary(a), support(F.lit(" "))), F.concat(F.lit("<SUMMARY>"), a, F.lit("</SUMMARY>")), F.concat(summary(a), support(F.lit("a\nb\nc d e"))),
+    )
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        text = F.when(F.col("conv_id") % 8 == i, form).otherwise(text)
     return c.withColumn("completion", text)
 
 
-COMPLETIONS = r"""turns AS (SELECT conv_id, max_by(text, turn) FILTER (WHERE role = 'user') AS prompt, min_by(text, turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY conv_id),
-completions AS (SELECT conv_id, prompt, answer, CASE conv_id % 4
-  WHEN 0 THEN '<summary>' || coalesce(answer, '') || '</summary><verbatim_support>' || substr(coalesce(prompt, ''), 1, 40) || chr(10) || substr(coalesce(answer, ''), 1, 30) || '</verbatim_support>'
-  WHEN 1 THEN '<summary>' || substr(coalesce(answer, ''), 1, 5) || '</summary><verbatim_support>' || substr(coalesce(prompt, ''), 1, 40) || '</verbatim_support>'
-  WHEN 2 THEN '<SUMMARY>' || coalesce(answer, '') || '</SUMMARY>' ELSE coalesce(answer, '') END AS completion FROM turns)"""
+_LINES = r"regexp_replace(coalesce({0}, ''), '([.!?])\s+', '\1' || chr(10), 'g')"
+COMPLETIONS = (
+    r"""turns AS (SELECT conv_id, max_by(text, turn) FILTER (WHERE role = 'user') AS prompt, min_by(text, turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY conv_id),
+completions AS (SELECT conv_id, prompt, answer, CASE conv_id % 8
+  WHEN 0 THEN '<summary>' || coalesce(answer, '') || '</summary><verbatim_support>' || PLINES || chr(10) || ALINES || '</verbatim_support>'
+  WHEN 1 THEN '<summary>Done</summary><verbatim_support>"' || replace(PLINES, chr(10), '"' || chr(10) || '"') || '"</verbatim_support>'
+  WHEN 2 THEN '<summary>' || coalesce(answer, '') || '</summary><verbatim_support>' || coalesce(answer, '')
+  WHEN 4 THEN '<summary>' || coalesce(answer, '') || '</summary><verbatim_support>' || PLINES || '</verbatim_support>'
+  WHEN 5 THEN '<summary>' || coalesce(answer, '') || '</summary><verbatim_support> </verbatim_support>'
+  WHEN 6 THEN '<SUMMARY>' || coalesce(answer, '') || '</SUMMARY>'
+  WHEN 7 THEN '<summary>' || coalesce(answer, '') || '</summary><verbatim_support>a' || chr(10) || 'b' || chr(10) || 'c d e</verbatim_support>'
+  ELSE coalesce(answer, '') END AS completion FROM turns)"""
+).replace("PLINES", _LINES.format("prompt")).replace("ALINES", _LINES.format("answer"))
 
 
 def labelled(spark, sf_dir) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import evidence as E
 from ..operators import layout as Y
 from ..operators import models as M
 from ..operators import rewards as R
+from ..operators import runs as U
 from ..operators.folds import rouge_l_udf
 from . import inputs as I
 from .registry import query
@@ -98,7 +99,7 @@ def interval_sanity(spark, d):
 def index_range_candidates(spark, d):
     c = I.cues(spark, d)
     e = c.select("user_id", F.col("idx").alias("ev"), (F.col("idx") - 2).alias("lo"), (F.col("idx") + 2).alias("hi"))
-    return e.join(c.select("user_id", "idx"), "user_id").filter("not (lo > 0 and hi > lo) or idx between lo and hi").select("user_id", "ev", "idx")
+    return E.index_range(e, c.select("user_id", "idx"), "user_id").select("user_id", "ev", "idx")
 
 
 @query()
@@ -108,12 +109,17 @@ def evidence_cue_match(spark, d):
     return E.cue_match(e, c, "user_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {I.CUES}, seg AS (SELECT user_id, idx, (start_ms - min(start_ms) OVER (PARTITION BY user_id)) / 100000.0::DOUBLE AS s, (end_ms - min(start_ms) OVER (PARTITION BY user_id)) / 100000.0::DOUBLE AS e, text FROM cues),
+walk AS (SELECT user_id, idx, s, e, text, CASE WHEN s - 0 < 1.5 AND 1 + length(text) < 120 THEN 1 + length(text) ELSE length(text) END AS held, CASE WHEN s - 0 < 1.5 AND 1 + length(text) < 120 THEN 0 ELSE 1 END AS cue FROM seg WHERE idx = 0
+  UNION ALL SELECT n.user_id, n.idx, n.s, n.e, n.text, CASE WHEN n.s - w.e < 1.5 AND w.held + 1 + length(n.text) < 120 THEN w.held + 1 + length(n.text) ELSE length(n.text) END,
+    w.cue + CASE WHEN n.s - w.e < 1.5 AND w.held + 1 + length(n.text) < 120 THEN 0 ELSE 1 END FROM walk w JOIN seg n ON n.user_id = w.user_id AND n.idx = w.idx + 1),
+packed AS (SELECT user_id, cue, arg_min(s, idx) AS start, arg_max(e, idx) AS "end", string_agg(text, ' ' ORDER BY idx) AS text FROM walk GROUP BY ALL)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY cue) - 1 AS idx, round(start, 5) AS start, round("end", 5) AS "end", text FROM packed""")
 def cue_packing(spark, d):
     c = I.cues(spark, d)
     first = F.min("start_ms").over(Window.partitionBy("user_id"))
     s = c.withColumns({"start": (F.col("start_ms") - first) / 100000.0, "end": (F.col("end_ms") - first) / 100000.0})
-    return C.pack_cues(s, "user_id", "idx")
+    return C.pack_cues(s, "user_id", "idx").select("user_id", *L("idx"), F.round("start", 5).alias("start"), F.round("end", 5).alias("end"), "text")
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS text, generate_subscripts(regexp_extract_all(text, '\S+'), 1) AS k FROM documents),
@@ -174,14 +180,26 @@ _ONES = "['zero','one','two','three','four','five','six','seven','eight','nine',
 _TENS = "['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
 
 
-@query(f"""WITH n AS (SELECT DISTINCT doc_id % 1000 AS n FROM documents)
-SELECT n AS num, n::BIGINT AS value, CASE WHEN n = 0 THEN 'Zero' ELSE concat_ws(' ', CASE WHEN n > 99 THEN upper(substr({_ONES}[n // 100 + 1], 1, 1)) || substr({_ONES}[n // 100 + 1], 2) || ' Hundred' END,
-  CASE WHEN n % 100 = 0 THEN NULL WHEN n % 100 < 20 THEN upper(substr({_ONES}[n % 100 + 1], 1, 1)) || substr({_ONES}[n % 100 + 1], 2)
-    ELSE upper(substr({_TENS}[(n % 100) // 10 - 1], 1, 1)) || substr({_TENS}[(n % 100) // 10 - 1], 2) || CASE WHEN n % 10 > 0 THEN ' ' || upper(substr({_ONES}[n % 10 + 1], 1, 1)) || substr({_ONES}[n % 10 + 1], 2) ELSE '' END END) END AS words FROM n""")
+def _cap(x: str) -> str:
+    return f"upper(substr({x}, 1, 1)) || substr({x}, 2)"
+
+
+def _three(x: str) -> str:
+    """Words of 1 to 999."""
+    tail = f"CASE WHEN {x} % 10 > 0 THEN ' ' || {_cap(f'{_ONES}[{x} % 10 + 1]')} ELSE '' END"
+    two = f"CASE WHEN {x} % 100 = 0 THEN NULL WHEN {x} % 100 < 20 THEN {_cap(f'{_ONES}[{x} % 100 + 1]')} ELSE {_cap(f'{_TENS}[({x} % 100) // 10 - 1]')} || {tail} END"
+    return f"concat_ws(' ', CASE WHEN {x} > 99 THEN {_cap(f'{_ONES}[{x} // 100 + 1]')} || ' Hundred' END, {two})"
+
+
+_GROUPS = ", ".join(f"CASE WHEN {g} > 0 THEN {_three(g)} || '{name}' END" for g, name in (("b", " Billion"), ("m", " Million"), ("t", " Thousand"), ("u", "")))
+
+
+@query(f"""WITH n AS (SELECT doc_id, doc_id * 100003 + doc_id % 7 AS n FROM documents), g AS (SELECT *, n // 1000000000 AS b, n // 1000000 % 1000 AS m, n // 1000 % 1000 AS t, n % 1000 AS u FROM n)
+SELECT doc_id, n AS num, n::BIGINT AS value, CASE WHEN n = 0 THEN 'Zero' ELSE concat_ws(' ', {_GROUPS}) END AS words FROM g""")
 def int2text(spark, d):
-    n = I.table(spark, d, "documents").select((F.col("doc_id") % 1000).alias("num")).distinct()
+    n = I.table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 100003 + F.col("doc_id") % 7).alias("num"))
     w = T.words_of_number(F.col("num"))
-    return n.select("num", w.alias("words"), T.number_of_words(F.lower(w)).alias("value"))
+    return n.select("doc_id", "num", w.alias("words"), T.number_of_words(F.lower(w)).alias("value"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE (doc_id % 9 + 1) * 1000 + (doc_id % 8 + 1) * 100 + 20 + doc_id % 9 END::BIGINT AS value FROM documents")
@@ -215,7 +233,12 @@ def hash_answer(spark, d):
 @query("SELECT doc_id FROM documents WHERE n_chars <= 3500")
 def length_filter(spark, d):
     x = I.table(spark, d, "documents").withColumn("len_text", F.col("n_chars").cast("string"))
-    return x.filter(F.col("len_text").try_cast("int") <= 3500).select("doc_id")
+    return T.short_enough(x, "len_text", 3500).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents")
+def length_filter_off(spark, d):
+    return T.short_enough(I.table(spark, d, "documents"), "n_chars", 0).select("doc_id")
 
 
 @query("SELECT doc_id, 'user' AS role, 'Summarise the chapter.' || chr(10) || text AS content FROM documents WHERE text IS NOT NULL")
@@ -283,14 +306,19 @@ def resume_unfinished(spark, d):
 
 # -- vectors and scores ------------------------------------------------------
 
-_VEC = """WITH v AS (SELECT vec_id, label, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings),
-c AS (SELECT vec_id, label, greatest(-1, least(1, list_dot_product(embedding::DOUBLE[], nxt::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(nxt::DOUBLE[], nxt::DOUBLE[]))))) AS cos FROM v WHERE nxt IS NOT NULL)"""
+#: Documents of bounded size: 20 vectors each, in the order of their ids.
+_VEC = """WITH v AS (SELECT vec_id, vec_id // 20 AS grp, embedding, lead(embedding) OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) AS nxt FROM embeddings),
+c AS (SELECT vec_id, grp, greatest(-1, least(1, list_dot_product(embedding::DOUBLE[], nxt::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(nxt::DOUBLE[], nxt::DOUBLE[]))))) AS cos FROM v WHERE nxt IS NOT NULL)"""
+
+
+def _vectors(spark, d):
+    return I.table(spark, d, "embeddings").withColumn("grp", F.floor(F.col("vec_id") / 20))
 
 
 def _consecutive(spark, d):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    v = I.table(spark, d, "embeddings").withColumn("nxt", F.lead("embedding").over(w)).filter("nxt is not null")
-    return v.select("vec_id", "label", T.cosine(F.col("embedding"), F.col("nxt")).alias("cos"))
+    w = Window.partitionBy("grp").orderBy("vec_id")
+    v = _vectors(spark, d).withColumn("nxt", F.lead("embedding").over(w)).filter("nxt is not null")
+    return v.select("vec_id", "grp", T.cosine(F.col("embedding"), F.col("nxt")).alias("cos"))
 
 
 @query(_VEC + " SELECT vec_id, round(cos, 6) AS cosine FROM c")
@@ -298,51 +326,56 @@ def cosine_similarity(spark, d):
     return _consecutive(spark, d).select("vec_id", F.round("cos", 6).alias("cosine"))
 
 
-@query(_VEC + ", m AS (SELECT label, avg(cos) AS m FROM c GROUP BY label) SELECT label::BIGINT AS label, round(greatest(-1, least(1, 2 * exp(-0.5 * pow((m - 0.55) / 0.15, 2)) - 1)), 4) AS score FROM m")
+@query(_VEC + ", m AS (SELECT grp, avg(cos) AS m FROM c GROUP BY grp) SELECT grp, round(greatest(-1, least(1, 2 * exp(-0.5 * pow((m - 0.55) / 0.15, 2)) - 1)), 4) AS score FROM m")
 def coherence_score(spark, d):
-    g = _consecutive(spark, d).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "cos"))), lambda x: x["cos"]).alias("c"))
-    return g.select(F.col("label").cast("long").alias("label"), F.round(R.coherence_score(F.col("c")), 4).alias("score"))
+    g = _consecutive(spark, d).groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "cos"))), lambda x: x["cos"]).alias("c"))
+    return g.select("grp", F.round(R.coherence_score(F.col("c")), 4).alias("score"))
 
 
-_SIM = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
-s AS (SELECT a.label, a.vec_id, max(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))) AS best FROM v a JOIN v b ON a.label = b.label AND b.n <= 5 GROUP BY ALL)"""
+#: Of each document the even vectors are claims (or snippets) and the odd ones what they are held against.
+_SIM = """WITH v AS (SELECT vec_id, vec_id // 20 AS grp, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT a.grp, a.vec_id, max(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))) AS best FROM v a JOIN v b ON a.grp = b.grp AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY ALL)"""
 
 
 def _sims(spark, d):
-    """Per label, all vectors (claims) against its first five (a completion quotes at most five snippets)."""
-    v = I.table(spark, d, "embeddings").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    snips = v.filter("n <= 5").groupBy("label").agg(F.collect_list("embedding").alias("s"))
-    rows = v.join(snips, "label").select("label", "vec_id", F.transform("s", lambda x: T.cosine(F.col("embedding"), x)).alias("r"))
-    return rows.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "r"))), lambda x: x["r"]).alias("sims"))
+    """Per document of 20 vectors, cosines of all even vectors with all odd ones."""
+    v = F.struct("vec_id", "embedding")
+    half = lambda odd: F.transform(F.array_sort(F.collect_list(F.when(F.col("vec_id") % 2 == odd, v))), lambda x: x["embedding"])
+    g = _vectors(spark, d).groupBy("grp").agg(half(0).alias("a"), half(1).alias("b")).filter("size(a) > 0 and size(b) > 0")
+    return g.select("grp", R.matrix(F.col("a"), F.col("b"), T.cosine).alias("sims"))
 
 
-_LOW = "sum((best < {t})::INT) / CASE WHEN count(*) < 2 THEN count(*) + 0.0009765625 ELSE count(*) END"
+_LOW = "sum(({b} < {t})::INT) / CASE WHEN count(*) < 2 THEN count(*) + 0.0009765625 ELSE count(*) END"
 
 
-@query(_SIM + f" SELECT label::BIGINT AS label, round(greatest(-4, least(4, 4 * avg(best) - 4 * ({_LOW.format(t=0.65)}))), 4) AS score FROM s GROUP BY label")
+@query(_SIM + f" SELECT grp, round(greatest(-4, least(4, 4 * avg(best) - 4 * ({_LOW.format(b='best', t=0.65)}))), 4) AS score FROM s GROUP BY grp")
 def semantic_support_score(spark, d):
-    return _sims(spark, d).select(F.col("label").cast("long").alias("label"), F.round(R.support_score(F.col("sims")), 4).alias("score"))
+    return _sims(spark, d).select("grp", F.round(R.support_score(F.col("sims")), 4).alias("score"))
 
 
-@query(_SIM + f" SELECT label::BIGINT AS label, round(greatest(-5, least(5, 5 * avg(best) - 5 * ({_LOW.format(t=0.7)}))), 4) AS score FROM s GROUP BY label")
+@query(_SIM + f" SELECT grp, round(greatest(-5, least(5, 5 * avg((1 + best) / 2) - 5 * ({_LOW.format(b='(1 + best) / 2', t=0.7)}))), 4) AS score FROM s GROUP BY grp")
 def entailment_support_score(spark, d):
-    return _sims(spark, d).select(F.col("label").cast("long").alias("label"), F.round(R.support_score(F.col("sims"), 5.0, 0.7), 4).alias("score"))
+    """Entailment probabilities, here (1 + cosine) / 2."""
+    odds = F.transform("sims", lambda r: F.transform(r, lambda x: (1 + x) / 2))
+    return _sims(spark, d).select("grp", F.round(R.support_score(odds, 5.0, 0.7), 4).alias("score"))
 
 
-@query(_SIM + f" SELECT label::BIGINT AS label, round(greatest(-3, least(5, 5 * avg(best) - 3 * ({_LOW.format(t=0.55)}))), 4) AS score FROM s GROUP BY label")
+@query(_SIM + f" SELECT grp, round(greatest(-3, least(5, 5 * avg(best) - 3 * ({_LOW.format(b='best', t=0.55)}))), 4) AS score FROM s GROUP BY grp")
 def relevance_score(spark, d):
-    return _sims(spark, d).select(F.col("label").cast("long").alias("label"), F.round(R.relevance_score(F.col("sims")), 4).alias("score"))
+    return _sims(spark, d).select("grp", F.round(R.relevance_score(F.col("sims")), 4).alias("score"))
 
 
 _SEC = I.COMPLETIONS + r""", sec AS (SELECT conv_id, prompt, answer, completion, CASE WHEN regexp_matches(completion, '(?is)<summary>(.*?)</summary>') THEN regexp_replace(regexp_extract(completion, '(?is)<summary>(.*?)</summary>', 1), '^\s+|\s+$', '', 'g') END AS summary,
   CASE WHEN regexp_matches(completion, '(?is)<verbatim_support>(.*?)</verbatim_support>') THEN regexp_replace(regexp_extract(completion, '(?is)<verbatim_support>(.*?)</verbatim_support>', 1), '^\s+|\s+$', '', 'g') END AS support FROM completions),
-wc AS (SELECT *, len(regexp_extract_all(summary, '\S+')) AS ns, len(regexp_extract_all(support, '\S+')) AS nv, len(regexp_extract_all(prompt, '\S+')) AS np,
-  list_filter(list_transform(string_split(support, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^["'']+|["'']+$', '', 'g')), lambda x: length(x) >= 10) AS lines FROM sec)"""
+wr AS (SELECT *, len(regexp_extract_all(summary, '\S+')) AS ns, len(regexp_extract_all(support, '\S+')) AS nv, len(regexp_extract_all(prompt, '\S+')) AS np,
+  coalesce(completion, '') = '' AS no_text, coalesce(prompt, '') = '' AS no_prompt, coalesce(summary, '') = '' AS no_summary, coalesce(support, '') = '' AS no_support,
+  list_filter(list_transform(string_split(support, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 10) AS snips FROM sec),
+wc AS (SELECT *, list_transform(snips, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g'), '^\s+|\s+$', '', 'g')) AS lines FROM wr)"""
 _FORMAT = "CASE WHEN summary IS NOT NULL AND support IS NOT NULL THEN CASE WHEN ns >= 3 AND nv >= 3 THEN 2 WHEN ns >= 3 OR nv >= 3 THEN -8 ELSE -10 END WHEN summary IS NOT NULL OR support IS NOT NULL THEN -6 ELSE -10 END"
-_FIDELITY = "CASE WHEN completion IS NULL OR support IS NULL THEN -8 WHEN length(support) = 0 OR len(lines) = 0 THEN -6 WHEN len(list_filter(lines, lambda x: contains(prompt, x))) = len(lines) THEN 5 ELSE -5 END"
+_FIDELITY = "CASE WHEN no_text OR no_prompt THEN -8 WHEN no_support THEN CASE WHEN regexp_matches(completion, '(?i)<verbatim_support>') THEN -6 ELSE -8 END WHEN len(lines) = 0 THEN -6 WHEN len(list_filter(lines, lambda x: contains(prompt, x))) = len(lines) THEN 5 ELSE -5 END"
 _IDEAL = "CASE WHEN np > 1000 THEN 0.10 WHEN np > 500 THEN 0.15 ELSE 0.20 END::DOUBLE"
 _RATIO = "(ns / (CASE WHEN np < 2 THEN np + 0.0009765625 ELSE np END)::DOUBLE)"
-_CONCISE = f"""CASE WHEN completion IS NULL OR summary IS NULL OR ns = 0 THEN -8 WHEN np = 0 THEN -1 ELSE greatest(-3, least(1.5, exp(-0.5 * pow(({_RATIO} - {_IDEAL}) / ({_IDEAL} * 0.5), 2)) * 1.5
+_CONCISE = f"""CASE WHEN no_text OR no_prompt OR no_summary THEN -8 WHEN np = 0 THEN -1 ELSE greatest(-3, least(1.5, exp(-0.5 * pow(({_RATIO} - {_IDEAL}) / ({_IDEAL} * 0.5), 2)) * 1.5
   - CASE WHEN {_RATIO} > 1.8 * {_IDEAL} THEN ({_RATIO} / (1.8 * {_IDEAL}) - 1) * 4 ELSE 0 END)) END"""
 
 
@@ -361,11 +394,54 @@ def reward_conciseness(spark, d):
     return I.completions(spark, d).select("conv_id", F.round(R.conciseness_score(F.col("completion"), F.col("prompt")), 4).alias("score"))
 
 
-@query(f"WITH {_SEC} SELECT conv_id, round(greatest(-200, least(200, 4 * ({_FORMAT}) + 3 * ({_FIDELITY}) + 2 * ({_CONCISE}))), 3)::DOUBLE AS score FROM wc")
+#: A stand-in for an embedding model that SQL can express: counts of these letters.
+_LETTERS = "etaoinshrdlu"
+
+
+def _letter_vectors(texts):
+    letters = F.array(*[F.lit(x) for x in _LETTERS])
+    return F.transform(texts, lambda t: F.transform(letters, lambda x: (F.length(t) - F.length(F.replace(t, x, F.lit("")))).cast("double")))
+
+
+def _shared_words(a, b):
+    """A stand-in for ROUGE: F1 of the distinct words."""
+    x, y = (F.array_distinct(T.words(t)) for t in (a, b))
+    n = F.size(x) + F.size(y)
+    return F.when(n == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / n)
+
+
+_COUNTS = "list_transform({0}, lambda t: list_transform(" + str(list(_LETTERS)) + ", lambda c: (length(t) - length(replace(t, c, '')))::DOUBLE))"
+_COS = "CASE WHEN list_dot_product({0}, {0}) = 0 OR list_dot_product({1}, {1}) = 0 THEN 0 ELSE greatest(-1, least(1, list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1}))))) END"
+_BEST = "list_transform({0}, lambda a: list_max(list_transform({1}, lambda b: " + _COS.format("a", "b") + ")))"
+_SCORED = f"""{_SEC}, cl AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(coalesce(summary, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 0) AS claims,
+  list_distinct(regexp_extract_all(coalesce(answer, ''), '\\S+')) AS wa, list_distinct(regexp_extract_all(coalesce(summary, ''), '\\S+')) AS ws FROM wc),
+ve AS (SELECT *, {_COUNTS.format("coalesce(snips, [])")} AS vs, {_COUNTS.format("claims")} AS vc, {_COUNTS.format("[coalesce(summary, ''), coalesce(answer, '')]")} AS vp FROM cl),
+be AS (SELECT *, {_BEST.format("vs", "vc")} AS per_snip, {_BEST.format("vc", "vs")} AS per_claim, list_transform(range(1, len(vc)), lambda i: {_COS.format("vc[i]", "vc[i + 1]")}) AS nexts, {_COS.format("vp[1]", "vp[2]")} AS sem,
+  CASE WHEN len(wa) + len(ws) = 0 THEN 0 ELSE 2.0 * len(list_intersect(wa, ws)) / (len(wa) + len(ws)) END AS rouge FROM ve),
+sc AS (SELECT conv_id, prompt, answer, completion, ({_FORMAT})::DOUBLE AS format, ({_FIDELITY})::DOUBLE AS fidelity, ({_CONCISE})::DOUBLE AS conciseness,
+  CASE WHEN no_text THEN -10 WHEN no_support OR no_summary THEN -4 WHEN len(per_snip) = 0 OR len(vc) = 0 THEN -3 ELSE greatest(-3, least(5, 5 * list_avg(per_snip) - 3 * len(list_filter(per_snip, lambda x: x < 0.55)) / CASE WHEN len(per_snip) < 2 THEN len(per_snip) + 0.0009765625 ELSE len(per_snip) END)) END::DOUBLE AS relevance,
+  CASE WHEN no_text OR no_support OR no_summary THEN -8 WHEN len(per_claim) = 0 OR len(vs) = 0 THEN -6 ELSE greatest(-4, least(4, 4 * list_avg(per_claim) - 4 * len(list_filter(per_claim, lambda x: x < 0.65)) / CASE WHEN len(per_claim) < 2 THEN len(per_claim) + 0.0009765625 ELSE len(per_claim) END)) END::DOUBLE AS support_semantic,
+  CASE WHEN no_text OR no_support OR no_summary THEN -8 WHEN len(per_claim) = 0 OR len(vs) = 0 THEN -6 ELSE greatest(-5, least(5, 5 * list_avg(list_transform(per_claim, lambda x: (1 + x) / 2)) - 5 * len(list_filter(per_claim, lambda x: (1 + x) / 2 < 0.7)) / CASE WHEN len(per_claim) < 2 THEN len(per_claim) + 0.0009765625 ELSE len(per_claim) END)) END::DOUBLE AS support_nli,
+  CASE WHEN no_text THEN -10 WHEN coalesce(answer, '') = '' THEN 0 WHEN no_summary THEN -10 ELSE greatest(-5, least(10, 15 * pow(0.6 * greatest(0, least(1, sem)) + 0.4 * greatest(0, least(1, rouge)), 1.5) - 5)) END::DOUBLE AS reference,
+  CASE WHEN no_text OR no_summary THEN -8 WHEN len(nexts) = 0 THEN 0 ELSE greatest(-1, least(1, 2 * exp(-0.5 * pow((list_avg(nexts) - 0.55) / 0.15, 2)) - 1)) END::DOUBLE AS coherence FROM be)"""
+
+
+def _scored(spark, d, nli: bool):
+    odds = lambda snips, claims: R.matrix(_letter_vectors(claims), _letter_vectors(snips), lambda x, y: (1 + T.cosine(x, y)) / 2)
+    return R.score_completions(I.completions(spark, d), _letter_vectors, odds if nli else None, _shared_words)
+
+
+@query(f"""WITH {_SCORED} SELECT conv_id, {', '.join(f'round({x}, 3) AS {x}' for x in ('format', 'fidelity', 'relevance', 'support_nli', 'reference', 'conciseness', 'coherence'))},
+  round(greatest(-200, least(200, 4 * format + 3 * fidelity + 6 * support_nli + 2 * relevance + 5 * reference + 1.5 * conciseness + 1 * coherence)), 3) AS reward FROM sc""")
 def combined_reward(spark, d):
-    c, p = F.col("completion"), F.col("prompt")
-    total = R.combined({"format": R.format_score(c), "fidelity": R.fidelity_score(c, p), "conciseness": R.conciseness_score(c, p)})
-    return I.completions(spark, d).select("conv_id", F.round(total, 3).alias("score"))
+    names = ("format", "fidelity", "relevance", "support_nli", "reference", "conciseness", "coherence", "reward")
+    return _scored(spark, d, True).select("conv_id", *[F.round(n, 3).alias(n) for n in names])
+
+
+@query(f"""WITH {_SCORED} SELECT conv_id, round(support_semantic, 3) AS support_semantic,
+  round(greatest(-200, least(200, 4 * format + 3 * fidelity + 5 * support_semantic + 2 * relevance + 5 * reference + 1.5 * conciseness + 1 * coherence)), 3) AS reward FROM sc""")
+def combined_reward_semantic(spark, d):
+    return _scored(spark, d, False).select("conv_id", *[F.round(n, 3).alias(n) for n in ("support_semantic", "reward")])
 
 
 @query(f"WITH {_SEC} SELECT conv_id, unnest(lines) AS snippet, contains(prompt, unnest(lines)) AS verbatim FROM wc")
@@ -380,6 +456,12 @@ def rouge_l(spark, d):
     return c.select("conv_id", F.round(rouge_l_udf(F.col("prompt"), F.col("answer")), 6).alias("rouge_l"))
 
 
+@query("SELECT vec_id, round(exp(e[i] - m) / s, 6) AS p, i - 1 AS k FROM (SELECT vec_id, e, m, list_sum(list_transform(e, lambda x: exp(x - m))) AS s, unnest(range(1, len(e) + 1)) AS i FROM (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(embedding::DOUBLE[]) AS m FROM embeddings))")
+def softmax_rows(spark, d):
+    v = I.table(spark, d, "embeddings").select("vec_id", F.posexplode(T.softmax(F.col("embedding"))).alias("k", "p"))
+    return v.select("vec_id", F.col("k").cast("long").alias("k"), F.round("p", 6).alias("p"))
+
+
 # -- layout learning and metrics ---------------------------------------------
 
 _CM = """WITH x AS (SELECT quality AS truth, toxic AS pred FROM labels), l AS (SELECT truth AS label FROM x UNION SELECT pred FROM x),
@@ -439,6 +521,47 @@ def run_counters(spark, d):
     return e.groupBy(F.col("event_type").alias("label"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("seconds"), F.count_if(F.col("value") > 50).alias("slow"))
 
 
+_LE = ", ".join(f"({b}::DOUBLE)" for b in U.BUCKETS)
+
+
+@query(f"""WITH b AS (SELECT * FROM (VALUES {_LE}, ('inf'::DOUBLE)) AS t(le)), e AS (SELECT event_type AS label, value / 10 AS seconds FROM events)
+SELECT label, le, count(*) FILTER (WHERE seconds <= le) AS n, count(*) AS total, round(sum(seconds), 4) AS sum FROM e, b GROUP BY ALL""")
+def run_histogram(spark, d):
+    e = I.table(spark, d, "events").select(F.col("event_type").alias("label"), (F.col("value") / 10).alias("seconds"))
+    return U.histogram(e, ["label"]).withColumn("sum", F.round("sum", 4))
+
+
+@query("""WITH m AS (SELECT event_id, ts, CASE WHEN event_type IN ('purchase', 'logout') THEN -1 ELSE 1 END AS change FROM events)
+SELECT event_id, sum(change) OVER (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS active FROM m""")
+def active_gauge(spark, d):
+    c = F.when(F.col("event_type").isin("purchase", "logout"), -1).otherwise(1)
+    return U.active(I.table(spark, d, "events").select("event_id", "ts", c.alias("change"))).select("event_id", "active")
+
+
+@query(f"WITH {I.CUES} SELECT event_id, idx, start_ms, end_ms + 100 AS end_ms FROM cues")
+def clip_spans(spark, d):
+    from ..sources.files import clip_rows
+
+    return clip_rows(I.cues(spark, d), "event_id").select("event_id", *L("idx", "start_ms", "end_ms"))
+
+
+@query(f"WITH {I.CUES} SELECT event_id FROM cues WHERE idx % 3 <> 0 AND idx % 5 <> 0")
+def evidence_valid(spark, d):
+    c = I.cues(spark, d).select("event_id", F.when(F.col("idx") % 3 != 0, F.col("start_ms")).alias("start"), F.col("end_ms").alias("end"), F.when(F.col("idx") % 5 != 0, F.col("text")).alias("text"))
+    return E.valid_evidence(c).select("event_id")
+
+
+@query(f"""WITH {I.CUES}, n AS (SELECT user_id, idx // 7 AS chunk_index, count(*) FILTER (WHERE idx % 4 <> 0) AS n, min(idx) AS start_index, max(idx) AS end_index FROM cues GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM n),
+e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY idx) - 1 AS i FROM cues WHERE idx % 4 <> 0)
+SELECT e.user_id, e.event_id, r.chunk_index, r.start_index, r.end_index FROM e LEFT JOIN r ON r.user_id = e.user_id AND e.i >= r.first AND e.i < r.first + r.n""")
+def chunk_ordinal_lookup(spark, d):
+    c = I.cues(spark, d).withColumn("chunk_index", F.floor(F.col("idx") / 7))
+    n = c.groupBy("user_id", "chunk_index").agg(F.count_if(F.col("idx") % 4 != 0).alias("n"), F.min("idx").alias("start_index"), F.max("idx").alias("end_index"))
+    e = c.filter("idx % 4 <> 0").select("user_id", "event_id", "idx")
+    return E.chunk_of_ordinal(e, n, "user_id", "idx").select("user_id", "event_id", *L("chunk_index", "start_index", "end_index"))
+
+
 @query("SELECT count(DISTINCT label) AS n_classes, min(c) AS smallest FROM (SELECT label, count(*) AS c FROM embeddings GROUP BY label)")
 def class_guard(spark, d):
     c = I.table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("c"))

@@ -31,6 +31,13 @@ def test_spans(heights, spans, parents):
     assert folds.spans_and_parents(heights) == (spans, parents)
 
 
+def test_common_subsequence():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        assert folds.common_subsequence(a, folds.bit_places(b), len(b)) == folds.lcs(list(a), list(b))
+
+
 def test_span_rule_by_search():
     rng = random.Random(1)
     for _ in range(200):
@@ -112,7 +119,127 @@ def test_scores(spark):
 
 def test_boxes():
     assert folds.merge_boxes([(0, 0, 10, 10), (12, 0, 20, 10), (100, 100, 110, 110)]) == [(0, 0, 20, 10), (100, 100, 110, 110)]
-    assert folds.merge_pixels([(0, 0, 10, 10), (5, 5, 15, 15), (14, 14, 30, 30)]) != []
+    assert folds.merge_pixels([(0, 0, 10, 10), (5, 5, 15, 15), (14, 14, 30, 30)]) == [(0, 0, 15, 15), (14, 14, 30, 30)]
+    # from the top left on, whatever the order given: the lowest box is looked at last
+    boxes = [(40, 40, 50, 50), (0, 30, 10, 40), (0, 0, 10, 32), (5, 0, 12, 10)]
+    assert folds.merge_pixels(boxes) == [(0, 0, 12, 40), (40, 40, 50, 50)]
+    assert folds.merge_pixels([(5, 9, 6, 10), (1, 2, 3, 4)]) == [(1, 2, 3, 4), (5, 9, 6, 10)]
+
+
+def test_cue_packing():
+    pack = lambda *rows, **o: [(c["start"], c["end"], c["text"]) for c in folds.pack_cues([{"start": a, "end": b, "text": t} for a, b, t in rows], **o)]
+    assert pack((0.0, 1.0, "a"), (2.0, 3.0, "b"), (4.5, 5.0, "c"), (5.1, 6.0, "d")) == [(0.0, 3.0, "a b"), (4.5, 6.0, "c d")]
+    # the first cue holds a blank more; a cue of the full length is cut
+    assert pack((0.0, 1.0, "aaaa"), (1.0, 2.0, "bbbb"), most=10) == [(0.0, 1.0, "aaaa"), (1.0, 2.0, "bbbb")]
+    assert pack((9.0, 9.5, "aaaa"), (9.5, 10.0, "bbbb"), most=10) == [(9.0, 10.0, "aaaa bbbb")]
+    # an empty text opens no cue of its own
+    assert pack((9.0, 9.5, ""), (9.6, 10.0, "x")) == [(9.6, 10.0, "x")]
+    assert pack((9.0, 9.5, "y"), (30.0, 31.0, "")) == [(9.0, 9.5, "y")] and pack() == []
+
+
+def test_words_join_to_blocks():
+    words = [(0, 0, 10, 12, "a"), (12, 0, 20, 12, "b "), (21, 0, 30, 14, "c"), (90, 0, 99, 14, "d"), (99, 60, 110, 74, "e")]
+    got = folds.merge_words([dict(zip(("x0", "y0", "x1", "y1", "text"), w)) for w in words], 5.0, 40.0)
+    assert [(g["x0"], g["x1"], g["y1"], g["text"], g["height"]) for g in got] == [(0, 20, 12, "a b", 12), (21, 30, 14, "c", 14), (90, 99, 14, "d", 14), (99, 110, 74, "e", 14)]
+
+
+def test_words_join_page_by_page(spark):
+    rows = [(1, p, i, 10.0 * i, 0.0, 10.0 * i + 9, 12.0, f"w{p}{i}") for p in (0, 1) for i in (0, 1)] + [(1, 1, 2, 20.0, 0.0, 29.0, 12.0, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, page int, word_no int, x0 double, y0 double, x1 double, y1 double, text string")
+    got = B.merge_word_blocks(df, ["doc_id", "page"], ["word_no"], 600.0, 800.0).collect()
+    assert sorted((r.page, r.text) for r in got) == [(0, "w00 w01"), (1, "w10 w11")]
+
+
+def test_chunks_of_a_document(spark):
+    rows = [(1, i, f"t{i + 1} " + "x" * 30, n) for i, n in enumerate([3, 20, 2, 30])]
+    s = H.carry_short(spark.createDataFrame(rows, "doc_id long, sec_ord long, text string, length long"))
+    got = [(r.chunk_index, r.text) for r in H.chunk(s, size=40, overlap=0).orderBy("chunk_index").collect()]
+    x = "x" * 30
+    # 75th percentile 22.5: only the last section is long, and the three before it go along; each fits alone
+    assert got == [(0, f"t1 {x}"), (1, f"t2 {x}"), (2, f"t3 {x}"), (3, f"t4 {x}")]
+
+
+def test_digits_only(spark):
+    df = spark.createDataFrame([("12",), ("²³",), ("①",), ("1a",), ("½",), ("",), ("٣",)], "text string")
+    assert sorted(r.text for r in B.drop_numeric(df).collect()) == sorted(t for t in ("12", "²³", "①", "1a", "½", "", "٣") if not t.isdigit())
+
+
+def test_cue_match(spark):
+    cues = spark.createDataFrame([(1, i, 10 * i, 10 * i + 5, t) for i, t in enumerate(["alpha beta", "gamma delta", "gamma delto", "alpha beta"])], "k long, idx int, start_ms int, end_ms int, text string")
+    e = spark.createDataFrame([(1, 0, "gamma delto", 1, 3), (1, 1, "gamma delta", 0, 0), (1, 2, "alpha beta", 2, 3), (1, 3, "zzzz", 0, 0), (1, 4, "alpha", 1, 2)], "k long, ev int, quote string, lo int, hi int")
+    got = {r.ev: (r.idx, r.score) for r in E.cue_match(e, cues, "k").collect()}
+    # in range 1 to 3 the exact one ends the search; without a range all are tried, the first over the stop wins
+    assert got[0] == (2, 1.0) and got[1] == (1, 1.0) and got[2] == (3, 1.0) and 3 not in got and 4 not in got
+
+
+def test_chunk_of_ordinal(spark):
+    chunks = spark.createDataFrame([(1, 0, 2, 0, 9), (1, 1, 0, 10, 19), (1, 2, 1, 20, 29)], "k long, chunk_index int, n int, start_index int, end_index int")
+    e = spark.createDataFrame([(1, i, f"q{i}") for i in range(4)], "k long, ev int, quote string")
+    got = {r.ev: (r.chunk_index, r.start_index) for r in E.chunk_of_ordinal(e, chunks, "k", "ev").collect()}
+    assert got == {0: (0, 0), 1: (0, 0), 2: (2, 20), 3: (None, None)}
+
+
+def test_annotation_rows(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    rows = [(1, 0, 3, [(0.0, 0.0, 1.0, 1.0), (2.0, 0.0, 3.0, 1.0)], [(9.0, 9.0, 9.0, 9.0)], None), (1, 1, 3, [], [(5.0, 5.0, 6.0, 6.0), None], None), (1, 2, 4, None, None, (7.0, 7.0, 8.0, 8.0)), (1, 3, 4, None, [], None)]
+    got = E.annotation_rows(spark.createDataFrame(rows, f"doc_id long, ev int, page int, instances array<{box}>, boxes array<{box}>, box {box}")).collect()
+    assert sorted((r.ev, r.rect.x0 if r.rect else None, r.found) for r in got) == [(0, 0.0, True), (0, 2.0, True), (1, 5.0, True), (2, 7.0, True), (3, None, False)]
+
+
+def test_joining_of_close_intervals(spark):
+    rows = [(1, float(a), float(b)) for a, b in [(1, 5), (6, 9), (11, 15), (16, 20), (21, 25)]]
+    got = C.join_close(spark.createDataFrame(rows, "k long, start double, end double"), "k").collect()
+    assert sorted((r.start, r.end) for r in got) == [(1, 9), (11, 25)]
+
+
+def test_layout_model(spark, tmp_path):
+    from marginalia.operators import layout as Y
+
+    rng = random.Random(3)
+    rows = [(i, rng.gauss(4.0 * (i % 2), 0.5), rng.gauss(0, 1), ("single_column", "multi_column")[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, a double, b double, kind string")
+    m = Y.LayoutModel.fit(df, "page_id", ["a", "b"], "kind")
+    m.save(str(tmp_path / "model"))
+    m = Y.LayoutModel.load(spark, str(tmp_path / "model"))
+    page = spark.createDataFrame([(1, 4.1), (2, float("nan"))], "page_id long, a double")  # b is missing, one value is bad
+    got = {r.page_id: (r.label, r.multi_column) for r in m.predict(page, "page_id").collect()}
+    assert got == {1: ("multi_column", True), 2: ("single_column", False)} and 2 <= m.k <= 15
+
+
+def test_six_classifiers_and_best_k(spark):
+    from marginalia.operators import layout as Y
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, rng.gauss(3.0 * (i % 2), 1), rng.gauss(0, 1), float(i % 2)) for i in range(80)], "id long, a double, b double, label double")
+    train, test = df.filter("id < 60"), df.filter("id >= 60")
+    k, scores = Y.best_k(train.withColumn("v", F.array("a", "b")), test.withColumn("v", F.array("a", "b")), "id", "v", "label")
+    assert [s[0] for s in scores] == list(range(2, 16)) and dict(scores)[k] == max(s for _, s in scores) and all(s < dict(scores)[k] for n, s in scores if n < k)
+    got = {r.model: r.accuracy for r in Y.compare_with_neighbours(train, test, "id", ["a", "b"]).collect()}
+    assert len(got) == 6 and all(0.5 <= a <= 1 for a in got.values()) and f"neighbours_{k}" in got
+
+
+def test_split_of_small_classes(spark):
+    from marginalia.operators import layout as Y
+
+    assert Y.held_out_share(5) == (0.2, True) and Y.held_out_share(1) == (0.2, False)
+    assert Y.held_out_share(3) == (0.2, True) and Y.held_out_share(4, 0.2) == (0.2, True)
+    with pytest.raises(ValidationError):
+        Y.held_out_share(0)
+    df = spark.createDataFrame([(i, "a" if i else "b") for i in range(11)], "id long, label string")
+    assert Y.split_rows(df, "label", "id").filter("is_test").count() == 2
+
+
+def test_timings(spark):
+    from marginalia.operators.runs import Timings
+
+    t = Timings()
+    with pytest.raises(ValueError):
+        with t.stage("extract", "pdf"):
+            assert t.running == 1
+            raise ValueError("no")
+    assert t.timed("load")(lambda x: x + 1)(1) == 2 and t.running == 0
+    got = {r.stage: (r.status, r.seconds is not None, r.error_type) for r in t.frame(spark).collect()}
+    assert got == {"extract": ("error", False, "ValueError"), "load": ("success", True, None)}
 
 
 def test_recursive_split():
@@ -152,8 +279,75 @@ def test_sources(spark, tmp_path):
     assert (r.key, r.verbatim_text, r.start_index) == ("k", "v", -1)
 
 
-def test_config():
+def test_cache_files(spark, tmp_path):
+    rows = [("a", 1, "two", ["q3"], 5, 9), ("a", 0, "one", ["q1", "q2"], 0, 4), ("b", None, "whole é", [], 0, 0)]
+    df = spark.createDataFrame(rows, "key string, chunk_index int, summary string, evidence array<string>, start_index int, end_index int")
+    got = {r.key: (r.n_files, r.total_evidence_count) for r in S.write_cache(df, str(tmp_path / "cache"), now="t").collect()}
+    assert got == {"a": (2, 3), "b": (1, 0)}
+    assert (tmp_path / "cache" / "b_chunks" / "chunk_all.json").read_text() == '{\n  "summary": "whole é",\n  "evidence": [],\n  "start_index": 0,\n  "end_index": 0\n}'
+    back = S.read_cache(spark, str(tmp_path / "cache" / "a_master.json"), str(tmp_path / "cache" / "a_chunks")).collect()
+    assert sorted((r.chunk_file, r.verbatim_text, r.start_index) for r in back) == [("chunk_000.json", "q1", 0), ("chunk_000.json", "q2", 0), ("chunk_001.json", "q3", 5)]
+    assert {r.summary for r in back} == {"one\ntwo"}
+
+
+def test_page_scans(spark, tmp_path):
+    (tmp_path / "d.bin").write_text("ab c")
+    files = S.binary_files(spark, str(tmp_path), "*.bin")
+
+    def extract(content, page, classifier):
+        if page == 1:
+            raise ValueError("bad page")
+        return [{"content": classifier(page), "occupy_space": (0, 0, 1, 1), "text_height_median": 9.0, "min_height": 8.0}, {"content": "lacks keys"}]
+
+    got = S.scan_elements(files, lambda c: 3, extract, lambda: lambda p: f"p{p}").collect()
+    assert [(r.page_num, r.pos, r.content) for r in got] == [(0, 0, "p0"), (2, 1, "p2")]
+    word = lambda p, t: (p, 0, 0.0, 0.0, 1.0, 1.0, t, 0, 0)
+    words = S.scan_words(files, lambda c: [word(0, "x"), word(1, " ")], page_ocr=lambda c, p: [word(p, f"ocr{p}")], pages=lambda c: 3).collect()
+    assert [r.text for r in words] == ["x", "ocr1", "ocr2"]
+    assert S.scan_words(files, lambda c: []).count() == 0
+    with pytest.raises(Exception, match="no text in"):
+        S.scan_words(files, lambda c: [], on_empty="raise").count()
+    with pytest.raises(Exception, match="broken"):
+        S.scan_words(files, lambda c: (_ for _ in ()).throw(ValueError("broken"))).count()
+    assert S.scan_regions(files, lambda c: [(0, 0, 1, 1), (1, 1, 2, 2)]).count() == 2
+    assert [s.text for s in M.transcribe(files, lambda c: [(0, 1.5, "hi")], lambda found, c: found + [(2, 3, "ho")]).first().segments] == ["hi", "ho"]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b"), (2, None)], "x long, y string")
+    for _ in range(2):
+        S.append_csv_file(df, str(tmp_path / "one.csv"))
+        S.append_csv(df, str(tmp_path / "many"))
+    assert (tmp_path / "one.csv").read_text().splitlines() == ["x,y", '1,"a,b"', "2,", '1,"a,b"', "2,"]
+    assert spark.read.csv(str(tmp_path / "many"), header=True).count() == 4
+    j = spark.createDataFrame([('{"name":"é","children":[]}',)], "j string")
+    assert j.select(S.pretty_json(F.col("j")).alias("p")).first().p == '{\n    "name": "é",\n    "children": []\n}'
+    with pytest.raises(KeyError):
+        S.task_status(df, "x", 9)
+    assert S.task_status(df, "x", 1) == {"x": 1, "y": "a,b"}
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "a.png").write_text("x")
+    paths = spark.createDataFrame([(f"{tmp_path}/img/a.png",), (f"{tmp_path}/img/none.png",)], "image_path string")
+    assert S.only_files(spark, paths).count() == 1
+
+
+def test_first_source_names_failures(spark):
+    seen = []
+    with pytest.raises(SourceError, match="0: broken"):
+        S.first_source(lambda: (_ for _ in ()).throw(ValueError("broken")), failed=lambda i, e: seen.append(i))
+    assert seen == [0]
+
+
+def test_config(tmp_path):
+    from marginalia.config import ConfigError
+
     assert EngineConfig.from_mapping({"merge_gap_ms": 5, "other": 1}).merge_gap_ms == 5
+    (tmp_path / "c.json").write_text('{"audio": {"merge_gap_ms": 7}, "chunk_chars": 9}')
+    c = EngineConfig.from_file(str(tmp_path / "c.json"))
+    assert (c.merge_gap_ms, c.chunk_chars) == (7, 9)
+    (tmp_path / "bad.json").write_text("[")
+    with pytest.raises(ConfigError):
+        EngineConfig.from_file(str(tmp_path / "bad.json"))
 
 
 def test_streaming_intervals(spark, tmp_path):
