@@ -5,7 +5,7 @@ spans always stay.  Candidates of further kinds are found by one scan of looser
 patterns, and four labelers vote on each (1 for, -1 against, 0 abstains):
 
   shape      the kind's strict form
-  gazetteer  known given names, country codes, street words
+  gazetteer  known given names, country codes, street words, card issuers
   context    a cue word of the kind shortly before
   counter    a mark of other numbers or words (order, version, #) just before
 
@@ -52,11 +52,27 @@ def base_spans(text: Column) -> Column:
     )
 
 
-#: Common given names (a short public list).
-NAMES = ("James", "Mary", "John", "Maria", "Robert", "Linda", "Michael", "Anna", "David", "Sarah", "Thomas", "Laura", "Peter", "Julia", "Paul", "Emma", "Hans", "Pierre", "Marie", "Carlos", "Juan", "Luis", "Carmen", "Jean", "Klaus", "Sofia")
-#: Country codes that open an account number.
-COUNTRIES = ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
-STREETS = ("Street", "Avenue", "Road", "Lane", "Drive", "Boulevard")
+#: Given names: the hundred most frequent of a century in the United States Social Security
+#: Administration's public list (fixed values).
+NAMES = tuple(
+    """James Michael Robert John David William Richard Joseph Thomas Christopher Charles Daniel Matthew Anthony Mark
+    Steven Donald Andrew Joshua Paul Kenneth Kevin Brian Timothy Ronald Jason George Edward Jeffrey Ryan Jacob Nicholas
+    Gary Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Frank Raymond Jack
+    Dennis Jerry Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Sarah Lisa Nancy Sandra Ashley Emily
+    Kimberly Betty Margaret Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Laura Cynthia Amy
+    Kathleen Angela Dorothy Shirley Emma Brenda Nicole Pamela Samantha Anna Katherine Christine Debra Rachel Olivia
+    Carolyn Maria Janet Heather Diane""".split()
+)
+#: Country codes that open an account number, of the public IBAN registry (fixed values).
+COUNTRIES = tuple(
+    """AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO
+    KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG
+    XK""".split()
+)
+#: Street words of the United States Postal Service's public list of suffixes (its most frequent ones, fixed values).
+STREETS = "Street Avenue Road Lane Drive Boulevard Court Place Way Circle Terrace Parkway Square Trail Highway".split()
+#: Leading digits of payment cards (public issuer ranges, fixed values).
+ISSUERS = ("4", "5[1-5]", "2[2-7]", "3[4-8]", "6011", "64[4-9]", "65")
 CONTEXT = 48
 
 _B, _E = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
@@ -64,6 +80,7 @@ _B, _E = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 EXTRA = (
     ("name", rf"(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{{1,20}}(?:\x20[A-Z][a-z]{{1,20}})?|(?:{'|'.join(NAMES)})\x20[A-Z][a-z]{{1,20}}", r"^\S+\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?$", "name|contact|author|dear|by|signed|regards"),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", "ssn|social|security|tax"),
+    ("number", r"[0-9](?:[\x20-]?[0-9]){12,18}", r"^(?:[0-9]{13,19}|(?:[0-9]{4}[\x20-]){3}[0-9]{1,7})$", "card|credit|debit|visa|account|payment|konto|carte|tarjeta"),
     ("account", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}", rf"^(?:{'|'.join(COUNTRIES)})", "iban|account|bank|konto|compte|cuenta"),
     ("local_phone", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", r"^\(?[2-9]", "call|phone|tel|fax|mobile|cell|contact"),
     ("street", rf"[0-9]{{1,5}}\x20[A-Z][a-z]{{1,20}}\x20(?:{'|'.join(STREETS)})", r"^[1-9]", "address|live|lives|street|home|located|visit"),
@@ -86,6 +103,7 @@ def candidates(text: Column) -> Column:
         known = by_kind(
             lambda kind, *_: F.when(v.rlike(rf"(?:^|\x20)(?:{'|'.join(NAMES)})(?:\x20|$)"), 1).otherwise(0) if kind == "name"
             else F.when(v.rlike(rf"^(?:{'|'.join(COUNTRIES)})"), 1).otherwise(-1) if kind == "account"
+            else F.when(v.rlike(rf"^(?:{'|'.join(ISSUERS)})"), 1).otherwise(0) if kind == "number"
             else F.when(v.rlike(rf"(?:{'|'.join(STREETS)})$"), 1).otherwise(0) if kind == "street" else F.lit(0)
         )
         cue = F.when(by_kind(lambda _k, _p, _s, cues: before.rlike(rf"(?i)\b(?:{cues})\b")), 1).otherwise(0)
