@@ -182,8 +182,9 @@ def _extensions(docs: DataFrame, runs: DataFrame, hits: DataFrame, context: int)
         F.struct(F.lit(1).alias("side"), F.col("tail.hi").alias("hi"), F.col("tail.lo").alias("lo"), F.col("tail.start").alias("own")),
     )))
     place = F.struct("id", "version", "start", "end")
-    known = hits.join(ends.select("hi", "lo").distinct(), ["hi", "lo"]).groupBy("hi", "lo").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    known = materialize(known, "chunks-holders")
+    # Combined on the map side before the join: a chunk that many hold is one row.
+    known = hits.groupBy("hi", "lo").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    known = materialize(known.join(ends.select("hi", "lo").distinct(), ["hi", "lo"]), "chunks-holders")
     is_a = (F.col("a.id") == F.col("id")) & (F.col("a.version") == F.col("version")) & (F.col("a.start") == F.col("own"))
     asked = ends.join(known, ["hi", "lo"]).withColumn("o", F.when(is_a, F.col("b")).otherwise(F.col("a")))
     asked = asked.join(runs.select("id", "version", "run", "start", "end"), ["id", "version", "run"])

@@ -279,3 +279,30 @@ def passages(docs, least=200, context=256):
                 a, b = (start if i == 0 else part[0][1]), (end if i == len(parts) - 1 else part[-1][2])
                 out.append((d, a, b, len(part), sum(len(p) for p, *_ in part), tuple(first), first == [d], part[0][3]))
     return sorted(out)
+
+
+def expectation_maximisation(patterns, kinds, rounds=20):
+    """Posteriors of patterns (kind, votes, n) by the textbook rule: two classes, votes independent given the class, counts smoothed by one."""
+    pi = [0.5] * kinds
+    a = [{-1: 0.1, 0: 0.4, 1: 0.5} for _ in range(4)]
+    b = [{-1: 0.5, 0: 0.4, 1: 0.1} for _ in range(4)]
+
+    def posterior():
+        out = []
+        for k, votes, _ in patterns:
+            yes, no = pi[k], 1 - pi[k]
+            for j, v in enumerate(votes):
+                yes, no = yes * a[j][v], no * b[j][v]
+            out.append(yes / (yes + no))
+        return out
+
+    for _ in range(rounds):
+        q = posterior()
+        for k in range(kinds):
+            pi[k] = (sum(n * x for (kk, _, n), x in zip(patterns, q) if kk == k) + 1) / (sum(n for kk, _, n in patterns if kk == k) + 2)
+        for table, w in ((a, q), (b, [1 - x for x in q])):
+            total = sum(n * x for (_, _, n), x in zip(patterns, w))
+            for j in range(4):
+                for v in (-1, 0, 1):
+                    table[j][v] = (sum(n * x for (_, votes, n), x in zip(patterns, w) if votes[j] == v) + 1) / (total + 3)
+    return posterior()

@@ -49,6 +49,26 @@ def test_pii_adds_spans_the_model_accepts(spark):
     assert all({k for k, _ in got[i]} == {"name", "local_phone"} for i in range(40))
 
 
+def test_the_fit_is_expectation_maximisation(spark):
+    rng = random.Random(21)
+    rows = {}
+    for _ in range(40):
+        key = (rng.randrange(3), tuple(rng.choice((-1, 0, 1)) for _ in range(4)), tuple(rng.randrange(2) for _ in range(3)))
+        rows[key] = rng.randint(1, 500)
+    df = spark.createDataFrame([(k, list(v), list(f), n) for (k, v, f), n in rows.items()], "kind int, votes array<int>, features array<int>, n long")
+    got = pii.fit(df).first()
+    patterns = [(p.kind, tuple(p.votes), p.n) for p in got.patterns]
+    assert got.posterior == pytest.approx(brute.expectation_maximisation(patterns, len(pii.EXTRA)))
+    assert any(got.accepted) and not all(got.accepted)
+
+
+def test_numbers_that_fail_the_card_check_are_added(spark):
+    rows = [(i, f"text pays by card {4000 + i} 1234 5678 901{i % 10} today") for i in range(60)] + [(100 + i, f"see invoice 97831614841{i:02d} there") for i in range(20)]
+    got = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[i]) == 1 and got[i][0][1] == 18 and got[i][0][0] in ("card", "number") for i in range(60))
+    assert not any(k == "number" for i in range(20) for k, _ in got[100 + i])
+
+
 def test_secret_cases(odd, none):
     got = secrets.find_secrets(odd).collect()
     assert sorted(((r.doc_id, sum(f.kind == "assign" for f in r.findings), sum(f.kind == "access" for f in r.findings), sum(f.kind == "hex" for f in r.findings)) for r in got), key=repr) == sorted(((d, *brute.secret(t)[:3]) for d, t in ROWS), key=repr)
