@@ -15,8 +15,12 @@ their own length's hash at places that hold their first word.
 Join strategy: the items' words, fingerprints and windows form an index in flat
 arrays.  It is cut into blocks of whole items, each of about ``block_bytes``
 (text and arrays as estimated by WORD_BYTES), which are broadcast one after the
-other and the hits united; a usual benchmark is one block.  A larger one costs
-a pass over the documents for each block.  Documents are never shuffled.
+other and the hits united; a usual benchmark is one block.  Each block is a
+pass over the documents, which are not shuffled.  A benchmark of more than
+``most_blocks`` blocks is not broadcast: fingerprints of documents and items
+are joined as rows, the windows around the places that meet are joined to the
+items' windows by 128-bit hashes, and only items shorter than a window go in
+blocks as before.
 
 Defined cases: null and empty texts have no words; an item without words has no
 windows; items with equal ids are one item; repeated document rows keep their
@@ -214,10 +218,72 @@ def blocks_of(bench: DataFrame, id_col: str, text_col: str, block_bytes: int, sp
         yield Index(held, span, k)
 
 
+def _word_codes(text: bytes | None) -> np.ndarray:
+    import xxhash
+
+    ws = words_of(text)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+
+
+def _two_hashes(x: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    return gram_hashes(x, span).view(np.int64), gram_hashes((x ^ (x >> np.uint64(17))) * np.uint64(0xBF58476D1CE4E5B9), span).view(np.int64)
+
+
+#: Stands for a null item id while rows are joined: its windows count, its id is not reported.
+_NO_ID = -(1 << 63)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = pa.array([len(words_of(t.as_py())) for t in b.column(1)], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], [*b.schema.names, "n_words"])
+
+
+def join_hits(rows: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
+    """row, hit (joined spans), items of documents (row, text) against long items (item, text), by joins of rows only."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            keys, places, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(b.num_rows):
+                h = gram_hashes(_word_codes(b.column(1)[i].as_py()), k)
+                if len(h) > span - k:
+                    at = winnow(h, span - k + 1)
+                    keys.append(np.full(len(at), b.column(0)[i].as_py(), np.int64))
+                    places.append(at)
+                    values.append(h[at].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, places, values)], ["row", "place", "print"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All windows of a text, or those that contain a fingerprint of the places given."""
+        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            out: list[list] = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for i in range(b.num_rows):
+                one, two = _two_hashes(_word_codes(b.column(1)[i].as_py()), span)
+                at = np.arange(len(one))
+                if b.num_columns > 2:
+                    near = np.array(b.column(2)[i].as_py(), np.int64)
+                    at = np.unique((near[:, None] - np.arange(span - k + 1)[None, :]).ravel())
+                    at = at[(at >= 0) & (at < len(one))]
+                for held, x in zip(out, (np.full(len(at), b.column(0)[i].as_py(), np.int64), at, one[at], two[at])):
+                    held.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["row", "s", "one", "two"])
+
+    found, cut = "row long, place long, print long", "row long, s long, one long, two long"
+    known = items.select("item", "text").mapInArrow(prints, found).select("print").distinct()
+    met = rows.select("row", "text").mapInArrow(prints, found).join(materialize(known, "decontaminate-prints"), "print", "left_semi")
+    places = materialize(met.groupBy("row").agg(F.collect_set("place").alias("places")), "decontaminate-places")
+    mine = rows.join(places, "row").select("row", "text", "places").mapInArrow(windows, cut)
+    theirs = items.select("item", "text").mapInArrow(windows, cut).select("one", "two", F.col("row").alias("item")).distinct()
+    hits = mine.join(materialize(theirs, "decontaminate-windows"), ["one", "two"])
+    spans = F.transform(F.array_sort(F.collect_set("s")), lambda x: F.struct(x.cast("int").alias("s"), (x + span).cast("int").alias("e")))
+    return hits.groupBy("row").agg(spans.alias("hit"), F.array_remove(F.array_sort(F.collect_set("item")), _NO_ID).alias("items"))
+
+
 HITS = "{} long, {} array<struct<s:int,e:int>>, {} array<long>"
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", carry: tuple[str, ...] = (), span: int = 10, k: int = 5, block_bytes: int = 128 << 20, prefix: str = "") -> DataFrame:
+def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", carry: tuple[str, ...] = (), span: int = 10, k: int = 5, block_bytes: int = 128 << 20, most_blocks: int = 4, prefix: str = "") -> DataFrame:
     """id, carried columns, n_words, hit (joined spans of hit words), items (ids, distinct).
 
     prefix goes before the new columns' names, for carried columns that clash.
@@ -262,17 +328,30 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
 
         return frame.mapInArrow(run, StructType([f for f in frame.schema.fields if f.name not in away] + hit_fields.fields))
 
-    indexes = blocks_of(bench, item_col, item_text_col, block_bytes, span, k)
+    # A word is seven bytes or so with its blank.
+    n_bytes = bench.agg(F.sum(F.octet_length(F.col(item_text_col).cast("string")))).first()[0] or 0
+    wide, joined = bench, None
+    if n_bytes + n_bytes // 7 * WORD_BYTES > most_blocks * block_bytes:
+        held_items = bench.select(F.col(item_col).cast("long").alias(item_col), F.col(item_text_col).cast("string").cast("binary").alias(item_text_col)).filter(F.col(item_text_col).isNotNull())
+        held_items = materialize(held_items.mapInArrow(lambda batches: _counted(batches), f"`{item_col}` long, `{item_text_col}` binary, n_words long"), "decontaminate-items")
+        wide = held_items.filter(F.col("n_words") < span)
+        joined = held_items.filter(F.col("n_words") >= span).select(F.coalesce(item_col, F.lit(_NO_ID)).alias("item"), F.col(item_text_col).alias("text"))
+    indexes = blocks_of(wide, item_col, item_text_col, block_bytes, span, k)
     first = next(indexes, None) or Index([], span, k)
-    out = pass_over(first, base)
     second = next(indexes, None)
-    if second is not None:
-        # More than one block: each pass leaves its hits by row, united at the end.
+    if second is None and joined is None:
+        out = pass_over(first, base)
+    else:
+        # More than one part: each leaves its hits by row, united at the end.
         keyed = materialize(base.withColumn(row_no, F.monotonically_increasing_id()), "decontaminate-rows")
         parts = [materialize(pass_over(first, keyed), "decontaminate-block")]
         while second is not None:
             parts.append(materialize(pass_over(second, keyed).select(row_no, hit_col, items_col).filter(F.size(hit_col) > 0), "decontaminate-block"))
             second = next(indexes, None)
+        if joined is not None:
+            texts = keyed.select(F.col(row_no).alias("row"), F.col(held).cast("string").cast("binary").alias("text"))
+            got = join_hits(texts, joined, span, k)
+            parts.append(materialize(got.select(F.col("row").alias(row_no), F.col("hit").alias(hit_col), F.col("items").alias(items_col)), "decontaminate-joined"))
         more = parts[1]
         for p in parts[2:]:
             more = more.unionByName(p)

@@ -139,14 +139,25 @@ def test_decontaminate_cases(spark, odd, none):
     b = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame(docs, "doc_id long, text string")
     want = {k: v[:3] for k, v in brute.contamination(docs, [(i, t) for i, t in items]).items()}
-    for size in (1 << 27, 1):  # one block, and a block for every item
-        got = {r.doc_id: (r.n_words, sum(x.e - x.s for x in r.hit), len(r["items"])) for r in decontaminate.find_hits(d, b, block_bytes=size).collect()}
+    for size, most in ((1 << 27, 4), (1, 1 << 60), (1, 0)):  # one block, a block for every item, joins of rows
+        got = {r.doc_id: (r.n_words, sum(x.e - x.s for x in r.hit), len(r["items"])) for r in decontaminate.find_hits(d, b, block_bytes=size, most_blocks=most).collect()}
         assert got == want
     assert decontaminate.find_hits(d, b.filter("item_id < 0")).filter("size(hit) > 0").count() == 0
     assert decontaminate.find_hits(none, b).count() == 0
     assert len(decontaminate.find_hits(odd, b, carry=tuple(odd.columns), prefix="__b_").columns) == len(odd.columns) + 3
 
 
+def test_joined_fingerprints_find_what_the_index_finds(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda **o: sorted((r.doc_id, r.n_words, [(x.s, x.e) for x in r.hit], r["items"]) for r in decontaminate.find_hits(docs, bench, **o).collect())
+    want = rows()
+    assert any(r[2] for r in want) and rows(most_blocks=0) == want
+    nameless = spark.createDataFrame([(None, docs.filter("length(text) > 500").first().text)], "item_id long, text string")
+    got = {m: sorted((r.doc_id, len(r.hit), r["items"]) for r in decontaminate.find_hits(docs, nameless, most_blocks=m).collect()) for m in (4, 0)}
+    assert got[4] == got[0] and any(n for _, n, _ in got[0]) and not any(i for _, _, i in got[0])
+
+
 def test_winnowing_guarantee():
     rng = random.Random(1)
     words = [f"v{i}".encode() for i in range(6)]
