@@ -75,6 +75,12 @@ def assemble_text(words: DataFrame, keys: list[str], factor: float = 0.6) -> Dat
     return rows.groupBy(*keys).agg(text.alias("block_text"), F.coalesce(F.median(tall), F.lit(0.0)).alias("height_median"), F.coalesce(F.min(tall), F.lit(0.0)).cast("double").alias("height_min"))
 
 
+def large_regions(regions: DataFrame, width: float, height: float, half: bool = False) -> DataFrame:
+    """Regions of at least this size; half of it before they are merged."""
+    k = 0.5 if half else 1.0
+    return regions.filter((F.col("x1") - F.col("x0") >= k * width) & (F.col("y1") - F.col("y0") >= k * height))
+
+
 def multicolumn_rank(x0: Column, x1: Column, page_width: Column) -> Column:
     """0 for wide boxes across the centre, 1 left, 2 right."""
     mid, tolerance = page_width / 2, page_width * 0.05

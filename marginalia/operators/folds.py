@@ -289,11 +289,13 @@ def lcs(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def rouge_l(a: str, b: str) -> float:
-    """F1 of the longest common subsequence of lower-case alphanumeric words."""
+def rouge_l(a: str, b: str, stem=None) -> float:
+    """F1 of the longest common subsequence of lower-case alphanumeric words, each through stem if one is given."""
     import re
 
     x, y = (re.findall("[a-z0-9]+", (t or "").lower()) for t in (a, b))
+    if stem:
+        x, y = [stem(w) for w in x], [stem(w) for w in y]
     if not x or not y:
         return 0.0
     n = lcs(x, y)

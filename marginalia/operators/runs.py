@@ -42,6 +42,13 @@ def active(marks: DataFrame, ts: str = "ts", change: str | Column = "change", sl
     return m.withColumn("__in", F.sum("__c").over(w)).join(sums, "__slot").withColumn("active", F.col("__in") + F.col("__before")).drop("__slot", "__c", "__in", "__before")
 
 
+def cache_counters(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """One row: hits and misses of the wanted keys in the stored ones."""
+    have = stored.select(key).distinct().withColumn("__have", F.lit(True))
+    hit = F.count_if(F.col("__have"))
+    return wanted.join(have, key, "left").agg(hit.alias("hits"), (F.count("*") - hit).alias("misses"))
+
+
 class Timings:
     """Rows of stages as they run: seconds only on success; the number running falls in any case."""
 

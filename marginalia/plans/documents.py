@@ -158,7 +158,12 @@ def union_box(spark, d):
 
 @query(f"WITH {I.ELEMENTS}, {I.REGIONS} SELECT doc_id, page, region_ord FROM regions WHERE x1 - x0 >= 70 AND y1 - y0 >= 8")
 def region_size_filter(spark, d):
-    return I.regions(spark, d).filter("x1 - x0 >= 70 and y1 - y0 >= 8").select(DOC, *L("page", "region_ord"))
+    return B.large_regions(I.regions(spark, d), 70, 8).select(DOC, *L("page", "region_ord"))
+
+
+@query(f"WITH {I.ELEMENTS}, {I.REGIONS} SELECT doc_id, page, region_ord FROM regions WHERE x1 - x0 >= 75 AND y1 - y0 >= 4")
+def region_half_size_filter(spark, d):
+    return B.large_regions(I.regions(spark, d), 150, 8, half=True).select(DOC, *L("page", "region_ord"))
 
 
 @query(f"""WITH RECURSIVE {I.WORDS}, seq AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY word_no) AS n FROM words),

@@ -521,6 +521,11 @@ def run_counters(spark, d):
     return e.groupBy(F.col("event_type").alias("label"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("seconds"), F.count_if(F.col("value") > 50).alias("slow"))
 
 
+@query("SELECT count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS hits, count(*) FILTER (WHERE l.doc_id IS NULL) AS misses FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def cache_counters(spark, d):
+    return U.cache_counters(I.table(spark, d, "documents").select("doc_id"), I.table(spark, d, "labels"), "doc_id")
+
+
 _LE = ", ".join(f"({b}::DOUBLE)" for b in U.BUCKETS)
 
 

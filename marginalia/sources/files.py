@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ExtractionError, SourceError, ValidationError
-from ..functions.text import base_name, clip_name
+from ..functions.text import base_name, clip_name, safe_name
 
 WORD = "path string, page int, word_no int, x0 double, y0 double, x1 double, y1 double, text string, block_no int, line_no int"
 CACHE_MASTER = "summary string, chunk_files array<string>, total_evidence_count int, timestamp string"
@@ -176,6 +176,47 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("image_path", F.when(F.col("image_path").startswith("/"), F.col("image_path")).otherwise(F.concat(F.lit(folder + "/"), "image_path")))
 
 
+PAGE_IMAGE = "path string, page int, image_path string, classification string, error string"
+
+
+def render_pages(files: DataFrame, pages: Callable[[bytes], int], render: Callable[[bytes, int], bytes], folder: str, label: str) -> DataFrame:
+    """Page images of documents, one file a page, and their labelled rows.
+
+    File names are {document's safe name}_page_{n}.png, n from 1.  A page that
+    can't be saved has a row with error error_saving_image, a document that
+    can't be read one with error_processing_file.
+    """
+    top = folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, place = fs.FileSystem.from_uri(top) if "://" in top else (fs.LocalFileSystem(), top.removeprefix("file:"))
+        for b in batches:
+            rows = []
+            for path, content, name in zip(*(b.column(i).to_pylist() for i in range(3))):
+                try:
+                    n = pages(content)
+                except Exception:
+                    rows.append((path, None, None, label, "error_processing_file"))
+                    continue
+                for p in range(n):
+                    image, error = f"{place}/{name}_page_{p + 1}.png", None
+                    try:
+                        data = render(content, p)
+                        where.create_dir(place, recursive=True)
+                        with where.open_output_stream(image) as f:
+                            f.write(data)
+                    except Exception:
+                        image, error = None, "error_saving_image"
+                    rows.append((path, p, image, label, error))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in PAGE_IMAGE.split(", ")])
+
+    return files.select("path", "content", safe_name(base_name(F.col("path"))).alias("name")).mapInArrow(run, PAGE_IMAGE)
+
+
 def only_files(spark: SparkSession, df: DataFrame, column: str = "image_path", glob: str = "*") -> DataFrame:
     """Rows whose path names a file; the folders' listing decides, not a request a row."""
     bare = lambda c: F.regexp_replace(c, "^file:/+", "/")

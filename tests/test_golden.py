@@ -331,6 +331,56 @@ def test_sinks(spark, tmp_path):
     assert S.only_files(spark, paths).count() == 1
 
 
+def test_page_images(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "my book.pdf").write_text("ab")
+    (tmp_path / "in" / "bad.pdf").write_text("!")
+
+    def render(content, page):
+        if page == 1:
+            raise ValueError("no")
+        return b"png"
+
+    files = S.binary_files(spark, str(tmp_path / "in"), "*.pdf")
+    got = S.render_pages(files, lambda c: len(c) if c != b"!" else 1 // 0, render, str(tmp_path / "out"), "singlecolumn").collect()
+    shown = sorted((r.path.rpartition("/")[2], r.page, r.image_path and r.image_path.rpartition("/")[2], r.error) for r in got)
+    assert [x[3] for x in shown] == ["error_processing_file", None, "error_saving_image"] and shown[1][2] == "my_book_page_1.png"
+    assert (tmp_path / "out" / "my_book_page_1.png").read_bytes() == b"png"
+
+
+def test_hooks(spark):
+    df = spark.createDataFrame([(1, "a b. c d", "x" * 60), (2, None, "short")], "id long, text string, long string")
+    assert [r.sentences for r in M.split_sentences(df, "text").orderBy("id").collect()] == [["a b.", "c d"], []]
+    assert [r.short for r in M.concise(df, "long", lambda t: "cut").orderBy("id").collect()] == ["cut", "short"]
+    assert [r.entailment for r in M.entailment(df, "text", "long", lambda ps: [float(len(ps)) for _ in ps]).collect()]
+    assert folds.rouge_l("the cats sat", "the cat sits") == pytest.approx(1 / 3)
+    assert folds.rouge_l("the cats sat", "the cat sits", stem=lambda w: w[:3]) == pytest.approx(2 / 3)
+
+
+def test_refine_when_a_model_fails(spark):
+    df = spark.createDataFrame([(1, i, f"t{i}") for i in range(3)], "doc_id long, chunk_index int, text string")
+
+    def model(text, so_far):
+        if text == "t1":
+            raise ValueError("no answer")
+        return {"summary": text, "evidence": [text]}
+
+    r = M.refine(df, "doc_id", model).first()
+    assert (r.summary, r.n_failed) == ("t0\nt2", 1) and [e.chunk_index for e in r.evidence] == [0, 2]
+    with pytest.raises(Exception, match="no answer"):
+        M.refine(df, "doc_id", model, stop_on_error=True).collect()
+
+
+def test_learning_curve(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from marginalia.operators import layout as Y
+
+    df = spark.createDataFrame([(float(i), float(i >= 30)) for i in range(60)], "a double, label double")
+    got = Y.learning_curve(df, ["a"], "label", DecisionTreeClassifier(seed=1), sizes=(0.5, 1.0), folds=2).collect()
+    assert {r.size for r in got} == {0.5, 1.0} and all(0.5 <= r["mean"] <= 1 for r in got)
+
+
 def test_first_source_names_failures(spark):
     seen = []
     with pytest.raises(SourceError, match="0: broken"):
@@ -364,6 +414,19 @@ def test_streaming_intervals(spark, tmp_path):
     assert (1, 2) in got and (2, 1) in got
 
 
+def test_streaming_counters(spark, tmp_path):
+    from marginalia.streaming.extensions import run_counters_stream
+
+    df = spark.createDataFrame([(0, "ok", 1.0), (60, "ok", 2.0), (60, "error", None), (4000, "ok", 5.0), (90_000, "ok", 1.0)], "a long, status string, seconds double")
+    df.select(F.timestamp_seconds("a").alias("ts"), "status", "seconds").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, status string, seconds double").parquet(str(tmp_path / "in"))
+    q = run_counters_stream(stream).writeStream.format("memory").queryName("counted").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.start.timestamp(), r.status, r.n, r.seconds) for r in spark.table("counted").collect()}
+    assert got == {(0.0, "ok", 2, 3.0), (0.0, "error", 1, None), (3600.0, "ok", 1, 5.0)}
+
+
 def test_best_block_is_what_a_scan_in_order_finds():
     import random
 
