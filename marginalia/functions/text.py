@@ -58,11 +58,12 @@ def strip_stamp(c: Column) -> Column:
     return F.regexp_replace(c, STAMP, "")
 
 
-def srt_ms(c: Column) -> Column:
-    """HH:MM:SS,mmm in milliseconds; null if malformed."""
+def srt_ms(c: Column, strict: bool = False) -> Column:
+    """HH:MM:SS,mmm in milliseconds; null if malformed, or an error if strict."""
     p = F.split(c, "[:,]")
     n = lambda i: F.get(p, F.lit(i)).try_cast("long")
-    return F.when(c.rlike(rf"^{TIME}$"), ((n(0) * 60 + n(1)) * 60 + n(2)) * 1000 + n(3))
+    ms = F.when(c.rlike(rf"^{TIME}$"), ((n(0) * 60 + n(1)) * 60 + n(2)) * 1000 + n(3))
+    return ms if not strict else F.when(c.isNotNull() & ms.isNull(), F.raise_error(F.concat(F.lit("no time: "), c)).cast("long")).otherwise(ms)
 
 
 def srt_time(ms: Column) -> Column:

@@ -97,6 +97,9 @@ def test_scalars(spark):
     df = spark.range(1)
     one = lambda c: df.select(c.alias("x")).first().x
     assert one(T.srt_ms(F.lit("01:02:03,456"))) == 3723456 and one(T.srt_ms(F.lit("1:2"))) is None
+    assert one(T.srt_ms(F.lit("01:02:03,456"), strict=True)) == 3723456
+    with pytest.raises(Exception, match="no time: 1:2"):
+        one(T.srt_ms(F.lit("1:2"), strict=True))
     assert one(T.page_annotation(F.lit("[Page: 12 ] x"))) == 12 and one(T.page_annotation(F.lit(" [Page:5] x"))) is None
     assert one(T.clip_name(F.lit(3), F.lit(1200), F.lit("Hello, world. Is it ok?"))) == "snippet_003_1200_Hello_world_Is_it_ok"
     assert one(T.is_chapter(F.lit("see chapter 7: the end"))) and not one(T.is_chapter(F.lit("chapters 7")))
