@@ -8,8 +8,9 @@ fraction of words covered and the longest repeat.  A text in which no window of
 ``min_repeat`` words recurs has no such interval, so only the others are sorted.
 
 The rule has a scale of its own: three words, where the base rule looks at
-windows of five.  Stutters and short cycles, whose longest repeat is under five
-words, fail it alone; so does one long passage given twice in a long text.
+windows of five, and a higher limit, since a short text may well repeat its
+title.  Stutters and short cycles, whose longest repeat is under five words,
+fail it alone; so does one long passage given twice in a long text.
 
 Memory is linear in a text: up to LEVELS words the prefix doubling keeps its
 ranks (17 small arrays at most) for the prefix lengths; longer texts get them
@@ -168,7 +169,7 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, max_repeat_percent: int = 20,
-    min_repeat: int = 3, max_covered: float = 0.4, max_longest: int = 50, carry: tuple[str, ...] = (), prefix: str = "",
+    min_repeat: int = 3, max_covered: float = 0.65, max_longest: int = 50, carry: tuple[str, ...] = (), prefix: str = "",
 ) -> DataFrame:
     """id (and the columns in carry) with the counts, base_failed and kept.
 

@@ -150,7 +150,7 @@ def quality(text):
     rep = {p for v in at.values() if len(v) > 1 for i in v for p in range(i, i + 5)}
     covered, longest = repeats(w, 3)
     failed = len(w) < 10 or 100 * len(rep) > 20 * len(w)
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(rep), failed, not failed and covered <= 0.4 * len(w) and longest <= 50
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(rep), failed, not failed and covered <= 0.65 * len(w) and longest <= 50
 
 
 def repeats(w, least):

@@ -357,9 +357,10 @@ def test_quality_verdict_has_its_own_scale(spark):
     stutter = " ".join(f"w{i}" for i in range(12) for _ in range(4))
     passage = " ".join(f"p{i}" for i in range(60))
     twice = " ".join([passage, *(f"m{i}" for i in range(800)), passage])
-    rows = [(1, stutter), (2, twice), (3, " ".join(f"n{i}" for i in range(500)))]
+    title = "to the reader now\n" + " ".join(f"t{i}" for i in range(9)) + "\nto the reader now"
+    rows = [(1, stutter), (2, twice), (3, " ".join(f"n{i}" for i in range(500))), (4, title)]
     got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (False, False), 2: (False, False), 3: (False, True)}
+    assert got == {1: (False, False), 2: (False, False), 3: (False, True), 4: (False, True)}
     for _, t in rows:
         assert quality.measure(t.encode())[5:] == brute.repeats(t.split(), 3)
 
