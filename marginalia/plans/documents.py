@@ -176,9 +176,12 @@ def word_block_merge(spark, d):
     return b.select(DOC, *L("page", "block_no"), "x0", "y0", "x1", "y1", "text", "height")
 
 
-@query()
+@query(f"""WITH {I.ELEMENTS}, {I.REGIONS}, i AS (SELECT *, region_ord - row_number() OVER (PARTITION BY doc_id, page ORDER BY region_ord) AS island FROM regions),
+m AS (SELECT doc_id, page, island, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM i GROUP BY ALL)
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY island) - 1 AS region_no, x0, y0, x1, y1 FROM m""")
 def merge_regions(spark, d):
-    return B.merge_regions(I.regions(spark, d), [DOC, "page"], ["region_ord"])
+    """Here a line's region overlaps the next line's and no other, so what merges are runs of lines."""
+    return B.merge_regions(I.regions(spark, d), [DOC, "page"], ["region_ord"]).select(DOC, *L("page", "region_no"), "x0", "y0", "x1", "y1")
 
 
 @query()

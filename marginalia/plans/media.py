@@ -102,11 +102,12 @@ def index_range_candidates(spark, d):
     return E.index_range(e, c.select("user_id", "idx"), "user_id").select("user_id", "ev", "idx")
 
 
-@query()
+@query(f"WITH {I.CUES} SELECT user_id, idx AS ev, idx, start_ms, end_ms, 1.0::DOUBLE AS score FROM cues")
 def evidence_cue_match(spark, d):
+    """Every quote is its cue's own text, so the search must come back to it."""
     c = I.cues(spark, d)
     e = c.select("user_id", F.col("idx").alias("ev"), F.concat(F.lit("["), T.srt_time(F.col("start_ms") % 86400000), F.lit(","), T.srt_time(F.col("end_ms") % 86400000), F.lit("] "), "text").alias("quote"), (F.col("idx") - 2).alias("lo"), (F.col("idx") + 2).alias("hi"))
-    return E.cue_match(e, c, "user_id")
+    return E.cue_match(e, c, "user_id").select("user_id", *L("ev", "idx", "start_ms", "end_ms"), "score")
 
 
 @query(f"""WITH RECURSIVE {I.CUES}, seg AS (SELECT user_id, idx, (start_ms - min(start_ms) OVER (PARTITION BY user_id)) / 100000.0::DOUBLE AS s, (end_ms - min(start_ms) OVER (PARTITION BY user_id)) / 100000.0::DOUBLE AS e, text FROM cues),
@@ -450,7 +451,10 @@ def snippet_fidelity(spark, d):
     return c.select("conv_id", "snippet", F.col("prompt").contains(F.col("snippet")).alias("verbatim"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {I.COMPLETIONS}, w AS (SELECT conv_id, regexp_extract_all(lower(prompt), '[a-z0-9]+') AS x, regexp_extract_all(lower(answer), '[a-z0-9]+') AS y FROM completions WHERE prompt IS NOT NULL AND answer IS NOT NULL),
+lcs AS (SELECT conv_id, 0 AS i, x, y, list_transform(y, lambda t: 0) AS r FROM w
+  UNION ALL SELECT conv_id, i + 1, x, y, list_transform(range(1, len(y) + 1), lambda j: list_max(c[1:j])) FROM (SELECT *, list_transform(range(1, len(y) + 1), lambda j: CASE WHEN x[i + 1] = y[j] THEN coalesce(r[j - 1], 0) + 1 ELSE r[j] END) AS c FROM lcs WHERE i < len(x)))
+SELECT conv_id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE round(2 * r[-1] / (len(x) + len(y)), 6) END::DOUBLE AS rouge_l FROM lcs WHERE i = len(x)""")
 def rouge_l(spark, d):
     c = I.completions(spark, d).filter("prompt is not null and answer is not null")
     return c.select("conv_id", F.round(rouge_l_udf(F.col("prompt"), F.col("answer")), 6).alias("rouge_l"))
