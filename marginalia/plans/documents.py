@@ -366,8 +366,11 @@ def highlight_ladder(spark, d):
 p AS (SELECT doc_id, unnest(list_transform(range(0, len(ws) - 5), lambda i: array_to_string(ws[i + 1 : i + 8], ' '))) AS p FROM w WHERE len(ws) > 10)
 SELECT doc_id, count(*) AS n_phrases, sum(length(p))::BIGINT AS n_chars FROM p WHERE length(p) > 15 GROUP BY doc_id""")
 def phrase_windows(spark, d):
-    p = I.table(spark, d, "documents").select(DOC, F.explode(text.phrases(F.col("text"))).alias("p"))
-    return p.groupBy(DOC).agg(F.count("*").alias("n_phrases"), F.sum(F.length("p")).alias("n_chars"))
+    # a row's phrases are counted where they stand
+    p = I.table(spark, d, "documents").select(DOC, F.transform(text.phrases(F.col("text")), F.length).alias("n"))
+    chars = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    one = p.filter("size(n) > 0").select(DOC, F.size("n").cast("long").alias("n"), chars.alias("chars"))
+    return one.groupBy(DOC).agg(F.sum("n").alias("n_phrases"), F.sum("chars").alias("n_chars"))
 
 
 @query(f"""WITH {I.ELEMENTS}, o AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos) - length(text) AS off FROM elements),
