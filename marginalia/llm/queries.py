@@ -78,7 +78,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of all documents."""
     found = quality.quality(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "longest_repeat"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered"
     )
 
 
@@ -111,7 +111,29 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 QUERIES = {f.__name__: _shipped(f) for f in (op1_warc, op2_pii, op3_secrets, op4_decontaminate, op5_pack, op6_simhash, op7_quality, op8_chunks, op9_tokens, op10_license)}
 
+def _windows_twice(k: int) -> str:
+    """Starts of k-word windows that a document holds twice or more."""
+    return (
+        f"t{k} AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, h) AS c FROM (SELECT doc_id, s, hash(array_to_string(w[s : s + {k - 1}], ' ')) AS h "
+        f"FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k} + 2)) AS s FROM d WHERE len(w) >= {k}))) WHERE c > 1)"
+    )
+
+
+def _words_in(k: int) -> str:
+    return f"c{k} AS (SELECT doc_id, count(DISTINCT p) AS n{k} FROM (SELECT doc_id, unnest(range(s, s + {k})) AS p FROM t{k}) GROUP BY doc_id)"
+
+
 ORACLE: dict[str, str] = {
+    # the longest repeat is over 50 words if a window of 51 occurs twice
+    "op7_quality": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+{_windows_twice(5)}, {_words_in(5)}, {_windows_twice(3)}, {_words_in(3)}, {_windows_twice(51)}, long AS (SELECT DISTINCT doc_id, true AS is_long FROM t51),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(n5, 0)::BIGINT AS n_repeat_words, coalesce(n3, 0)::BIGINT AS n_covered, coalesce(is_long, false) AS is_long
+  FROM d LEFT JOIN c5 USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN long USING (doc_id) LEFT JOIN lines USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_covered <= 0.65 * n_words AND NOT is_long AS kept, n_covered FROM b""",
     "op1_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 b AS (SELECT page_id, strlen(html) AS payload_bytes, hex,
