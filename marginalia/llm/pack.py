@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
         for b in batches:
             texts, rows = b.column(1), []
             for i in range(b.num_rows):
-                ids = b"".join(encode(texts[i].as_py() or "")) + last
+                ids = encode(texts[i].as_py() or "") + last
                 n, doc = len(ids) // 4, b.column(0)[i].as_py()
                 first = n % capacity or capacity
                 at, piece = 0, 0

@@ -1,4 +1,4 @@
-"""Token counts through a digest cache, and the segment memo both token operators use.
+"""Token counts through a digest cache, and the encoder both token operators use.
 
 Counts are stored under (digest of the content, digest of the tokenizer).  A
 run joins the corpus' distinct digests to the cache, encodes only the misses
@@ -14,49 +14,16 @@ their row; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, path_exists
 
-#: Two white-space characters in a row: blanks there may join the run, so such a text is cut elsewhere.
-_RUN = re.compile(r"\s\s")
-#: A place between a character that isn't white space and a single blank before another: the tokenizer always cuts there.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-class Segments(dict):
-    """Memo of what encode() makes of a segment: a word run with the blank before it.
-
-    A byte-level pre-tokenizer never joins text across the place before a
-    single blank that stands between two characters that are no white space,
-    so a text's tokens are those of its segments, in order.  The memo is
-    emptied when it holds ``most`` entries; that only costs repeated work.
-    """
-
-    def __init__(self, encode: Callable[[str], object], most: int = 400_000):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, part: str):
-        if len(self) >= self.most:
-            self.clear()
-        got = self.encode(" " + part)
-        if len(part) <= 64:
-            self[part] = got
-        return got
-
-    def of(self, text: str) -> list:
-        """What each segment gives, in order."""
-        parts = text.split(" ") if not _RUN.search(text) else _CUT.split(text)
-        return [self.encode(parts[0]), *map(self.__getitem__, parts[1:])] if text else []
-
-
 _loaded: dict[str, object] = {}
 
 
@@ -77,17 +44,6 @@ def load(path: str):
     return _loaded[path]
 
 
-def cuts_at_blanks(path: str) -> bool:
-    """Whether the file is a byte-level BPE that cuts before single blanks: then Segments is exact."""
-    import json
-
-    if not path.endswith(".json"):
-        return False
-    spec = json.load(open(path, encoding="utf-8"))
-    pre = spec.get("pre_tokenizer") or {}
-    return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-
-
 #: The byte-level pre-tokenizer's split (public, fixed).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -99,19 +55,24 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def segment_encoder(path: str) -> Callable[[str], list[int]]:
-    """text -> ids for a byte-level BPE file.
+def file_encoder(path: str) -> Callable[[str], list[int]]:
+    """text -> ids, as the library for the file gives them.
 
-    The merges run in tiktoken, whose ranks are the file's own ids; that is the
-    same encoding if every merge makes a higher id than the one before, which is
-    checked.  Texts that hold an added token, and files that fail the check, go
-    to the tokenizers library.
+    A byte-level BPE file runs in tiktoken, whose ranks are the file's own ids;
+    that is the same encoding if every merge makes a higher id than the one
+    before and the file has no normaliser, which is checked.  Texts that hold an
+    added token, and files that fail the check, go to the library.
     """
     import json
 
     t = load(path)
+    if not path.endswith(".json"):
+        return t.encode
     whole = lambda s: t.encode(s, add_special_tokens=False).ids
     spec = json.load(open(path, encoding="utf-8"))
+    pre = spec.get("pre_tokenizer") or {}
+    if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer"):
+        return whole
     model, added = spec["model"], [x["content"] for x in spec.get("added_tokens") or []]
     if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
         return whole
@@ -130,27 +91,16 @@ def segment_encoder(path: str) -> Callable[[str], list[int]]:
 
 
 @lru_cache(maxsize=2)
-def id_bytes(path: str) -> Callable[[str], list[bytes]]:
-    """text -> pieces of its ids, little-endian unsigned 32-bit, to be joined."""
-    import array
-
-    if cuts_at_blanks(path):
-        encode = segment_encoder(path)
-        return Segments(lambda s: array.array("I", encode(s)).tobytes()).of
-    t = load(path)
-    whole = (lambda s: t.encode(s, add_special_tokens=False).ids) if path.endswith(".json") else t.encode
-    return lambda s: [array.array("I", whole(s)).tobytes()] if s else []
+def id_bytes(path: str) -> Callable[[str], bytes]:
+    """text -> its ids, little-endian unsigned 32-bit."""
+    encode = file_encoder(path)
+    return lambda s: np.array(encode(s), "<u4").tobytes() if s else b""
 
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Callable[[str], int]:
-    if cuts_at_blanks(path):
-        encode = segment_encoder(path)
-        memo = Segments(lambda s: len(encode(s)))
-        return lambda s: sum(memo.of(s))
-    t = load(path)
-    whole = (lambda s: t.encode(s, add_special_tokens=False).ids) if path.endswith(".json") else t.encode
-    return lambda s: len(whole(s)) if s else 0
+    encode = file_encoder(path)
+    return lambda s: len(encode(s)) if s else 0
 
 
 def version(path: str) -> str:

@@ -453,9 +453,14 @@ def test_token_cache(spark, odd, none):
     assert by_id(a, "n_tokens") == sorted(((d, len(t.encode(x or "", add_special_tokens=False))) for d, x in ROWS), key=repr)
 
 
-def test_segments_equal_the_library():
+def test_ids_equal_the_library():
     path = q.tokenizer_path()
-    t, count = tokens.load(path), tokens.counter(path)
+    t, count, ids = tokens.load(path), tokens.counter(path), tokens.id_bytes(path)
+    rng = random.Random(31)
+    pieces = ["a", "The", "wörd", "é", "12", ".", "'s", "'ll", "<|endoftext|>", "<|end", "日本", "\u00a0", "\u3000", "\t", "\r", " ", " ", " ", "\n", "\n", "  ", "\n\n", "\x1c", "\u2028", "!", ",", "?!", ")", "\"", "²", "Ⅷ", "½."]
+    for _ in range(20_000):
+        x = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        assert ids(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
     for s in ("", " ", "  ", " a", "a ", "a  b", "a <|endoftext|> b", "<|endoftext|>x", "it's  we'll\n\n x\ty", "a\x1c b", "1 22 é è!? ...\n", "日本 語　x"):
         assert count(s) == len(t.encode(s, add_special_tokens=False)), repr(s)
 
