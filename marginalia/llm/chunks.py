@@ -194,7 +194,8 @@ def _extensions(docs: DataFrame, runs: DataFrame, hits: DataFrame, context: int)
     wanted = places.groupBy("id", "version").agg(F.collect_set(F.struct("side", "place")).alias("places"))
     texts = _documents(docs, id_col="id", text_col="text").join(wanted, ["id", "version"])
     around = texts.select("id", "version", "text", "places").mapInArrow(cut, "id long, version long, side int, place int, around string")
-    around = materialize(around, "chunks-around").dropDuplicates(["id", "version", "side", "place"])
+    # A plain table on this side lets adaptive execution split a holder that many runs ask for.
+    around = materialize(around.dropDuplicates(["id", "version", "side", "place"]), "chunks-around")
     mine = asked.join(around.withColumnRenamed("around", "x"), ["id", "version", "side", "place"])
     other = around.select(F.col("id").alias("y_id"), F.col("version").alias("y_version"), "side", F.col("place").alias("y_place"), F.col("around").alias("y"))
     both = mine.join(other, ["y_id", "y_version", "side", "y_place"]).select("id", "version", "run", "side", "x", "y")
