@@ -73,6 +73,12 @@ def srt_time(ms: Column) -> Column:
     return F.concat(two(F.floor(s / 3600)), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60), F.lit(","), F.lpad((ms % 1000).cast("string"), 3, "0"))
 
 
+def time_parts(ms: Column) -> tuple[Column, Column, Column]:
+    """Hours, minutes and seconds of milliseconds."""
+    s = F.floor(ms / 1000)
+    return F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
+
+
 def is_chapter(c: Column) -> Column:
     return c.rlike(CHAPTER)
 

@@ -94,6 +94,23 @@ FEATURES = (
 )
 
 
+def reading_order(rows: DataFrame, keys: list[str], tie: str, bucket: str | None = None, page: str | None = None, name: str = "reading_order") -> DataFrame:
+    """Adds the place from 1 in reading order: page, column bucket, top, left."""
+    order = [c for c in (page, bucket) if c] + ["y0", "x0", tie]
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def in_page_range(rows: DataFrame, asked: str, page: str, doc: str = "doc_id") -> DataFrame:
+    """Rows whose asked page exists in their document (pages count from 0)."""
+    n = rows.groupBy(doc).agg((F.max(page) + 1).alias("__pages"))
+    return rows.join(n, doc).filter(F.col(asked) < F.col("__pages")).drop("__pages")
+
+
+def bounding_boxes(boxes: DataFrame, keys: list) -> DataFrame:
+    """The smallest box around each group's boxes."""
+    return boxes.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
 def layout_features(boxes: DataFrame, keys: list[str], page_width: float) -> DataFrame:
     """13 features of the boxes of each page."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -107,6 +124,11 @@ def layout_features(boxes: DataFrame, keys: list[str], page_width: float) -> Dat
     )
 
 
+def document_features(pages: DataFrame, doc: str = "doc_id", page: str = "page", first_pages: int = 5, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Means of the page features over a document's first pages."""
+    return pages.filter(F.col(page) < first_pages).groupBy(doc).agg(*[F.avg(c).alias(c) for c in columns])
+
+
 def merge_word_blocks(words: DataFrame, page: list[str], order: list[str], width: float | str, height: float | str) -> DataFrame:
     """Word runs of one height as blocks, page by page; thresholds follow each page's size (numbers or columns) and orientation."""
     w, h = (F.col(x) if isinstance(x, str) else F.lit(float(x)) for x in (width, height))

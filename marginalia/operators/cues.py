@@ -54,6 +54,11 @@ def merge_intervals(rows: DataFrame, key: str, order: str, gap_ms: int = 1000) -
     return s.groupBy(key, "grp").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_parts"), text.alias("text"))
 
 
+def sane_intervals(rows: DataFrame, start: str = "start_ms", end: str = "end_ms", text: str = "text") -> DataFrame:
+    """Rows with both times and a text whose start lies before the end."""
+    return rows.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & F.col(text).isNotNull() & (F.col(start) < F.col(end)))
+
+
 def join_close(rows: DataFrame, key: str, start: str = "start", end: str = "end", gap: float = 1.0) -> DataFrame:
     """Runs of intervals in the order of their starts, each beginning within gap of the end of the one before.
 

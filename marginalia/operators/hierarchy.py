@@ -146,6 +146,15 @@ def chunk(texts: DataFrame, doc: str = "doc_id", size: int = 50_000, overlap: in
     )
 
 
+def predominant_page(elements: DataFrame, size: int, doc: str = "doc_id", order: str = "pos", page: str = "page", text: str = "text") -> DataFrame:
+    """doc, chunk_index, page: of each run of `size` characters of the strung-together texts the page that gives most of them (ties: the first)."""
+    o = elements.withColumn("__n", F.length(text)).withColumn("__at", F.sum("__n").over(Window.partitionBy(doc).orderBy(order)) - F.col("__n"))
+    o = o.withColumn("chunk_index", F.explode(F.sequence(F.floor(F.col("__at") / size), F.floor((F.col("__at") + F.col("__n") - 1) / size))))
+    part = F.least(F.col("__at") + F.col("__n"), (F.col("chunk_index") + 1) * size) - F.greatest("__at", F.col("chunk_index") * size)
+    share = o.groupBy(doc, "chunk_index", page).agg(F.sum(part).alias("__n"))
+    return share.groupBy(doc, "chunk_index").agg(F.min_by(page, F.struct(-F.col("__n"), F.col(page))).alias(page))
+
+
 def structure_json(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Nested JSON of each document's tree."""
     leaves = nodes.filter("depth = 2").groupBy(doc, F.col("parent").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "name"))), lambda x: F.struct(x["name"].alias("name"))).alias("children"))

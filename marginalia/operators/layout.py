@@ -94,6 +94,16 @@ def difference_to_baseline(metrics: DataFrame, name: str, baseline: str, columns
     return metrics.join(F.broadcast(base), F.lit(True)).select(name, *[(F.col(c) - F.col(f"__{c}")).alias(c) for c in columns])
 
 
+def class_guard(df: DataFrame, label: str) -> DataFrame:
+    """One row: n_classes and the smallest class's size, which training needs to be at least two and one."""
+    return df.groupBy(label).agg(F.count("*").alias("c")).agg(F.count("*").alias("n_classes"), F.min("c").alias("smallest"))
+
+
+def fold_scores(scores: DataFrame, fold, value: str) -> DataFrame:
+    """fold, mean and population deviation of the scores of each fold."""
+    return scores.groupBy(fold).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
 def unpivot(metrics: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return metrics.unpivot([name], columns, "metric", "value")
 

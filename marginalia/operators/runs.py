@@ -18,6 +18,16 @@ def counters(runs: DataFrame, *labels: str) -> DataFrame:
     return runs.groupBy(*labels).agg(F.count("*").alias("n"))
 
 
+def job_state(status: Column) -> Column:
+    """completed for a success, failed for anything else."""
+    return F.when(status == "success", "completed").otherwise("failed")
+
+
+def latest(rows: DataFrame, ts: str, tie: str, n: int = 5) -> DataFrame:
+    """The n newest rows, a report of that length."""
+    return rows.orderBy(F.desc(ts), F.desc(tie)).limit(n)
+
+
 def histogram(runs: DataFrame, labels: list[str], seconds: str = "seconds", buckets: tuple[float, ...] = BUCKETS) -> DataFrame:
     """Labels, le (upper bound, infinite for the last), n (at most le), total and sum; only finished runs have seconds."""
     done = runs.filter(F.col(seconds).isNotNull())

@@ -106,25 +106,20 @@ def layout_features(spark, d):
 
 @query(f"WITH {I.WORDS}, f AS (SELECT doc_id, page, {_FEATURE_SQL} FROM words GROUP BY ALL) SELECT doc_id, round(avg(n_boxes), 6) AS n_boxes, round(avg(width_median), 6) AS width_median FROM f WHERE page < 5 GROUP BY doc_id")
 def layout_features_document(spark, d):
-    f = B.layout_features(I.words(spark, d).filter("page < 5"), [DOC, "page"], 600.0)
-    return f.groupBy(DOC).agg(F.round(F.avg("n_boxes"), 6).alias("n_boxes"), F.round(F.avg(F.round("width_median", 6)), 6).alias("width_median"))
+    f = B.layout_features(I.words(spark, d).filter("page < 5"), [DOC, "page"], 600.0).withColumn("width_median", F.round("width_median", 6))
+    return B.document_features(f, columns=("n_boxes", "width_median")).select(DOC, F.round("n_boxes", 6).alias("n_boxes"), F.round("width_median", 6).alias("width_median"))
 
 
 @query(f"""WITH {I.WORDS}, r AS (SELECT *, CASE WHEN x0 < 50 + 2.5 AND x1 > 50 - 2.5 AND x1 - x0 > 60 THEN 0 WHEN (x0 + x1) / 2 < 50 THEN 1 ELSE 2 END AS bucket FROM words)
 SELECT doc_id, page, word_no, bucket::BIGINT AS bucket, row_number() OVER (PARTITION BY doc_id, page ORDER BY bucket, y0, x0, word_no) AS reading_order FROM r""")
 def multicolumn_order(spark, d):
-    from pyspark.sql import Window
-
     w = I.words(spark, d).withColumn("bucket", B.multicolumn_rank(F.col("x0"), F.col("x1"), F.lit(100.0)))
-    order = F.row_number().over(Window.partitionBy(DOC, "page").orderBy("bucket", "y0", "x0", "word_no"))
-    return w.withColumn("reading_order", order).select(DOC, *L("page", "word_no", "bucket", "reading_order"))
+    return B.reading_order(w, [DOC, "page"], "word_no", bucket="bucket").select(DOC, *L("page", "word_no", "bucket", "reading_order"))
 
 
 @query(f"WITH {I.WORDS} SELECT doc_id, word_no, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0, word_no) AS n FROM words")
 def reading_order(spark, d):
-    from pyspark.sql import Window
-
-    return I.words(spark, d).select(DOC, "word_no", F.row_number().over(Window.partitionBy(DOC).orderBy("page", "y0", "x0", "word_no")).cast("long").alias("n"))
+    return B.reading_order(I.words(spark, d), [DOC], "word_no", page="page", name="n").select(DOC, "word_no", "n")
 
 
 _PAIR = I.ELEMENTS + ", " + I.REGIONS + r""", p AS (SELECT doc_id, page, region_ord, x0 AS ax0, y0 AS ay0, x1 AS ax1, y1 AS ay1, lead(x0) OVER w AS bx0, lead(y0) OVER w AS by0, lead(x1) OVER w AS bx1, lead(y1) OVER w AS by1 FROM regions WINDOW w AS (PARTITION BY doc_id, page ORDER BY region_ord)),
@@ -153,7 +148,7 @@ def rect_union(spark, d):
 
 @query(f"WITH {_PAIR} SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM regions GROUP BY ALL")
 def union_box(spark, d):
-    return I.regions(spark, d).groupBy(DOC, F.col("page").cast("long").alias("page")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return B.bounding_boxes(I.regions(spark, d), [DOC, F.col("page").cast("long").alias("page")])
 
 
 @query(f"WITH {I.ELEMENTS}, {I.REGIONS} SELECT doc_id, page, region_ord FROM regions WHERE x1 - x0 >= 70 AND y1 - y0 >= 8")
@@ -377,17 +372,10 @@ def phrase_windows(spark, d):
 ov AS (SELECT doc_id, c, page, sum(least(off + length(text), (c + 1) * 500) - greatest(off, c * 500)) AS n FROM (SELECT *, unnest(range(CAST(off // 500 AS BIGINT), CAST((off + length(text) - 1) // 500 AS BIGINT) + 1)) AS c FROM o) GROUP BY ALL)
 SELECT doc_id, c AS chunk_index, arg_min(page, (-n, page)) AS page FROM ov GROUP BY doc_id, c""")
 def chunk_predominant_page(spark, d):
-    from pyspark.sql import Window
-
-    o = I.elements(spark, d).withColumn("n", F.length("text")).withColumn("at", F.sum("n").over(Window.partitionBy(DOC).orderBy("pos")) - F.col("n"))
-    o = o.withColumn("c", F.explode(F.sequence(F.floor(F.col("at") / 500), F.floor((F.col("at") + F.col("n") - 1) / 500))))
-    part = F.least(F.col("at") + F.col("n"), (F.col("c") + 1) * 500) - F.greatest("at", F.col("c") * 500)
-    ov = o.groupBy(DOC, "c", "page").agg(F.sum(part).alias("n"))
-    return ov.groupBy(DOC, F.col("c").cast("long").alias("chunk_index")).agg(F.min_by("page", F.struct(-F.col("n"), F.col("page"))).cast("long").alias("page"))
+    return H.predominant_page(I.elements(spark, d), 500).select(DOC, *L("chunk_index", "page"))
 
 
 @query(f"WITH {I.ELEMENTS}, e AS (SELECT e.*, max(page) OVER (PARTITION BY doc_id) AS last FROM elements e) SELECT doc_id, pos FROM e WHERE page + pos % 3 <= last")
 def page_range_filter(spark, d):
-    e = I.elements(spark, d)
-    n = e.groupBy(DOC).agg((F.max("page") + 1).alias("n_pages"))
-    return e.withColumn("asked", F.col("page") + F.col("pos") % 3).join(n, DOC).filter("asked < n_pages").select(DOC, *L("pos"))
+    e = I.elements(spark, d).withColumn("asked", F.col("page") + F.col("pos") % 3)
+    return B.in_page_range(e, "asked", "page").select(DOC, *L("pos"))

@@ -92,7 +92,7 @@ def snippet_filename(spark, d):
 
 @query(f"WITH {I.CUES} SELECT event_id FROM cues WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL AND start_ms < end_ms AND text IS NOT NULL")
 def interval_sanity(spark, d):
-    return I.cues(spark, d).filter("start_ms is not null and end_ms is not null and text is not null and start_ms < end_ms").select("event_id")
+    return C.sane_intervals(I.cues(spark, d)).select("event_id")
 
 
 @query(f"WITH {I.CUES} SELECT a.user_id, a.idx AS ev, b.idx FROM cues a JOIN cues b ON a.user_id = b.user_id AND (NOT (a.idx - 2 > 0) OR b.idx BETWEEN a.idx - 2 AND a.idx + 2)")
@@ -134,8 +134,8 @@ def sentence_close(spark, d):
 
 @query(f"WITH {I.CUES} SELECT event_id, (start_ms % 86400000) // 3600000 AS h, (start_ms // 60000) % 60 AS m, (start_ms // 1000) % 60 AS s FROM cues")
 def seconds_parts(spark, d):
-    s = F.floor(F.col("start_ms") % 86400000 / 1000)
-    return I.cues(spark, d).select("event_id", F.floor(s / 3600).alias("h"), (F.floor(s / 60) % 60).alias("m"), (s % 60).alias("s"))
+    h, m, s = T.time_parts(F.col("start_ms") % 86400000)
+    return I.cues(spark, d).select("event_id", h.alias("h"), m.alias("m"), s.alias("s"))
 
 
 # -- scalars -----------------------------------------------------------------
@@ -273,7 +273,7 @@ def truncation(spark, d):
 
 @query("SELECT event_id, event_type, epoch_us(ts) // 1000 AS ms FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")
 def top5_recent(spark, d):
-    e = I.table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(5)  # the five newest are the feature
+    e = U.latest(I.table(spark, d, "events"), "ts", "event_id", 5)  # the five newest are the feature
     return e.select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
 
 
@@ -516,7 +516,8 @@ def best_model(spark, d):
 
 @query("SELECT event_id % 5 AS fold, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
 def fold_scores(spark, d):
-    return I.table(spark, d, "events").groupBy((F.col("event_id") % 5).alias("fold")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    s = Y.fold_scores(I.table(spark, d, "events"), (F.col("event_id") % 5).alias("fold"), "value")
+    return s.select("fold", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("SELECT event_type AS label, date_trunc('day', ts)::DATE AS day, count(*) AS n, round(sum(value), 4) AS seconds, count(*) FILTER (WHERE value > 50) AS slow FROM events GROUP BY ALL")
@@ -573,14 +574,13 @@ def chunk_ordinal_lookup(spark, d):
 
 @query("SELECT count(DISTINCT label) AS n_classes, min(c) AS smallest FROM (SELECT label, count(*) AS c FROM embeddings GROUP BY label)")
 def class_guard(spark, d):
-    c = I.table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("c"))
-    return c.agg(F.count("*").alias("n_classes"), F.min("c").alias("smallest"))
+    return Y.class_guard(I.table(spark, d, "embeddings"), "label")
 
 
 @query("SELECT event_id, CASE WHEN status = 'success' THEN 'completed' ELSE 'failed' END AS job FROM (SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'success' ELSE event_type END AS status FROM events)")
 def job_status(spark, d):
     e = I.table(spark, d, "events").withColumn("status", F.when(F.col("event_type") == "purchase", "success").otherwise(F.col("event_type")))
-    return e.select("event_id", F.when(F.col("status") == "success", "completed").otherwise("failed").alias("job"))
+    return e.select("event_id", U.job_state(F.col("status")).alias("job"))
 
 
 @query("WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events) SELECT event_id, round((value - m) / s, 4) AS value FROM events, s")

@@ -323,6 +323,10 @@ def test_sinks(spark, tmp_path):
         S.append_csv(df, str(tmp_path / "many"))
     assert (tmp_path / "one.csv").read_text().splitlines() == ["x,y", '1,"a,b"', "2,", '1,"a,b"', "2,"]
     assert spark.read.csv(str(tmp_path / "many"), header=True).count() == 4
+    S.write_text(df.filter("x = 1"), "y", str(tmp_path / "text"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "text")).collect()] == ["a,b"]
+    S.write_json(df, str(tmp_path / "json"), ["x"])
+    assert {(r.x, r.y) for r in spark.read.json(str(tmp_path / "json")).collect()} >= {(1, "a,b")}
     j = spark.createDataFrame([('{"name":"é","children":[]}',)], "j string")
     assert j.select(S.pretty_json(F.col("j")).alias("p")).first().p == '{\n    "name": "é",\n    "children": []\n}'
     with pytest.raises(KeyError):
