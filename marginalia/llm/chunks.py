@@ -97,7 +97,7 @@ def boundaries(data: np.ndarray, reach: int = 28, longest: int = 1024) -> np.nda
     return cuts
 
 
-CHUNK = "id long, version long, hi long, lo long, start int, end int, n_bytes int"
+CHUNK = "id long, version long, hi long, lo long, start int, end int, n_bytes int, last boolean"
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,18 +107,18 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 28, longest: int = 1024) -> DataFrame:
-    """One row per chunk: document (id, version), digest (hi, lo), code-point span, bytes."""
+    """One row per chunk: document (id, version), digest (hi, lo), code-point span, bytes, whether it ends the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids, versions, digests, starts, ends, sizes):
+        def out(ids, versions, digests, starts, ends, sizes, lasts):
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            cols = [np.concatenate(ids), np.concatenate(versions), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), np.concatenate(starts), np.concatenate(ends), np.concatenate(sizes)]
-            types = [pa.int64()] * 4 + [pa.int32()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "version", "hi", "lo", "start", "end", "n_bytes"])
+            cols = [np.concatenate(ids), np.concatenate(versions), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), np.concatenate(starts), np.concatenate(ends), np.concatenate(sizes), np.concatenate(lasts)]
+            types = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "version", "hi", "lo", "start", "end", "n_bytes", "last"])
 
         for b in batches:
             key, version, col = b.column(0), b.column(1), b.column(2)
-            held = [[] for _ in range(6)]
+            held = [[] for _ in range(7)]
             for i in range(b.num_rows):
                 text = col[i].as_py()
                 if not text:
@@ -131,11 +131,11 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
                 held[0].append(np.full(n, key[i].as_py(), np.int64))
                 held[1].append(np.full(n, version[i].as_py(), np.int64))
                 held[2] += [hashlib.blake2b(text[s:e], digest_size=16).digest() for s, e in zip(at, at[1:])]
-                for place, values in ((3, points[:-1]), (4, points[1:]), (5, np.diff(cuts))):
+                for place, values in ((3, points[:-1]), (4, points[1:]), (5, np.diff(cuts)), (6, np.arange(n) == n - 1)):
                     held[place].append(values)
                 if len(held[2]) > 50_000:
                     yield out(*held)
-                    held = [[] for _ in range(6)]
+                    held = [[] for _ in range(7)]
             if held[2]:
                 yield out(*held)
 
@@ -155,7 +155,10 @@ def in_common(a: str, b: str, from_end: bool) -> str:
 
 
 def _extensions(docs: DataFrame, runs: DataFrame, hits: DataFrame, context: int) -> DataFrame:
-    """id, version, run, left, right (code points) and more (bytes) by which a run goes on at its ends."""
+    """id, version, run, left, right (code points) and more (bytes) by which a run goes on at its ends.
+
+    Only ends inside the text are asked for; a run that is the whole text has no row.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,10 +180,10 @@ def _extensions(docs: DataFrame, runs: DataFrame, hits: DataFrame, context: int)
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + sizes, ["id", "version", "run", "side", "chars", "bytes"])
 
     # Each end's chunk, and that chunk's first and last occurrence: one of them is another one.
-    ends = runs.select("id", "version", "run", F.inline(F.array(
+    ends = runs.select("id", "version", "run", "start", "last", F.inline(F.array(
         F.struct(F.lit(0).alias("side"), F.col("head.hi").alias("hi"), F.col("head.lo").alias("lo"), F.col("head.start").alias("own")),
         F.struct(F.lit(1).alias("side"), F.col("tail.hi").alias("hi"), F.col("tail.lo").alias("lo"), F.col("tail.start").alias("own")),
-    )))
+    ))).filter("side = 0 and start > 0 or side = 1 and not last").drop("start", "last")
     place = F.struct("id", "version", "start", "end")
     # Combined on the map side before the join: a chunk that many hold is one row.
     known = hits.groupBy("hi", "lo").agg(F.min(place).alias("a"), F.max(place).alias("b"))
@@ -216,7 +219,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lows = [f(c).alias(f"{n}_{c}") for c in ("id", "version", "start") for n, f in (("low", F.min), ("high", F.max))]
     shared = rows.groupBy("hi", "lo").agg(*lows).filter("low_id < high_id or low_version < high_version or low_start < high_start")
     shared = materialize(shared.select("hi", "lo", F.col("low_id").alias("first_id")), "chunks-shared")
-    hits = rows.join(shared, ["hi", "lo"]).select("id", "version", "hi", "lo", "start", "end", "n_bytes", "first_id")
+    hits = rows.join(shared, ["hi", "lo"]).select("id", "version", "hi", "lo", "start", "end", "n_bytes", "last", "first_id")
     # All windows lie within an id, so one shuffle serves them.
     hits = hits.repartition("id").dropDuplicates(["id", "version", "start"])
     again = F.row_number().over(Window.partitionBy("id", "hi", "lo").orderBy("version", "start")) > 1
@@ -229,12 +232,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.array_sort(F.collect_set("first_id")).alias("first_ids"), F.bool_and(F.col("first_id") == F.col("id")).alias("is_first"), F.first("again").alias("again"),
     )
     chunk = F.struct("start", "hi", "lo")
-    runs = hits.groupBy("id", "version", "run").agg(F.min(chunk).alias("head"), F.max(chunk).alias("tail"), F.max("end").alias("end"), F.sum("n_bytes").alias("run_bytes"))
+    runs = hits.groupBy("id", "version", "run").agg(F.min(chunk).alias("head"), F.max(chunk).alias("tail"), F.max("end").alias("end"), F.sum("n_bytes").alias("run_bytes"), F.bool_or("last").alias("last"))
     # Both ends together add 8 x context bytes at most.
     runs = materialize(runs.filter(F.col("run_bytes") + 8 * context >= least).withColumn("start", F.col("head.start")), "chunks-runs")
     same = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     more = materialize(_extensions(same, runs, hits, context), "chunks-more")
-    ended = runs.join(more, ["id", "version", "run"]).filter(F.col("run_bytes") + F.col("more") >= least)
+    ended = runs.join(more, ["id", "version", "run"], "left").na.fill(0, ["left", "right", "more"]).filter(F.col("run_bytes") + F.col("more") >= least)
     ended = ended.select("id", "version", "run", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "left", "right")
     out = parts.join(ended, ["id", "version", "run"])
     start = F.when(F.col("start") == F.col("run_start"), F.col("start") - F.col("left")).otherwise(F.col("start"))
