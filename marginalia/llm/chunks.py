@@ -236,7 +236,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Both ends together add 8 x context bytes at most.
     runs = materialize(runs.filter(F.col("run_bytes") + 8 * context >= least).withColumn("start", F.col("head.start")), "chunks-runs")
     same = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    more = materialize(_extensions(same, runs, hits, context), "chunks-more")
+    more = _extensions(same, runs, hits, context)
     ended = runs.join(more, ["id", "version", "run"], "left").na.fill(0, ["left", "right", "more"]).filter(F.col("run_bytes") + F.col("more") >= least)
     ended = ended.select("id", "version", "run", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "left", "right")
     out = parts.join(ended, ["id", "version", "run"])
