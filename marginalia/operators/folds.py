@@ -9,6 +9,7 @@ from __future__ import annotations
 import difflib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -78,65 +79,77 @@ def bit_places(text: str) -> dict[str, int]:
     return out
 
 
-def best_block(q: str, ordered: list, floor: float, stop: float, seen: dict) -> tuple | None:
-    """(page, block, score) of the block a scan of (page, block, text) in order settles on.
-
-    The scan ends at the first block that contains q (score 1) or has a ratio
-    over stop; else the earliest best ratio of at least floor wins.  A ratio is
-    at most 2 x (characters in common) / (sum of lengths), so blocks are asked
-    in falling order of that bound, and only while it can still win; before the
-    ratio its matches are bounded again by the longest common subsequence (one
-    pass of bit operations).  seen holds the character counts and places of
-    texts across calls.
-    """
-
-    def could(text: str, least: float) -> bool:
-        """Whether the ratio may reach least."""
-        longest = common_subsequence(q, seen[text][1], len(text))
-        return 2.0 * longest / (n + len(text)) >= least
-
-    inside = next((i for i, x in enumerate(ordered) if q in x[2]), None)
-    own, n, bounds = Counter(q), len(q), []
-    for i, (_, _, text) in enumerate(ordered[:inside]):
-        total = n + len(text)
-        if 2.0 * min(n, len(text)) / total < floor:
-            continue
-        other = seen.get(text)
-        if other is None:
-            other = seen[text] = Counter(text), bit_places(text)
-        bounds.append((2.0 * sum(min(v, other[0][c]) for c, v in own.items() if c in other[0]) / total, i))
-    best, asked = (0.0, 0), set()
-    for bound, i in bounds:
-        if bound > stop:
-            if not could(ordered[i][2], stop):
-                continue
-            asked.add(i)
-            if (score := ratio(q, ordered[i][2])) > stop:
-                return *ordered[i][:2], score
-            best = max(best, (score, -i))
-    if inside is not None:
-        return *ordered[inside][:2], 1.0
-    for bound, i in sorted(bounds, key=lambda x: (-x[0], x[1])):
-        if bound < max(floor, best[0]):
-            break
-        if i not in asked and could(ordered[i][2], max(floor, best[0])):
-            best = max(best, (ratio(q, ordered[i][2]), -i))
-    return (*ordered[-best[1]][:2], best[0]) if best[0] >= floor and best[0] > 0 else None
+class Blocks:
+    """Blocks (page, block, text) of one document, with their character counts as a matrix and their places as bits."""
+
+    def __init__(self, rows: list):
+        self.rows, self.texts = rows, [r[2] for r in rows]
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.column = {c: i for i, c in enumerate(sorted(set("".join(self.texts))))}
+        self.counts = np.array([self._count(t) for t in self.texts], np.int32).reshape(len(rows), len(self.column))
+        self.places: dict[int, dict[str, int]] = {}
+
+    def _count(self, text: str) -> np.ndarray:
+        out = np.zeros(len(self.column), np.int32)
+        for c, n in Counter(text).items():
+            if c in self.column:
+                out[self.column[c]] = n
+        return out
+
+    def could(self, q: str, i: int, least: float) -> bool:
+        """Whether the ratio may reach least: its matches are a common subsequence."""
+        if i not in self.places:
+            self.places[i] = bit_places(self.texts[i])
+        return 2.0 * common_subsequence(q, self.places[i], len(self.texts[i])) / (len(q) + len(self.texts[i])) >= least
+
+    def best(self, q: str, order: list[int], floor: float, stop: float) -> tuple | None:
+        """(page, block, score) of the block a scan in this order settles on.
+
+        The scan ends at the first block that contains q (score 1) or has a ratio
+        over stop; else the earliest best ratio of at least floor wins.  A ratio is
+        at most 2 x (characters in common) / (sum of lengths), so blocks are asked
+        in falling order of that bound, and only while it can still win; before the
+        ratio its matches are bounded again by the longest common subsequence (one
+        pass of bit operations).
+        """
+        inside = next((k for k, i in enumerate(order) if q in self.texts[i]), None)
+        at = np.array(order[:inside], np.int64)
+        bound = 2.0 * np.minimum(self.counts[at], self._count(q)).sum(axis=1) / np.maximum(self.lengths[at] + len(q), 1)
+        best, asked = (0.0, 0), set()
+        for k in np.flatnonzero(bound > stop).tolist():
+            if self.could(q, order[k], stop):
+                asked.add(k)
+                if (score := ratio(q, self.texts[order[k]])) > stop:
+                    return *self.rows[order[k]][:2], score
+                best = max(best, (score, -k))
+        if inside is not None:
+            return *self.rows[order[inside]][:2], 1.0
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < max(floor, best[0]):
+                break
+            if k not in asked and self.could(q, order[k], max(floor, best[0])):
+                best = max(best, (ratio(q, self.texts[order[k]]), -k))
+        return (*self.rows[order[-best[1]]][:2], best[0]) if best[0] >= floor and best[0] > 0 else None
+
+
+def best_block(q: str, ordered: list, floor: float, stop: float, seen: dict | None = None) -> tuple | None:
+    """Blocks.best over (page, block, text) in the order given."""
+    return Blocks(ordered).best(q, list(range(len(ordered))), floor, stop)
 
 
 def best_blocks(quotes, blocks, floor: float, stop: float) -> list[dict]:
-    """best_block of every quote (ev, q, hint) of one document over its blocks (page, block, norm_text)."""
-    inorder = sorted(((b["page"], b["block"], b["norm_text"]) for b in blocks if b["norm_text"] is not None), key=lambda b: b[1])
+    """Blocks.best of every quote (ev, q, hint) of one document over its blocks (page, block, norm_text)."""
+    held = Blocks(sorted(((b["page"], b["block"], b["norm_text"]) for b in blocks if b["norm_text"] is not None), key=lambda b: b[1]))
     pages: dict = {}
-    for b in inorder:
-        pages.setdefault(b[0], []).append(b)
-    out, seen = [], {}
+    for i, b in enumerate(held.rows):
+        pages.setdefault(b[0], []).append(i)
+    everything, out = list(range(len(held.rows))), []
     for e in quotes:
         hint = e["hint"]
-        near = inorder
+        near = everything
         if hint is not None and hint >= 1 and hint in pages:
-            near = [b for p in (hint, hint - 2, hint - 1, hint + 1, hint + 2) for b in pages.get(p, ())]
-        if got := best_block(e["q"], near, floor, stop, seen):
+            near = [i for p in (hint, hint - 2, hint - 1, hint + 1, hint + 2) for i in pages.get(p, ())]
+        if got := held.best(e["q"], near, floor, stop):
             out.append(dict(zip(("ev", "page", "block", "score"), (e["ev"], *got))))
     return out
 
