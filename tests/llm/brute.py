@@ -306,3 +306,55 @@ def expectation_maximisation(patterns, kinds, rounds=20):
                 for v in (-1, 0, 1):
                     table[j][v] = (sum(n * x for (_, votes, n), x in zip(patterns, w) if votes[j] == v) + 1) / (total + 3)
     return posterior()
+
+
+def personal_spans(texts):
+    """op2's spans by plain loops: candidates, votes, expectation-maximisation, naive Bayes."""
+    import math
+
+    from marginalia.llm import pii
+
+    kinds = [k for k, *_ in pii.EXTRA]
+    found = {}
+    for d, t in texts.items():
+        rows = []
+        for m in re.finditer(pii._LOOSE, t):
+            v, before, after = m[0], t[max(0, m.start() - pii.CONTEXT) : m.start()], t[m.end() : m.end() + 1]
+            k = next(i for i, (_, p, _, _) in enumerate(pii.EXTRA) if re.fullmatch(p, v))
+            has = lambda words, pattern: re.search(pattern % "|".join(words), v) is not None  # noqa: E731, B023
+            known = {
+                "name": int(has(pii.NAMES, r"(?:^|\x20)(?:%s)(?:\x20|$)")), "account": 1 if has(pii.COUNTRIES, "^(?:%s)") else -1,
+                "number": int(has(pii.ISSUERS, "^(?:%s)")), "street": int(has(pii.STREETS, "(?:%s)$")),
+            }.get(kinds[k], 0)
+            shape = 1 if re.search(pii.EXTRA[k][2], v) else -1
+            cue = int(re.search(rf"(?i)\b(?:{pii.EXTRA[k][3]})\b", before, re.A) is not None)
+            counter = -int(re.search(r"(?i)(?:order|version|invoice|isbn|issue|page|no\.|#|\$|v)\s*$", before) is not None)
+            bits = (re.search(r"(?:^|[\s(,;:])$", before), re.search(r"^[\s,.;:)!?]?$", after), re.search(r"[:=]\s*$", before))
+            rows.append((k, (shape, known, cue, counter), tuple(int(b is not None) for b in bits), m.start(), m.end()))
+        found[d] = rows
+    counts = defaultdict(int)
+    for rows in found.values():
+        for r in rows:
+            counts[r[:3]] += 1
+    patterns = sorted(counts)
+    n = [counts[p] for p in patterns]
+    q = expectation_maximisation([(k, v, c) for (k, v, _), c in zip(patterns, n)], len(kinds))
+
+    def score(w, k, votes, bits):
+        total = sum(w)
+        share = lambda test, cells: (sum(x for x, p in zip(w, patterns) if test(p)) + 1) / (total + cells)
+        out = math.log(total + 1) + math.log(share(lambda p: p[0] == k, len(kinds)))
+        out += sum(math.log(share(lambda p, j=j, v=v: p[1][j] == v, 3)) for j, v in enumerate(votes))
+        for j, b in enumerate(bits):
+            one = share(lambda p, j=j: p[2][j] == 1, 2)
+            out += math.log(one if b else 1 - one)
+        return out
+
+    yes, no = [x * c for x, c in zip(q, n)], [(1 - x) * c for x, c in zip(q, n)]
+    good = {p for p in patterns if score(yes, *p) > score(no, *p)}
+    spans = {}
+    for d, t in texts.items():
+        base = [x.split(":") for x in personal(t)[1].split(",") if x]
+        free = [r for r in found[d] if r[:3] in good and not any(int(a) < r[4] and r[3] < int(b) for _, a, b in base)]
+        spans[d] = [(k, int(a), int(b)) for k, a, b in base] + [(kinds[k], a, b) for k, _, _, a, b in sorted(free, key=lambda r: (r[0], r[3]))]
+    return spans

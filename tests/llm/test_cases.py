@@ -69,6 +69,44 @@ def test_numbers_that_fail_the_card_check_are_added(spark):
     assert not any(k == "number" for i in range(20) for k, _ in got[100 + i])
 
 
+def test_personal_spans_equal_a_plain_version(spark):
+    rng = random.Random(41)
+    parts = [
+        "Dr. John Smith", "Mary Jones", "Mr Zed Quux", "Order #", "invoice 12345678901234", "call (743) 555-1234", "743-555-9999", "version 123-45-6789", "ssn: 123-45-6789", "000-12-3456",
+        "IBAN DE89 3704 0044 0532 0130 00", "XX12 3456 7890 1234", "card 4111 1111 1111 1112", "4000 1234 5678 9010", "9807915762804490", "12 Main Street", "99 Elm Lane,", "a@b.com", "1.2.3.4",
+        "+1 (743) 555-3824", "some words here.", "address", "page", "contact:", "\n", "regards,", "$",
+    ]
+    texts = {i: " ".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for i in range(300)}
+    want = brute.personal_spans(texts)
+    got = pii.find_personal(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in got} == want
+    assert {k for v in want.values() for k, *_ in v} > set(pii.BASE_KINDS)
+
+
+def test_all_secret_rules_equal_plain_searches(spark):
+    import re
+
+    rng = random.Random(42)
+    word = lambda n: "".join(rng.choice("abcXYZ019") for _ in range(n))
+    make = [
+        lambda: f"eyJ{word(10)}.{word(12)}.{word(9)}", lambda: f"eyJ{word(3)}.x.y", lambda: f"ghp_{word(36)}", lambda: f"xghp_{word(36)}", lambda: f"gho_{word(20)}", lambda: f"xoxb-{word(14)}",
+        lambda: "xoxz-1", lambda: f"https://{word(4)}:{word(6)}@host/x", lambda: "ftp://user:@h", lambda: f"Secret = '{word(9)}'", lambda: "token: abc", lambda: f"AKIA{'Q' * rng.randint(10, 30)}",
+        lambda: "0123456789abcdef" * 2, lambda: "plain", lambda: "://", lambda: "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", lambda: "é\n",
+    ]
+    texts = {i: rng.choice((" ", "", "/", "\n")).join(rng.choice(make)() for _ in range(rng.randint(1, 12))) for i in range(400)}
+    want = {}
+    for d, t in texts.items():
+        rows = []
+        for order, r in enumerate(secrets.RULES):
+            for m in re.finditer(r.pattern.replace(r"\z", r"\Z"), t, re.A):
+                if r.name != "assign" or len(re.sub("^" + secrets._ASSIGN, "", m[0])) >= 6:
+                    rows.append((m.start(), order, m.end(), r.name))
+        want[d] = [(k, a, b) for a, _, b, k in sorted(rows)]
+    got = secrets.find_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in got} == want
+    assert {k for v in want.values() for k, *_ in v} == {r.name for r in secrets.RULES}
+
+
 def test_secret_cases(odd, none):
     got = secrets.find_secrets(odd).collect()
     assert sorted(((r.doc_id, sum(f.kind == "assign" for f in r.findings), sum(f.kind == "access" for f in r.findings), sum(f.kind == "hex" for f in r.findings)) for r in got), key=repr) == sorted(((d, *brute.secret(t)[:3]) for d, t in ROWS), key=repr)
