@@ -98,6 +98,13 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def own_prefix(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
