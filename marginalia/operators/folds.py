@@ -7,12 +7,15 @@ a corpus, and enters as one array column so that no pandas group is built.
 from __future__ import annotations
 
 import difflib
-from collections import Counter
+import re
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem
+
 
 def arrow(kind: str):
     """A vectorised function that becomes a pandas UDF when it is used, so that workers can import this module."""
@@ -57,14 +60,8 @@ def ratio(a: str, b: str, autojunk: bool = True) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
 
 
-@arrow("double")
-def plain_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Sequence similarity 2 M / T without the popular-element heuristic."""
-    return pd.Series([ratio(x or "", y or "", False) for x, y in zip(a, b)])
-
-
-def common_subsequence(a: str, places: dict[str, int], m: int) -> int:
-    """Length of the longest common subsequence of a and a text of m characters given as bit masks of their places."""
+def common_subsequence(a: Sequence[str], places: dict[str, int], m: int) -> int:
+    """Length of the longest common subsequence of a and one of m characters or words given as bit masks of their places."""
     v = full = (1 << m) - 1
     for c in a:
         if u := v & places.get(c, 0):
@@ -72,38 +69,74 @@ def common_subsequence(a: str, places: dict[str, int], m: int) -> int:
     return m - v.bit_count()
 
 
-def bit_places(text: str) -> dict[str, int]:
+def bit_places(items: Sequence[str]) -> dict[str, int]:
     out: dict[str, int] = {}
-    for i, c in enumerate(text):
+    for i, c in enumerate(items):
         out[c] = out.get(c, 0) | 1 << i
     return out
 
 
+CLASSES = 128
+
+
+def class_counts(texts: list[str]) -> np.ndarray:
+    """How often each text has characters of each class (code point modulo CLASSES): a row each."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(row * CLASSES + points % CLASSES, minlength=len(texts) * CLASSES).reshape(len(texts), CLASSES)
+
+
+def count_bound(a: np.ndarray, b: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Upper bound of the ratio: characters in common, by class counts, over the sum of lengths."""
+    return 2.0 * np.minimum(a, b).sum(axis=-1) / np.maximum(total, 1)
+
+
+def ratio_udf(floor: float, autojunk: bool = False):
+    """Sequence similarity 2 M / T of two texts, null under floor.
+
+    Length, then character counts of all pairs of a batch, then the longest
+    common subsequence (bit operations) bound it before matching blocks are sought.
+    """
+
+    @arrow("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = a.fillna("").tolist(), b.fillna("").tolist()
+        out = np.full(len(x), np.nan)
+        n, m = (np.array([len(t) for t in s], np.int64) for s in (x, y))
+        may = np.flatnonzero(2.0 * np.minimum(n, m) >= floor * (n + m))
+        for at in range(0, len(may), 4096):
+            part = may[at : at + 4096]
+            part = part[count_bound(class_counts([x[i] for i in part]), class_counts([y[i] for i in part]), n[part] + m[part]) >= floor]
+            places: dict[str, dict[str, int]] = {}
+            for i in part.tolist():
+                if y[i] not in places:
+                    places[y[i]] = bit_places(y[i])
+                if 2.0 * common_subsequence(x[i], places[y[i]], len(y[i])) >= floor * (len(x[i]) + len(y[i])):
+                    score = ratio(x[i], y[i], autojunk)
+                    if score >= floor:
+                        out[i] = score
+        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+    return run
+
+
 class Blocks:
-    """Blocks (page, block, text) of one document, with their character counts as a matrix and their places as bits."""
+    """Blocks (page, block, text) of one cell, with their character counts as a matrix and their places as bits."""
 
     def __init__(self, rows: list):
         self.rows, self.texts = rows, [r[2] for r in rows]
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
-        self.column = {c: i for i, c in enumerate(sorted(set("".join(self.texts))))}
-        self.counts = np.array([self._count(t) for t in self.texts], np.int32).reshape(len(rows), len(self.column))
+        self.counts = class_counts(self.texts)
         self.places: dict[int, dict[str, int]] = {}
 
-    def _count(self, text: str) -> np.ndarray:
-        out = np.zeros(len(self.column), np.int32)
-        for c, n in Counter(text).items():
-            if c in self.column:
-                out[self.column[c]] = n
-        return out
-
     def could(self, q: str, i: int, least: float) -> bool:
         """Whether the ratio may reach least: its matches are a common subsequence."""
         if i not in self.places:
             self.places[i] = bit_places(self.texts[i])
         return 2.0 * common_subsequence(q, self.places[i], len(self.texts[i])) / (len(q) + len(self.texts[i])) >= least
 
-    def best(self, q: str, order: list[int], floor: float, stop: float) -> tuple | None:
-        """(page, block, score) of the block a scan in this order settles on.
+    def best(self, q: str, order: list[int], floor: float, stop: float) -> tuple[int, float, bool] | None:
+        """(row, score, ends) of the block a scan in this order settles on.
 
         The scan ends at the first block that contains q (score 1) or has a ratio
         over stop; else the earliest best ratio of at least floor wins.  A ratio is
@@ -112,52 +145,72 @@ class Blocks:
         ratio its matches are bounded again by the longest common subsequence (one
         pass of bit operations).
         """
-        inside = next((k for k, i in enumerate(order) if q in self.texts[i]), None)
-        at = np.array(order[:inside], np.int64)
-        bound = 2.0 * np.minimum(self.counts[at], self._count(q)).sum(axis=1) / np.maximum(self.lengths[at] + len(q), 1)
+        at, own = np.array(order, np.int64), class_counts([q])
+        holds = np.flatnonzero((self.counts[at] >= own).all(axis=1))
+        inside = next((k for k in holds.tolist() if q in self.texts[order[k]]), None)
+        at = at[:inside]
+        bound = count_bound(self.counts[at], own, self.lengths[at] + len(q))
         best, asked = (0.0, 0), set()
         for k in np.flatnonzero(bound > stop).tolist():
             if self.could(q, order[k], stop):
                 asked.add(k)
                 if (score := ratio(q, self.texts[order[k]])) > stop:
-                    return *self.rows[order[k]][:2], score
+                    return order[k], score, True
                 best = max(best, (score, -k))
         if inside is not None:
-            return *self.rows[order[inside]][:2], 1.0
+            return order[inside], 1.0, True
         for k in np.argsort(-bound, kind="stable").tolist():
             if bound[k] < max(floor, best[0]):
                 break
             if k not in asked and self.could(q, order[k], max(floor, best[0])):
                 best = max(best, (ratio(q, self.texts[order[k]]), -k))
-        return (*self.rows[order[-best[1]]][:2], best[0]) if best[0] >= floor and best[0] > 0 else None
-
-
-def best_block(q: str, ordered: list, floor: float, stop: float, seen: dict | None = None) -> tuple | None:
-    """Blocks.best over (page, block, text) in the order given."""
-    return Blocks(ordered).best(q, list(range(len(ordered))), floor, stop)
-
-
-def best_blocks(quotes, blocks, floor: float, stop: float) -> list[dict]:
-    """Blocks.best of every quote (ev, q, hint) of one document over its blocks (page, block, norm_text)."""
-    held = Blocks(sorted(((b["page"], b["block"], b["norm_text"]) for b in blocks if b["norm_text"] is not None), key=lambda b: b[1]))
-    pages: dict = {}
-    for i, b in enumerate(held.rows):
-        pages.setdefault(b[0], []).append(i)
-    everything, out = list(range(len(held.rows))), []
-    for e in quotes:
-        hint = e["hint"]
-        near = everything
-        if hint is not None and hint >= 1 and hint in pages:
-            near = [i for p in (hint, hint - 2, hint - 1, hint + 1, hint + 2) for i in pages.get(p, ())]
-        if got := held.best(e["q"], near, floor, stop):
-            out.append(dict(zip(("ev", "page", "block", "score"), (e["ev"], *got))))
-    return out
-
+        return (order[-best[1]], best[0], False) if best[0] >= floor and best[0] > 0 else None
+
+
+def best_in_cells(floor: float, stop: float, names: list[str]):
+    """A map over Arrow batches sorted by cell (document, qp, bp), its quotes (kind 0) before its blocks: a row for each quote with a match."""
+
+    def search(key, quotes: list[tuple], rows: list[tuple]) -> list[tuple]:
+        held = Blocks(sorted(rows, key=lambda r: (r[1], r[0])))
+        pages: dict = {}
+        for i, r in enumerate(held.rows):
+            pages.setdefault(r[0], []).append(i)
+        everything, out = list(range(len(held.rows))), []
+        for ev, hint, q in quotes:
+            near = everything if hint is None else [i for p in (hint, hint - 2, hint - 1, hint + 1, hint + 2) for i in pages.get(p, ())]
+            if near and (got := held.best(q, near, floor, stop)):
+                page, block, _ = held.rows[got[0]]
+                out.append((key, ev, page, block, got[1], got[2], 0 if hint is None else -1 if page == hint else page))
+        return out
 
-def best_blocks_udf(floor: float, stop: float, schema: str):
-    @arrow(schema)
-    def run(quotes: pd.Series, blocks: pd.Series) -> pd.Series:
-        return pd.Series([best_blocks(q, b, floor, stop) for q, b in zip(quotes, blocks)])
+    def run(batches):
+        import pyarrow as pa
+
+        at, quotes, rows, out, kinds = None, [], [], [], None
+
+        def batch():
+            cols = list(zip(*out)) or [()] * len(names)
+            types = [kinds[0], kinds[4], kinds[6], kinds[7], pa.float64(), pa.bool_(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+        for b in batches:
+            kinds = [f.type for f in b.schema]
+            for key, qp, bp, kind, ev, hint, page, block, text in zip(*(b.column(i).to_pylist() for i in range(9))):
+                if (key, qp, bp) != at:
+                    if quotes and rows:
+                        out += search(at[0], quotes, rows)
+                    at, quotes, rows = (key, qp, bp), [], []
+                if kind == 0:
+                    quotes.append((ev, hint, text))
+                elif quotes:
+                    rows.append((page, block, text))
+            if len(out) > 10_000:
+                yield batch()
+                out = []
+        if quotes and rows:
+            out += search(at[0], quotes, rows)
+        if out:
+            yield batch()
 
     return run
 
@@ -293,26 +346,22 @@ merge_boxes_udf = _boxes_udf(merge_boxes)
 merge_pixels_udf = _boxes_udf(merge_pixels)
 
 
-def lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diag = 0
-        for j, y in enumerate(b):
-            diag, row[j + 1] = row[j + 1], diag + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1]
+_ALNUM = re.compile("[a-z0-9]+")
 
 
 def rouge_l(a: str, b: str, stem=None) -> float:
     """F1 of the longest common subsequence of lower-case alphanumeric words, each through stem if one is given."""
-    import re
-
-    x, y = (re.findall("[a-z0-9]+", (t or "").lower()) for t in (a, b))
+    x, y = (_ALNUM.findall((t or "").lower()) for t in (a, b))
     if stem:
         x, y = [stem(w) for w in x], [stem(w) for w in y]
     if not x or not y:
         return 0.0
-    n = lcs(x, y)
-    return 2 * n / (len(x) + len(y))
+    return 2 * common_subsequence(x, bit_places(y), len(y)) / (len(x) + len(y))
+
+
+def long_stem(word: str) -> str:
+    """The stem of a word of over three letters."""
+    return stem(word) if len(word) > 3 else word
 
 
 @arrow("double")
@@ -320,6 +369,11 @@ def rouge_l_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([rouge_l(x, y) for x, y in zip(a, b)])
 
 
+@arrow("double")
+def rouge_l_stemmed_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([rouge_l(x, y, long_stem) for x, y in zip(a, b)])
+
+
 def recursive_split(text: str, size: int = 50_000, overlap: int = 100, marks=("\n\n", "\n", " ", "")) -> list[str]:
     """Cut at the first mark that occurs, join parts up to size with up to overlap characters of the last chunk."""
     mark = next(m for m in marks if m == "" or m in text)
@@ -364,6 +418,4 @@ def recursive_split_udf(size: int, overlap: int):
 
 def sentences(text: str) -> list[str]:
     """Substitute sentence splitter: after . ! or ? and white space."""
-    import re
-
     return [s for s in re.split(r"(?<=[.!?])\s+", (text or "").strip()) if s]

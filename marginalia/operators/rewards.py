@@ -139,21 +139,27 @@ def score_completions(
 
     c, p, a = F.col(completion), F.col(prompt), F.col(answer)
     support, summary = F.coalesce(section(c, SUPPORT), F.lit("")), F.coalesce(section(c, SUMMARY), F.lit(""))
-    parts = df.withColumns({"__snips": snippet_lines(support, 10), "__claims": sentences(summary), "__pair": F.array(summary, F.coalesce(a, F.lit("")))})
-    vecs = parts.withColumns({"__s": embed(F.col("__snips")), "__c": embed(F.col("__claims")), "__p": embed(F.col("__pair"))})
-    s, k = F.col("__s"), F.col("__c")
-    nli = entail(F.col("__snips"), F.col("__claims")) if entail else None
+    # Names of our own columns, which no column of df begins with.
+    own = "__"
+    while any(x.lower().startswith(own) for x in df.columns):
+        own = "_" + own
+    at = lambda n: F.col(own + n)
+    add = lambda d, cols: d.withColumns({own + n: v for n, v in cols.items()})
+    parts = add(df, {"snips": snippet_lines(support, 10), "claims": sentences(summary), "pair": F.array(summary, F.coalesce(a, F.lit("")))})
+    vecs = add(parts, {"s": embed(at("snips")), "c": embed(at("claims")), "p": embed(at("pair"))})
+    s, k = at("s"), at("c")
+    nli = entail(at("snips"), at("claims")) if entail else None
     pairs = F.when(F.size(k) > 1, F.zip_with(F.slice(k, 1, F.size(k) - 1), F.slice(k, 2, F.size(k) - 1), cosine)).otherwise(F.array().cast("array<double>"))
     likeness = (rouge or rouge_l_udf)(F.coalesce(a, F.lit("")), summary)
-    made = vecs.withColumns({"__rows": matrix(s, k, cosine), "__claim_rows": nli if entail else matrix(k, s, cosine), "__next": pairs, "__sem": cosine(F.get("__p", F.lit(0)), F.get("__p", F.lit(1))), "__rouge": likeness})
+    made = add(vecs, {"rows": matrix(s, k, cosine), "claim_rows": nli if entail else matrix(k, s, cosine), "next": pairs, "sem": cosine(F.get(own + "p", F.lit(0)), F.get(own + "p", F.lit(1))), "rouge": likeness})
     scores = {
-        "format": format_score(c), "fidelity": fidelity_score(c, p), "relevance": relevance_score(F.col("__rows"), c),
-        ("support_nli" if entail else "support_semantic"): support_score(F.col("__claim_rows"), *((5.0, 0.7) if entail else ()), completion=c),
-        "reference": reference_score(F.col("__sem"), F.col("__rouge"), c, a), "conciseness": conciseness_score(c, p), "coherence": coherence_score(F.col("__next"), c),
+        "format": format_score(c), "fidelity": fidelity_score(c, p), "relevance": relevance_score(at("rows"), c),
+        ("support_nli" if entail else "support_semantic"): support_score(at("claim_rows"), *((5.0, 0.7) if entail else ()), completion=c),
+        "reference": reference_score(at("sem"), at("rouge"), c, a), "conciseness": conciseness_score(c, p), "coherence": coherence_score(at("next"), c),
     }
     out = made.withColumns(scores)
     out = out.withColumn("reward", combined({n: F.col(n) for n in scores}))
-    return out.drop(*[x for x in out.columns if x.startswith("__")])
+    return out.drop(*[x for x in out.columns if x.startswith(own)])
 
 
 def zip_rows(left: DataFrame, right: DataFrame, key: str, missing: str = "raise") -> DataFrame:

@@ -2,14 +2,14 @@
 
 
 def queries():
-    from . import documents, media  # noqa: F401
+    from . import documents, language, media  # noqa: F401
     from .registry import QUERIES
 
     return dict(QUERIES)
 
 
 def oracle_sql():
-    from . import documents, media  # noqa: F401
+    from . import documents, language, media  # noqa: F401
     from .registry import ORACLE
 
     return dict(ORACLE)

@@ -8,6 +8,7 @@ from ..functions import geometry, text
 from ..operators import blocks as B
 from ..operators import evidence as E
 from ..operators import hierarchy as H
+from ..operators import places as P
 from ..operators.folds import recursive_split_udf
 from . import inputs as I
 from .registry import query
@@ -357,6 +358,45 @@ def highlight_ladder(spark, d):
     return e.join(p, [DOC, "src_page"]).select(DOC, *L("ev"), E.highlight(F.col("quote"), F.col("page_text"), F.col("ev") % 2 == 0).alias("method"))
 
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BARE = rf"(CASE WHEN regexp_replace(translate({{0}}, '{_UP}', '{_LOW}'), '^[^\p{{{{L}}}}\p{{{{N}}}}]+|[^\p{{{{L}}}}\p{{{{N}}}}]+$', '', 'g') = '' THEN translate({{0}}, '{_UP}', '{_LOW}') ELSE regexp_replace(translate({{0}}, '{_UP}', '{_LOW}'), '^[^\p{{{{L}}}}\p{{{{N}}}}]+|[^\p{{{{L}}}}\p{{{{N}}}}]+$', '', 'g') END)"
+
+
+@query(rf"""WITH {I.WORDS}, {I.REGIONS},
+pw AS (SELECT doc_id, page, pos, text AS raw, {_BARE.format('text')} AS bare, row_number() OVER (PARTITION BY doc_id, page ORDER BY word_no) - 1 AS spot, x0, y0, x1, y1 FROM words),
+pg AS (SELECT doc_id, page, list(raw ORDER BY spot) AS raw, list(bare ORDER BY spot) AS bare FROM pw GROUP BY ALL),
+q AS (SELECT doc_id, page, pos AS ev, regexp_extract_all(CASE pos % 5 WHEN 0 THEN text WHEN 1 THEN '"' || translate(text, '{_LOW}', '{_UP}') || '"' WHEN 2 THEN 'zzq ' || text || ' zzq' WHEN 3 THEN 'zzq. ' || text || ' zzq' ELSE reverse(text) END, '\S+') AS w FROM elements),
+parts AS (SELECT doc_id, page, ev, 0 AS rung, 'raw' AS form, w FROM q UNION ALL
+  SELECT doc_id, page, ev, 1, 'bare', list_transform(w, lambda x: {_BARE.format('x')}) FROM q UNION ALL
+  SELECT doc_id, page, ev, 2, 'bare', list_transform(p, lambda x: {_BARE.format('x')}) FROM (SELECT doc_id, page, ev, unnest(list_transform(range(0, len(w) - 5), lambda i: w[i + 1 : i + 8])) AS p FROM q WHERE len(w) > 10) WHERE length(array_to_string(p, ' ')) > 15 UNION ALL
+  SELECT doc_id, page, ev, 3, 'bare', list_transform(regexp_extract_all(p, '\S+'), lambda x: {_BARE.format('x')}) FROM (SELECT doc_id, page, ev, unnest(string_split(array_to_string(w, ' '), '.')) AS p FROM q WHERE contains(array_to_string(w, ' '), '.')) WHERE length(regexp_replace(p, '^\s+|\s+$', '', 'g')) > 15),
+runs AS (SELECT doc_id, page, form, size, unnest(range(0, len(w) - size + 1)) AS spot, unnest(list_transform(range(0, len(w) - size + 1), lambda i: array_to_string(w[i + 1 : i + size], ' '))) AS run
+  FROM (SELECT doc_id, page, 'raw' AS form, raw AS w FROM pg UNION ALL SELECT doc_id, page, 'bare', bare FROM pg), range(1, 9) s(size) WHERE len(w) >= size),
+met AS (SELECT p.*, r.spot FROM parts p JOIN runs r ON r.doc_id = p.doc_id AND r.page = p.page AND r.form = p.form AND r.size = least(len(p.w), 8) AND r.run = array_to_string(p.w[1:8], ' ')),
+hits AS (SELECT doc_id, page, ev, rung, len(w) AS n, spot FROM met WHERE len(w) <= 8 UNION ALL
+  SELECT m.doc_id, m.page, m.ev, m.rung, len(w), spot FROM met m JOIN pg USING (doc_id, page) WHERE len(w) > 8 AND CASE form WHEN 'raw' THEN pg.raw ELSE pg.bare END[spot + 1 : spot + len(w)] = w),
+best AS (SELECT doc_id, page, ev, min(rung) AS best FROM hits GROUP BY ALL),
+spots AS (SELECT DISTINCT doc_id, page, ev, best, unnest(range(spot, spot + n)) AS spot FROM hits JOIN best USING (doc_id, page, ev) WHERE rung = best OR rung >= 2 AND best >= 2),
+seen AS (SELECT s.*, pos, x0, y0, x1, y1, s.spot - row_number() OVER (PARTITION BY s.doc_id, s.page, s.ev, pos ORDER BY s.spot) AS run FROM spots s JOIN pw USING (doc_id, page, spot)),
+rects AS (SELECT doc_id, page, ev, best, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM seen GROUP BY doc_id, page, ev, best, pos, run)
+SELECT q.doc_id, q.ev, q.page, CASE best WHEN 0 THEN 'exact' WHEN 1 THEN 'normalised' WHEN 2 THEN 'phrases' WHEN 3 THEN 'sentences' ELSE CASE WHEN q.ev % 2 = 0 THEN 'box' ELSE 'none' END END AS method,
+  best IS NOT NULL OR q.ev % 2 = 0 AS found, coalesce(r.x0, b.x0) AS x0, coalesce(r.y0, b.y0) AS y0, coalesce(r.x1, b.x1) AS x1, coalesce(r.y1, b.y1) AS y1
+FROM q LEFT JOIN rects r ON r.doc_id = q.doc_id AND r.page = q.page AND r.ev = q.ev LEFT JOIN regions b ON b.doc_id = q.doc_id AND b.region_ord = q.ev AND q.ev % 2 = 0""")
+def quote_rects(spark, d):
+    """Rectangles to mark for every element's text as a quote, in five forms by turns: as it is, in capitals and quotation marks, between foreign words, behind a foreign sentence, and backwards."""
+    e, c = I.elements(spark, d), F.col("text")
+    forms = (c, F.concat(F.lit('"'), F.translate(c, _LOW, _UP), F.lit('"')), F.concat(F.lit("zzq "), c, F.lit(" zzq")), F.concat(F.lit("zzq. "), c, F.lit(" zzq")))
+    quote = F.reverse(c)
+    for i, form in enumerate(forms):
+        quote = F.when(F.col("pos") % 5 == i, form).otherwise(quote)
+    mark = F.concat(F.lit("[Page:"), F.col("page").cast("string"), F.lit("] "))
+    boxes = I.regions(spark, d).filter("region_ord % 2 = 0").select(DOC, F.col("region_ord").alias("ev"), F.struct("x0", "y0", "x1", "y1").alias("box"))
+    quotes = e.select(DOC, F.col("pos").alias("ev"), "page", F.concat(mark, quote).alias("quote")).join(boxes, [DOC, "ev"], "left")
+    quotes = quotes.withColumn("boxes", F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
+    found = E.annotation_rows(P.quote_matches(quotes, I.words(spark, d), line="pos"), keep=("method",))
+    return found.select(DOC, *L("ev", "page"), "method", "found", "rect.*")
+
+
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ws FROM documents),
 p AS (SELECT doc_id, unnest(list_transform(range(0, len(ws) - 5), lambda i: array_to_string(ws[i + 1 : i + 8], ' '))) AS p FROM w WHERE len(ws) > 10)
 SELECT doc_id, count(*) AS n_phrases, sum(length(p))::BIGINT AS n_chars FROM p WHERE length(p) > 15 GROUP BY doc_id""")

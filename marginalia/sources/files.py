@@ -17,6 +17,29 @@ CACHE_MASTER = "summary string, chunk_files array<string>, total_evidence_count
 CACHE_CHUNK = "summary string, evidence array<struct<verbatim_text:string>>, start_index int, end_index int"
 
 
+_own_folder: dict[str, str] = {}
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share, removed when the application ends.
+
+    That is spark.checkpoint.dir; where it is unset a temporary folder, in local mode only.
+    """
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or _own_folder.get(sc.applicationId)
+    if not base:
+        if sc.master.split("[")[0] != "local":
+            raise SourceError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _own_folder[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="marginalia-")
+    path = f"{base.rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
+    hp = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hp.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hp)
+    return path
+
+
 def check_path(spark: SparkSession, path: str | None) -> str:
     """The path, if it names a readable file; raises ValidationError."""
     if not path:
