@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ STAMP = rf"^\s*\[\s*({TIME})\s*,\s*({TIME})\s*\]\s*"
 CHAPTER = r"(?i)chapter\s+(?:(?:" + "|".join(UNITS[1:] + TENS + ["hundred", "thousand"]) + r")\b[\s:.]*|[0-9]+\b[\s:.]*)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: an expression inside a lambda is evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ws_strip(c: Column) -> Column:
     """Leading and trailing Unicode white space removed."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -126,7 +126,9 @@ class Blocks:
     def __init__(self, rows: list):
         self.rows, self.texts = rows, [r[2] for r in rows]
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
-        self.counts = class_counts(self.texts)
+        counts = class_counts(self.texts)
+        self.used = np.flatnonzero(counts.any(axis=0))
+        self.counts = counts[:, self.used].astype(np.int32)
         self.places: dict[int, dict[str, int]] = {}
 
     def could(self, q: str, i: int, least: float) -> bool:
@@ -145,10 +147,8 @@ class Blocks:
         ratio its matches are bounded again by the longest common subsequence (one
         pass of bit operations).
         """
-        at, own = np.array(order, np.int64), class_counts([q])
-        holds = np.flatnonzero((self.counts[at] >= own).all(axis=1))
-        inside = next((k for k in holds.tolist() if q in self.texts[order[k]]), None)
-        at = at[:inside]
+        inside = next((k for k, i in enumerate(order) if q in self.texts[i]), None)
+        at, own = np.array(order[:inside], np.int64), class_counts([q])[:, self.used].astype(np.int32)
         bound = count_bound(self.counts[at], own, self.lengths[at] + len(q))
         best, asked = (0.0, 0), set()
         for k in np.flatnonzero(bound > stop).tolist():

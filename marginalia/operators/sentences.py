@@ -31,7 +31,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ws_strip
+from ..functions.text import let, ws_strip
+from ..sources.files import work_path
 
 #: Marks that may close or open a quotation around a word (fixed values).
 CLOSING = r"[\"'”’»)\]}]+$"
@@ -52,30 +53,53 @@ def word_type(word: Column) -> Column:
     return F.when(bare.rlike(r"^[0-9][0-9.,]*$"), NUMBER).otherwise(bare)
 
 
-def tokens(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """key, pos, word, type, stopped, marked (closed by ! ? or an ellipsis), upper, lower (its first letter), and next_ and prev_ of some."""
-    words = F.transform(pieces(F.col(text)), lambda p: F.regexp_replace(p, r"(?U)^\s+", ""))
-    held = df.select(*key, words.alias("w")).filter("size(w) > 0")
+_ENDS = r"[.!?…]" + CLOSING[:-2] + "*$"
+
+
+def occurrences(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """key, pos, word, next, opens (the word before ends a sentence, or there is none)."""
     none = F.array(F.lit(None).cast("string"))
-    after = F.concat(F.slice("w", 2, F.size("w")), none)
-    before = F.concat(none, F.slice("w", 1, F.size("w") - 1))
-    each = held.select(*key, F.posexplode(F.arrays_zip(F.col("w").alias("w"), after.alias("a"), before.alias("b"))).alias("pos", "t"))
-    core = lambda c: F.regexp_replace(c, CLOSING, "")
-    marked = lambda c: core(c).rlike(r"([!?…]|\.\.)$")
-    first = lambda c, kind: F.regexp_replace(c, OPENING, "").rlike(rf"^\p{{{kind}}}")
-    w, a, b = F.col("t.w"), F.col("t.a"), F.col("t.b")
-    out = each.select(
-        *key, "pos", w.alias("word"), word_type(w).alias("type"), marked(w).alias("marked"), first(w, "Lu").alias("upper"), first(w, "Ll").alias("lower"),
-        a.alias("next"), word_type(a).alias("next_type"), first(a, "Lu").alias("next_upper"), first(a, "Ll").alias("next_lower"),
-        F.coalesce(core(b).rlike(r"[.!?…]$"), F.lit(True)).alias("opens"), (core(w).endswith(".") & ~marked(w)).alias("dot"),
-    )
-    return out.withColumn("stopped", F.col("dot") & (F.length("type") > 0)).drop("dot")
-
-
-def type_counts(t: DataFrame) -> DataFrame:
-    """type, n, n_stop (with a stop), n_lower, n_upper (capitalised within a sentence)."""
-    count = lambda c: F.count(F.when(c, 1))
-    return t.filter("length(type) > 0").groupBy("type").agg(F.count("*").alias("n"), count(F.col("stopped")).alias("n_stop"), count(F.col("lower")).alias("n_lower"), count(F.col("upper") & ~F.col("opens")).alias("n_upper"))
+
+    def around(w: Column) -> Column:
+        after = F.concat(F.slice(w, 2, F.size(w)), none)
+        before = F.concat(none, F.slice(w, 1, F.size(w) - 1))
+        return F.arrays_zip(w.alias("w"), after.alias("a"), before.alias("b"))
+
+    held = df.select(*key, pieces(F.col(text)).alias("w")).filter("size(w) > 0")
+    each = held.select(*key, F.posexplode(let(F.col("w"), around)).alias("pos", "t"))
+    each = each.select(*key, "pos", "t.w", "t.a", "t.b")
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+", "")
+    return each.select(*key, "pos", strip(F.col("w")).alias("word"), strip(F.col("a")).alias("next"), F.coalesce(F.col("b").rlike(_ENDS), F.lit(True)).alias("opens"))
+
+
+def _core(c: Column) -> Column:
+    return F.regexp_replace(c, CLOSING, "")
+
+
+def _first(c: Column, kind: str) -> Column:
+    return F.regexp_replace(c, OPENING, "").rlike(rf"^\p{{{kind}}}")
+
+
+def described(words: DataFrame) -> DataFrame:
+    """Adds type, marked (closed by ! ? or an ellipsis), stopped, upper, lower (first letter) of word."""
+    w = F.col("word")
+    out = words.withColumns({"type": word_type(w), "marked": _core(w).rlike(r"([!?…]|\.\.)$"), "upper": _first(w, "Lu"), "lower": _first(w, "Ll")})
+    return out.withColumn("stopped", _core(w).endswith(".") & ~F.col("marked") & (F.length("type") > 0))
+
+
+def type_counts(seen: DataFrame) -> DataFrame:
+    """type, n, n_stop (with a stop), n_lower, n_upper (capitalised within a sentence), of occurrences."""
+    # Words are described once each, not at every occurrence.
+    words = described(seen.groupBy("word", "opens").agg(F.count("*").alias("c"))).filter("length(type) > 0")
+    count = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
+    return words.groupBy("type").agg(F.sum("c").alias("n"), count(F.col("stopped")).alias("n_stop"), count(F.col("lower")).alias("n_lower"), count(F.col("upper") & ~F.col("opens")).alias("n_upper"))
+
+
+def endings(seen: DataFrame, *keep: str) -> DataFrame:
+    """Occurrences that have a stop or a mark, and a follower: described, with next_type, next_upper, next_lower."""
+    t = described(seen.filter(F.col("word").rlike(_ENDS) & F.col("next").isNotNull())).filter(F.col("stopped") | F.col("marked"))
+    a = F.col("next")
+    return t.select(*keep, "type", "stopped", "marked", word_type(a).alias("next_type"), _first(a, "Lu").alias("next_upper"), _first(a, "Ll").alias("next_lower"))
 
 
 def abbreviation_score(n_all: int, n_stops: int) -> Column:
@@ -112,14 +136,21 @@ class Statistics:
 
 def train(df: DataFrame, key: list[str], text: str) -> Statistics:
     """Statistics of all texts."""
-    t = tokens(df, key, text)
-    counts = type_counts(t)
+    spark, seen = df.sparkSession, occurrences(df, key, text)
+
+    def written(frame: DataFrame, name: str) -> DataFrame:
+        path = work_path(spark, name)
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    counts = written(type_counts(seen), "sentence-counts")
     n_all, n_stops = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_stop"), F.lit(0))).first()
     types = counts.withColumn("score", abbreviation_score(n_all, n_stops))
     # One row for each stopped or closed word and its follower.
-    ends = t.filter((F.col("stopped") | F.col("marked")) & F.col("next").isNotNull()).groupBy("type", "next_type", "stopped").agg(F.count("*").alias("k"))
+    ends = endings(seen).groupBy("type", "next_type", "stopped").agg(F.count("*").alias("k"))
     short = types.filter(F.col("score") >= ABBREVIATION).select("type", F.lit(True).alias("short"))
     ends = ends.join(short, "type", "left").withColumn("unsure", F.col("stopped") & (F.coalesce("short", F.lit(False)) | (F.col("type") == NUMBER) | (F.length("type") == 1)))
+    ends = written(ends, "sentence-ends")
     sure = ends.filter(~F.col("unsure") & (F.length("next_type") > 0)).groupBy("next_type").agg(F.sum("k").alias("k"))
     total = F.lit(sure.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0])
     n = F.lit(n_all)
@@ -131,12 +162,12 @@ def train(df: DataFrame, key: list[str], text: str) -> Statistics:
     both = both.withColumn("ratio", dunning(F.col("k"), F.col("c1"), F.col("c2"), n))
     both = both.filter((F.col("ratio") > COLLOCATION) & (F.col("k") * n > F.col("c1") * F.col("c2")))
     pairs = both.join(openers.select(F.col("type").alias("next_type")), "next_type", "left_anti").select("type", "next_type", "ratio")
-    return Statistics(types, openers, pairs)
+    return Statistics(types, written(openers, "sentence-openers"), written(pairs, "sentence-pairs"))
 
 
 def boundaries(df: DataFrame, key: list[str], text: str, model: Statistics) -> DataFrame:
     """key, pos of every word that ends a sentence inside its text."""
-    t = tokens(df, key, text).filter((F.col("stopped") | F.col("marked")) & F.col("next").isNotNull())
+    t = endings(occurrences(df, key, text), *key, "pos")
     no = F.lit(False)
     short = model.types.filter(F.col("score") >= ABBREVIATION).select("type", F.lit(True).alias("short"))
     ahead = model.types.select(F.col("type").alias("next_type"), ((F.col("n_lower") > 0) & (F.col("n_upper") == 0)).alias("seen_low"))
@@ -159,8 +190,12 @@ def split(df: DataFrame, key: list[str], text: str, model: Statistics) -> DataFr
     cuts = cuts.select(*[F.col(n).alias(f"__key{i}") for i, n in enumerate(names)], "__cuts")
     same = [F.col(n).eqNullSafe(F.col(f"__key{i}")) for i, n in enumerate(names)]
     both = keyed.join(cuts, reduce(and_, same), "left").select(*key, pieces(F.col("__text")).alias("p"), F.coalesce("__cuts", F.array().cast("array<int>")).alias("c"))
-    ends = F.array_distinct(F.concat(F.transform("c", lambda x: x + 1), F.array(F.size("p"))))
-    starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
-    spans = F.arrays_zip(starts.alias("s"), ends.alias("e"))
-    texts = F.transform(spans, lambda x: ws_strip(F.array_join(F.slice("p", x["s"] + 1, x["e"] - x["s"]), "")))
-    return both.select(*key, F.filter(texts, lambda s: F.length(s) > 0).alias("sentences"))
+
+    def cut(p: Column, ends: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+        texts = F.zip_with(starts, ends, lambda s, e: ws_strip(F.array_join(F.slice(p, s + 1, e - s), "")))
+        return F.filter(texts, lambda s: F.length(s) > 0)
+
+    # a text's words and its places are bound once
+    whole = let(F.col("p"), lambda p: let(F.array_distinct(F.concat(F.transform("c", lambda x: x + 1), F.array(F.size(p)))), lambda e: cut(p, e)))
+    return both.select(*key, whole.alias("sentences"))
