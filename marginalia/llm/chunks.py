@@ -13,12 +13,17 @@ on the map side) to the first and last holder, and occurrences are joined to
 the digests that occur more than once, in one document or several.  Neighbouring
 repeated chunks of a document form runs.  The chunks at a passage's ends hang
 over them and are no repeats, so a run is extended, character by character, by
-what its first (last) chunk has before (behind) it in common with that chunk's
-first other occurrence, ``context`` characters at most: a cut depends on the
-``reach`` + 32 bytes around it, so a passage's first whole chunk starts within
-that many bytes and a chunk's length.  Runs of then under ``least`` bytes are
-chance and dropped.  A run is cut into parts where its chunks start or cease to
-be later occurrences inside the document.
+what stands before (behind) it in common with the first other occurrence of its
+first (last) chunk.  That is always less than the neighbouring chunk and ``reach``
++ 4 bytes, backwards with the 32 bytes of a hash: were more in common, the cut at
+that chunk's other end, which depends on no more, would be in both texts and the
+chunk a repeat.  So this much text is compared, however long it is, and nothing
+is cut off.  Runs of then under ``least`` bytes are chance and dropped.  A run is
+cut into parts where its chunks start or cease to be later occurrences inside
+the document.
+
+Text of a short period has cuts every ``longest`` bytes only, which an insertion
+before it does move: there a passage may be found in parts.
 
 Defined cases: null and empty texts have no chunks; a document is an id with a
 text: repeated rows are one document, and rows of one id with different texts
@@ -37,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 
 def _gear() -> np.ndarray:
@@ -97,7 +102,7 @@ def boundaries(data: np.ndarray, reach: int = 28, longest: int = 1024) -> np.nda
     return cuts
 
 
-CHUNK = "id long, version long, hi long, lo long, start int, end int, n_bytes int, last boolean"
+CHUNK = "id long, version long, hi long, lo long, start int, end int, n_bytes int, before int, after int"
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,18 +112,18 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 28, longest: int = 1024) -> DataFrame:
-    """One row per chunk: document (id, version), digest (hi, lo), code-point span, bytes, whether it ends the text."""
+    """One row per chunk: document (id, version), digest (hi, lo), code-point span, bytes, bytes of the chunks before and after (0: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids, versions, digests, starts, ends, sizes, lasts):
+        def out(ids, versions, digests, *numbers):
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            cols = [np.concatenate(ids), np.concatenate(versions), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), np.concatenate(starts), np.concatenate(ends), np.concatenate(sizes), np.concatenate(lasts)]
-            types = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "version", "hi", "lo", "start", "end", "n_bytes", "last"])
+            cols = [np.concatenate(ids), np.concatenate(versions), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), *map(np.concatenate, numbers)]
+            types = [pa.int64()] * 4 + [pa.int32()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "version", "hi", "lo", "start", "end", "n_bytes", "before", "after"])
 
         for b in batches:
             key, version, col = b.column(0), b.column(1), b.column(2)
-            held = [[] for _ in range(7)]
+            held = [[] for _ in range(8)]
             for i in range(b.num_rows):
                 text = col[i].as_py()
                 if not text:
@@ -131,11 +136,12 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
                 held[0].append(np.full(n, key[i].as_py(), np.int64))
                 held[1].append(np.full(n, version[i].as_py(), np.int64))
                 held[2] += [hashlib.blake2b(text[s:e], digest_size=16).digest() for s, e in zip(at, at[1:])]
-                for place, values in ((3, points[:-1]), (4, points[1:]), (5, np.diff(cuts)), (6, np.arange(n) == n - 1)):
+                sizes = np.diff(cuts)
+                for place, values in ((3, points[:-1]), (4, points[1:]), (5, sizes), (6, np.r_[0, sizes[:-1]]), (7, np.r_[sizes[1:], 0])):
                     held[place].append(values)
                 if len(held[2]) > 50_000:
                     yield out(*held)
-                    held = [[] for _ in range(7)]
+                    held = [[] for _ in range(8)]
             if held[2]:
                 yield out(*held)
 
@@ -154,7 +160,7 @@ def in_common(a: str, b: str, from_end: bool) -> str:
     return a[len(a) - lo :] if from_end else a[:lo]
 
 
-def _extensions(docs: DataFrame, runs: DataFrame, hits: DataFrame, context: int) -> DataFrame:
+def _extensions(docs: DataFrame, runs: DataFrame, shared: DataFrame) -> DataFrame:
     """id, version, run, left, right (code points) and more (bytes) by which a run goes on at its ends.
 
     Only ends inside the text are asked for; a run that is the whole text has no row.
@@ -166,8 +172,8 @@ def _extensions(docs: DataFrame, runs: DataFrame, hits: DataFrame, context: int)
             for i, places in enumerate(b.column(3).to_pylist()):
                 key, text = (b.column(0)[i].as_py(), b.column(1)[i].as_py()), b.column(2)[i].as_py()
                 for p in places:
-                    at = p["place"]
-                    rows.append((*key, p["side"], at, text[at : at + context] if p["side"] else text[max(0, at - context) : at]))
+                    at, size = p["place"], p["size"]
+                    rows.append((*key, p["side"], at, text[at : at + size] if p["side"] else text[max(0, at - size) : at]))
             cols = list(zip(*rows)) if rows else [[]] * 5
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "version", "side", "place", "around"])
@@ -180,26 +186,21 @@ def _extensions(docs: DataFrame, runs: DataFrame, hits: DataFrame, context: int)
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + sizes, ["id", "version", "run", "side", "chars", "bytes"])
 
     # Each end's chunk, and that chunk's first and last occurrence: one of them is another one.
-    ends = runs.select("id", "version", "run", "start", "last", F.inline(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("head.hi").alias("hi"), F.col("head.lo").alias("lo"), F.col("head.start").alias("own")),
-        F.struct(F.lit(1).alias("side"), F.col("tail.hi").alias("hi"), F.col("tail.lo").alias("lo"), F.col("tail.start").alias("own")),
-    ))).filter("side = 0 and start > 0 or side = 1 and not last").drop("start", "last")
-    place = F.struct("id", "version", "start", "end")
-    # Combined on the map side before the join: a chunk that many hold is one row.
-    known = hits.groupBy("hi", "lo").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    known = materialize(known.join(ends.select("hi", "lo").distinct(), ["hi", "lo"]), "chunks-holders")
+    head, tail = (F.struct(F.lit(side).alias("side"), f"{c}.hi", f"{c}.lo", F.col(f"{c}.start").alias("own"), place.alias("place"), F.col(size).alias("size")) for side, c, place, size in ((0, "head", F.col("start"), "left_most"), (1, "tail", F.col("end"), "right_most")))
+    ends = runs.select("id", "version", "run", F.inline(F.array(head, tail))).filter("size > 0")
     is_a = (F.col("a.id") == F.col("id")) & (F.col("a.version") == F.col("version")) & (F.col("a.start") == F.col("own"))
-    asked = ends.join(known, ["hi", "lo"]).withColumn("o", F.when(is_a, F.col("b")).otherwise(F.col("a")))
-    asked = asked.join(runs.select("id", "version", "run", "start", "end"), ["id", "version", "run"])
-    at = lambda s, e: F.when(F.col("side") == 0, F.col(s)).otherwise(F.col(e))
-    asked = materialize(asked.select("id", "version", "run", "side", at("start", "end").alias("place"), F.col("o.id").alias("y_id"), F.col("o.version").alias("y_version"), at("o.start", "o.end").alias("y_place")), "chunks-ends")
-    places = asked.select("id", "version", "side", "place").unionByName(asked.select(F.col("y_id").alias("id"), F.col("y_version").alias("version"), "side", F.col("y_place").alias("place")))
-    wanted = places.groupBy("id", "version").agg(F.collect_set(F.struct("side", "place")).alias("places"))
+    asked = ends.join(shared.select("hi", "lo", "a", "b"), ["hi", "lo"]).withColumn("o", F.when(is_a, F.col("b")).otherwise(F.col("a")))
+    there = F.when(F.col("side") == 0, F.col("o.start")).otherwise(F.col("o.end"))
+    asked = asked.select("id", "version", "run", "side", "place", "size", F.col("o.id").alias("y_id"), F.col("o.version").alias("y_version"), there.alias("y_place"), F.when(F.col("side") == 0, F.col("o.left_most")).otherwise(F.col("o.right_most")).alias("y_size"))
+    asked = materialize(asked.filter("y_size > 0"), "chunks-ends")
+    drop_table(shared)
+    places = asked.select("id", "version", "side", "place", "size").unionByName(asked.select(F.col("y_id").alias("id"), F.col("y_version").alias("version"), "side", F.col("y_place").alias("place"), F.col("y_size").alias("size")))
+    wanted = places.groupBy("id", "version").agg(F.collect_set(F.struct("side", "place", "size")).alias("places"))
     texts = _documents(docs, id_col="id", text_col="text").join(wanted, ["id", "version"])
     around = texts.select("id", "version", "text", "places").mapInArrow(cut, "id long, version long, side int, place int, around string")
     # A plain table on this side lets adaptive execution split a holder that many runs ask for.
     around = materialize(around.dropDuplicates(["id", "version", "side", "place"]), "chunks-around")
-    mine = asked.join(around.withColumnRenamed("around", "x"), ["id", "version", "side", "place"])
+    mine = asked.drop("size", "y_size").join(around.withColumnRenamed("around", "x"), ["id", "version", "side", "place"])
     other = around.select(F.col("id").alias("y_id"), F.col("version").alias("y_version"), "side", F.col("place").alias("y_place"), F.col("around").alias("y"))
     both = mine.join(other, ["y_id", "y_version", "side", "y_place"]).select("id", "version", "run", "side", "x", "y")
     got = both.mapInArrow(compare, "id long, version long, run long, side int, chars int, bytes int")
@@ -207,7 +208,7 @@ def _extensions(docs: DataFrame, runs: DataFrame, hits: DataFrame, context: int)
     return got.groupBy("id", "version", "run").agg(on(0, "chars").alias("left"), on(1, "chars").alias("right"), (on(0, "bytes") + on(1, "bytes")).alias("more"))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 28, longest: int = 1024, least: int = 200, context: int = 256) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 28, longest: int = 1024, least: int = 100) -> DataFrame:
     """Passages that occur again, in other documents or in this one.
 
     One row per part of a run: id, version, start, end (code points), n_chunks,
@@ -216,30 +217,37 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text unless again), again (the id itself holds these chunks earlier).
     """
     rows = materialize(chunks(docs, id_col, text_col, reach, longest), "chunks")
-    lows = [f(c).alias(f"{n}_{c}") for c in ("id", "version", "start") for n, f in (("low", F.min), ("high", F.max))]
-    shared = rows.groupBy("hi", "lo").agg(*lows).filter("low_id < high_id or low_version < high_version or low_start < high_start")
-    shared = materialize(shared.select("hi", "lo", F.col("low_id").alias("first_id")), "chunks-shared")
-    hits = rows.join(shared, ["hi", "lo"]).select("id", "version", "hi", "lo", "start", "end", "n_bytes", "last", "first_id")
+    # The most text that can go on before and behind a chunk at a run's end.
+    left_most = F.when(F.col("before") > 0, F.col("before") + reach + 36).otherwise(0).alias("left_most")
+    right_most = F.when(F.col("after") > 0, F.col("after") + reach + 4).otherwise(0).alias("right_most")
+    place = F.struct("id", "version", "start", "end", left_most, right_most)
+    shared = rows.groupBy("hi", "lo").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    apart = F.struct("a.id", "a.version", "a.start") != F.struct("b.id", "b.version", "b.start")
+    shared = materialize(shared.filter(apart), "chunks-shared")
+    hits = rows.join(shared.select("hi", "lo", F.col("a.id").alias("first_id")), ["hi", "lo"]).select("id", "version", "hi", "lo", "start", "end", "n_bytes", left_most, right_most, "first_id")
     # All windows lie within an id, so one shuffle serves them.
     hits = hits.repartition("id").dropDuplicates(["id", "version", "start"])
     again = F.row_number().over(Window.partitionBy("id", "hi", "lo").orderBy("version", "start")) > 1
     w = Window.partitionBy("id", "version").orderBy("start")
     hits = hits.withColumn("again", again).withColumn("new", (F.col("start") != F.coalesce(F.lag("end").over(w), F.lit(-1))).cast("int"))
     hits = hits.withColumn("turn", F.when(F.col("again") != F.lag("again").over(w), 1).otherwise(F.col("new")))
-    hits = materialize(hits.withColumns({"run": F.sum("new").over(w), "part": F.sum("turn").over(w)}).drop("new", "turn"), "chunks-hits")
+    hits = hits.withColumns({"run": F.sum("new").over(w), "part": F.sum("turn").over(w)}).drop("new", "turn")
+    # Parts, then their runs, of the same partitioning.
+    end_chunk = F.struct("start", "hi", "lo", "end", "left_most", "right_most")
     parts = hits.groupBy("id", "version", "run", "part").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"),
+        F.min(end_chunk).alias("head"), F.max(end_chunk).alias("tail"), F.count("*").alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"),
         F.array_sort(F.collect_set("first_id")).alias("first_ids"), F.bool_and(F.col("first_id") == F.col("id")).alias("is_first"), F.first("again").alias("again"),
     )
-    chunk = F.struct("start", "hi", "lo")
-    runs = hits.groupBy("id", "version", "run").agg(F.min(chunk).alias("head"), F.max(chunk).alias("tail"), F.max("end").alias("end"), F.sum("n_bytes").alias("run_bytes"), F.bool_or("last").alias("last"))
-    # Both ends together add 8 x context bytes at most.
-    runs = materialize(runs.filter(F.col("run_bytes") + 8 * context >= least).withColumn("start", F.col("head.start")), "chunks-runs")
+    parts = materialize(parts, "chunks-parts")
+    drop_table(rows)
+    runs = parts.groupBy("id", "version", "run").agg(F.min("head").alias("head"), F.max("tail").alias("tail"), F.sum("n_bytes").alias("run_bytes"))
+    runs = runs.select("id", "version", "run", "head", "tail", "run_bytes", F.col("head.start").alias("start"), F.col("tail.end").alias("end"), "head.left_most", "tail.right_most")
+    runs = materialize(runs.filter(F.col("run_bytes") + F.col("left_most") + F.col("right_most") >= least), "chunks-runs")
     same = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    more = _extensions(same, runs, hits, context)
+    more = _extensions(same, runs, shared)
     ended = runs.join(more, ["id", "version", "run"], "left").na.fill(0, ["left", "right", "more"]).filter(F.col("run_bytes") + F.col("more") >= least)
     ended = ended.select("id", "version", "run", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "left", "right")
     out = parts.join(ended, ["id", "version", "run"])
-    start = F.when(F.col("start") == F.col("run_start"), F.col("start") - F.col("left")).otherwise(F.col("start"))
-    end = F.when(F.col("end") == F.col("run_end"), F.col("end") + F.col("right")).otherwise(F.col("end"))
+    start = F.when(F.col("head.start") == F.col("run_start"), F.col("head.start") - F.col("left")).otherwise(F.col("head.start"))
+    end = F.when(F.col("tail.end") == F.col("run_end"), F.col("tail.end") + F.col("right")).otherwise(F.col("tail.end"))
     return out.select(F.col("id").alias(id_col), "version", start.alias("start"), end.alias("end"), "n_chunks", "n_bytes", "first_ids", "is_first", "again")

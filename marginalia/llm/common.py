@@ -10,7 +10,8 @@ import uuid
 import weakref
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to lower case; every other byte of UTF-8 stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -91,6 +92,16 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def col(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def cols(df: DataFrame) -> list[Column]:
+    """All columns of df."""
+    return [col(c) for c in df.columns]
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until df has no such column."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_name
+from .common import col, own_name
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -182,9 +182,9 @@ def quality(
     """
     # A carried text travels to Python once.
     held = own_name(docs, "__text") if text_col not in carry else text_col
-    extra = [] if text_col in carry else [F.col(text_col).cast("string").cast("binary").alias(held)]
+    extra = [] if text_col in carry else [col(text_col).cast("string").cast("binary").alias(held)]
     key = own_name(docs, "__id")
-    picked = docs.select(F.col(id_col).alias(key), *extra, *[F.col(c) for c in carry])
+    picked = docs.select(col(id_col).alias(key), *extra, *[col(c) for c in carry])
     keep = [f for f in picked.schema.fields if text_col in carry or f.name != held]
     made = {c: own_name(docs, "__" + c) for c in COLUMNS}
 
@@ -203,6 +203,6 @@ def quality(
     failed = (n < min_words) | (100 * rep > max_repeat_percent * n)
     fine = (cov <= max_covered * n) & (longest <= max_longest)
     return m.select(
-        F.col(key).alias(id_col), *[F.col(c) for c in carry if c != id_col],
+        F.col(key).alias(id_col), *[col(c) for c in carry if c != id_col],
         *[F.col(made[c]).alias(prefix + c) for c in COLUMNS], failed.alias(prefix + "base_failed"), (~failed & fine).alias(prefix + "kept"),
     )

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, own_name, path_exists
+from .common import col, cols, materialize, own_name, path_exists
 from .spans import find_spans, let, nothing
 
 FINDING = "array<struct<kind:string,start:int,end:int>>"
@@ -124,7 +124,7 @@ def find_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple[R
     """carried columns and findings of every row."""
     ledger = scan_versions(docs, ledger_path, rules, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(carry)], F.sha2(text, 256).alias("digest"))
+    rows = docs.select(*[col(c).alias(f"__{i}") for i, c in enumerate(carry)], F.sha2(text, 256).alias("digest"))
     out = rows.join(ledger.withColumn("findings", sort_spans(F.col("findings"))), "digest")
     return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(carry)], "findings")
 
@@ -163,7 +163,7 @@ def redact_texts(docs: DataFrame, ledger_path: str | None = None, rules: tuple[R
     out = {text_col: F.when(F.col(done)["n"] > 0, F.col(done)["text"]).otherwise(F.col(text_col))}
     if length_col:
         out[length_col] = F.when(F.col(done)["n"] > 0, F.length(F.col(done)["text"]).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return made.withColumns(out).select(*docs.columns)
+    return made.withColumns(out).select(*cols(docs))
 
 
 __all__ = ["RULES", "BASE_RULES", "Rule", "find_secrets", "redact", "redact_texts", "scan_versions", "sort_spans", "nothing"]

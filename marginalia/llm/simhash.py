@@ -26,9 +26,6 @@ Defined cases: a text without words (null, empty, blanks) has fingerprint 0 and
 links like any other; fewer words than a shingle give one shingle; repeated
 rows keep their rows; a null id is ignored for the component's smallest id; an
 empty table gives an empty result; extra columns are ignored.
-
-drop_near_copies is the form for a stated similarity of word shingles, which
-links at a few of 64 bits can't meet; similar.py finds its groups.
 """
 
 from __future__ import annotations
@@ -42,7 +39,6 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, materialize
 from .components import connected_components
-from .similar import drop_similar
 
 HALF_MASK = 0x7FFFFFFF
 
@@ -216,8 +212,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = materialize(member.groupBy("root").agg(F.min("least").alias("component")), "simhash-least")
     named = materialize(member.join(small, "root").select("fp", "component"), "simhash-components")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
-    """docs with one row of each group of texts whose k-word shingles have a Jaccard similarity of at least `least`."""
-    return drop_similar(docs, id_col, text_col, k=k, least=least)

@@ -77,8 +77,9 @@ def plan_records(pages: DataFrame, id_col="page_id", uri_col="url", payload_col=
     first = big.groupBy("digest").agg(F.min_by(F.struct("id", "uri", "payload", "n_bytes"), order).alias("r"))
     responses = first.select("r.id", "r.uri", "r.payload", "digest", "r.n_bytes", F.lit("response").alias("record_type"), no_ref, first_copy)
     light = materialize(big.select("id", "uri", "digest", "n_bytes", "ord"), "warc-rows")
-    ids = light.groupBy("digest").agg(F.min(order).alias("first"))
-    rows = light.groupBy("digest", "ord", "n_bytes", "uri").agg(F.count("*").alias("c"), F.first("id").alias("id"))
+    # Both sides of the join are written tables: adaptive execution can split a hot digest.
+    ids = materialize(light.groupBy("digest").agg(F.min(order).alias("first")), "warc-first")
+    rows = materialize(light.groupBy("digest", "ord", "n_bytes", "uri").agg(F.count("*").alias("c"), F.first("id").alias("id")), "warc-distinct")
     is_first = (F.col("ord") == F.col("first.ord")) & (F.col("uri").isNotNull() == F.col("first.named")) & (F.coalesce("uri", F.lit("")) == F.col("first.uri"))
     left = rows.join(ids, "digest").withColumn("c", F.col("c") - is_first.cast("long")).filter("c > 0")
     revisits = left.select(

@@ -231,7 +231,7 @@ def cut_chunks(data, reach=28, longest=1024):
     return sorted(cuts)
 
 
-def passages(docs, least=200, context=256):
+def passages(docs, least=100):
     """(id, start, end, n_chunks, n_bytes, first ids, is_first, again) of repeated passages; docs: {id: text}."""
     spans, holders = {}, defaultdict(list)
     for d, t in docs.items():
@@ -260,7 +260,7 @@ def passages(docs, least=200, context=256):
                 o = known[-1] if known[0][:2] == (d, own) else known[0]
                 x, y = (t[:at][::-1], docs[o[0]][: o[1]][::-1]) if back else (t[at:], docs[o[0]][o[2] :])
                 n = 0
-                while n < min(len(x), len(y), context) and x[n] == y[n]:
+                while n < min(len(x), len(y)) and x[n] == y[n]:
                     n += 1
                 return n
 
