@@ -14,11 +14,12 @@ the digests that occur more than once, in one document or several.  Neighbouring
 repeated chunks of a document form runs.  The chunks at a passage's ends hang
 over them and are no repeats, so a run is extended, character by character, by
 what stands before (behind) it in common with the first other occurrence of its
-first (last) chunk.  That is always less than the neighbouring chunk and ``reach``
-+ 4 bytes, backwards with the 32 bytes of a hash: were more in common, the cut at
-that chunk's other end, which depends on no more, would be in both texts and the
-chunk a repeat.  So this much text is compared, however long it is, and nothing
-is cut off.  Runs of then under ``least`` bytes are chance and dropped.  A run is
+first (last) chunk.  That is always less than the next chunk and ``reach`` + 4
+bytes, backwards less than the way to the last cut that the text makes (not
+``longest``), ``reach`` and the 32 bytes of a hash: were more in common, that cut,
+which depends on no more, would be in both texts, and those from there to the
+run too, so its neighbour were a repeat.  So this much text is compared, however
+long it is, and nothing is cut off.  Runs of then under ``least`` bytes are chance and dropped.  A run is
 cut into parts where its chunks start or cease to be later occurrences inside
 the document.
 
@@ -76,6 +77,11 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 def boundaries(data: np.ndarray, reach: int = 28, longest: int = 1024) -> np.ndarray:
     """Cut places, 0 and the length included."""
+    return cut_places(data, reach, longest)[0]
+
+
+def cut_places(data: np.ndarray, reach: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all cut places, those that the text makes: not by ``longest``), 0 and the length included."""
     n = len(data)
     cuts = np.zeros(0, np.int64)
     if n > 2 * reach + 1:
@@ -90,7 +96,7 @@ def boundaries(data: np.ndarray, reach: int = 28, longest: int = 1024) -> np.nda
             inside = cuts < n
             cuts[inside] += (data[cuts[inside]] & 0xC0) == 0x80
         cuts = cuts[cuts < n]
-    cuts = np.unique(np.r_[0, cuts, n])
+    own = cuts = np.unique(np.r_[0, cuts, n])
     gaps = np.diff(cuts)
     if (gaps > longest).any():
         more = [np.arange(a + longest, b, longest) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > longest]
@@ -99,7 +105,7 @@ def boundaries(data: np.ndarray, reach: int = 28, longest: int = 1024) -> np.nda
             inside = extra < n
             extra[inside] += (data[extra[inside]] & 0xC0) == 0x80
         cuts = np.unique(np.r_[cuts, extra[extra < n]])
-    return cuts
+    return cuts, own
 
 
 CHUNK = "id long, version long, hi long, lo long, start int, end int, n_bytes int, before int, after int"
@@ -112,7 +118,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 28, longest: int = 1024) -> DataFrame:
-    """One row per chunk: document (id, version), digest (hi, lo), code-point span, bytes, bytes of the chunks before and after (0: none)."""
+    """One row per chunk: document (id, version), digest (hi, lo), code-point span, bytes, bytes back to the last cut that the text makes and of the chunk after (0: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids, versions, digests, *numbers):
@@ -129,7 +135,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
                 if not text:
                     continue
                 data = np.frombuffer(text, np.uint8)
-                cuts = boundaries(data, reach, longest)
+                cuts, own = cut_places(data, reach, longest)
                 at = cuts.tolist()
                 n = len(at) - 1
                 points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][cuts]
@@ -137,7 +143,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
                 held[1].append(np.full(n, version[i].as_py(), np.int64))
                 held[2] += [hashlib.blake2b(text[s:e], digest_size=16).digest() for s, e in zip(at, at[1:])]
                 sizes = np.diff(cuts)
-                for place, values in ((3, points[:-1]), (4, points[1:]), (5, sizes), (6, np.r_[0, sizes[:-1]]), (7, np.r_[sizes[1:], 0])):
+                for place, values in ((3, points[:-1]), (4, points[1:]), (5, sizes), (6, np.r_[0, cuts[1:-1] - own[np.searchsorted(own, cuts[1:-1]) - 1]]), (7, np.r_[sizes[1:], 0])):
                     held[place].append(values)
                 if len(held[2]) > 50_000:
                     yield out(*held)
