@@ -166,8 +166,8 @@ def in_common(a: str, b: str, from_end: bool) -> str:
     return a[len(a) - lo :] if from_end else a[:lo]
 
 
-def _extensions(docs: DataFrame, runs: DataFrame, shared: DataFrame) -> DataFrame:
-    """id, version, run, left, right (code points) and more (bytes) by which a run goes on at its ends.
+def _extensions(docs: DataFrame, runs: DataFrame, known: DataFrame) -> DataFrame:
+    """id, version, run, left, right (code points) and more (bytes) by which a run goes on at its ends; known: hi, lo, first (a) and last (b) occurrence.
 
     Only ends inside the text are asked for; a run that is the whole text has no row.
     """
@@ -195,11 +195,10 @@ def _extensions(docs: DataFrame, runs: DataFrame, shared: DataFrame) -> DataFram
     head, tail = (F.struct(F.lit(side).alias("side"), f"{c}.hi", f"{c}.lo", F.col(f"{c}.start").alias("own"), place.alias("place"), F.col(size).alias("size")) for side, c, place, size in ((0, "head", F.col("start"), "left_most"), (1, "tail", F.col("end"), "right_most")))
     ends = runs.select("id", "version", "run", F.inline(F.array(head, tail))).filter("size > 0")
     is_a = (F.col("a.id") == F.col("id")) & (F.col("a.version") == F.col("version")) & (F.col("a.start") == F.col("own"))
-    asked = ends.join(shared.select("hi", "lo", "a", "b"), ["hi", "lo"]).withColumn("o", F.when(is_a, F.col("b")).otherwise(F.col("a")))
+    asked = ends.join(known, ["hi", "lo"]).withColumn("o", F.when(is_a, F.col("b")).otherwise(F.col("a")))
     there = F.when(F.col("side") == 0, F.col("o.start")).otherwise(F.col("o.end"))
     asked = asked.select("id", "version", "run", "side", "place", "size", F.col("o.id").alias("y_id"), F.col("o.version").alias("y_version"), there.alias("y_place"), F.when(F.col("side") == 0, F.col("o.left_most")).otherwise(F.col("o.right_most")).alias("y_size"))
     asked = materialize(asked.filter("y_size > 0"), "chunks-ends")
-    drop_table(shared)
     places = asked.select("id", "version", "side", "place", "size").unionByName(asked.select(F.col("y_id").alias("id"), F.col("y_version").alias("version"), "side", F.col("y_place").alias("place"), F.col("y_size").alias("size")))
     wanted = places.groupBy("id", "version").agg(F.collect_set(F.struct("side", "place", "size")).alias("places"))
     texts = _documents(docs, id_col="id", text_col="text").join(wanted, ["id", "version"])
@@ -226,11 +225,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # The most text that can go on before and behind a chunk at a run's end.
     left_most = F.when(F.col("before") > 0, F.col("before") + reach + 36).otherwise(0).alias("left_most")
     right_most = F.when(F.col("after") > 0, F.col("after") + reach + 4).otherwise(0).alias("right_most")
-    place = F.struct("id", "version", "start", "end", left_most, right_most)
-    shared = rows.groupBy("hi", "lo").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    apart = F.struct("a.id", "a.version", "a.start") != F.struct("b.id", "b.version", "b.start")
-    shared = materialize(shared.filter(apart), "chunks-shared")
-    hits = rows.join(shared.select("hi", "lo", F.col("a.id").alias("first_id")), ["hi", "lo"]).select("id", "version", "hi", "lo", "start", "end", "n_bytes", left_most, right_most, "first_id")
+    lows = [f(c).alias(f"{n}_{c}") for c in ("id", "version", "start") for n, f in (("low", F.min), ("high", F.max))]
+    shared = rows.groupBy("hi", "lo").agg(*lows).filter("low_id < high_id or low_version < high_version or low_start < high_start")
+    shared = materialize(shared.select("hi", "lo", F.col("low_id").alias("first_id"), F.col("high_id").alias("last_id")), "chunks-shared")
+    hits = rows.join(shared, ["hi", "lo"]).select("id", "version", "hi", "lo", "start", "end", "n_bytes", left_most, right_most, "first_id", "last_id")
+    hits = written = materialize(hits, "chunks-hits")
+    drop_table(rows)
+    drop_table(shared)
+    # The first and last occurrence lie in the first and last holder: a digest has few rows there, however many hold it.
+    place = F.struct("id", "version", "start", "end", "left_most", "right_most")
+    ends = hits.filter("id = first_id or id = last_id").groupBy("hi", "lo").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    hits = hits.drop("last_id")
     # All windows lie within an id, so one shuffle serves them.
     hits = hits.repartition("id").dropDuplicates(["id", "version", "start"])
     again = F.row_number().over(Window.partitionBy("id", "hi", "lo").orderBy("version", "start")) > 1
@@ -245,12 +250,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.array_sort(F.collect_set("first_id")).alias("first_ids"), F.bool_and(F.col("first_id") == F.col("id")).alias("is_first"), F.first("again").alias("again"),
     )
     parts = materialize(parts, "chunks-parts")
-    drop_table(rows)
     runs = parts.groupBy("id", "version", "run").agg(F.min("head").alias("head"), F.max("tail").alias("tail"), F.sum("n_bytes").alias("run_bytes"))
     runs = runs.select("id", "version", "run", "head", "tail", "run_bytes", F.col("head.start").alias("start"), F.col("tail.end").alias("end"), "head.left_most", "tail.right_most")
     runs = materialize(runs.filter(F.col("run_bytes") + F.col("left_most") + F.col("right_most") >= least), "chunks-runs")
     same = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    more = _extensions(same, runs, shared)
+    more = _extensions(same, runs, ends)
+    drop_table(written)
     ended = runs.join(more, ["id", "version", "run"], "left").na.fill(0, ["left", "right", "more"]).filter(F.col("run_bytes") + F.col("more") >= least)
     ended = ended.select("id", "version", "run", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "left", "right")
     out = parts.join(ended, ["id", "version", "run"])

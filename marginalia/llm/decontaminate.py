@@ -292,10 +292,12 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
 
     spark = docs.sparkSession
     # A carried text travels to Python once.
-    held = text_col if text_col in carry else own_name(docs, "__text")
+    # Names that mapInArrow takes: it resolves a.b as a field.
+    safe = {c: own_name(docs, f"__c{i}") for i, c in enumerate(carry)}
+    held = safe[text_col] if text_col in carry else own_name(docs, "__text")
     extra = [] if text_col in carry else [F.col(text_col).cast("string").cast("binary").alias(held)]
     key, row_no = own_name(docs, "__id"), own_name(docs, "__row")
-    base = docs.select(F.col(id_col).alias(key), *extra, *[col(c) for c in carry])
+    base = docs.select(F.col(id_col).alias(key), *extra, *[col(c).alias(safe[c]) for c in carry])
     away = set() if text_col in carry else {held}
     kept = [f for f in base.schema.fields if f.name not in away]
     made = n_col, hit_col, items_col = tuple(own_name(docs, "__" + c) for c in ("n_words", "hit", "items"))
@@ -367,9 +369,9 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text
                 F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))),
             ).otherwise(F.concat(acc, F.array(x))),
         )
-        out = both.select(*[col(f.name) for f in kept], n_col, merged.alias(hit_col), F.array_sort(F.array_distinct(F.concat(items_col, F.coalesce(i2, none_i)))).alias(items_col))
+        out = both.select(*[f.name for f in kept], n_col, merged.alias(hit_col), F.array_sort(F.array_distinct(F.concat(items_col, F.coalesce(i2, none_i)))).alias(items_col))
     new = [F.col(c).alias(prefix + n) for c, n in zip(made, ("n_words", "hit", "items"))]
-    return out.select(F.col(key).alias(id_col), *[col(c) for c in carry if c != id_col], *new)
+    return out.select(F.col(key).alias(id_col), *[F.col(safe[c]).alias(c) for c in carry if c != id_col], *new)
 
 
 def items_digest(items: list[int]) -> str:

@@ -181,10 +181,12 @@ def quality(
     no repeat is longer than max_longest words.
     """
     # A carried text travels to Python once.
-    held = own_name(docs, "__text") if text_col not in carry else text_col
+    # Names that mapInArrow takes: it resolves a.b as a field.
+    safe = {c: own_name(docs, f"__c{i}") for i, c in enumerate(carry)}
+    held = own_name(docs, "__text") if text_col not in carry else safe[text_col]
     extra = [] if text_col in carry else [col(text_col).cast("string").cast("binary").alias(held)]
     key = own_name(docs, "__id")
-    picked = docs.select(col(id_col).alias(key), *extra, *[col(c) for c in carry])
+    picked = docs.select(col(id_col).alias(key), *extra, *[col(c).alias(safe[c]) for c in carry])
     keep = [f for f in picked.schema.fields if text_col in carry or f.name != held]
     made = {c: own_name(docs, "__" + c) for c in COLUMNS}
 
@@ -203,6 +205,6 @@ def quality(
     failed = (n < min_words) | (100 * rep > max_repeat_percent * n)
     fine = (cov <= max_covered * n) & (longest <= max_longest)
     return m.select(
-        F.col(key).alias(id_col), *[col(c) for c in carry if c != id_col],
+        F.col(key).alias(id_col), *[F.col(safe[c]).alias(c) for c in carry if c != id_col],
         *[F.col(made[c]).alias(prefix + c) for c in COLUMNS], failed.alias(prefix + "base_failed"), (~failed & fine).alias(prefix + "kept"),
     )
