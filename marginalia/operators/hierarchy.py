@@ -146,15 +146,32 @@ def chunk(texts: DataFrame, doc: str = "doc_id", size: int = 50_000, overlap: in
     )
 
 
-def predominant_page(elements: DataFrame, size: int, doc: str = "doc_id", order: str = "pos", page: str = "page", text: str = "text") -> DataFrame:
-    """doc, chunk_index, page: of each run of `size` characters of the strung-together texts the page that gives most of them (ties: the first)."""
+def chunk_overlaps(elements: DataFrame, size: int, doc: str = "doc_id", order: str = "pos", text: str = "text") -> DataFrame:
+    """elements with chunk_index, once for each run of `size` characters of the strung-together texts they lie in, and the characters __n there."""
     o = elements.withColumn("__n", F.length(text)).withColumn("__at", F.sum("__n").over(Window.partitionBy(doc).orderBy(order)) - F.col("__n"))
     o = o.withColumn("chunk_index", F.explode(F.sequence(F.floor(F.col("__at") / size), F.floor((F.col("__at") + F.col("__n") - 1) / size))))
     part = F.least(F.col("__at") + F.col("__n"), (F.col("chunk_index") + 1) * size) - F.greatest("__at", F.col("chunk_index") * size)
-    share = o.groupBy(doc, "chunk_index", page).agg(F.sum(part).alias("__n"))
+    return o.withColumn("__n", part).drop("__at")
+
+
+def predominant_page(elements: DataFrame, size: int, doc: str = "doc_id", order: str = "pos", page: str = "page", text: str = "text") -> DataFrame:
+    """doc, chunk_index, page: of each run of `size` characters of the strung-together texts the page that gives most of them (ties: the first)."""
+    share = chunk_overlaps(elements, size, doc, order, text).groupBy(doc, "chunk_index", page).agg(F.sum("__n").alias("__n"))
     return share.groupBy(doc, "chunk_index").agg(F.min_by(page, F.struct(-F.col("__n"), F.col(page))).alias(page))
 
 
+def chunk_page_boxes(elements: DataFrame, size: int, doc: str = "doc_id", order: str = "pos", page: str = "page", text: str = "text", box: str = "box") -> DataFrame:
+    """doc, chunk_index, page (that gives most of the chunk), boxes: of the chunk's elements on that page, each once, in order.
+
+    One aggregate by page, then one by chunk, on one partitioning; a chunk's boxes are bounded by its characters.
+    """
+    rows = chunk_overlaps(elements, size, doc, order, text)
+    per = rows.groupBy(doc, "chunk_index", page).agg(F.sum("__n").alias("__n"), F.collect_list(F.struct(F.col(order).alias("o"), F.col(box).alias("b"))).alias("__b"))
+    best = per.groupBy(doc, "chunk_index").agg(F.min_by(F.struct(F.col(page).alias("p"), "__b"), F.struct(-F.col("__n"), F.col(page))).alias("m"))
+    boxes = F.array_distinct(F.transform(F.array_sort("m.__b"), lambda x: x["b"]))
+    return best.select(doc, "chunk_index", F.col("m.p").alias(page), F.filter(boxes, lambda b: b.isNotNull()).alias("boxes"))
+
+
 def structure_json(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Nested JSON of each document's tree."""
     leaves = nodes.filter("depth = 2").groupBy(doc, F.col("parent").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "name"))), lambda x: F.struct(x["name"].alias("name"))).alias("children"))

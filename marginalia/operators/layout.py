@@ -219,12 +219,14 @@ def classifiers() -> dict:
     """Estimators for the model comparison; features and label are assembled columns."""
     from pyspark.ml import classification as c
 
+    from .kernel import RadialMachine
+
     return {
         "logistic": c.LogisticRegression(maxIter=100),
         "naive_bayes": c.NaiveBayes(modelType="gaussian"),
         "tree": c.DecisionTreeClassifier(seed=42),
         "forest": c.RandomForestClassifier(numTrees=100, seed=42),
-        "linear_svm": c.OneVsRest(classifier=c.LinearSVC(maxIter=100)),
+        "radial_svm": RadialMachine(),
     }
 
 

@@ -18,6 +18,17 @@ def counters(runs: DataFrame, *labels: str) -> DataFrame:
     return runs.groupBy(*labels).agg(F.count("*").alias("n"))
 
 
+def counters_by(runs: DataFrame, sets: list[tuple[str, ...]], seconds: str = "seconds") -> DataFrame:
+    """Runs counted under several sets of labels in one aggregate: labels (null where a set lacks one), set_id, n, seconds.
+
+    set_id has a bit for each label, in the order in which they first occur, the
+    first label's the highest; it is 1 where the set lacks the label.
+    """
+    labels = list(dict.fromkeys(x for s in sets for x in s))
+    grouped = runs.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in labels])
+    return grouped.agg(F.grouping_id().alias("set_id"), F.count("*").alias("n"), F.sum(seconds).alias("seconds"))
+
+
 def job_state(status: Column) -> Column:
     """completed for a success, failed for anything else."""
     return F.when(status == "success", "completed").otherwise("failed")

@@ -9,6 +9,7 @@ from ..operators import blocks as B
 from ..operators import evidence as E
 from ..operators import hierarchy as H
 from ..operators import places as P
+from ..operators import raster as G
 from ..operators.folds import recursive_split_udf
 from . import inputs as I
 from .registry import query
@@ -412,7 +413,27 @@ def chunk_predominant_page(spark, d):
     return H.predominant_page(I.elements(spark, d), 500).select(DOC, *L("chunk_index", "page"))
 
 
+@query(f"""WITH {I.ELEMENTS}, {I.REGIONS}, o AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos) - length(text) AS off FROM elements),
+ov AS (SELECT doc_id, pos, page, c, least(off + length(text), (c + 1) * 500) - greatest(off, c * 500) AS n FROM (SELECT *, unnest(range(CAST(off // 500 AS BIGINT), CAST((off + length(text) - 1) // 500 AS BIGINT) + 1)) AS c FROM o)),
+best AS (SELECT doc_id, c, arg_min(page, (-n, page)) AS page FROM (SELECT doc_id, c, page, sum(n) AS n FROM ov GROUP BY ALL) GROUP BY doc_id, c)
+SELECT DISTINCT b.doc_id, b.c AS chunk_index, b.page, x0, y0, x1, y1 FROM best b JOIN ov USING (doc_id, c, page) JOIN regions r ON r.doc_id = b.doc_id AND r.region_ord = ov.pos""")
+def chunk_page_boxes(spark, d):
+    """Boxes of each chunk's main page."""
+    boxes = I.regions(spark, d).select(DOC, F.col("region_ord").alias("pos"), F.struct("x0", "y0", "x1", "y1").alias("box"))
+    got = H.chunk_page_boxes(I.elements(spark, d).join(boxes, [DOC, "pos"]), 500)
+    return got.select(DOC, *L("chunk_index", "page"), F.inline("boxes"))
+
+
 @query(f"WITH {I.ELEMENTS}, e AS (SELECT e.*, max(page) OVER (PARTITION BY doc_id) AS last FROM elements e) SELECT doc_id, pos FROM e WHERE page + pos % 3 <= last")
 def page_range_filter(spark, d):
     e = I.elements(spark, d).withColumn("asked", F.col("page") + F.col("pos") % 3)
     return B.in_page_range(e, "asked", "page").select(DOC, *L("pos"))
+
+
+@query()
+def raster_regions(spark, d):
+    """Regions of pages painted from words, 40 to a line, with a gap before each element."""
+    w = P.placed_words(I.words(spark, d), [DOC, "page"], "word_no")
+    x, y = 12.0 * (F.col("at") % 40), 16.0 * F.floor(F.col("at") / 40) + 24.0 * (F.col("pos") % 10)
+    boxes = w.select(DOC, "page", x.alias("x0"), y.alias("y0"), (x + F.least(F.length("text"), F.lit(11))).alias("x1"), (y + 10.0).alias("y1"))
+    return G.raster_regions(boxes).select(DOC, *L("page", "region"), "x0", "y0", "x1", "y1")

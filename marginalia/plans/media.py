@@ -102,11 +102,27 @@ def index_range_candidates(spark, d):
     return E.index_range(e, c.select("user_id", "idx"), "user_id").select("user_id", "ev", "idx")
 
 
-@query(f"WITH {I.CUES} SELECT user_id, idx AS ev, idx, start_ms, end_ms, 1.0::DOUBLE AS score FROM cues")
+#: Longest block two texts share: its length and its place in x, the earliest; then in y, the earliest.
+_BLOCK = "list_max(flatten(list_transform(range(1, len({x}) + 1), lambda i: list_transform(range(1, len({x}) - i + 2), lambda l: {{'l': CASE WHEN contains({y}, substr({x}, i, l)) THEN l ELSE 0 END, 'i': -i}}))))"
+_QUOTE = "CASE idx % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, len(text) - 2) || 'zzz' ELSE substr(text, 3) || ' ' || substr(text, 1, 2) END"
+
+
+@query(f"""WITH RECURSIVE {I.CUES}, q AS (SELECT user_id, idx AS ev, regexp_replace({_QUOTE}, '^\\s+|\\s+$', '', 'g') AS q FROM cues),
+near AS (SELECT q.user_id, ev, q, c.idx, c.start_ms, c.end_ms, c.text FROM q JOIN cues c ON c.user_id = q.user_id AND (NOT (ev - 2 > 0) OR c.idx BETWEEN ev - 2 AND ev + 2)),
+work AS (SELECT q AS a, text AS b, q AS x, text AS y, {_BLOCK.format(x='q', y='text')} AS best FROM (SELECT DISTINCT q, text FROM near)
+  UNION ALL SELECT a, b, x, y, {_BLOCK.format(x='x', y='y')} FROM (SELECT a, b, unnest([substr(x, 1, i - 1), substr(x, i + l)]) AS x, unnest([substr(y, 1, j - 1), substr(y, j + l)]) AS y
+    FROM (SELECT a, b, x, y, best.l AS l, -best.i AS i, strpos(y, substr(x, -best.i, best.l)) AS j FROM work WHERE best.l > 0)) WHERE len(x) > 0 AND len(y) > 0),
+scores AS (SELECT a, b, 2 * sum(best.l) / (len(a) + len(b)) AS score FROM work GROUP BY a, b),
+ranked AS (SELECT n.*, score, row_number() OVER (PARTITION BY user_id, ev ORDER BY score < 0.95, CASE WHEN score >= 0.95 THEN 0 ELSE -score END, idx) AS k FROM near n JOIN scores ON a = q AND b = text WHERE score >= 0.4)
+SELECT user_id, ev, idx, start_ms, end_ms, round(score, 6)::DOUBLE AS score FROM ranked WHERE k = 1""")
 def evidence_cue_match(spark, d):
-    """Every quote is its cue's own text, so the search must come back to it."""
+    """Quotes are their cues' texts by turns as they are, with another end, and turned round."""
     c = I.cues(spark, d)
-    e = c.select("user_id", F.col("idx").alias("ev"), F.concat(F.lit("["), T.srt_time(F.col("start_ms") % 86400000), F.lit(","), T.srt_time(F.col("end_ms") % 86400000), F.lit("] "), "text").alias("quote"), (F.col("idx") - 2).alias("lo"), (F.col("idx") + 2).alias("hi"))
+    n = F.length("text")
+    turned = F.concat(F.substring("text", F.lit(3), n), F.lit(" "), F.substring("text", 1, 2))
+    quote = F.when(F.col("idx") % 3 == 0, F.col("text")).when(F.col("idx") % 3 == 1, F.concat(F.substring("text", F.lit(1), n - 2), F.lit("zzz"))).otherwise(turned)
+    stamp = F.concat(F.lit("["), T.srt_time(F.col("start_ms") % 86400000), F.lit(","), T.srt_time(F.col("end_ms") % 86400000), F.lit("] "))
+    e = c.select("user_id", F.col("idx").alias("ev"), F.concat(stamp, quote).alias("quote"), (F.col("idx") - 2).alias("lo"), (F.col("idx") + 2).alias("hi"))
     return E.cue_match(e, c, "user_id").select("user_id", *L("ev", "idx", "start_ms", "end_ms"), "score")
 
 
@@ -526,6 +542,15 @@ def run_counters(spark, d):
     return e.groupBy(F.col("event_type").alias("label"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("seconds"), F.count_if(F.col("value") > 50).alias("slow"))
 
 
+@query("""SELECT status, method, error_type, grouping_id(status, method, error_type)::BIGINT AS set_id, count(*) AS n, round(sum(seconds), 4) AS seconds
+FROM (SELECT event_type AS status, user_id % 3 AS method, CASE WHEN value > 50 THEN 'slow' END AS error_type, value AS seconds FROM events) GROUP BY GROUPING SETS ((status), (method, status), (error_type))""")
+def run_counters_sets(spark, d):
+    """Counters by status, by method and status, and by error type, in one pass."""
+    e = I.table(spark, d, "events").select(F.col("event_type").alias("status"), (F.col("user_id") % 3).alias("method"), F.when(F.col("value") > 50, "slow").alias("error_type"), F.col("value").alias("seconds"))
+    out = U.counters_by(e, [("status",), ("method", "status"), ("error_type",)])
+    return out.select("status", "method", "error_type", F.col("set_id").cast("long").alias("set_id"), "n", F.round("seconds", 4).alias("seconds"))
+
+
 @query("SELECT count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS hits, count(*) FILTER (WHERE l.doc_id IS NULL) AS misses FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def cache_counters(spark, d):
     return U.cache_counters(I.table(spark, d, "documents").select("doc_id"), I.table(spark, d, "labels"), "doc_id")
