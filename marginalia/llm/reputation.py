@@ -73,14 +73,16 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def _spread(children: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:
+def _spread(children: DataFrame, on: list[str]) -> DataFrame:
     """One row: over, under: the two sums whose quotient estimates the correlation of pages of one child.
 
+    children: on, n, b and their parent's pn and pb.
+
     Per parent with share p, v = p (1 - p), N pages and K children: the children's
     weighted squared deviations S have the mean v ((K - 1) + rho (N - sum n^2 / N - (K - 1))).
     """
     share = F.col("pb") / F.col("pn")
-    held = children.filter("n > 0").join(parents.select(*on, F.col("n").alias("pn"), F.col("b").alias("pb")), on)
+    held = children.filter("n > 0")
     off = F.col("n") * F.pow(F.col("b") / F.col("n") - share, 2)
     per = held.groupBy(*on, "pn", "pb").agg(F.sum(off).alias("s"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), F.count("*").alias("k"))
     v, free = share * (1 - share), F.col("k") - 1
@@ -109,12 +111,13 @@ def reputations(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", key
     total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     domains = materialize(total(hosts, "suffix", "domain"), "reputation-domains")
     suffixes = materialize(total(domains, "suffix"), "reputation-suffixes")
-    whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.lit(0).alias("all"))
-    levels = ((0, suffixes.withColumn("all", F.lit(0)), whole, ["all"]), (1, domains, suffixes, ["suffix"]), (2, hosts, domains, ["suffix", "domain"]))
-    found = [_spread(c, p, on).withColumn("level", F.lit(i)) for i, c, p, on in levels]
     # Four rows of sums: all that comes to the driver.
+    n, b = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    under = lambda df, parents, *by: df.join(parents.select(*by, F.col("n").alias("pn"), F.col("b").alias("pb")), [*by])
+    top = suffixes.withColumns({"pn": F.lit(max(n, 1)), "pb": F.lit(b)})
+    levels = ((top, []), (under(domains, suffixes, "suffix"), ["suffix"]), (under(hosts, domains, "suffix", "domain"), ["suffix", "domain"]))
+    found = [_spread(c, on).withColumn("level", F.lit(i)) for i, (c, on) in enumerate(levels)]
     m = {r["level"]: strength(r["over"], r["under"]) for r in found[0].unionByName(found[1]).unionByName(found[2]).collect()}
-    n, b, _ = whole.first()
 
     def shrunk(level: int, q: Column, size: Column) -> tuple[Column, Column]:
         """Posterior mean and size of a level whose parents have the mean q from size pages."""
