@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem
@@ -30,6 +31,33 @@ def arrow(kind: str):
     return make
 
 
+def columnar(kind: str):
+    """arrow() for functions of Arrow arrays: groups stay columns, so a batch of them takes no more than its values do."""
+
+    def make(f):
+        def call(*columns):
+            return F.arrow_udf(f, kind)(*columns)
+
+        call.__doc__, call.of_arrays = f.__doc__, f
+        return call
+
+    return make
+
+
+def list_parts(lists: pa.ListArray) -> tuple[list[int], dict[str, pa.Array]]:
+    """Where each list of structs begins and ends among all of them (a null list is empty), and their fields as columns."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    return [0, *np.cumsum(sizes).tolist()], dict(zip([f.name for f in flat.type], flat.flatten()))
+
+
+def list_of(sizes: list[int], columns: dict[str, pa.Array]) -> pa.ListArray:
+    """Lists of so many structs each, of these columns."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
 def spans_and_parents(heights, sentinel: float = 1000.0) -> tuple[list[int], list[int]]:
     """For each height: how many smaller ones follow before the next as high; place of the last strictly higher before (-1: none).
 
