@@ -282,22 +282,45 @@ def pack_cues_udf(groups: pd.Series) -> pd.Series:
     return pd.Series([pack_cues(g) for g in groups])
 
 
-def merge_words(words, wide: float, high: float) -> list[dict]:
-    """Words (x0, y0, x1, y1, text) in order joined into blocks of one height."""
-    out: list[dict] = []
-    for w in words:
-        height, last = w["y1"] - w["y0"], out[-1] if out else None
-        if last and last["height"] == height and abs(w["x0"] - last["x1"]) <= wide and w["y0"] - last["y1"] <= high:
-            last["x1"], last["y1"] = max(last["x1"], w["x1"]), max(last["y1"], w["y1"])
-            last["text"] += " " + w["text"].strip()
+def word_runs(x0: list, y0: list, x1: list, y1: list, wide: float, high: float) -> tuple[list[int], list, list]:
+    """Words in order joined into blocks of one height: first word, right and lower edge of each block."""
+    starts, right, lower, height = [], [], [], None
+    for i, (a, b, c, d) in enumerate(zip(x0, y0, x1, y1)):
+        if d - b == height and abs(a - right[-1]) <= wide and b - lower[-1] <= high:
+            right[-1], lower[-1] = max(right[-1], c), max(lower[-1], d)
         else:
-            out.append({k: w[k] for k in ("x0", "y0", "x1", "y1")} | {"text": w["text"].strip(), "height": height})
-    return out
+            height = d - b
+            starts.append(i)
+            right.append(c)
+            lower.append(d)
+    return starts, right, lower
 
 
-@arrow("array<struct<x0:double,y0:double,x1:double,y1:double,text:string,height:double>>")
-def merge_words_udf(groups: pd.Series, wide: pd.Series, high: pd.Series) -> pd.Series:
-    return pd.Series([merge_words(g, w, h) for g, w, h in zip(groups, wide, high)])
+def merge_words(words, wide: float, high: float) -> list[dict]:
+    """Words (x0, y0, x1, y1, text) in order joined into blocks of one height."""
+    x0, y0, x1, y1, text = ([w[c] for w in words] for c in ("x0", "y0", "x1", "y1", "text"))
+    starts, right, lower = word_runs(x0, y0, x1, y1, wide, high)
+    parts = zip(starts, [*starts[1:], len(words)], right, lower)
+    return [{"x0": x0[s], "y0": y0[s], "x1": r, "y1": b, "text": " ".join(t.strip() for t in text[s:e]), "height": y1[s] - y0[s]} for s, e, r, b in parts]
+
+
+@columnar("array<struct<x0:double,y0:double,x1:double,y1:double,text:string,height:double>>")
+def merge_words_udf(groups: pa.Array, wide: pa.Array, high: pa.Array) -> pa.Array:
+    """merge_words, a page at a time."""
+    bounds, columns = list_parts(groups)
+    sizes, made = [], {c: [] for c in ("x0", "y0", "x1", "y1", "text", "height")}
+    for s, e, w, h in zip(bounds, bounds[1:], wide.to_pylist(), high.to_pylist()):
+        x0, y0, x1, y1, text = (columns[c].slice(s, e - s).to_pylist() for c in ("x0", "y0", "x1", "y1", "text"))
+        starts, right, lower = word_runs(x0, y0, x1, y1, w, h)
+        text = [t.strip() for t in text]
+        sizes.append(len(starts))
+        made["x0"] += [x0[i] for i in starts]
+        made["y0"] += [y0[i] for i in starts]
+        made["x1"] += right
+        made["y1"] += lower
+        made["text"] += [" ".join(text[i:j]) for i, j in zip(starts, [*starts[1:], len(text)])]
+        made["height"] += [y1[i] - y0[i] for i in starts]
+    return list_of(sizes, {c: pa.array(v, pa.string() if c == "text" else pa.float64()) for c, v in made.items()})
 
 
 def boxes_touch(a, b, h: float = 6.0, v: float = 1.0, share: float = 0.75) -> bool:
