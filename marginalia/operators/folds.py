@@ -257,29 +257,42 @@ def cue_starts(texts: list[str], starts: list[float], ends: list[float], most: i
     return cuts
 
 
-def pack_cues(segments, most: int = 120, gap: float = 1.5) -> list[dict]:
-    """Segments (start, end, text) in order joined into cues.
+def cue_parts(texts: list[str], starts: list[float], ends: list[float], most: int = 120, gap: float = 1.5) -> list[tuple[float, float, str]]:
+    """Segments in order joined into cues (start, end, text).
 
     Segments from the recording's start on belong to a cue that opens with a
     blank.  A cue whose first text is empty begins with its second segment.
     """
-    rows = list(segments)
-    cuts = cue_starts([s["text"] for s in rows], [s["start"] for s in rows], [s["end"] for s in rows], most, gap)
-    bounds = [0, *cuts, len(rows)]
+    bounds = [0, *cue_starts(texts, starts, ends, most, gap), len(texts)]
     out = []
     for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        part = rows[a:b]
-        text = " " * (k == 0) + " ".join(s["text"] for s in part)
-        if not part or not (text.strip() if b == len(rows) else text):
+        text = " " * (k == 0) + " ".join(texts[a:b])
+        if a == b or not (text.strip() if b == len(texts) else text):
             continue
-        first = part[1] if k and part[0]["text"] == "" and len(part) > 1 else part[0]
-        out.append({"start": first["start"], "end": part[-1]["end"], "text": text.strip()})
+        first = a + 1 if k and texts[a] == "" and b - a > 1 else a
+        out.append((starts[first], ends[b - 1], text.strip()))
     return out
 
 
-@arrow("array<struct<start:double,end:double,text:string>>")
-def pack_cues_udf(groups: pd.Series) -> pd.Series:
-    return pd.Series([pack_cues(g) for g in groups])
+def pack_cues(segments, most: int = 120, gap: float = 1.5) -> list[dict]:
+    """cue_parts of segments (start, end, text)."""
+    columns = ([s[c] for s in segments] for c in ("text", "start", "end"))
+    return [dict(zip(("start", "end", "text"), c)) for c in cue_parts(*columns, most, gap)]
+
+
+@columnar("array<struct<start:double,end:double,text:string>>")
+def pack_cues_udf(groups: pa.Array) -> pa.Array:
+    """pack_cues, a recording at a time."""
+    bounds, columns = list_parts(groups)
+    sizes, starts, ends, texts = [], [], [], []
+    for s, e in zip(bounds, bounds[1:]):
+        cues = cue_parts(*(columns[c].slice(s, e - s).to_pylist() for c in ("text", "start", "end")))
+        sizes.append(len(cues))
+        for a, b, t in cues:
+            starts.append(a)
+            ends.append(b)
+            texts.append(t)
+    return list_of(sizes, {"start": pa.array(starts, pa.float64()), "end": pa.array(ends, pa.float64()), "text": pa.array(texts, pa.string())})
 
 
 def word_runs(x0: list, y0: list, x1: list, y1: list, wide: float, high: float) -> tuple[list[int], list, list]:
