@@ -473,9 +473,12 @@ def recursive_split(text: str, size: int = 50_000, overlap: int = 100, marks=("\
 
 
 def recursive_split_udf(size: int, overlap: int):
-    @arrow("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([recursive_split(t or "", size, overlap) for t in texts])
+    @columnar("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        # a text at a time: of a batch only the parts are held, as a column
+        made = [pa.array(recursive_split(t.as_py() or "", size, overlap), pa.string()) for t in texts]
+        offsets = np.cumsum([0, *map(len, made)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(made) if made else pa.array([], pa.string()))
 
     return run
 
