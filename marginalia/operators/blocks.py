@@ -51,13 +51,17 @@ def drop_repeated(df: DataFrame, doc: str = "doc_id", text: str = "text", height
 def assign_words(words: DataFrame, regions: DataFrame, page: list[str], word: str, order: str, pad: float = 0.3) -> DataFrame:
     """Each word to the first region in order whose padded box meets its own.
 
-    An equi-join on the page with the range test as residual; pages bound its
-    groups.  Aggregation to the smallest order replaces a window.
+    A page's regions are one array, joined to its words by an equi-join on the
+    page; words travel once, and stay dealt by page for what follows.
     """
-    r = regions.select(*page, F.col(order).alias("__o"), *[F.col(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")])
-    hit = words.join(r, page).filter((F.col("x0") < F.col("__x1") + pad) & (F.col("x1") > F.col("__x0") - pad) & (F.col("y0") < F.col("__y1") + pad) & (F.col("y1") > F.col("__y0") - pad))
-    first = hit.groupBy(*page, word).agg(F.min("__o").alias(order))
-    return words.join(first, [*page, word], "left")
+    names = ("x0", "y0", "x1", "y1")
+    boxes = regions.select(*page, F.struct(order, *names).alias("__r")).filter(F.col("__r")[order].isNotNull())
+    held = boxes.groupBy(*page).agg(F.array_sort(F.collect_list("__r")).alias("__r"))
+    meets = lambda r: (F.col("x0") < r["x1"] + pad) & (F.col("x1") > r["x0"] - pad) & (F.col("y0") < r["y1"] + pad) & (F.col("y1") > r["y0"] - pad)
+    first = words.join(held, page, "left").withColumn("__r", F.get(F.filter("__r", meets), F.lit(0))[order])
+    # rows that repeat a word's key share its region, one without a key has none
+    own = F.when(F.col(word).isNotNull(), F.min("__r").over(Window.partitionBy(*page, word)))
+    return first.withColumn(order, own).drop("__r")
 
 
 def assemble_text(words: DataFrame, keys: list[str], factor: float = 0.6) -> DataFrame:
