@@ -57,7 +57,8 @@ def refine_rounds(chunks: DataFrame, doc: str, model: Callable[[str, str], dict]
     chunks: doc, chunk_index, text.  model: (text, summary so far) -> {"summary",
     "evidence"}.  cache: the folder of the cache table, new or of an earlier run.
     With stop_on_error a failing call fails the run; what earlier rounds and other
-    runs have answered stays answered.
+    runs have answered stays answered.  Joins are merges: no round's rows go
+    through the driver.
     """
     spark = chunks.sparkSession
     kind = chunks.schema[doc].dataType.simpleString()
@@ -69,19 +70,19 @@ def refine_rounds(chunks: DataFrame, doc: str, model: Callable[[str, str], dict]
     running, used = None, []
     for r in range(0 if last is None else last + 1):
         now = todo.filter(F.col("round") == r).drop("round")
-        now = now.withColumn("so_far", F.lit("")) if running is None else now.join(running, doc)
+        now = now.withColumn("so_far", F.lit("")) if running is None else now.hint("merge").join(running, doc)
         asked = now.withColumn("digest", F.sha2(F.concat_ws("\u0000", F.coalesce("text", F.lit("")), "so_far", F.col("chunk_index").cast("string")), 256))
         path = f"{cache}/round={r}"
         held = spark.read.schema(row).parquet(path) if _path_exists(spark, path) else None
         if held is not None and retry_errors:
             held = held.filter("error is null")
-        fresh = asked if held is None else asked.join(held.select(doc, "digest"), [doc, "digest"], "left_anti")
+        fresh = asked if held is None else asked.hint("merge").join(held.select(doc, "digest"), [doc, "digest"], "left_anti")
         answered = fresh.select(doc, "digest", "chunk_index", "so_far", "text").mapInArrow(_ask(model, stop_on_error), asked_row)
         grown = F.when(F.col("summary").isNull(), F.col("so_far")).when(F.col("so_far") == "", F.col("summary")).otherwise(F.concat("so_far", F.lit(joiner), "summary"))
         answered.withColumn("running", grown).write.mode("append").parquet(path)
         # Of the cache's rows those that answer what is asked now; of repeated answers one.
         own = spark.read.schema(row).parquet(path)
-        best = own.join(asked.select(doc, "digest"), [doc, "digest"], "left_semi")
+        best = own.hint("merge").join(asked.select(doc, "digest"), [doc, "digest"], "left_semi")
         best = best.groupBy(doc, "digest").agg(F.min_by(F.struct("chunk_index", "summary", "evidence", "error", "running"), F.col("error").isNotNull()).alias("a")).select(doc, "a.*")
         running = best.select(doc, F.col("running").alias("so_far"))
         used.append(best.withColumn("round", F.lit(r)))
