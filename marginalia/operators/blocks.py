@@ -116,7 +116,8 @@ def bounding_boxes(boxes: DataFrame, keys: list) -> DataFrame:
 
 
 def layout_features(boxes: DataFrame, keys: list[str], page_width: float) -> DataFrame:
-    """13 features of the boxes of each page."""
+    """13 features of the boxes of each page; boxes travel as they are, which is less than medians' partial counts."""
+    boxes = boxes.select(*keys, "x0", "y0", "x1", "y1").repartition(*keys)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     xc, yc = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     return boxes.groupBy(*keys).agg(
