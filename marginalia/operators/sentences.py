@@ -15,8 +15,9 @@ word is a frequent opener or, except after an initial, is known in lower case an
 never capitalised within sentences.  Any other stop ends one, and so do ! ? and
 an ellipsis unless the next word begins in lower case.
 
-Counts are aggregates over exploded words, combined on the map side; only the
-words with a stop are joined to the tables.
+Words are counted in the tasks, text by text, and leave them as partial counts;
+patterns are asked of different words only.  Of the texts themselves only the
+words with a stop or mark become rows, which are joined to the tables.
 
 Defined cases: null, empty and blank texts have no sentence; a text's end closes
 its last one; repeated keys are told apart by their text.
@@ -24,15 +25,20 @@ its last one; repeated keys are told apart by their text.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import compress
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, ws_strip
 from ..sources.files import work_path
+from .folds import columnar, list_of
 
 #: Marks that may close or open a quotation around a word (fixed values).
 CLOSING = r"[\"'”’»)\]}]+$"
@@ -41,9 +47,96 @@ NUMBER = "#"
 ABBREVIATION, OPENER, COLLOCATION = 0.3, 30.0, 7.88
 
 
-def pieces(text: Column) -> Column:
-    """Words with the white space before them."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\s*\S+"), F.lit(0))
+#: White space as Unicode has it; str.split() also splits at the separators 1C to 1F.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+CLOSERS, ENDERS = "\"'”’»)]}", ".!?…"
+_WORD, _SEPARATORS = re.compile(f"[^{SPACE}]+"), re.compile("[\x1c-\x1f]")
+_END = re.compile(rf"[.!?…][\"'”’»)\]}}]*(?=[{SPACE}])")
+#: Different words and pairs that a task holds before it passes their counts on.
+HELD = 200_000
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text) if _SEPARATORS.search(text) else text.split()
+
+
+class Ends(dict):
+    """Whether a word ends with a stop or mark, found once a word."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > HELD:
+            self.clear()
+        self[word] = out = word.rstrip(CLOSERS)[-1:] in {*ENDERS}
+        return out
+
+
+def word_counts(df: DataFrame, text: str, pairs: bool) -> DataFrame:
+    """word, next, opens (the word before ends a sentence, or there is none), c: partial counts.
+
+    Rows without opens, if pairs is asked, count words that end with a stop or
+    mark by their followers; the others count all words, next is null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, seen, first, met = Ends(), Counter(), Counter(), Counter()
+
+        def rows():
+            every = [(w, None, True, c) for w, c in first.items()]
+            every += [(w, None, False, c - first[w]) for w, c in seen.items() if c > first[w]]
+            every += [(w, a, None, c) for (w, a), c in met.items()]
+            for at in range(0, len(every), 10_000):
+                columns = zip(*every[at : at + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.int64()))], ["word", "next", "opens", "c"])
+            for held in (seen, first, met):
+                held.clear()
+
+        for b in batches:
+            texts = b.column(0)
+            for i in range(b.num_rows):
+                words = words_of(texts[i].as_py() or "")
+                if not words:
+                    continue
+                closed, after = [ends[w] for w in words], words[1:]
+                seen.update(words)
+                first.update([words[0], *compress(after, closed)])
+                if pairs:
+                    met.update(compress(zip(words, after), closed))
+                if len(seen) + len(met) > HELD:
+                    yield from rows()
+        yield from rows()
+
+    return df.select(F.col(text).cast("string")).mapInArrow(run, "word string, next string, opens boolean, c long")
+
+
+@columnar("array<struct<pos:int,word:string,next:string>>")
+def ending_words(texts: pa.Array) -> pa.Array:
+    """Words of a text that end with a stop or mark and have a follower: the place behind them, word, follower."""
+    sizes, places, words, after = [], [], [], []
+    for i in range(len(texts)):
+        text, n = texts[i].as_py() or "", len(places)
+        for m in _END.finditer(text):
+            e = s = m.end()
+            follower = _WORD.search(text, e)
+            if follower is None:
+                break
+            while s and text[s - 1] not in SPACE:
+                s -= 1
+            places.append(e)
+            words.append(text[s:e])
+            after.append(follower[0])
+        sizes.append(len(places) - n)
+    return list_of(sizes, {"pos": pa.array(places, pa.int32()), "word": pa.array(words, pa.string()), "next": pa.array(after, pa.string())})
+
+
+@columnar("array<string>")
+def cut_at(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+    """Parts of a text between places (ascending, or null), white space around them off; empty ones go."""
+    out = []
+    for i in range(len(texts)):
+        text, places = texts[i].as_py() or "", cuts[i].as_py() or []
+        parts = (text[s:e].strip(SPACE) for s, e in zip([0, *places], [*places, len(text)]))
+        out.append([x for x in parts if x])
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def word_type(word: Column) -> Column:
@@ -53,25 +146,6 @@ def word_type(word: Column) -> Column:
     return F.when(bare.rlike(r"^[0-9][0-9.,]*$"), NUMBER).otherwise(bare)
 
 
-_ENDS = r"[.!?…]" + CLOSING[:-2] + "*$"
-
-
-def occurrences(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """key, pos, word, next, opens (the word before ends a sentence, or there is none)."""
-    none = F.array(F.lit(None).cast("string"))
-
-    def around(w: Column) -> Column:
-        after = F.concat(F.slice(w, 2, F.size(w)), none)
-        before = F.concat(none, F.slice(w, 1, F.size(w) - 1))
-        return F.arrays_zip(w.alias("w"), after.alias("a"), before.alias("b"))
-
-    held = df.select(*key, pieces(F.col(text)).alias("w")).filter("size(w) > 0")
-    each = held.select(*key, F.posexplode(let(F.col("w"), around)).alias("pos", "t"))
-    each = each.select(*key, "pos", "t.w", "t.a", "t.b")
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+", "")
-    return each.select(*key, "pos", strip(F.col("w")).alias("word"), strip(F.col("a")).alias("next"), F.coalesce(F.col("b").rlike(_ENDS), F.lit(True)).alias("opens"))
-
-
 def _core(c: Column) -> Column:
     return F.regexp_replace(c, CLOSING, "")
 
@@ -88,16 +162,16 @@ def described(words: DataFrame) -> DataFrame:
 
 
 def type_counts(seen: DataFrame) -> DataFrame:
-    """type, n, n_stop (with a stop), n_lower, n_upper (capitalised within a sentence), of occurrences."""
+    """type, n, n_stop (with a stop), n_lower, n_upper (capitalised within a sentence), of word_counts."""
     # Words are described once each, not at every occurrence.
-    words = described(seen.groupBy("word", "opens").agg(F.count("*").alias("c"))).filter("length(type) > 0")
+    words = described(seen.filter("opens is not null").groupBy("word", "opens").agg(F.sum("c").alias("c"))).filter("length(type) > 0")
     count = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
     return words.groupBy("type").agg(F.sum("c").alias("n"), count(F.col("stopped")).alias("n_stop"), count(F.col("lower")).alias("n_lower"), count(F.col("upper") & ~F.col("opens")).alias("n_upper"))
 
 
 def endings(seen: DataFrame, *keep: str) -> DataFrame:
-    """Occurrences that have a stop or a mark, and a follower: described, with next_type, next_upper, next_lower."""
-    t = described(seen.filter(F.col("word").rlike(_ENDS) & F.col("next").isNotNull())).filter(F.col("stopped") | F.col("marked"))
+    """Words that have a stop or a mark, and a follower (next): described, with next_type, next_upper, next_lower."""
+    t = described(seen).filter(F.col("stopped") | F.col("marked"))
     a = F.col("next")
     return t.select(*keep, "type", "stopped", "marked", word_type(a).alias("next_type"), _first(a, "Lu").alias("next_upper"), _first(a, "Ll").alias("next_lower"))
 
@@ -134,20 +208,32 @@ class Statistics:
     pairs: DataFrame
 
 
-def train(df: DataFrame, key: list[str], text: str) -> Statistics:
-    """Statistics of all texts."""
-    spark, seen = df.sparkSession, occurrences(df, key, text)
+def written(frame: DataFrame, name: str) -> DataFrame:
+    path = work_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
-    def written(frame: DataFrame, name: str) -> DataFrame:
-        path = work_path(spark, name)
-        frame.write.parquet(path)
-        return spark.read.schema(frame.schema).parquet(path)
 
+def scored_types(seen: DataFrame) -> tuple[DataFrame, int]:
+    """type_counts with scores as abbreviations, and the number of all words."""
     counts = written(type_counts(seen), "sentence-counts")
     n_all, n_stops = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_stop"), F.lit(0))).first()
-    types = counts.withColumn("score", abbreviation_score(n_all, n_stops))
+    return counts.withColumn("score", abbreviation_score(n_all, n_stops)), n_all
+
+
+def train_types(df: DataFrame, text: str) -> DataFrame:
+    """Statistics' types alone: no follower is counted."""
+    return scored_types(word_counts(df, text, pairs=False))[0]
+
+
+def train(df: DataFrame, key: list[str], text: str) -> Statistics:
+    """Statistics of all texts, which are read once."""
+    seen = written(word_counts(df, text, pairs=True), "sentence-words")
+    types, n_all = scored_types(seen)
+    counts = types.drop("score")
     # One row for each stopped or closed word and its follower.
-    ends = endings(seen).groupBy("type", "next_type", "stopped").agg(F.count("*").alias("k"))
+    met = seen.filter("opens is null").groupBy("word", "next").agg(F.sum("c").alias("c"))
+    ends = endings(met, "c").groupBy("type", "next_type", "stopped").agg(F.sum("c").alias("k"))
     short = types.filter(F.col("score") >= ABBREVIATION).select("type", F.lit(True).alias("short"))
     ends = ends.join(short, "type", "left").withColumn("unsure", F.col("stopped") & (F.coalesce("short", F.lit(False)) | (F.col("type") == NUMBER) | (F.length("type") == 1)))
     ends = written(ends, "sentence-ends")
@@ -166,8 +252,8 @@ def train(df: DataFrame, key: list[str], text: str) -> Statistics:
 
 
 def boundaries(df: DataFrame, key: list[str], text: str, model: Statistics) -> DataFrame:
-    """key, pos of every word that ends a sentence inside its text."""
-    t = endings(occurrences(df, key, text), *key, "pos")
+    """key, pos (the place behind it) of every word that ends a sentence inside its text."""
+    t = endings(df.select(*key, F.explode(ending_words(F.col(text).cast("string"))).alias("t")).select(*key, "t.*"), *key, "pos")
     no = F.lit(False)
     short = model.types.filter(F.col("score") >= ABBREVIATION).select("type", F.lit(True).alias("short"))
     ahead = model.types.select(F.col("type").alias("next_type"), ((F.col("n_lower") > 0) & (F.col("n_upper") == 0)).alias("seen_low"))
@@ -189,13 +275,5 @@ def split(df: DataFrame, key: list[str], text: str, model: Statistics) -> DataFr
     cuts = boundaries(keyed, names, "__text", model).groupBy(*names).agg(F.array_sort(F.collect_list("pos")).alias("__cuts"))
     cuts = cuts.select(*[F.col(n).alias(f"__key{i}") for i, n in enumerate(names)], "__cuts")
     same = [F.col(n).eqNullSafe(F.col(f"__key{i}")) for i, n in enumerate(names)]
-    both = keyed.join(cuts, reduce(and_, same), "left").select(*key, pieces(F.col("__text")).alias("p"), F.coalesce("__cuts", F.array().cast("array<int>")).alias("c"))
-
-    def cut(p: Column, ends: Column) -> Column:
-        starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
-        texts = F.zip_with(starts, ends, lambda s, e: ws_strip(F.array_join(F.slice(p, s + 1, e - s), "")))
-        return F.filter(texts, lambda s: F.length(s) > 0)
-
-    # a text's words and its places are bound once
-    whole = let(F.col("p"), lambda p: let(F.array_distinct(F.concat(F.transform("c", lambda x: x + 1), F.array(F.size(p)))), lambda e: cut(p, e)))
-    return both.select(*key, whole.alias("sentences"))
+    both = keyed.join(cuts, reduce(and_, same), "left")
+    return both.select(*key, cut_at(F.col("__text").cast("string"), F.col("__cuts")).alias("sentences"))
