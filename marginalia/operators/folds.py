@@ -119,11 +119,70 @@ def count_bound(a: np.ndarray, b: np.ndarray, total: np.ndarray) -> np.ndarray:
     return 2.0 * np.minimum(a, b).sum(axis=-1) / np.maximum(total, 1)
 
 
+#: Cells of one step of matched(), and texts up to which pairs are matched together (a run and a place fit 16 bits).
+STEP_CELLS, SHORT = 1 << 16, 255
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, and where each begins."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return points, np.cumsum([0, *map(len, texts)])
+
+
+def _longest(pa_: np.ndarray, a0: np.ndarray, n: np.ndarray, pb: np.ndarray, b0: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest common run of each pair of stretches (at a0, n long; at b0, m long): length, places in both; the earliest in a, then in b."""
+    rows, high, wide = len(n), int(n.max()), int(m.max())
+    j, i = np.arange(wide)[:, None], np.arange(high)[:, None]
+    # code points beyond a stretch match nothing
+    b = np.where(j < m, pb[np.minimum(b0 + j, len(pb) - 1)], np.uint32(0xFFFFFFFF))
+    a = np.where(i < n, pa_[np.minimum(a0 + i, len(pa_) - 1)], np.uint32(0xFFFFFFFE))
+    # a run's length in the high byte, and below it how early it lies in b
+    early = (255 - j).astype(np.uint16)
+    run, best, end = np.zeros((wide + 1, rows), np.uint16), np.full(rows, 255, np.uint16), np.zeros(rows, np.int64)
+    for k in range(high):
+        run[1:] = np.where(b == a[k], run[:-1] + np.uint16(256), np.uint16(0))
+        most = (run[1:] | early).max(axis=0)
+        longer = most > (best | np.uint16(255))
+        best[longer], end[longer] = most[longer], k
+    size = (best >> np.uint16(8)).astype(np.int64)
+    last = 255 - (best & np.uint16(255)).astype(np.int64)
+    return size, end - size + 1, last - size + 1
+
+
+def matched(x: list[str], y: list[str]) -> np.ndarray:
+    """Characters in difflib's matching blocks (no autojunk) of each pair of texts of up to SHORT characters.
+
+    All pairs go together: the longest common run of each, then of what is left
+    of it on both sides, and so on.
+    """
+    (px, sx), (py, sy) = _points(x), _points(y)
+    out = np.zeros(len(x), np.int64)
+    work = np.stack([np.arange(len(x)), sx[:-1], np.diff(sx), sy[:-1], np.diff(sy)])
+    while True:
+        work = work[:, (work[2] > 0) & (work[4] > 0)]
+        if not work.shape[1]:
+            return out
+        work = work[:, np.lexsort((work[2], work[4]))]
+        left, at = [], 0
+        while at < work.shape[1]:
+            step = max(1, STEP_CELLS // int(work[4, min(at + 4096, work.shape[1]) - 1]))
+            pair, a0, n, b0, m = work[:, at : at + step]
+            size, i, j = _longest(px, a0, n, py, b0, m)
+            np.add.at(out, pair, size)
+            some = size > 0
+            for part in ((pair, a0, i, b0, j), (pair, a0 + i + size, n - i - size, b0 + j + size, m - j - size)):
+                left.append(np.stack(part)[:, some])
+            at += step
+        work = np.concatenate(left, axis=1)
+
+
 def ratio_udf(floor: float, autojunk: bool = False):
     """Sequence similarity 2 M / T of two texts, null under floor.
 
-    Length, then character counts of all pairs of a batch, then the longest
-    common subsequence (bit operations) bound it before matching blocks are sought.
+    Length, then character counts of all pairs of a batch bound it.  Blocks of
+    different pairs left are sought together, if they are short and autojunk has
+    no part; for others the longest common subsequence (bit operations) bounds it
+    first, a pair at a time.
     """
 
     @arrow("double")
@@ -135,8 +194,16 @@ def ratio_udf(floor: float, autojunk: bool = False):
         for at in range(0, len(may), 4096):
             part = may[at : at + 4096]
             part = part[count_bound(class_counts([x[i] for i in part]), class_counts([y[i] for i in part]), n[part] + m[part]) >= floor]
+            short = (np.maximum(n[part], m[part]) <= SHORT) & ((m[part] < 200) | (not autojunk))
+            own: dict[tuple[str, str], int] = {}
+            which = [own.setdefault((x[i], y[i]), len(own)) for i in part[short].tolist()]
+            if own:
+                met = matched(*map(list, zip(*own)))[which]
+                total = n[part[short]] + m[part[short]]
+                score = np.where(total > 0, 2.0 * met / np.maximum(total, 1), 1.0)
+                out[part[short][score >= floor]] = score[score >= floor]
             places: dict[str, dict[str, int]] = {}
-            for i in part.tolist():
+            for i in part[~short].tolist():
                 if y[i] not in places:
                     places[y[i]] = bit_places(y[i])
                 if 2.0 * common_subsequence(x[i], places[y[i]], len(y[i])) >= floor * (len(x[i]) + len(y[i])):
