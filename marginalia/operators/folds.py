@@ -215,101 +215,6 @@ def ratio_udf(floor: float, autojunk: bool = False):
     return run
 
 
-class Blocks:
-    """Blocks (page, block, text) of one cell, with their character counts as a matrix and their places as bits."""
-
-    def __init__(self, rows: list):
-        self.rows, self.texts = rows, [r[2] for r in rows]
-        self.lengths = np.array([len(t) for t in self.texts], np.int64)
-        counts = class_counts(self.texts)
-        self.used = np.flatnonzero(counts.any(axis=0))
-        self.counts = counts[:, self.used].astype(np.int32)
-        self.places: dict[int, dict[str, int]] = {}
-
-    def could(self, q: str, i: int, least: float) -> bool:
-        """Whether the ratio may reach least: its matches are a common subsequence."""
-        if i not in self.places:
-            self.places[i] = bit_places(self.texts[i])
-        return 2.0 * common_subsequence(q, self.places[i], len(self.texts[i])) / (len(q) + len(self.texts[i])) >= least
-
-    def best(self, q: str, order: list[int], floor: float, stop: float) -> tuple[int, float, bool] | None:
-        """(row, score, ends) of the block a scan in this order settles on.
-
-        The scan ends at the first block that contains q (score 1) or has a ratio
-        over stop; else the earliest best ratio of at least floor wins.  A ratio is
-        at most 2 x (characters in common) / (sum of lengths), so blocks are asked
-        in falling order of that bound, and only while it can still win; before the
-        ratio its matches are bounded again by the longest common subsequence (one
-        pass of bit operations).
-        """
-        inside = next((k for k, i in enumerate(order) if q in self.texts[i]), None)
-        at, own = np.array(order[:inside], np.int64), class_counts([q])[:, self.used].astype(np.int32)
-        bound = count_bound(self.counts[at], own, self.lengths[at] + len(q))
-        best, asked = (0.0, 0), set()
-        for k in np.flatnonzero(bound > stop).tolist():
-            if self.could(q, order[k], stop):
-                asked.add(k)
-                if (score := ratio(q, self.texts[order[k]])) > stop:
-                    return order[k], score, True
-                best = max(best, (score, -k))
-        if inside is not None:
-            return order[inside], 1.0, True
-        for k in np.argsort(-bound, kind="stable").tolist():
-            if bound[k] < max(floor, best[0]):
-                break
-            if k not in asked and self.could(q, order[k], max(floor, best[0])):
-                best = max(best, (ratio(q, self.texts[order[k]]), -k))
-        return (order[-best[1]], best[0], False) if best[0] >= floor and best[0] > 0 else None
-
-
-def best_in_cells(floor: float, stop: float, names: list[str]):
-    """A map over Arrow batches sorted by cell (document, qp, bp), its quotes (kind 0) before its blocks: a row for each quote with a match."""
-
-    def search(key, quotes: list[tuple], rows: list[tuple]) -> list[tuple]:
-        held = Blocks(sorted(rows, key=lambda r: (r[1], r[0])))
-        pages: dict = {}
-        for i, r in enumerate(held.rows):
-            pages.setdefault(r[0], []).append(i)
-        everything, out = list(range(len(held.rows))), []
-        for ev, hint, q in quotes:
-            near = everything if hint is None else [i for p in (hint, hint - 2, hint - 1, hint + 1, hint + 2) for i in pages.get(p, ())]
-            if near and (got := held.best(q, near, floor, stop)):
-                page, block, _ = held.rows[got[0]]
-                out.append((key, ev, page, block, got[1], got[2], 0 if hint is None else -1 if page == hint else page))
-        return out
-
-    def run(batches):
-        import pyarrow as pa
-
-        at, quotes, rows, out, kinds = None, [], [], [], None
-
-        def batch():
-            cols = list(zip(*out)) or [()] * len(names)
-            types = [kinds[0], kinds[4], kinds[6], kinds[7], pa.float64(), pa.bool_(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
-        for b in batches:
-            kinds = [f.type for f in b.schema]
-            for key, qp, bp, kind, ev, hint, page, block, text in zip(*(b.column(i).to_pylist() for i in range(9))):
-                if (key, qp, bp) != at:
-                    if quotes and rows:
-                        out += search(at[0], quotes, rows)
-                    at, quotes, rows = (key, qp, bp), [], []
-                if kind == 0:
-                    quotes.append((ev, hint, text))
-                elif quotes:
-                    rows.append((page, block, text))
-            if len(out) > 10_000:
-                yield batch()
-                out = []
-        if quotes and rows:
-            out += search(at[0], quotes, rows)
-        if out:
-            yield batch()
-
-    return run
-
-
 def cue_starts(texts: list[str], starts: list[float], ends: list[float], most: int, gap: float) -> list[int]:
     """Places that open a new cue: too late after the segment before, or too long with what the cue holds."""
     held, end, cuts = 0, 0.0, []
